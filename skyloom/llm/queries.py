@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id
+from . import byte_bpe, exact_dedup, language_id, near_dedup
 from .common import documents
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -26,7 +26,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op7_exact_dedup, op8_byte_bpe)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op4_language_id, op7_exact_dedup, op8_byte_bpe, op9_near_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
