@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup
+from . import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding
 from .common import documents
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2)).drop("source")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit_language_model(docs.filter(~language_id.held_out()))
@@ -30,7 +39,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op7_exact_dedup, op8_byte_bpe, op9_near_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_virtual_slots, op3_source_mixing, op4_language_id, op7_exact_dedup, op8_byte_bpe, op9_near_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
@@ -39,4 +53,15 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm
     """,
+    "op10_line_dedup": r"""
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        w AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM l WHERE len(lines) >= 3),
+        k AS (SELECT doc_id, s, lines[s:s + 2] AS run FROM w),
+        f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS place FROM k),
+        gone AS (SELECT doc_id, list(DISTINCT s + o) AS gone FROM f, (SELECT unnest([0, 1, 2]) AS o) WHERE place > 1 GROUP BY doc_id)
+        SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(CASE WHEN gone IS NULL THEN text
+                ELSE coalesce(array_to_string(list_transform(list_sort(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i))), lambda i: lines[i]), chr(10)), '') END) AS text_sha256
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id
+    """,
 }
