@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -46,8 +48,8 @@ class ByteBPE:
         self.shorter: dict[int, int | None] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
-        self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.old_pieces: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def _shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
@@ -120,19 +122,22 @@ class ByteBPE:
                 raise ValueError("the vocabulary does not cover every byte")
         return tokens
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
+    def _piece(self, piece: str) -> tuple[int, str, bytes, bytes]:
+        """Number of ids, ids in decimal, bytes decoded from them, ids as 32-bit integers."""
         known = self.old_pieces.get(piece)
         if known is None:
             ids = self.encode_piece(piece.encode())
-            known = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+            known = (len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes())
         if len(self.pieces) >= MEMO_ENTRIES // 2:  # what was used lately stays
             self.old_pieces, self.pieces = self.pieces, {}
         if len(piece) <= 64:
             self.pieces[piece] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        return [token for piece in self.pattern.findall(text) for token in self.encode_piece(piece.encode())]
+    def encode(self, text: str) -> bytes:
+        """The ids of the text as 32-bit integers."""
+        known = self.pieces
+        return b"".join([(known.get(piece) or self._piece(piece))[3] for piece in self.pattern.findall(text)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -141,7 +146,7 @@ class ByteBPE:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the bytes decoded from the ids."""
         known, n, ids, data = self.pieces, 0, [], []
         for piece in self.pattern.findall(text):
-            count, joined, decoded = known.get(piece) or self._piece(piece)
+            count, joined, decoded, _ = known.get(piece) or self._piece(piece)
             n += count
             ids.append(joined)
             data.append(decoded)
@@ -178,19 +183,31 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(text or "") for text in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            data = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(data))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "ids"])
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, data binary): the bytes of an encode_ids table. A null array gives null."""
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, lossless): lossless says that the bytes decoded from the ids are those of the text."""
+    ids = encode_ids(docs.select(F.struct(F.col(id_col).alias("id"), F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("crc"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("n")).alias("doc"), F.col(text_col).alias("text")), path, pattern, "doc", "text")
+    back = decode_ids(ids, path, pattern, keep_ids=True)
+    same = (F.crc32("data") == F.col("doc_id.crc")) & (F.octet_length("data") == F.col("doc_id.n"))
+    return back.select(F.col("doc_id.id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
+
+
+def decode_ids(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, data binary): the bytes of an encode_ids table, with its ids if asked. A null array gives null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+            data = pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, *batch.columns[1:][:keep_ids]], ["doc_id", "data", "ids"][: 2 + keep_ids])
 
     kind = encoded.select("doc_id").dtypes[0][1]
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, data binary" + ", ids array<int>" * keep_ids)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a few dozen bytes each) that is broadcast; above it Spark shuffles.
@@ -41,6 +41,30 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def mark(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their text; never null."""
+    return F.xxhash64(text)
+
+
+def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose (doc_id, mark) is kept in found, with the columns of docs; of rows equal in both, one.
+
+    found has a row (doc_id, mark, kept) for each row of docs. What is dropped is broadcast if small, else shuffled.
+    """
+    gone = written(found.groupBy("doc_id", "mark").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1"), "gone")
+    key = [F.col(id_col).eqNullSafe(F.col("__id")), mark(F.col(text_col)) == F.col("__mark")]
+
+    def of(rows: DataFrame) -> DataFrame:
+        return broadcast_if_small(rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+
+    once = docs.join(of(gone), key, "left_anti")
+    twice = gone.filter("kept")
+    if twice.isEmpty():
+        return once
+    one = docs.join(of(twice), key, "left_semi").withColumn("__mark", mark(F.col(text_col))).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return once.unionByName(one)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, broadcast_if_small, written
+from .common import SPACE_RUN, broadcast_if_small, mark, without_dropped, written
 from .quotient_filter import CountingQuotientFilter
 
 #: Fingerprints that one merge block holds on average; blocks are added as the table grows.
@@ -54,14 +54,14 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, mark (a hash of the text as it is).
 
     Texts are equal when their bytes are, after normalised(). Null text counts as empty. keep_id is the smallest
     id of the group, nulls last; kept says whether the row carries it, so rows repeated with one id and one text
     share their fate. An empty table gives an empty result. Other columns of docs are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
-    digest = written(rows.select("id", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digest")
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), mark(F.col(text_col)).alias("mark")).withColumn("fp", F.xxhash64("norm"))
+    digest = written(rows.select("id", "mark", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digest")
     repeated = written(repeated_fingerprints(digest.select("fp"), digest.count()).select("fp"), "repeated")
     # Byte verification: the grouping key is the text itself. Map-side aggregation leaves one text per task and group.
     candidates = rows.join(broadcast_if_small(repeated), "fp", "left_semi")
@@ -75,4 +75,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "mark",
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their columns; of rows that repeat an id and a text, one."""
+    return without_dropped(docs, exact_dedup(docs, id_col, text_col), id_col, text_col)

@@ -138,6 +138,36 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
 
 
+def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """docs with its own columns and one more: found, a struct of lang_pred and score, as of identify_languages."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            rows = [own.predict(text) for text in batch.column(at).to_pylist()]
+            found = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, f"c{len(names)}"])
+
+    numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    fields = [*(f"{c} {kind}" for c, kind in numbered.dtypes), f"c{len(names)} struct<lang_pred:string,score:double>"]
+    return numbered.mapInArrow(predict, ", ".join(fields)).select([F.col(f"c{i}").alias(c) for i, c in enumerate([*names, "found"])])
+
+
+def identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs in an identifiable language, with their columns; a null language becomes the one found.
+
+    A model is learned from the rows that held_out() leaves. Rejected are `und` (null or letterless) texts and those
+    whose main language has a proportion under `least`. Without any labelled row nothing can be identified, and
+    nothing remains.
+    """
+    model = fit_language_model(docs.filter(~held_out(id_col)), text_col, lang_col)
+    own = [c if c != lang_col else F.coalesce(lang_col, "found.lang_pred").alias(lang_col) for c in docs.columns]
+    return with_languages(docs, model, text_col).filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)).select(own)
+
+
 def held_out(id_col: str = "doc_id"):
     """Every fifth document by the CRC-32 of its id's digits; a null id has the digits of nothing."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, mark, written
 
 #: Documents, or residuals of the level below, that one node of the reduction tree folds.
 FAN_IN = 32
@@ -66,8 +66,26 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     return F.aggregate(F.slice(units, 2, FAN_IN * 1_000_000), start, step)
 
 
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """docs with a hash `key` of id and source, and the number of a row among those of its key."""
+    rows = docs.withColumn("key", F.xxhash64(id_col, source_col))
+    return rows, F.row_number().over(Window.partitionBy("key").orderBy(id_col, source_col, mark(F.col(text_col))))
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
+    """The mix itself: rows of docs, with their columns, as often as mix_sources takes them."""
+    taken = mix_sources(docs, share, weights, id_col, source_col, text_col, seed)
+    taken = taken.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "copies"))).alias("taken"))
+    numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows, place = _keyed(numbered, own[id_col], own[source_col], own[text_col])
+    rows = rows.join(taken, "key").withColumn("place", place)
+    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.get("taken", F.col("place") - 1)["copies"])))
+    return rows.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, source, copies.
+    """One row per row of docs: doc_id, size, source_size, target, taken, source, copies, key, rep.
 
     size is the number of words at ASCII white space; null text has none. Every document of a source has the same
     expected number of copies, target / source_size, at most MOST_COPIES. Its whole part is given; the fractions are
@@ -75,13 +93,14 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     then residuals of chunks in a tree of that width, until one document of a source is left, which is rounded to
     nearest. So taken words miss the target by less than one document. Draws depend on ids only: reruns agree.
 
-    A null source is a source. Rows that repeat an id are told apart by a number. Empty documents take part with no
+    A null source is a source. Rows that repeat an id are told apart by rep, their number among those of one key (a
+    hash of id and source). Empty documents take part with no
     words. An empty table gives an empty result. Other columns of docs are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    rep = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size"))
-    digest = written(rows.withColumn("rep", rep), "digest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), mark(F.col(text_col)).alias("text"))
+    rows, rep = _keyed(rows, "doc_id", "source", "text")
+    digest = written(rows.withColumn("rep", rep).drop("text"), "digest")
     targets = written(source_targets(digest, share, weights), "targets")
 
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -109,8 +128,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
         unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "rep", F.lit(seed)).alias("draw"), "doc_id", "rep", "size", "mass")
         units = held.select("source", F.floor(F.col("chunk") / FAN_IN).alias("chunk"), unit.alias("unit"))
 
-    whole = joined.filter(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "size", "source_size", "target", F.floor("expected").alias("copies"))
+    whole = joined.filter(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rep", "size", "source_size", "target", F.floor("expected").alias("copies"))
     if settled is not None:
         drawn = settled.join(of_source, settled["source"].eqNullSafe(of_source["of"]))
-        whole = whole.union(drawn.select("source", "doc_id", "size", "source_size", "target", F.floor("expected") + F.col("copy")))
-    return whole.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"))
+        whole = whole.union(drawn.select("source", "doc_id", "rep", "size", "source_size", "target", F.floor("expected") + F.col("copy")))
+    return whole.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"), F.xxhash64("doc_id", "source").alias("key"), "rep")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, runs_of, written
+from .common import broadcast_if_small, mark, runs_of, without_dropped, written
 from .components import components
 
 #: 2^BUCKET_BITS registers in a sketch, each of a leading-zero count and MANTISSA_BITS bits after the first one.
@@ -138,17 +138,17 @@ def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, thresh
 
 
 def _set_table(docs: DataFrame, words: int, with_sketch: bool) -> DataFrame:
-    """(id, n, node, sketch or set) of (id, text) rows; node identifies a shingle set: 128 bits of its digest."""
+    """(id, mark, n, node, sketch or set) of (id, text) rows; node identifies a shingle set: 128 bits of its digest."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             data = [(sketch(s) if with_sketch else s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(data, pa.binary())], ["id", "n", "node", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(data, pa.binary())], ["id", "mark", "n", "node", "data"])
 
     kind = docs.dtypes[0][1]
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(make, f"id {kind}, n long, node binary, data binary")
+    return docs.select("id", F.col("text").cast("binary").alias("text"), mark(F.col("text")).alias("mark")).mapInArrow(make, f"id {kind}, mark long, n long, node binary, data binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, threshold:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, mark (a hash of the text).
 
     Lower-cases A-Z, takes words at ASCII white space and the set of distinct `words`-word shingles; with fewer words
     the whole sequence as one. Documents are linked when 100 * intersection >= percent * union of the full sets.
@@ -273,6 +273,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label", F.coalesce("root", "cid").alias("root"))
     member = written(member, "member")
     lowest = member.groupBy("root").agg(F.min("label").alias("component"))
-    found = digest.select("id", "n", "node").join(broadcast_if_small(member.join(lowest, "root").select("node", "component"), member.count()), "node", "left")
+    found = digest.select("id", "mark", "n", "node").join(broadcast_if_small(member.join(lowest, "root").select("node", "component"), member.count()), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "mark")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_dedup keeps, with their columns: one document of each component."""
+    return without_dropped(docs, near_dedup(docs, id_col, text_col, words, percent), id_col, text_col)

@@ -6,18 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding
+from . import byte_bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, nearest, sharding, token_counts
 from .common import documents
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24)
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2)).drop("source")
+    return mixing.mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2)).drop("key", "rep", "source")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +32,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.read_pieces(public_tokenizers.path(PIECE_FILE)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("mark")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +49,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85).drop("mark")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +57,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_virtual_slots, op3_source_mixing, op4_language_id, op7_exact_dedup, op8_byte_bpe, op9_near_dedup, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_virtual_slots,
+        op2_multi_index_hashing,
+        op3_source_mixing,
+        op4_language_id,
+        op5_html_text,
+        op6_token_counts,
+        op7_exact_dedup,
+        op8_byte_bpe,
+        op9_near_dedup,
+        op10_line_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
