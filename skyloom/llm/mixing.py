@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mark, written
+from .common import WORD, broadcast_if_small, mark, written
 
 #: Documents, or residuals of the level below, that one node of the reduction tree folds.
 FAN_IN = 32
@@ -66,6 +66,25 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     return F.aggregate(F.slice(units, 2, FAN_IN * 1_000_000), start, step)
 
 
+def _corrected(settled: DataFrame, last: DataFrame) -> DataFrame:
+    """The settled units and the last one of each source, rounded to nearest; a settled unit makes up for its error.
+
+    The one whose size comes nearest to the words that rounding adds or takes is turned over where that helps.
+    One row per source is broadcast if small.
+    """
+    error = (F.col("copy") * F.col("size") - F.col("mass")).alias("error")  # above 0: words too many
+    errors = last.select(F.col("source").alias("of"), error)
+    settled = settled.withColumn("u", _uniform(F.col("doc_id"), F.col("rep")))
+    wrong = settled.join(broadcast_if_small(errors), settled["source"].eqNullSafe(F.col("of")) & (F.col("copy") == (F.col("error") > 0).cast("int")))
+    rest = F.abs(F.abs("error") - F.col("size"))
+    turned = wrong.filter(rest < F.abs("error")).groupBy("source").agg(F.min(F.struct(rest.alias("rest"), "u", "doc_id", "rep")).alias("t"))
+    turned = turned.select(F.col("source").alias("of"), F.col("t.doc_id").alias("t_id"), F.col("t.rep").alias("t_rep"))
+    same = settled["source"].eqNullSafe(F.col("of")) & settled["doc_id"].eqNullSafe(F.col("t_id")) & (settled["rep"] == F.col("t_rep"))
+    own = ["source", "doc_id", "rep", "size"]
+    out = settled.join(broadcast_if_small(written(turned, "turned")), same, "left").select(*own, F.when(F.col("t_rep").isNull(), F.col("copy")).otherwise(1 - F.col("copy")).alias("copy"))
+    return out.union(last.select(*own, "copy"))
+
+
 def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, Column]:
     """docs with a hash `key` of id and source, and the number of a row among those of its key."""
     rows = docs.withColumn("key", F.xxhash64(id_col, source_col))
@@ -91,7 +110,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     expected number of copies, target / source_size, at most MOST_COPIES. Its whole part is given; the fractions are
     rounded by pivotal steps that keep the source's words constant: first within chunks of about FAN_IN documents,
     then residuals of chunks in a tree of that width, until one document of a source is left, which is rounded to
-    nearest. So taken words miss the target by less than one document. Draws depend on ids only: reruns agree.
+    nearest; a settled document of about the rounding's size makes up for it. So taken words miss the target by less
+    than half a document, mostly by a word or none. Draws depend on ids only: reruns agree.
 
     A null source is a source. Rows that repeat an id are told apart by rep, their number among those of one key (a
     hash of id and source). Empty documents take part with no
@@ -120,8 +140,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
         settled = done if settled is None else settled.union(done)
         held = folded.select("source", "chunk", "f.held.*")
         if width == 1:
-            last = held.select("source", "doc_id", "rep", "size", (F.col("mass") * 2 >= F.col("size")).cast("int").alias("copy"))
-            settled = settled.union(last)
+            last = held.withColumn("copy", (F.col("mass") * 2 >= F.col("size")).cast("int"))
+            settled = _corrected(settled, last)
             break
         width = -(-width // FAN_IN)
         level += 1

@@ -1,0 +1,57 @@
+"""The pipeline's stages against their brute-force versions, one after another."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import corpus_pipeline as pipeline
+import duckdb
+import public_tokenizers
+from test_operators import brute_components, ranks
+
+from skyloom.llm import language_id, mixing, queries
+
+
+def test_stages_keep_what_brute_force_keeps(spark, sf_dir):
+    assert [name for name, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "source_mixing", "byte_bpe"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(pipeline.STAGES)
+
+    found = stage["language_id"](spark, docs, sf_dir)
+    model = language_id.fit_language_model(docs.filter(~language_id.held_out()))
+    fine = {r.doc_id for r in docs.collect() if (p := model.predict(r.text))[0] != "und" and p[1] >= pipeline.LEAST_PROPORTION}
+    assert found.columns == docs.columns and Counter(r.doc_id for r in found.collect()) == Counter(fine)
+
+    once = stage["exact_dedup"](spark, found, sf_dir)
+    first = {}
+    for r in sorted(found.collect(), key=lambda r: r.doc_id):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
+    assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == sorted(first.values())
+
+    apart = stage["near_dedup"](spark, once, sf_dir)
+    components = brute_components([(r.doc_id, r.text, None) for r in once.collect()], 5, 80)
+    assert apart.columns == docs.columns and sorted(r.doc_id for r in apart.collect()) == sorted(i for i, _, _, kept in components if kept)
+
+    mix = stage["source_mixing"](spark, apart, sf_dir)
+    copies = Counter({r.doc_id: r.copies for r in mixing.mix_sources(apart).collect()})
+    assert mix.columns == docs.columns and Counter(r.doc_id for r in mix.collect()) == +copies
+
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    texts = {r.doc_id: r.text for r in apart.collect()}
+    out = stage["byte_bpe"](spark, mix, sf_dir).collect()
+    assert Counter(r.doc_id for r in out) == +copies and all(r.lossless and list(r.ids) == library.encode_ordinary(texts[r.doc_id]) for r in out)
+
+    whole = pipeline.run(spark, sf_dir).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in whole) == Counter((r.doc_id, tuple(r.ids)) for r in out)
+
+
+def test_queries_agree_with_their_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        out = queries.QUERIES[name](spark, sf_dir)
+        true = con.execute(sql).fetchdf()[out.columns]
+        assert Counter(map(tuple, out.collect())) == Counter(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in true.itertuples(index=False, name=None))
