@@ -23,8 +23,10 @@ REGISTERS = 1 << BUCKET_BITS
 BANDS, BAND_REGISTERS = 40, 5
 #: Standard deviations that an estimate may lie under the threshold before its pair is passed over: 1e-9.
 MARGIN = 6.0
-#: Members of a bucket that are compared in one task at a time; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
+#: Members of a bucket, and shingles of theirs, that make up a block; larger buckets are dealt out as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Rounds in which bucket members are checked against a drawn member before those still apart meet one another.
+MORE_STARS = 1
 #: Word hashes remembered in a Python worker.
 MEMO_ENTRIES = 500_000
 
@@ -196,39 +198,88 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _sides(pairs, sets).mapInArrow(judge, "a long, b long")
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of bucket members that no link joins yet.
+def _by_root(buckets: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(key, cid, root) of all bucket members, and of each bucket that is still open its commonest root `big`.
 
-    Buckets whose members are all joined are done. Of buckets with the same members one is kept. The rest are dealt
-    out in pairs of blocks of BLOCK members, and only pairs whose estimate comes near the threshold leave the task.
+    A bucket is open while no links join all its members. pivot is a member of the big root, drawn by seed.
     """
-    labelled = buckets.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    roots = labels.select(F.col("node").alias("cid"), "root")
+    labelled = written(buckets.join(roots, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "labelled")
+    drawn = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("draw"), "cid"))["cid"]
+    per_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), drawn.alias("pivot"))
+    big = F.max(F.struct("n", "root", "pivot"))
+    open_keys = per_root.groupBy("key").agg(big.alias("b"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).filter("roots > 1")
+    return labelled, written(open_keys.select("key", "size", F.col("b.root").alias("big"), F.col("b.pivot").alias("pivot")), "open")
+
+
+def _contested(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between bucket members that no link joins yet: every such pair is decided, few leave a task.
+
+    Of buckets with the same members one is kept. In a bucket, members of its commonest root need no comparison with
+    one another. The others and they are dealt into blocks of a bounded size, and each block of others meets every
+    block, with full sets at hand: pairs whose sizes and sketches allow the threshold are verified there and then. A
+    pair that shares several buckets is looked at in one. Of the links, those that join anything new in the block come out.
+    """
+    labelled, open_keys = _by_root(buckets, labels, 0)
     h = F.xxhash64("cid")
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("sig"), F.sum(h % 1_000_003).alias("sig2"))
-    open_keys = open_keys.filter("lo < hi").groupBy("sig", "sig2", "size").agg(F.min("key").alias("key"))
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = labelled.join(open_keys.select("key", parts.alias("parts")), "key").withColumn("block", F.pmod(h, F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.withColumn("other", other).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "root")
-    dealt = dealt.join(classes.select("cid", "n", "data"), "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "cid")
+    members = labelled.join(open_keys.select("key", "big"), "key").join(sets.select("cid", "n"), "cid")
+    other = F.col("root") != F.col("big")
+    shape = members.groupBy("key").agg(
+        F.bit_xor(h).alias("sig"),
+        F.sum(h % 1_000_003).alias("sig2"),
+        F.count(F.lit(1)).alias("size"),
+        *(F.greatest(F.ceil(F.count(F.when(side, 1)) / BLOCK), F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(name) for side, name in ((other, "others"), (~other, "bigs"))),
+    )
+    kept = shape.groupBy("sig", "sig2", "size").agg(F.min(F.struct("key", "others", "bigs")).alias("k")).select("k.*")
+    members = written(members.join(kept, "key"), "members")
+    own_keys = members.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    block = F.when(other, F.pmod(h, F.col("others"))).otherwise(F.col("others") + F.pmod(h, F.greatest("bigs", F.lit(1)))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(other, F.col("bigs")).otherwise(0)))
+    dealt = members.withColumn("block", block).withColumn("meets", meets)
+    dealt = dealt.select("key", F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "block", "cid", "root")
+    dealt = dealt.join(own_keys, "cid").join(sets.select("cid", "data"), "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "cid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, lo, hi), group in runs_of(batches, ["key", "lo", "hi"]):
-            data = np.frombuffer(b"".join(group.data), np.uint16).reshape(-1, REGISTERS)
-            cid, root, n, block = (group[c].to_numpy() for c in ("cid", "root", "n", "block"))
-            out = []
-            for i in range(len(cid)):
-                rest = slice(i + 1, None)
-                near = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)
-                if lo != hi:
-                    near &= block[rest] != block[i]
-                j = np.flatnonzero(near) + i + 1
-                if len(j):
-                    out.append((i, j[may_reach(data[j], data[i], n[j], np.full(len(j), n[i]), threshold)]))
-            yield pd.DataFrame({"a": np.concatenate([np.full(len(j), cid[i]) for i, j in out] or [np.empty(0, np.int64)]), "b": np.concatenate([cid[j] for _, j in out] or [np.empty(0, np.int64)])})
-
-    pairs = dealt.select("key", "lo", "hi", "block", "cid", "root", "n", "data").mapInPandas(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for (key, lo, hi), group in runs_of(batches, ["key", "lo", "hi"]):
+            links = links_of(key, lo == hi, group, percent)
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return dealt.select("key", "lo", "hi", "block", "cid", "root", "keys", "data").mapInPandas(compare, "a long, b long")
+
+
+def links_of(key: int, alone: bool, group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """New links among the members of one block, or between those of two."""
+    members = [np.frombuffer(data, np.uint64) for data in group.data]
+    cid, root, block = (group[c].to_numpy() for c in ("cid", "root", "block"))
+    if (root == root[0]).all():
+        return []
+    sketches, n = np.stack([sketch(m) for m in members]), np.array([len(m) for m in members])
+    ends = np.cumsum(n)
+    flat, starts = np.concatenate(members), ends - n
+    earlier = [{k for k in keys if k < key} for keys in group["keys"]]
+    root = root.copy()
+    links = []
+    for i in range(len(cid)):
+        rest = np.arange(i + 1, len(cid))
+        near = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+        if not alone:
+            near &= block[rest] != block[i]
+        j = rest[near]
+        j = j[may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), percent / 100)] if len(j) else j
+        j = j[[earlier[i].isdisjoint(earlier[x]) for x in j]] if len(j) else j
+        for part in np.array_split(j, -(-len(j) // 64)) if len(j) else ():
+            part = part[root[part] != root[i]]
+            if not len(part):
+                continue
+            at = np.concatenate([np.arange(starts[x], ends[x]) for x in part])
+            place = np.minimum(np.searchsorted(members[i], flat[at]), n[i] - 1)
+            both = np.add.reduceat(members[i][place] == flat[at], np.cumsum(n[part]) - n[part], dtype=np.int64)
+            for x in part[100 * both >= percent * (n[i] + n[part] - both)]:
+                if root[x] != root[i]:
+                    links.append((min(cid[i], cid[x]), max(cid[i], cid[x])))
+                    root[root == root[x]] = root[i]
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,9 +291,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it. Null or wordless texts have no shingles and no links: each is its own component. Rows with equal sets form
     one class from the start, so copies are never paired; ids may repeat or be null (null sorts after all others).
 
-    First every bucket's members are checked against its smallest member; then, between members that no link joins
-    yet, all pairs whose estimate comes near the threshold are checked. So every candidate pair is either verified,
-    estimated clearly below the threshold, or inside one component already.
+    First every bucket's members are checked against its smallest member, and again against a drawn member of its
+    largest component. Then all pairs of bucket members that no link joins yet meet in blocks, and those whose estimate
+    comes near the threshold are checked. So every candidate pair is either verified, estimated clearly below the
+    threshold, or inside one component already.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digest = written(_set_table(rows, words, True), "digest")
@@ -266,8 +318,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = written(_verified(stars, sets, percent), "links")
     joined = components(links)
-    more = written(_apart(buckets.select("key", "cid"), joined, classes, percent / 100).join(stars, ["a", "b"], "left_anti"), "more")
-    links = links.union(_verified(more, sets, percent))
+    for seed in range(1, 1 + MORE_STARS):
+        labelled, open_keys = _by_root(buckets.select("key", "cid"), joined, seed)
+        pairs = labelled.join(open_keys, "key").filter("root <> big").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        links = written(links.union(_verified(_plausible(pairs, classes, percent / 100), sets, percent)), "links")
+        joined = components(links)
+    links = links.union(written(_contested(buckets.select("key", "cid"), joined, sets, percent), "contested"))
     joined = written(components(links), "components")
 
     member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label", F.coalesce("root", "cid").alias("root"))
