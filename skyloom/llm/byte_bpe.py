@@ -11,12 +11,13 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and token pairs remembered in a Python worker; the memos are emptied when full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -177,16 +178,18 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _id_lists(data: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(data))]))
+
+
 def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; the ids themselves, for packing. Null text gives an empty array."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            data = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(data))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists([bpe.encode(text or "") for text in batch.column(1).to_pylist()])], ["doc_id", "ids"])
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
@@ -194,20 +197,26 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): lossless says that the bytes decoded from the ids are those of the text."""
-    ids = encode_ids(docs.select(F.struct(F.col(id_col).alias("id"), F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("crc"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("n")).alias("doc"), F.col(text_col).alias("text")), path, pattern, "doc", "text")
-    back = decode_ids(ids, path, pattern, keep_ids=True)
-    same = (F.crc32("data") == F.col("doc_id.crc")) & (F.octet_length("data") == F.col("doc_id.n"))
-    return back.select(F.col("doc_id.id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path, pattern)
+        for batch in batches:
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            ids = _id_lists([bpe.encode(text) for text in texts])
+            lossless = [bpe.decode(x.values.to_pylist()) == text.encode() for x, text in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(ids).cast(pa.int64()), ids, pa.array(lossless, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
+
+    kind = docs.select(F.col(id_col)).dtypes[0][1]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, data binary): the bytes of an encode_ids table, with its ids if asked. A null array gives null."""
+def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, data binary): the bytes of an encode_ids table. A null array gives null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            data = pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), data, *batch.columns[1:][:keep_ids]], ["doc_id", "data", "ids"][: 2 + keep_ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
     kind = encoded.select("doc_id").dtypes[0][1]
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, data binary" + ", ids array<int>" * keep_ids)
+    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, data binary")

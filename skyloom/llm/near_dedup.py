@@ -28,7 +28,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Rounds in which bucket members are checked against a drawn member before those still apart meet one another.
 MORE_STARS = 1
 #: Word hashes remembered in a Python worker.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,9 +41,6 @@ class _WordHashes(dict):
         return found
 
 
-_words = _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,12 +48,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+def shingle_set(text: bytes | None, words: int, hashes: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles. Too few words: all of them as one. No words: empty."""
     own = (text or b"").lower().split()  # of bytes: A-Z only, ASCII white space only
     if not own:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map((_WordHashes() if hashes is None else hashes).__getitem__, own), np.uint64, len(own))
     k = min(words, len(h))
     joined = np.full(len(h) - k + 1, np.uint64(k))
     for i in range(k):
@@ -143,8 +140,9 @@ def _set_table(docs: DataFrame, words: int, with_sketch: bool) -> DataFrame:
     """(id, mark, n, node, sketch or set) of (id, text) rows; node identifies a shingle set: 128 bits of its digest."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
+            sets = [shingle_set(text, words, hashes) for text in batch.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             data = [(sketch(s) if with_sketch else s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(data, pa.binary())], ["id", "mark", "n", "node", "data"])
