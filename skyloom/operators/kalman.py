@@ -30,10 +30,13 @@ def tracks(readings: DataFrame, value: str, reset_gap_s: float = RESET_GAP_S, se
 
 
 def altitude_filter(q: float, r: float):
-    """A step of the constant-velocity filter: (value, dt) to filtered value, velocity, deviation, innovation, NIS."""
+    """Starts steps of the constant-velocity filter: (value, dt) to filtered value, velocity, deviation, innovation, NIS.
 
-    def start():
-        state: list[float] = []
+    A start may take up a state; step.state() gives the five numbers of the current one.
+    """
+
+    def start(kept: list[float] | None = None):
+        state: list[float] = kept or []
 
         def step(value: float, dt: float | None) -> tuple:
             nonlocal state
@@ -47,6 +50,7 @@ def altitude_filter(q: float, r: float):
             state = [x + gain * innovation, v + gain_v * innovation, (1 - gain) * a, (1 - gain) * b, c - gain_v * b]
             return state[0], state[1], math.sqrt(max(state[2], 0.0)), innovation, innovation**2 / s
 
+        step.state = lambda: state
         return step
 
     return start
