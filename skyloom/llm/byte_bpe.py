@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Pieces and token pairs remembered in a Python worker; the memos are emptied when full.
 MEMO_ENTRIES = 200_000
 
@@ -140,6 +142,12 @@ class ByteBPE:
         known = self.pieces
         return b"".join([(known.get(piece) or self._piece(piece))[3] for piece in self.pattern.findall(text)])
 
+    def encode_and_decode(self, text: str) -> tuple[bytes, bytes]:
+        """encode(text), and the bytes decoded from the ids of its pieces."""
+        known = self.pieces
+        found = [known.get(piece) or self._piece(piece) for piece in self.pattern.findall(text)]
+        return b"".join([x[3] for x in found]), b"".join([x[2] for x in found])
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -169,7 +177,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [bpe.digest(text or "") for text in batch.column(1).to_pylist()]
             n, ids, data = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -188,7 +196,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists([bpe.encode(text or "") for text in batch.column(1).to_pylist()])], ["doc_id", "ids"])
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
@@ -200,10 +208,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            ids = _id_lists([bpe.encode(text) for text in texts])
-            lossless = [bpe.decode(x.values.to_pylist()) == text.encode() for x, text in zip(ids, texts, strict=True)]
+            found = [bpe.encode_and_decode(text) for text in texts]
+            ids = _id_lists([ids for ids, _ in found])
+            lossless = [data == text.encode() for (_, data), text in zip(found, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(ids).cast(pa.int64()), ids, pa.array(lossless, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]

@@ -7,12 +7,16 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a few dozen bytes each) that is broadcast; above it Spark shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Texts that a Python task works on at once.
+SLICE_ROWS = 256
+
 #: ASCII white space, as the contracts define it.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +73,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that a task holds Python objects of a few texts only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """The groups of a stream sorted by keys; a group may span batches. Holds one group and one batch."""
     held: list[pd.DataFrame] = []

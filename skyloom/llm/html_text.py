@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Lines in a window, and the characters that a window must hold for a surge.
 WINDOW, SURGE = 3, 86
 #: So many lines of links alone, one after another, are a menu.
@@ -205,7 +207,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kinds = dict(rows.dtypes)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(page) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Buckets that byte trigrams are hashed into.
 BUCKETS = 1 << 15
 #: Pseudo-count of every bucket in every language.
@@ -98,7 +100,7 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.get(lang)
                 if own is None:
@@ -128,7 +130,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = [own.predict(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.float64()))],
@@ -146,7 +148,7 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = [own.predict(text) for text in batch.column(at).to_pylist()]
             found = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, f"c{len(names)}"])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, mark, runs_of, without_dropped, written
+from .common import broadcast_if_small, mark, runs_of, slices, without_dropped, written
 from .components import components
 
 #: 2^BUCKET_BITS registers in a sketch, each of a leading-zero count and MANTISSA_BITS bits after the first one.
@@ -141,7 +141,7 @@ def _set_table(docs: DataFrame, words: int, with_sketch: bool) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(text, words, hashes) for text in batch.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             data = [(sketch(s) if with_sketch else s).tobytes() if len(s) else None for s in sets]

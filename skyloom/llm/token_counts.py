@@ -10,6 +10,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: What a piece file writes before a piece that begins a word.
 WORD_START = "▁"
 #: Words whose counts a Python worker remembers; the memo is emptied when full.
@@ -106,7 +108,7 @@ def token_counts(docs: DataFrame, pieces: tuple[list[str], list[str]], begin: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Counts(LongestMatch(*shared.value), begin)
-        for batch in batches:
+        for batch in slices(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 counts = list(map(known.__getitem__, (text or b"").split()))  # bytes split at ASCII white space only
