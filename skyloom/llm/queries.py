@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, nearest, sharding, token_counts
-from .common import documents
+from .common import documents, shared_folder
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24)
+    map_path = f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/slot-map"
+    return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24, map_path=map_path)
 
 
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +83,16 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm
     """,
+    "op9_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 3 THEN [w] ELSE [w[i:i + 2] FOR i IN range(1, len(w) - 1)] END) AS sh FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT ee.b, r.c FROM r JOIN ee ON ee.a = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.doc_id = min(r.c) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
     "op10_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         w AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM l WHERE len(lines) >= 3),
