@@ -42,8 +42,7 @@ def near_obstacles(points: DataFrame, obstacles: DataFrame, radius: float = RADI
     bucket = lambda c, shift=None: F.floor(F.col(c) / radius) + (F.lit(0) if shift is None else shift)
     shifts = F.array(*[F.struct(*[F.lit(s).alias(a) for s, a in zip(shift, axes, strict=True)]) for shift in itertools.product((-1, 0, 1), repeat=len(axes))])
     places = obstacles.select(scene, *[F.col(a).alias(f"o_{a}") for a in axes], *[bucket(a).alias(f"b_{a}") for a in axes])
-    numbered = points.withColumn("point_id", F.monotonically_increasing_id())
-    looks = numbered.withColumn("shift", F.explode(shifts)).select(scene, "point_id", *axes, *[bucket(a, F.col(f"shift.{a}")).alias(f"b_{a}") for a in axes])
+    looks = points.select(scene, *axes).distinct().withColumn("shift", F.explode(shifts)).select(scene, *axes, *[bucket(a, F.col(f"shift.{a}")).alias(f"b_{a}") for a in axes])
     near = distance([F.col(a) for a in axes], [F.col(f"o_{a}") for a in axes]) <= radius
     hits = looks.join(places, [scene, *[f"b_{a}" for a in axes]]).filter(near).select(scene, *axes).distinct()
     return points.join(hits.withColumn("hit", F.lit(True)), [scene, *axes], "left").withColumn("blocked", F.coalesce("hit", F.lit(False))).drop("hit")
