@@ -15,13 +15,14 @@ from .common import slices
 
 #: Lines in a window, and the characters that a window must hold for a surge.
 WINDOW, SURGE = 3, 86
-#: So many lines of links alone, one after another, are a menu.
+#: So many lines that are half links or more, one after another, or so many links in one such line, are a menu.
 MENU_LINES = 3
 
 # Element names of HTML, and words by which pages name the parts that are not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+WHOLE = RAW | frozenset("audio button canvas noscript object select svg template video".split())  # left out with all they hold, inside a line
 OUTSIDE = frozenset(
     "applet aside audio button canvas datalist dialog fieldset footer form head iframe legend map menu meter nav noembed noframes noscript object optgroup option output progress script select style svg template textarea title video".split()
 )
@@ -37,6 +38,7 @@ HEADER_WORDS = frozenset(["header", "head", "heading"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
+_NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
@@ -44,6 +46,7 @@ _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 class _Line:
     text: str
     linked: int  # characters inside links
+    links: int
     place: int  # the element that holds the block
     rooted: bool
     outside: bool
@@ -86,9 +89,9 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
-                linked = sum(len(" ".join(html.unescape(p).split())) for p, link in parts if link)
+                inside = [n for p, link in parts if link and (n := len(" ".join(html.unescape(p).split())))]
                 holder = next(e for e in reversed(stack) if e.name != "p" and e.name not in INLINE)
-                lines.append(_Line(text, linked, holder.place, stack[-1].rooted, stack[-1].outside))
+                lines.append(_Line(text, sum(inside), len(inside), holder.place, stack[-1].rooted, stack[-1].outside))
             parts.clear()
 
     def close(to: int) -> None:
@@ -130,7 +133,7 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
             continue
         if name in ("td", "th"):
             parts.append((" ", False))
-        elif name not in INLINE and name not in VOID or name == "hr":
+        elif name not in INLINE and name not in VOID and name not in WHOLE or name == "hr":
             flush()
             top = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name not in INLINE), 0)
             if stack[top].name == "p" or (stack[top].name == name and name in ("li", "tr", "option")) or (stack[top].name in ("dt", "dd") and name in ("dt", "dd")):
@@ -139,15 +142,15 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
             continue
         above = stack[-1]
         outside = above.outside or name in OUTSIDE or (name == "header" and not above.rooted) or (by_name and m[3] != "" and name not in ("html", "body") and _names_outside(name, m[3], above.rooted))
-        if outside and not above.outside:
-            flush()  # also an inline element, when it is no part of the article
-        if name in RAW:
-            close_at = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+        close_at = re.compile(rf"</{name}[\s/>]", re.I).search(page, at) if name in WHOLE else None
+        if name in RAW or close_at:
             if not outside:
                 parts.append((page[at : close_at.start() if close_at else end], above.linked))
             tail = page.find(">", close_at.start()) if close_at else -1
             at = tail + 1 if tail >= 0 else end
             continue
+        if outside and not above.outside:
+            flush()  # also an inline element, when it is no part of the article
         places += 1
         stack.append(_Element(name, places, outside, above.rooted or (name in ROOTS and not outside), above.linked or name == "a"))
     flush()
@@ -157,10 +160,10 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds; empty if there is none.
 
-    Lines get their length without links; lines outside the article and runs of MENU_LINES lines of links become blank
-    windows. Where a window's sum rises from nothing is a surge, where it falls to nothing a dive; a stretch between
-    them is kept whole if a window in it reaches SURGE, if it shares an element with such a stretch, or, where no
-    window does, if it is the densest. Lines beside an article or main element that holds text don't count.
+    Lines get their length without links; lines outside the article, menus and copyright notices become blank windows.
+    Where a window's sum rises from nothing is a surge, where it falls to nothing a dive; a stretch between them is kept
+    whole if a window in it reaches SURGE, if it shares an element with such a stretch, or, where no window does, if it
+    is the densest. Lines beside an article or main element that holds text don't count.
     """
     lines = lines_of(page or "")
     if not any(not x.outside for x in lines):  # names mislead where nothing else is left
@@ -168,7 +171,8 @@ def main_text(page: str | None) -> str:
     inside = [x for x in lines if not x.outside]
     roots = any(x.rooted for x in inside)
     blank = [x.outside or (roots and not x.rooted) for x in lines]
-    only_links = [x.linked >= len(x.text) for x in lines]
+    only_links = [x.linked * 2 >= len(x.text) for x in lines]
+    blank = [gone or (not x.rooted and bool(_NOTICE.match(x.text))) or (only and x.links >= MENU_LINES) for gone, only, x in zip(blank, only_links, lines, strict=True)]
     for i in range(len(lines)):
         if only_links[i] and not blank[i] and (i == 0 or not only_links[i - 1] or blank[i - 1]):
             run = next((j for j in range(i, len(lines)) if not only_links[j] or blank[j]), len(lines))

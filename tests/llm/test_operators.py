@@ -215,6 +215,8 @@ PAGES = {
     "<article><p>Text " + "long " * 20 + "</p><div class='user-comments'><p>Reader " + "says " * 30 + "</p></div></article>": "Text " + "long " * 19 + "long",
     "<header>Site</header><form><p>Name <input></p></form><main><p>1 &lt; 2 &#233; &#x41;</p></main><aside>more</aside>": "1 < 2 é A",
     "<p class='note'>a<br>b<br><br>c</p>": "a b\nc",
+    "<p>Text with <script>x = '<p>';</script>a script and <noscript>no</noscript> more.": "Text with a script and more.",
+    "<div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div><div>Body text " + "of words " * 12 + "</div><div>Copyright 2020 X</div>": "Body text " + "of words " * 11 + "of words",
     "<article>a < b and <p title='x>y'>c</p><ul><li>one<li>two</ul></article>": "a < b and\nc\none\ntwo",
 }
 
