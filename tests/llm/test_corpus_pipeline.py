@@ -8,7 +8,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 import duckdb
 import public_tokenizers
-from test_operators import brute_components, ranks
+from test_corpus_operators import brute_components, ranks
 
 from skyloom.llm import language_id, mixing, queries
 
