@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Pieces and token pairs remembered in a Python worker; the memos are emptied when full.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Largest number of narrow rows (a few dozen bytes each) that is broadcast; above it Spark shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Rows of an Arrow batch in jobs that write a table.
+ARROW_CONF, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 #: Texts that a Python task works on at once.
 SLICE_ROWS = 256
 
@@ -32,10 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs its own tasks only."""
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs its own tasks only.
+
+    While it is written, rows cross to Python in batches of ARROW_ROWS, as rows here can hold whole texts or sets.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, ARROW_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on, its batches don't
 
 
 def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
