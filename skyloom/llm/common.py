@@ -55,6 +55,13 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """name, lengthened until no column of rows has it."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
 def mark(text: Column) -> Column:
     """A hash that tells rows of one id apart by their text; never null."""
     return F.xxhash64(text)
@@ -66,16 +73,17 @@ def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     found has a row (doc_id, mark, kept) for each row of docs. What is dropped is broadcast if small, else shuffled.
     """
     gone = written(found.groupBy("doc_id", "mark").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1"), "gone")
-    key = [F.col(id_col).eqNullSafe(F.col("__id")), mark(F.col(text_col)) == F.col("__mark")]
+    own_id, own_mark = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
+    key = [F.col(id_col).eqNullSafe(F.col(own_id)), mark(F.col(text_col)) == F.col(own_mark)]
 
     def of(rows: DataFrame) -> DataFrame:
-        return broadcast_if_small(rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+        return broadcast_if_small(rows.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)))
 
     once = docs.join(of(gone), key, "left_anti")
     twice = gone.filter("kept")
     if twice.isEmpty():
         return once
-    one = docs.join(of(twice), key, "left_semi").withColumn("__mark", mark(F.col(text_col))).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    one = docs.join(of(twice), key, "left_semi").withColumn(own_mark, mark(F.col(text_col))).dropDuplicates([id_col, own_mark]).drop(own_mark)
     return once.unionByName(one)
 
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 
 #: Buckets that byte trigrams are hashed into.
 BUCKETS = 1 << 15
@@ -140,8 +140,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
 
 
-def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with its own columns and one more: found, a struct of lang_pred and score, as of identify_languages."""
+def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "found") -> DataFrame:
+    """docs with its own columns and one more: a struct of lang_pred and score, as of identify_languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -155,7 +155,7 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
 
     numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     fields = [*(f"{c} {kind}" for c, kind in numbered.dtypes), f"c{len(names)} struct<lang_pred:string,score:double>"]
-    return numbered.mapInArrow(predict, ", ".join(fields)).select([F.col(f"c{i}").alias(c) for i, c in enumerate([*names, "found"])])
+    return numbered.mapInArrow(predict, ", ".join(fields)).select([F.col(f"c{i}").alias(c) for i, c in enumerate([*names, name])])
 
 
 def identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -166,8 +166,10 @@ def identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col:
     nothing remains.
     """
     model = fit_language_model(docs.filter(~held_out(id_col)), text_col, lang_col)
-    own = [c if c != lang_col else F.coalesce(lang_col, "found.lang_pred").alias(lang_col) for c in docs.columns]
-    return with_languages(docs, model, text_col).filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)).select(own)
+    name = fresh(docs, "found")
+    found = F.col(name)
+    own = [c if c != lang_col else F.coalesce(F.col(lang_col), found["lang_pred"]).alias(lang_col) for c in docs.columns]
+    return with_languages(docs, model, text_col, name).filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least)).select(own)
 
 
 def held_out(id_col: str = "doc_id"):

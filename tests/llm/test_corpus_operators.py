@@ -17,7 +17,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from skyloom.llm import byte_bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, nearest, queries, sharding, token_counts
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, id int, h int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, id int, h int, found string, gone_id int, key int, c0 string, mark int, size int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -31,8 +31,8 @@ def docs(spark):
     rng = np.random.default_rng(3)
     base = [prose(rng, 60) for _ in range(12)]
     texts = [None, "", "  \t\n ", "One", "a b", base[0], base[0].replace(" ", "  ", 3), base[0].upper(), base[1], base[1] + " extra", *base[2:], "x\ny\nz\nx\ny\nz", "ß∂ 漢字 " * 4, prose(rng, 30_000), "12 34 !!"]
-    rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, None, "zz", i, 0) for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (None, base[3], "en", "s1", 1, None, None, None), (None, None, None, None, None, None, None, None)]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, None, "zz", i, 0, "f", 1, 2, "c", 3, 4) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, base[3], "en", "s1", 1, *[None] * 9), (None,) * 14]
     return spark.createDataFrame(rows, DOCS)
 
 
