@@ -5,47 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
 
 #: Shortest run of lines that is found and deleted; the winnowing window.
 RUN = 3
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start): every window of `run` lines, by its first line from 1, whose lines stand somewhere earlier.
+def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """(id, start, size): every window of `run` lines, by its first line from 1, whose lines stand somewhere earlier.
 
     Each window selects its least line hash, the rightmost of ties; equal windows select equal fingerprints. Positions
     of fingerprints that occur once go at once. Around the others the match is extended to all windows that selected
     them, compared by 128 bits over all their lines; of equal windows the smallest (id, start) stays.
+    With `words`, shorter windows of more words than that count as well; each is its own fingerprint.
     """
     lines = F.split(F.col(text_col), "\n")
-    hashed = docs.select(F.col(id_col).alias("id"), F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), (-i).alias("at"), F.xxhash64(F.lit(run), x).alias("h2"))).alias("lines"))
-    hashed = hashed.filter(F.size("lines") >= run)
+    n_words = lambda x: [] if words is None else [F.regexp_count(x, F.lit(WORD)).alias("n")]
+    hashed = docs.select(F.col(id_col).alias("id"), F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), (-i).alias("at"), F.xxhash64(F.lit(run), x).alias("h2"), *n_words(x))).alias("lines"))
+    hashed = hashed.filter(F.size("lines") >= (run if words is None else 1))
 
-    def window(start):
-        own = F.slice(F.col("lines"), start, run)
-        keys = [F.xxhash64(F.lit(seed), *[F.get(own, F.lit(i))[field] for i in range(run)]) for seed, field in ((1, "h"), (2, "h2"))]
-        return F.struct(start.alias("start"), F.array_min(own)["h"].alias("mark"), F.array_min(own)["at"].alias("at"), keys[0].alias("k1"), keys[1].alias("k2"))
+    def window(start, size):
+        own = F.slice(F.col("lines"), start, size)
+        keys = [F.xxhash64(F.lit(seed), *[F.get(own, F.lit(i))[field] for i in range(size)]) for seed, field in ((1, "h"), (2, "h2"))]
+        mark, at = (F.array_min(own)["h"], F.array_min(own)["at"]) if size == run else (keys[0], -start)
+        return F.struct(start.alias("start"), *([] if words is None else [F.lit(size).alias("size")]), mark.alias("mark"), at.alias("at"), keys[0].alias("k1"), keys[1].alias("k2"))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), window)
+    def long_windows(size):
+        own = lambda start: sum((F.get("lines", start - 1 + i)["n"] for i in range(size)), F.lit(0))  # noqa: E731  # null beyond the last line
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda start: own(start) > words), lambda start: window(start, size))
+
+    starts = F.sequence(F.lit(1), F.size("lines") - run + 1)
+    if words is None:
+        windows = F.transform(starts, lambda start: window(start, run))
+    else:
+        starts = F.when(F.size("lines") >= run, starts).otherwise(F.array().cast("array<int>"))
+        windows = F.concat(F.transform(starts, lambda start: window(start, run)), *[long_windows(size) for size in range(1, run)])
     windows = hashed.select("id", F.explode(windows).alias("w")).select("id", "w.*")
     windows = written(windows, "windows")
     marks = windows.select("id", "mark", "at").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     again = windows.join(marks.filter("n > 1").select("mark"), "mark", "left_semi")
-    first = again.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return again.join(first, ["k1", "k2"]).filter(~F.struct("id", "start").eqNullSafe(F.col("first"))).select("id", "start")
+    key = ["k1", "k2"] if words is None else ["k1", "k2", "size"]
+    first = again.groupBy(*key).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return again.join(first, key).filter(~F.struct("id", "start").eqNullSafe(F.col("first"))).select("id", "start", F.lit(run).alias("size") if words is None else "size")
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text without later repeated runs, n_lines, n_removed.
 
     Lines are what stands between line feeds and are compared whole. A line goes if it lies in a run of `run` lines
-    or more that occurs earlier, in a document of smaller id or further up in its own; null ids come first. Rows that
-    repeat an id count as one place: they don't delete each other's lines at equal positions, and lose the same lines.
+    or more that occurs earlier, in a document of smaller id or further up in its own; null ids come first.
+    With `words`, a passage of fewer lines counts as a run if it holds more words than that, between ASCII white space.
+    Rows that repeat an id count as one place: they don't delete each other's lines at equal positions, and lose the
+    same lines.
     Null text stays null with no lines; a text may become empty. Other columns of docs are not read.
     """
-    later = repeated_runs(docs, run, id_col, text_col)
-    gone = later.select("id", F.explode(F.sequence(F.col("start"), F.col("start") + run - 1)).alias("line"))
+    later = repeated_runs(docs, run, id_col, text_col, words)
+    gone = later.select("id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line"))
     gone = written(gone.groupBy("id").agg(F.collect_set("line").alias("gone")), "gone").withColumnRenamed("id", "gone_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]), "left").withColumn("lines", F.split("text", "\n"))

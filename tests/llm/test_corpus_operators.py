@@ -420,3 +420,23 @@ def test_line_dedup_on_odd_rows(docs):
     assert len(out) == docs.count() and {r.n_removed for r in out if r.doc_id == 5} == {0}
     assert [(r.text, r.n_lines, r.n_removed) for r in out if r.text and r.text.startswith("x\n")] == [("x\ny\nz", 6, 3)]
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_of_long_passages_on_one_or_two_lines(spark):
+    rng = np.random.default_rng(13)
+    pool = [prose(rng, int(n)) for n in rng.integers(15, 60, 12)] + [prose(rng, n) for n in (50, 51, 25, 26)]
+    rows = [(i, "\n".join(rng.choice(pool, rng.integers(1, 7))), None) for i in range(60)]
+    long, half, other = prose(rng, 168), prose(rng, 30), prose(rng, 30)
+    rows += [(100, long, None), (101, long, None), (102, f"{half}\n{other}", None), (103, f"own\n{half}\n{other}\nend", None), (104, half, None), (105, None, None), (106, "", None)]
+    seen, gone = set(), defaultdict(set)
+    lines = {i: [] if t is None else t.split("\n") for i, t, _ in rows}
+    for i, own in lines.items():
+        for size in (1, 2, 3):
+            for s in range(len(own) - size + 1):
+                key = tuple(own[s : s + size])
+                if size == 3 or len(" ".join(key).split()) > 50:
+                    gone[i] |= set(range(s, s + size)) if key in seen else set()
+                    seen.add(key)
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), words=50).collect()}
+    assert {i: r.text for i, r in out.items()} == {i: None if t is None else "\n".join(x for n, x in enumerate(lines[i]) if n not in gone[i]) for i, t, _ in rows}
+    assert out[101].text == "" and out[103].text == "own\nend" and out[104].n_removed == 0
