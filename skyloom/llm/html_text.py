@@ -34,7 +34,17 @@ OUTSIDE_WORDS = frozenset(
     newsletter notice notices pager pagination popup promo promoted promotion recommendations recommended related replies
     respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split()
 )
-HEADER_WORDS = frozenset(["header", "head", "heading"])
+LAYOUT_WORDS = frozenset("banner header masthead menu modal nav navbar navigation notice notices popup sidebar social toolbar topbar widget widgets".split())  # themes also give these to wrappers of the article
+NEUTRAL_WORDS = frozenset(
+    """area article articles bar blog block body bottom box btn button buttons col column container count desktop entry fixed form
+    global group holder icon icons id inner item items js label link links list main message mobile news outer page panel plugin post
+    posts primary reader readers row secondary section site slot sticky stories story thread threads top unit user users wp wrap
+    wrapper x zone""".split()
+)
+CONTENT_HEADERS = frozenset("article blog body entry item news page post section story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How far out of the article an element is: by a layout name, by another name, by its element, role or style.
+LAYOUT, NAMED, FIXED = 1, 2, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
@@ -49,37 +59,50 @@ class _Line:
     links: int
     place: int  # the element that holds the block
     rooted: bool
-    outside: bool
+    outside: int
+    doubt: int  # the outermost element with a doubtful name
 
 
 @dataclass
 class _Element:
     name: str
     place: int
-    outside: bool
+    outside: int
     rooted: bool
     linked: bool
+    doubt: int
+
 
+def _names_outside(name: str, attributes: str, rooted: bool) -> tuple[int, bool]:
+    """How far role, style, class or id put an element out of the article, and whether a name leaves that in doubt.
 
-def _names_outside(name: str, attributes: str, rooted: bool) -> bool:
-    """Whether role, class, id or style of an element say that it is no part of an article."""
+    A name counts if all its parts are known; with other parts beside known ones, as in elementor-widget, it is doubtful.
+    """
     found = {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(attributes) if m[1]}
     if found.get("role", "").lower() in OUTSIDE_ROLES or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
-        return True
-    if name in ROOTS:
-        return False
-    words = HEADER_WORDS | OUTSIDE_WORDS if not rooted else OUTSIDE_WORDS
+        return FIXED, False
+    if name in ROOTS or name in INLINE:
+        return 0, False
+    level, doubt = 0, False
     for one in f"{found.get('class', '')} {found.get('id', '')}".split():
-        parts = [w.lower() for w in _WORDS.findall(one)]
-        if any(w in words and not (i and parts[i - 1] in ("has", "no", "non", "with", "without")) for i, w in enumerate(parts)):
-            return True
-    return False
+        parts = {w.lower() for w in _WORDS.findall(one)}
+        words = parts & OUTSIDE_WORDS
+        if "header" in parts and not rooted and name not in HEADINGS and not parts & CONTENT_HEADERS:
+            words |= {"header"}
+        if words and parts - words <= NEUTRAL_WORDS:
+            level = max(level, LAYOUT if words <= LAYOUT_WORDS else NAMED)
+        elif words and not parts & {"has", "no", "non", "with", "without"}:
+            doubt = True
+    return level, doubt
+
 
+def lines_of(page: str) -> list[_Line]:
+    """The blocks of a page as lines, markup stripped; a region that is no article is marked line by line.
 
-def lines_of(page: str, by_name: bool = True) -> list[_Line]:
-    """The blocks of a page as lines, markup stripped; a region that is no article is marked line by line."""
+    A main element is not drawn out by the name of a wrapper around it.
+    """
     lines: list[_Line] = []
-    stack = [_Element("", 0, False, False, False)]
+    stack = [_Element("", 0, 0, False, False, 0)]
     parts: list[tuple[str, bool]] = []
     places, breaks, at, end = 0, 0, 0, len(page)
 
@@ -91,7 +114,7 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
             if text:
                 inside = [n for p, link in parts if link and (n := len(" ".join(html.unescape(p).split())))]
                 holder = next(e for e in reversed(stack) if e.name != "p" and e.name not in INLINE)
-                lines.append(_Line(text, sum(inside), len(inside), holder.place, stack[-1].rooted, stack[-1].outside))
+                lines.append(_Line(text, sum(inside), len(inside), holder.place, stack[-1].rooted, stack[-1].outside, stack[-1].doubt))
             parts.clear()
 
     def close(to: int) -> None:
@@ -141,7 +164,9 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
         if name in VOID or m[3].endswith("/") and name not in INLINE and name in OUTSIDE:
             continue
         above = stack[-1]
-        outside = above.outside or name in OUTSIDE or (name == "header" and not above.rooted) or (by_name and m[3] != "" and name not in ("html", "body") and _names_outside(name, m[3], above.rooted))
+        level, doubt = _names_outside(name, m[3], above.rooted) if m[3] and name not in ("html", "body") else (0, False)
+        fixed = name in OUTSIDE or (name == "header" and not above.rooted and not any(CONTENT_HEADERS & {w.lower() for w in _WORDS.findall(v)} for v in re.findall(r"class\s*=\s*[\"']?([^\"'>]*)", m[3])))
+        outside = max(FIXED if fixed else level, 0 if name == "main" and above.outside < FIXED else above.outside)
         close_at = re.compile(rf"</{name}[\s/>]", re.I).search(page, at) if name in WHOLE else None
         if name in RAW or close_at:
             if not outside:
@@ -149,14 +174,45 @@ def lines_of(page: str, by_name: bool = True) -> list[_Line]:
             tail = page.find(">", close_at.start()) if close_at else -1
             at = tail + 1 if tail >= 0 else end
             continue
-        if outside and not above.outside:
+        if outside != above.outside:
             flush()  # also an inline element, when it is no part of the article
         places += 1
-        stack.append(_Element(name, places, outside, above.rooted or (name in ROOTS and not outside), above.linked or name == "a"))
+        stack.append(_Element(name, places, outside, above.rooted or (name in ROOTS and outside < FIXED), above.linked or name == "a", above.doubt or (places if doubt else 0)))
     flush()
     return lines
 
 
+def _window_sums(lengths: list[int]) -> list[int]:
+    return [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths))]
+
+
+def _densest(lines: list[_Line], chosen: list[bool]) -> int:
+    """The largest window sum of the chosen lines; the others count as blank windows."""
+    return max(_window_sums([n for x, own in zip(lines, chosen, strict=True) for n in ([max(1, len(x.text) - x.linked)] if own else [0] * WINDOW)]), default=0)
+
+
+def _settle_names(lines: list[_Line]) -> None:
+    """Settles by link share and density which lines names really put outside."""
+    doubts: dict[int, list[int]] = {}
+    for x in lines:
+        own = doubts.setdefault(x.doubt, [0, 0])
+        own[0], own[1] = own[0] + len(x.text), own[1] + x.linked
+    for x in lines:
+        if x.doubt and not x.outside and doubts[x.doubt][1] * 2 >= doubts[x.doubt][0]:
+            x.outside = LAYOUT
+    free = [not x.outside for x in lines]
+    if not any(f and x.rooted for f, x in zip(free, lines, strict=True)):
+        for x in lines:
+            if x.rooted and x.outside == LAYOUT:  # the page's only article, below a wrapper
+                x.outside = 0
+        if not any(x.rooted and not x.outside for x in lines) and _densest(lines, free) < SURGE <= _densest(lines, [x.outside == LAYOUT for x in lines]):
+            for x in lines:
+                x.outside = 0 if x.outside == LAYOUT else x.outside
+    if not any(not x.outside for x in lines):  # names mislead where nothing else is left
+        for x in lines:
+            x.outside = 0 if x.outside < FIXED else x.outside
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds; empty if there is none.
 
@@ -166,11 +222,10 @@ def main_text(page: str | None) -> str:
     is the densest. Lines beside an article or main element that holds text don't count.
     """
     lines = lines_of(page or "")
-    if not any(not x.outside for x in lines):  # names mislead where nothing else is left
-        lines = lines_of(page or "", by_name=False)
+    _settle_names(lines)
     inside = [x for x in lines if not x.outside]
     roots = any(x.rooted for x in inside)
-    blank = [x.outside or (roots and not x.rooted) for x in lines]
+    blank = [x.outside > 0 or (roots and not x.rooted) for x in lines]
     only_links = [x.linked * 2 >= len(x.text) for x in lines]
     blank = [gone or (not x.rooted and bool(_NOTICE.match(x.text))) or (only and x.links >= MENU_LINES) for gone, only, x in zip(blank, only_links, lines, strict=True)]
     for i in range(len(lines)):
@@ -183,7 +238,7 @@ def main_text(page: str | None) -> str:
     for line, gone in zip(lines, blank, strict=True):
         lengths += [0] * WINDOW if gone else [max(1, len(line.text) - line.linked)]
         kept_lines += [None] * WINDOW if gone else [line]
-    sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths))]
+    sums = _window_sums(lengths)
     stretches: list[tuple[int, list[_Line]]] = []
     surge = None
     for i in range(len(sums) + 1):

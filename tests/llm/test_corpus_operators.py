@@ -230,6 +230,25 @@ def test_main_text_of_pages(spark):
     assert max(r.n_chars for r in out) == 399_999 and [r.text for r in out if r.page_id is None] == [""]
 
 
+def test_names_of_parts_and_wrappers_do_not_lose_the_article():
+    long, side = "main " * 39 + "main", "side " * 39 + "side"
+    pages = {
+        f"<article><p>{long}</p><pre>x = 1 <span class='hljs-comment'># one</span> <span class='token comment'># two</span></pre></article>": f"{long}\nx = 1 # one # two",
+        f"<div class='elementor-widget elementor-widget-text-editor'><p>{long}</p></div><div class='elementor-widget'><p>{side}</p></div>": f"{long}\n{side}",
+        f"<a href=#c>Skip</a><div class='content-sidebar-wrap'><main><p>{long}</p></main><div class='sidebar'><p>{side}</p></div></div>": long,
+        f"<p>{side}</p><div class='sidebar'><main><p>{long}</p></main></div>": long,
+        f"<a href=#c>Skip</a><div class='sidebar'><article><p>{long}</p></article></div>": long,
+        f"<div class='post'><div class='entry-header'><h1 class='heading'>Title</h1></div><p>{long}</p></div><div class='site-header'>Site</div>": f"Title\n{long}",
+        f"<div class='site-header'>Site</div><h1 class='header'>Title</h1><p>{long}</p>": f"Title\n{long}",
+        f"<a href=#c>Skip to content</a><div class='widget'><p>{long}</p></div>": f"Skip to content\n{long}",
+        f"<article><p>{long}</p></article><div class='sidebar'><article><p>{side}</p></article></div>": long,
+        f"<article><p>{long}</p></article><div class='comments-area'><article><p>{side}</p></article></div>": long,
+        f"<article><p>{long}</p><div class='acme-related'><a href=1>One</a></div><div class='related-posts'>Two</div></article>": long,
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_main_text_of_generated_pages(spark, sf_dir):
     for r in queries.op5_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*)</article>", r.html, re.S)[1])
