@@ -17,6 +17,8 @@ from .common import slices
 WINDOW, SURGE = 3, 86
 #: So many lines that are half links or more, one after another, or so many links in one such line, are a menu.
 MENU_LINES = 3
+#: Longest copyright notice.
+NOTICE = 200
 
 # Element names of HTML, and words by which pages name the parts that are not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +50,7 @@ LAYOUT, NAMED, FIXED = 1, 2, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
-_NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+_NOTICE = re.compile(r"©|(?:\(c\)|copyright\b)(?:\W*(?:©|\(c\)|\d{4}\b|by\b)|.*(?:©|rights reserved)|.{0,60}\b\d{4}\W*$)|all rights reserved", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
@@ -58,7 +60,7 @@ class _Line:
     linked: int  # characters inside links
     links: int
     place: int  # the element that holds the block
-    rooted: bool
+    rooted: int  # the outermost article or main that holds it
     outside: int
     doubt: int  # the outermost element with a doubtful name
 
@@ -68,12 +70,12 @@ class _Element:
     name: str
     place: int
     outside: int
-    rooted: bool
+    rooted: int
     linked: bool
     doubt: int
 
 
-def _names_outside(name: str, attributes: str, rooted: bool) -> tuple[int, bool]:
+def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool]:
     """How far role, style, class or id put an element out of the article, and whether a name leaves that in doubt.
 
     A name counts if all its parts are known; with other parts beside known ones, as in elementor-widget, it is doubtful.
@@ -102,7 +104,7 @@ def lines_of(page: str) -> list[_Line]:
     A main element is not drawn out by the name of a wrapper around it.
     """
     lines: list[_Line] = []
-    stack = [_Element("", 0, 0, False, False, 0)]
+    stack = [_Element("", 0, 0, 0, False, 0)]
     parts: list[tuple[str, bool]] = []
     places, breaks, at, end = 0, 0, 0, len(page)
 
@@ -177,7 +179,7 @@ def lines_of(page: str) -> list[_Line]:
         if outside != above.outside:
             flush()  # also an inline element, when it is no part of the article
         places += 1
-        stack.append(_Element(name, places, outside, above.rooted or (name in ROOTS and outside < FIXED), above.linked or name == "a", above.doubt or (places if doubt else 0)))
+        stack.append(_Element(name, places, outside, above.rooted or (places if name in ROOTS and outside < FIXED else 0), above.linked or name == "a", above.doubt or (places if doubt else 0)))
     flush()
     return lines
 
@@ -202,9 +204,10 @@ def _settle_names(lines: list[_Line]) -> None:
             x.outside = LAYOUT
     free = [not x.outside for x in lines]
     if not any(f and x.rooted for f, x in zip(free, lines, strict=True)):
-        for x in lines:
-            if x.rooted and x.outside == LAYOUT:  # the page's only article, below a wrapper
-                x.outside = 0
+        below = [x.rooted > 0 and x.outside == LAYOUT for x in lines]
+        if _densest(lines, below) > _densest(lines, free):  # the page's only article, below a wrapper
+            for own, x in zip(below, lines, strict=True):
+                x.outside = 0 if own else x.outside
         if not any(x.rooted and not x.outside for x in lines) and _densest(lines, free) < SURGE <= _densest(lines, [x.outside == LAYOUT for x in lines]):
             for x in lines:
                 x.outside = 0 if x.outside == LAYOUT else x.outside
@@ -213,31 +216,52 @@ def _settle_names(lines: list[_Line]) -> None:
             x.outside = 0 if x.outside < FIXED else x.outside
 
 
+def _blank_notices(lines: list[_Line], blank: list[bool], only_links: list[bool]) -> None:
+    """Blanks short copyright notices at the page's end, after which no article line and no long one stands."""
+    for i in range(len(lines) - 1, -1, -1):
+        x = lines[i]
+        listed = i > 0 and x.text[:3].lower() == "(c)" and lines[i - 1].text[:3].lower() == "(b)"
+        notice = not x.rooted and not listed and len(x.text) <= NOTICE and bool(_NOTICE.match(x.text))
+        if not blank[i] and not notice and not only_links[i] and (x.rooted or len(x.text) >= SURGE):
+            return
+        blank[i] = blank[i] or notice
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds; empty if there is none.
 
     Lines get their length without links; lines outside the article, menus and copyright notices become blank windows.
     Where a window's sum rises from nothing is a surge, where it falls to nothing a dive; a stretch between them is kept
     whole if a window in it reaches SURGE, if it shares an element with such a stretch, or, where no window does, if it
-    is the densest. Lines beside an article or main element that holds text don't count.
+    is the densest. Inside article or main elements links and notices stay. Lines beside these elements don't count if
+    the elements hold the densest window; else each element is a stretch of its own, kept also if it is the only one.
     """
     lines = lines_of(page or "")
     _settle_names(lines)
-    inside = [x for x in lines if not x.outside]
-    roots = any(x.rooted for x in inside)
-    blank = [x.outside > 0 or (roots and not x.rooted) for x in lines]
-    only_links = [x.linked * 2 >= len(x.text) for x in lines]
-    blank = [gone or (not x.rooted and bool(_NOTICE.match(x.text))) or (only and x.links >= MENU_LINES) for gone, only, x in zip(blank, only_links, lines, strict=True)]
+    blank = [x.outside > 0 for x in lines]
+    only_links = [not x.rooted and x.linked * 2 >= len(x.text) for x in lines]
+    blank = [gone or (only and x.links >= MENU_LINES) for gone, only, x in zip(blank, only_links, lines, strict=True)]
+    _blank_notices(lines, blank, only_links)
     for i in range(len(lines)):
         if only_links[i] and not blank[i] and (i == 0 or not only_links[i - 1] or blank[i - 1]):
             run = next((j for j in range(i, len(lines)) if not only_links[j] or blank[j]), len(lines))
             if run - i >= MENU_LINES:
                 blank[i:run] = [True] * (run - i)
+    beside = [not gone and not x.rooted for gone, x in zip(blank, lines, strict=True)]
+    within = [not gone and x.rooted > 0 for gone, x in zip(blank, lines, strict=True)]
+    roots = any(within) and (not any(beside) or _densest(lines, within) >= _densest(lines, beside))
+    sole = len({x.rooted for x, own in zip(lines, within, strict=True) if own}) == 1
     lengths: list[int] = []
     kept_lines: list[_Line | None] = []
+    root = 0
     for line, gone in zip(lines, blank, strict=True):
-        lengths += [0] * WINDOW if gone else [max(1, len(line.text) - line.linked)]
-        kept_lines += [None] * WINDOW if gone else [line]
+        if gone or (roots and not line.rooted) or (not roots and line.rooted != root):
+            lengths += [0] * WINDOW
+            kept_lines += [None] * WINDOW
+        if not gone and not (roots and not line.rooted):
+            lengths.append(max(1, len(line.text) - line.linked))
+            kept_lines.append(line)
+            root = line.rooted
     sums = _window_sums(lengths)
     stretches: list[tuple[int, list[_Line]]] = []
     surge = None
@@ -252,7 +276,7 @@ def main_text(page: str | None) -> str:
     most = max(s for s, _ in stretches)
     enough = 1 if roots else min(SURGE, most)
     places = {x.place for s, own in stretches if s >= enough for x in own}
-    return "\n".join(x.text for s, own in stretches if s >= enough or any(x.place in places for x in own) for x in own)
+    return "\n".join(x.text for s, own in stretches if s >= enough or (sole and own[0].rooted) or any(x.place in places for x in own) for x in own)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

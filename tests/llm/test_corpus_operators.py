@@ -249,6 +249,29 @@ def test_names_of_parts_and_wrappers_do_not_lose_the_article():
         assert html_text.main_text(page) == text, page
 
 
+def test_notices_links_and_article_elements_do_not_lose_the_article():
+    long, law, item = "main " * 39 + "main", "Copyright law of 1976 " + "says " * 19 + "says", "(c) 2019 was wet."
+    links = [f"<a href={i}>Source number {i}</a>" for i in range(4)]
+    named = [f"Source number {i}" for i in range(4)]
+    cards = "".join(f"<article><a href={i}>Card {i}</a><p>Teaser {i}</p></article>" for i in range(3))
+    pages = {
+        f"<p>{law}</p><p>{long}</p><div>Copyright 2020 X</div>": f"{law}\n{long}",
+        f"<p>{long}</p><p>{law}</p>": f"{long}\n{law}",
+        f"<p>{long}</p><p>All rights reserved</p><p>{long}</p>": f"{long}\nAll rights reserved\n{long}",
+        f"<p>{long}</p><ol><li>(a) one<li>(b) two<li>{item}</ol>": f"{long}\n(a) one\n(b) two\n{item}",
+        f"<p>{long}</p><p>&copy; 2020 X</p><p>Made by Y</p>": f"{long}\nMade by Y",
+        f"<article><p>{long}</p><ul><li>{'<li>'.join(links)}</ul></article>": "\n".join([long, *named]),
+        f"<article><p>{long}</p><p>{' '.join(links)}</p><nav>{' '.join(links)}</nav></article>": f"{long}\n{' '.join(named)}",
+        f"<div><p>{long}</p></div><div>{cards}</div>": long,
+        f"<div>{cards}</div><div><p>{long}</p></div>": long,
+        f"<div><p>{long}</p></div><article><p>Short.</p></article>": f"{long}\nShort.",
+        f"<p>Beside it.</p><article><p>{long}</p></article>": long,
+        f"<div><p>{long} more</p></div><div class='sidebar'><article><p>{long}</p></article></div>": f"{long} more",
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_main_text_of_generated_pages(spark, sf_dir):
     for r in queries.op5_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*)</article>", r.html, re.S)[1])
