@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .uncertainty import DRAWS
+
 # Cell size, clearance, margin, risk weight and block, peak factors and retries of a trajectory.
 CELL, RADIUS, MARGIN = 0.5, 0.6, 3.0
 RISK_WEIGHT, RISK_BLOCK = 50.0, 0.98
@@ -108,7 +110,21 @@ def search(start: np.ndarray, goal: np.ndarray, obstacles: np.ndarray, radius: f
     return []
 
 
-def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y"), radius: float = RADIUS, cell: float = CELL, margin: float = MARGIN, spread: float | None = None, draws: int = 200, seed: int = 42) -> DataFrame:
+def risk_of(obstacles: np.ndarray, places: np.ndarray, radius: float):
+    """The function of a point that gives its probability of meeting an obstacle, from drawn places of each.
+
+    Obstacles none of whose places can lie within the radius are passed over; their probability is 0.
+    """
+    reach = radius + np.sqrt(((places - obstacles[:, None, :]) ** 2).sum(axis=2)).max(axis=1) + 1e-9
+
+    def risk(point: np.ndarray) -> float:
+        near = places[np.sqrt(((obstacles - point) ** 2).sum(axis=1)) <= reach]
+        return 1 - np.prod(1 - (np.sqrt(((near - point) ** 2).sum(axis=2)) <= radius).mean(axis=1))
+
+    return risk
+
+
+def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y"), radius: float = RADIUS, cell: float = CELL, margin: float = MARGIN, spread: float | None = None, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """(request, i, axes): way points of each request; a request without a way has none.
 
     requests: request, start_<axis>, goal_<axis>; obstacles: request, axes. With spread, obstacles are uncertain by that
@@ -122,8 +138,8 @@ def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x"
             start, goal = (np.array([getattr(r, f"{end}_{a}") for a in axes], float) for end in ("start", "goal"))
             risk = None
             if spread is not None and len(fixed):
-                places = fixed[:, None, :] + np.random.default_rng(seed).normal(0, spread, (len(fixed), draws, len(axes)))
-                risk = lambda p, places=places: 1 - np.prod(1 - (np.sqrt(((places - p) ** 2).sum(axis=2)) <= radius).mean(axis=1))
+                shifts = np.random.default_rng(seed).normal(0, spread, (len(fixed), draws, len(axes)))
+                risk = risk_of(fixed, fixed[:, None, :] + shifts, radius)
             way = search(start, goal, fixed, radius, cell, margin, risk)
             out += [(r.request, i, *map(float, p)) for i, p in enumerate(way)]
         return pd.DataFrame(out, columns=["request", "i", *axes])

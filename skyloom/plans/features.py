@@ -193,7 +193,7 @@ def _requests(spark: SparkSession, folder: str, axes: str) -> tuple[DataFrame, D
     """Every path asks for a way from its first to its last point, past the others as obstacles."""
     rows = points(spark, folder).withColumnRenamed("path", "request")
     ends = [rows.filter(f"i = {i}").select("request", *[F.col(a).alias(f"{end}_{a}") for a in axes]) for i, end in ((0, "start"), (20, "goal"))]
-    return ends[0].join(ends[1], "request"), rows.filter("i BETWEEN 5 AND 15").select("request", *axes)
+    return ends[0].join(ends[1], "request"), rows.filter("i BETWEEN 1 AND 19").select("request", *axes)
 
 
 @PLANS.add()

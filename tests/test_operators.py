@@ -360,6 +360,18 @@ def test_plane_and_space_searches_agree(spark):
     assert one == pytest.approx(two)
 
 
+def test_risk_is_that_of_all_draws_of_all_obstacles():
+    import inspect
+
+    assert inspect.signature(paths.plan).parameters["draws"].default == uncertainty.DRAWS == 2000
+    rng = np.random.default_rng(3)
+    fixed = rng.normal(0, 3, (11, 2))
+    places = fixed[:, None, :] + rng.normal(0, 0.3, (11, 2000, 2))
+    risk = paths.risk_of(fixed, places, 0.6)
+    for point in rng.normal(0, 3, (300, 2)):
+        assert risk(point) == pytest.approx(1 - np.prod(1 - (np.sqrt(((places - point) ** 2).sum(axis=2)) <= 0.6).mean(axis=1)), abs=1e-12)
+
+
 def test_trajectory_keeps_limits_and_ends():
     way = np.array([[0.0, 0, 0], [2, 1, 0], [4, 0, 1], [6, 0, 0]])
     rows, fine = paths.trajectory(way, np.empty((0, 3)), 5.0, 2.5, 0.2, 0.6)
