@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +80,33 @@ class SlotMap:
             held += weight[slot]
 
 
-def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Appends one version to the map table; a stored version is never changed."""
-    rows = [(slot_map.version, slot, int(shard)) for slot, shard in enumerate(slot_map.shard_of)]
-    spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The map table at path, or None where there is none yet."""
+    try:
+        return spark.read.schema("version int, shards int, virtual_slot int, shard int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A stored version, by default the newest."""
-    table = spark.read.parquet(path)
+def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
+    """Appends one version to the map table; a stored version is never changed, nor stored again."""
+    table = _stored(spark, path)
+    if table is not None and not table.filter(F.col("version") == slot_map.version).isEmpty():
+        raise ValueError(f"version {slot_map.version} is stored at {path} already")
+    rows = [(slot_map.version, slot_map.shards, slot, int(shard)) for slot, shard in enumerate(slot_map.shard_of)]
+    spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A stored version, by default the newest; None where there is none."""
+    table = _stored(spark, path)
+    if table is None:
+        return None
     version = version if version is not None else table.agg(F.max("version")).first()[0]
     rows = table.filter(F.col("version") == version).orderBy("virtual_slot").collect()  # SLOTS rows
-    shard_of = np.array([r.shard for r in rows])
-    return SlotMap(version, int(shard_of.max()) + 1, shard_of)
+    return SlotMap(version, rows[0].shards, np.array([r.shard for r in rows])) if rows else None
 
 
 def slot_weights(slotted: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +130,29 @@ def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    Law `bytes`: starting from an even map, bytes per slot are aggregated once and the map is edited until no move or
-    swap of slots brings the heaviest shard nearer another one. slot is the row's place in its shard, from 0 without
-    gaps, in order of virtual slot, id, checksum and size; rows equal in all of these may change places. Null ids come
-    first in their slot. grown_shard is null under this law. An empty table gives an empty result. Versions are
-    appended to map_path where one is given.
+    Law `bytes`: bytes per slot are aggregated once, and the map is edited until no move or swap of slots brings the
+    heaviest shard nearer another one. It starts from the newest version at map_path, which grows by whole shards where
+    more are asked for (fewer are an error), else from an even map, and every edit is appended there as a new version;
+    so a table that changed little moves few slots. slot is the row's place in its shard, from 0 without gaps, in order
+    of virtual slot, id, checksum and size; rows equal in all of these may change places. Null ids come first in their
+    slot. grown_shard is null under this law. An empty table gives an empty result and moves nothing.
     """
     spark = docs.sparkSession
     table = written(slotted(docs, id_col, text_col), "slotted")
     weight, rows = slot_weights(table)
-    first = SlotMap.even(shards)
-    now = first.rebalanced(weight)
-    if map_path is not None:
-        store_map(spark, first, map_path)
-        if now is not first:
-            store_map(spark, now, map_path)
+    first = load_map(spark, map_path) if map_path is not None else None
+    if first is None:
+        first = SlotMap.even(shards)
+        if map_path is not None:
+            store_map(spark, first, map_path)
+    if first.shards > shards:
+        raise ValueError(f"the map at {map_path} has {first.shards} shards, more than {shards}")
+    now = first
+    while now.shards < shards:
+        now = now.grown(weight)
+    now = now.rebalanced(weight)
+    if map_path is not None and now is not first:
+        store_map(spark, now, map_path)
     # Where a slot begins in its shard: the rows of the shard's slots before it.
     order = np.lexsort((np.arange(len(rows)), now.shard_of))
     before = np.cumsum(rows[order]) - rows[order]
