@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Lines in a window, and the characters that a window must hold for a surge.
 WINDOW, SURGE = 3, 86
@@ -73,6 +75,21 @@ class _Element:
     rooted: int
     linked: bool
     doubt: int
+    holder: int  # the element that holds blocks here
+    block: int  # height in the stack of the innermost element that is not inline
+
+
+class _Closings:
+    """Where the closing tags of a name stand; each name is looked for once in a page."""
+
+    def __init__(self, page: str):
+        self.page, self.of = page, {}
+
+    def after(self, name: str, at: int) -> int | None:
+        if name not in self.of:
+            self.of[name] = [m.start() for m in re.finditer(rf"</{name}[\s/>]", self.page, re.I)]
+        k = bisect_left(self.of[name], at)
+        return self.of[name][k] if k < len(self.of[name]) else None
 
 
 def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool]:
@@ -101,10 +118,13 @@ def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool]:
 def lines_of(page: str) -> list[_Line]:
     """The blocks of a page as lines, markup stripped; a region that is no article is marked line by line.
 
-    A main element is not drawn out by the name of a wrapper around it.
+    A main element is not drawn out by the name of a wrapper around it. An element that is left out whole but never
+    closed is passed over, so that it doesn't take the rest of the page with it. Time is in proportion to the page.
     """
     lines: list[_Line] = []
-    stack = [_Element("", 0, 0, 0, False, 0)]
+    stack = [_Element("", 0, 0, 0, False, 0, 0, 0)]
+    opened: Counter[str] = Counter()
+    closings = _Closings(page)
     parts: list[tuple[str, bool]] = []
     places, breaks, at, end = 0, 0, 0, len(page)
 
@@ -115,14 +135,17 @@ def lines_of(page: str) -> list[_Line]:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 inside = [n for p, link in parts if link and (n := len(" ".join(html.unescape(p).split())))]
-                holder = next(e for e in reversed(stack) if e.name != "p" and e.name not in INLINE)
-                lines.append(_Line(text, sum(inside), len(inside), holder.place, stack[-1].rooted, stack[-1].outside, stack[-1].doubt))
+                lines.append(_Line(text, sum(inside), len(inside), stack[-1].holder, stack[-1].rooted, stack[-1].outside, stack[-1].doubt))
             parts.clear()
 
+    def leave(to: int) -> None:
+        opened.subtract(e.name for e in stack[to:])
+        del stack[to:]
+
     def close(to: int) -> None:
         if any(e.name not in INLINE or e.outside for e in stack[to:]):
             flush()
-        del stack[to:]
+        leave(to)
 
     while at < end:
         start = page.find("<", at)
@@ -144,9 +167,8 @@ def lines_of(page: str) -> list[_Line]:
             continue
         name = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if found:
-                close(found)
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             elif name not in INLINE:
                 flush()
             continue
@@ -160,26 +182,33 @@ def lines_of(page: str) -> list[_Line]:
             parts.append((" ", False))
         elif name not in INLINE and name not in VOID and name not in WHOLE or name == "hr":
             flush()
-            top = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name not in INLINE), 0)
-            if stack[top].name == "p" or (stack[top].name == name and name in ("li", "tr", "option")) or (stack[top].name in ("dt", "dd") and name in ("dt", "dd")):
-                del stack[top:]
+            top = stack[-1].block
+            above = stack[top].name
+            if above == "p" or (above == name and name in ("li", "tr", "option")) or (above in ("dt", "dd") and name in ("dt", "dd")):
+                leave(top)
         if name in VOID or m[3].endswith("/") and name not in INLINE and name in OUTSIDE:
             continue
         above = stack[-1]
         level, doubt = _names_outside(name, m[3], above.rooted) if m[3] and name not in ("html", "body") else (0, False)
         fixed = name in OUTSIDE or (name == "header" and not above.rooted and not any(CONTENT_HEADERS & {w.lower() for w in _WORDS.findall(v)} for v in re.findall(r"class\s*=\s*[\"']?([^\"'>]*)", m[3])))
         outside = max(FIXED if fixed else level, 0 if name == "main" and above.outside < FIXED else above.outside)
-        close_at = re.compile(rf"</{name}[\s/>]", re.I).search(page, at) if name in WHOLE else None
-        if name in RAW or close_at:
+        if name in WHOLE:
+            close_at = closings.after(name, at)
+            if close_at is None and name not in RAW:
+                continue
             if not outside:
-                parts.append((page[at : close_at.start() if close_at else end], above.linked))
-            tail = page.find(">", close_at.start()) if close_at else -1
+                parts.append((page[at : end if close_at is None else close_at], above.linked))
+            tail = -1 if close_at is None else page.find(">", close_at)
             at = tail + 1 if tail >= 0 else end
             continue
         if outside != above.outside:
             flush()  # also an inline element, when it is no part of the article
         places += 1
-        stack.append(_Element(name, places, outside, above.rooted or (places if name in ROOTS and outside < FIXED else 0), above.linked or name == "a", above.doubt or (places if doubt else 0)))
+        inline = name in INLINE
+        rooted = above.rooted or (places if name in ROOTS and outside < FIXED else 0)
+        holder, block = above.holder if inline or name == "p" else places, above.block if inline else len(stack)
+        stack.append(_Element(name, places, outside, rooted, above.linked or name == "a", above.doubt or (places if doubt else 0), holder, block))
+        opened[name] += 1
     flush()
     return lines
 
@@ -288,6 +317,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(rows.dtypes)
+    small_batches(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
