@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: What a piece file writes before a piece that begins a word.
 WORD_START = "▁"
 #: Words whose counts a Python worker remembers; the memo is emptied when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1 << 17
 
 
 class LongestMatch:
@@ -82,12 +83,18 @@ class _Counts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        n = self.automaton.count(self.begin + word.decode()) or -1
+        n = self.automaton.count(self.begin + word.decode("utf-8", "replace")) or -1
         if len(word) <= 64:
             self[word] = n
         return n
 
 
+@lru_cache(maxsize=2)
+def _counts(first: tuple[str, ...], later: tuple[str, ...], begin: str) -> _Counts:
+    """One automaton and memo per Python worker; workers are reused between tasks."""
+    return _Counts(LongestMatch(first, later), begin)
+
+
 def read_pieces(path: str) -> tuple[list[str], list[str]]:
     """(pieces that begin a word, with their mark; pieces that continue one), without control, unknown and byte pieces."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -100,14 +107,16 @@ def token_counts(docs: DataFrame, pieces: tuple[list[str], list[str]], begin: st
 
     Words stand between ASCII white space and are matched with `begin` before them. n_tokens counts the pieces of the
     greedy longest-match split of every word of the whole text; a word that has none counts as one unknown token, also
-    in n_tokens. Null and empty texts have no words. Ids may be null or repeat. An empty table gives an empty result. Other columns of docs are not read.
+    in n_tokens. Null and empty texts have no words. Bytes that are no UTF-8 count as U+FFFD, which vocabularies don't
+    hold. Ids may be null or repeat. An empty table gives an empty result. Other columns of docs are not read.
     pieces is broadcast: the vocabulary, whose size does not depend on the corpus.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((*map(tuple, pieces), begin))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Counts(LongestMatch(*shared.value), begin)
+        known = _counts(*shared.value)
         for batch in slices(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
