@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import fresh, slices, small_batches
 
 #: Buckets that byte trigrams are hashed into.
 BUCKETS = 1 << 15
@@ -22,6 +22,9 @@ ROUNDS, TOLERANCE = 25, 1e-3
 #: Price of each further language: log-likelihood it must gain, in halves of log(n) as BIC does, times this.
 PENALTY = 2.0
 
+#: Most languages of a model; a table with more is refused, as each takes BUCKETS numbers in the driver and every task.
+MOST_LANGUAGES = 200
+
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters counts as space, and all white space as one space.
@@ -63,7 +66,7 @@ class LanguageModel:
         return theta, float(n @ np.log(mixed))
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        """Main language, its proportion, and the proportions of the set that the penalised likelihood selects."""
+        """Main language, its proportion in the set that the penalised likelihood selects, and that set's proportions."""
         if not text or not self.languages or not LETTER.search(text):
             return UNDETERMINED, 0.0, {}
         found = buckets_of(text)
@@ -87,14 +90,13 @@ class LanguageModel:
                 break
             chosen, theta, value = more, new_theta, new_value
         top = int(theta.argmax())
-        score = float(theta[top]) if len(chosen) > 1 else float(all_theta[chosen[0]])
-        return self.languages[chosen[top]], min(1.0, max(0.0, score)), {self.languages[i]: float(x) for i, x in zip(chosen, theta, strict=True)}
+        return self.languages[chosen[top]], min(1.0, max(0.0, float(theta[top]))), {self.languages[i]: float(x) for i, x in zip(chosen, theta, strict=True)}
 
 
 def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Trigram counts over all rows with text and language: summed in each task, then by (language, bucket).
 
-    What reaches the driver is languages x BUCKETS numbers, whatever the corpus. Rows with null text or language
+    What reaches the driver is languages x BUCKETS numbers, of MOST_LANGUAGES at most. Rows with null text or language
     teach nothing; without rows the model knows no language and everything is undetermined.
     """
 
@@ -115,7 +117,11 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array(own[rows], pa.int64())], ["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    small_batches(labelled.sparkSession)
+    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = table.limit(MOST_LANGUAGES * BUCKETS + 1).toPandas()
+    if table["lang"].nunique() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return LanguageModel.of({lang: np.bincount(own.bucket.to_numpy(), own.n.to_numpy(np.float64), BUCKETS) for lang, own in table.groupby("lang")})
 
 
@@ -125,6 +131,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     Null texts and texts without a letter are `und` with score 0 and an empty map. Whole texts are read; other
     columns are not. The model is broadcast: languages x BUCKETS floats.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
 
@@ -142,6 +149,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
 def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "found") -> DataFrame:
     """docs with its own columns and one more: a struct of lang_pred and score, as of identify_languages."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
