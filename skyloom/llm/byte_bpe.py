@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -16,10 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
-#: Pieces and token pairs remembered in a Python worker; the memos are emptied when full.
-MEMO_ENTRIES = 300_000
+#: Bytes of pieces remembered in a Python worker, and pairs of neighbouring tokens. What was used lately stays.
+MEMO_BYTES, MEMO_PAIRS = 16 << 20, 1 << 16
+#: Longest piece that is remembered, and what an entry takes besides its characters and ids.
+MEMO_PIECE, ENTRY_BYTES = 64, 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,35 +41,43 @@ def merged_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class ByteBPE:
+    """A tokenizer of one worker. Tables are indexed by rank; memos are bounded, whatever the texts."""
+
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.length = {rank: len(token) for token, rank in self.ranks.items()}
+        size = max(self.ranks.values(), default=-1) + 1
+        self.bytes_of: list[bytes] = [b""] * size
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+        self.length = array("i", map(len, self.bytes_of))
+        self.decimal = list(map(str, range(size)))
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.shorter: dict[int, int | None] = {}
-        self.halves: dict[int, tuple[int, int] | None] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, str, bytes, bytes]] = {}
-        self.old_pieces: dict[str, tuple[int, str, bytes, bytes]] = {}
-
-    def _shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of this one."""
-        if token not in self.shorter:
+        # By rank, -2: not looked up yet, -1: none. A token's longest shorter prefix, and the two whose merge makes it.
+        self.shorter, self.left, self.right = (array("i", [-2]) * size for _ in range(3))
+        self.compatible: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.held = 0
+
+    def _shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of this one, or -1."""
+        if self.shorter[token] == -2:
             data = self.bytes_of[token]
-            self.shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), None)
+            self.shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), -1)
         return self.shorter[token]
 
-    def _halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; None for a single byte."""
-        if token not in self.halves:
+    def _left_half(self, token: int) -> int:
+        """The left one of the two tokens whose merge makes this one, or -1 for a single byte."""
+        if self.left[token] == -2:
             data = self.bytes_of[token]
-            parts = merged_by_rank(data, {k: v for n in range(2, len(data)) for i in range(len(data) - n + 1) if (k := data[i : i + n]) != data and (v := self.ranks.get(k)) is not None})
-            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
-        return self.halves[token]
+            inner = {data[i : i + n] for n in range(2, len(data)) for i in range(len(data) - n + 1)}
+            parts = merged_by_rank(data, {k: self.ranks[k] for k in inner if k in self.ranks})
+            self.left[token], self.right[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+        return self.left[token]
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' joined bytes gives these two tokens again (memoised).
@@ -75,23 +85,23 @@ class ByteBPE:
         Undoes merges next to the seam, latest first. A merge across the seam that ranks before the one just
         undone would have come first; of equal ranks the left one does.
         """
-        pair = (left, right)
+        pair = left * len(self.bytes_of) + right
         known = self.compatible.get(pair)
         if known is not None:
             return known
         before, known = 1 << 60, None
         while known is None:
             across = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-            left_halves, right_halves = self._halves(left), self._halves(right)
+            left_made, right_made = self._left_half(left) >= 0, self._left_half(right) >= 0
             if across is not None and across < before:
                 known = False
-            elif left_halves and (left > right or not right_halves):
-                before, left = left, left_halves[1]
-            elif right_halves:
-                before, right = right + 1, right_halves[0]
+            elif left_made and (left > right or not right_made):
+                before, left = left, self.right[left]
+            elif right_made:
+                before, right = right + 1, self.left[right]
             else:
                 known = True
-        if len(self.compatible) >= MEMO_ENTRIES:
+        if len(self.compatible) >= MEMO_PAIRS:
             self.compatible.clear()
         self.compatible[pair] = known
         return known
@@ -101,22 +111,22 @@ class ByteBPE:
         if piece in self.ranks:
             return [self.ranks[piece]]
         length = self.length
-        longest: list[int | None] = [None] * len(piece)
+        longest = [-1] * len(piece)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # a later end is a longer match
         open_ends = bytearray(b"\x01") * (len(piece) + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < len(piece):
-            while token is not None:
+            while token >= 0:
                 end = at + length[token]
                 if open_ends[end] and (not tokens or self._compatible(tokens[-1], token)):
                     break
                 token = self._shorter(token)
-            if token is not None:
+            if token >= 0:
                 tokens.append(token)
                 at = end
-                token = longest[at] if at < len(piece) else None
+                token = longest[at] if at < len(piece) else -1
             elif tokens:  # nothing can follow here: give the place up and try a shorter last token
                 open_ends[at] = 0
                 token = tokens.pop()
@@ -125,41 +135,36 @@ class ByteBPE:
                 raise ValueError("the vocabulary does not cover every byte")
         return tokens
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes, bytes]:
-        """Number of ids, ids in decimal, bytes decoded from them, ids as 32-bit integers."""
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pattern match as 32-bit integers, from the memo's older half or made anew."""
         known = self.old_pieces.get(piece)
         if known is None:
-            ids = self.encode_piece(piece.encode())
-            known = (len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes())
-        if len(self.pieces) >= MEMO_ENTRIES // 2:  # what was used lately stays
-            self.old_pieces, self.pieces = self.pieces, {}
-        if len(piece) <= 64:
+            known = array("i", self.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= MEMO_PIECE:
+            self.held += ENTRY_BYTES + len(piece) + len(known)
+            if self.held > MEMO_BYTES // 2:
+                self.old_pieces, self.pieces, self.held = self.pieces, {}, 0
             self.pieces[piece] = known
         return known
 
     def encode(self, text: str) -> bytes:
         """The ids of the text as 32-bit integers."""
-        known = self.pieces
-        return b"".join([(known.get(piece) or self._piece(piece))[3] for piece in self.pattern.findall(text)])
-
-    def encode_and_decode(self, text: str) -> tuple[bytes, bytes]:
-        """encode(text), and the bytes decoded from the ids of its pieces."""
-        known = self.pieces
-        found = [known.get(piece) or self._piece(piece) for piece in self.pattern.findall(text)]
-        return b"".join([x[3] for x in found]), b"".join([x[2] for x in found])
+        known = self.pieces.get
+        return b"".join([known(piece) or self._piece(piece) for piece in self.pattern.findall(text)])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def encode_and_decode(self, text: str) -> tuple[bytes, bytes]:
+        """encode(text), and the bytes decoded from these ids."""
+        ids = self.encode(text)
+        return ids, self.decode(memoryview(ids).cast("i"))
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the bytes decoded from the ids."""
-        known, n, ids, data = self.pieces, 0, [], []
-        for piece in self.pattern.findall(text):
-            count, joined, decoded, _ = known.get(piece) or self._piece(piece)
-            n += count
-            ids.append(joined)
-            data.append(decoded)
-        return n, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
+        ids = memoryview(self.encode(text)).cast("i")
+        decimal = ",".join(map(self.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -182,6 +187,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             n, ids, data = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -199,6 +205,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists([bpe.encode(text or "") for text in batch.column(1).to_pylist()])], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
 
@@ -215,6 +222,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             lossless = [data == text.encode() for (_, data), text in zip(found, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(ids).cast(pa.int64()), ids, pa.array(lossless, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
 
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
@@ -227,5 +235,6 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
+    small_batches(encoded.sparkSession)
     kind = encoded.select("doc_id").dtypes[0][1]
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, data binary")

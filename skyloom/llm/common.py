@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of narrow rows (a few dozen bytes each) that is broadcast; above it Spark shuffles.
-BROADCAST_ROWS = 500_000
+#: Most bytes of rows that are broadcast, as counted beforehand; above it Spark shuffles.
+BROADCAST_BYTES = 8 << 20
+#: A key that holds more than one part in so many of all rows is hot: there are at most so many hot keys.
+HOT_PARTS = 500
 
-#: Rows of an Arrow batch in jobs that write a table.
+#: Rows of an Arrow batch, as rows here hold whole texts, sets or sketches.
 ARROW_CONF, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 #: Texts that a Python task works on at once.
 SLICE_ROWS = 256
@@ -24,35 +29,104 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary one; on a cluster a folder of one machine would lose data, so
+    that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows of this session cross to Python in batches of ARROW_ROWS at most; a smaller setting stays."""
+    now = int(spark.conf.get(ARROW_CONF))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(ARROW_CONF, ARROW_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs its own tasks only.
 
-    While it is written, rows cross to Python in batches of ARROW_ROWS, as rows here can hold whole texts or sets.
+    Tables that no returned DataFrame reads are given to discard() by their makers; clean_up() removes all of a session.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(ARROW_CONF)
-    spark.conf.set(ARROW_CONF, ARROW_ROWS)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ARROW_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/skyloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, _PATHS.pop(table))
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that written() left in this session; results that were not collected or written can't be read then."""
+    _delete(spark, _own_folder(spark))
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint when its counted rows are within BROADCAST_ROWS, else df, which is then shuffled."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 a column, and the lengths of strings and binaries."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return sum(wide, F.lit(8 * len(df.columns))).cast("long")
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint when its rows hold BROADCAST_BYTES at most, as summed now, else df, which is then shuffled.
+
+    df has flat columns and should be a table or cheap to make, since it is read for the sum.
+    """
+    held = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
+def join_salted(many: DataFrame, one: DataFrame, keys: list[str], n: str, spread: list[str]) -> DataFrame:
+    """many joined with one, which has one row for each key and in column n the number of rows of many with it.
+
+    Keys with more than a HOT_PARTS-th of all rows, of which there are at most HOT_PARTS, are broadcast with the number
+    of parts they need; rows of many with such a key are dealt over the parts by a hash of the spread columns, and one's
+    row is repeated for each part, HOT_PARTS repetitions in all at most. So no task gets a key that holds, say, a third
+    of all rows. Null keys are equal; `one` is read three times and should be a table. Column n is dropped.
+    """
+    own = [f"{k}_of_one" for k in keys]
+    total = one.agg(F.sum(n)).first()[0] or 0
+    share = max(1, total // HOT_PARTS)
+    needed = F.ceil(F.col(n) / share).cast("int")
+
+    def same(left: list[str]) -> Column:
+        pairs = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+        return reduce(Column.__and__, [*pairs, *(F.col(x) == F.col(f"{x}_of_one") for x in left)])
+
+    renamed = one.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(c for c in one.columns if c not in keys))
+    hot = renamed.filter(F.col(n) > share).select(*own, needed.alias("parts"))
+    dealt = many.join(F.broadcast(hot), same([]), "left")  # HOT_PARTS narrow rows at most
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("parts"))).cast("int")
+    dealt = dealt.withColumn("salt", salt).drop("parts", *own)
+    copies = renamed.withColumn("salt_of_one", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, needed - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, same(["salt"])).drop("salt", "salt_of_one", *own)
 
 
 def fresh(rows: DataFrame, name: str) -> str:
@@ -68,11 +142,12 @@ def mark(text: Column) -> Column:
 
 
 def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose (doc_id, mark) is kept in found, with the columns of docs; of rows equal in both, one.
+    """The rows of docs whose (doc_id, mark) stays in found, with the columns of docs; of rows equal in both, one.
 
-    found has a row (doc_id, mark, kept) for each row of docs. What is dropped is broadcast if small, else shuffled.
+    found has a row (doc_id, mark, stays) for each row of docs. What is dropped is broadcast if small, else shuffled.
     """
-    gone = written(found.groupBy("doc_id", "mark").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1"), "gone")
+    gone = found.groupBy("doc_id", "mark").agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = written(gone.filter("NOT stays OR n > 1"), "gone")
     own_id, own_mark = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
     key = [F.col(id_col).eqNullSafe(F.col(own_id)), mark(F.col(text_col)) == F.col(own_mark)]
 
@@ -80,23 +155,36 @@ def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
         return broadcast_if_small(rows.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)))
 
     once = docs.join(of(gone), key, "left_anti")
-    twice = gone.filter("kept")
+    twice = gone.filter("stays")
     if twice.isEmpty():
         return once
     one = docs.join(of(twice), key, "left_semi").withColumn(own_mark, mark(F.col(text_col))).dropDuplicates([id_col, own_mark]).drop(own_mark)
     return once.unionByName(one)
 
 
+def first_row(id_col: Column, mark_col: Column) -> Column:
+    """Orders the rows of a group by id, nulls last, and mark: its minimum is the row that stays."""
+    return F.struct(id_col.isNull().alias("none"), id_col.alias("id"), mark_col.alias("mark"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release_memory() -> None:
+    """Gives freed memory of a Python task back: the worker lives on, its batches and memos don't."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that a task holds Python objects of a few texts only."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()  # the worker lives on, its batches don't
+    release_memory()
 
 
 def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, mark, runs_of, slices, without_dropped, written
+from .common import broadcast_if_small, discard, first_row, join_salted, mark, runs_of, slices, without_dropped, written
 from .components import components
 
 #: 2^BUCKET_BITS registers in a sketch, each of a leading-zero count and MANTISSA_BITS bits after the first one.
@@ -24,11 +24,9 @@ BANDS, BAND_REGISTERS = 40, 5
 #: Standard deviations that an estimate may lie under the threshold before its pair is passed over: 1e-9.
 MARGIN = 6.0
 #: Members of a bucket, and shingles of theirs, that make up a block; larger buckets are dealt out as pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 21
-#: Rounds in which bucket members are checked against a drawn member before those still apart meet one another.
-MORE_STARS = 1
-#: Word hashes remembered in a Python worker.
-MEMO_ENTRIES = 200_000
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Word hashes remembered in a Python task.
+MEMO_ENTRIES = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,58 +194,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _sides(pairs, sets).mapInArrow(judge, "a long, b long")
 
 
-def _by_root(buckets: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(key, cid, root) of all bucket members, and of each bucket that is still open its commonest root `big`.
+def _open_buckets(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, cid, n, root) of all bucket members, and (key, big, members) of each bucket that links don't join yet.
 
-    A bucket is open while no links join all its members. pivot is a member of the big root, drawn by seed.
+    big is the commonest root of such a bucket.
     """
     roots = labels.select(F.col("node").alias("cid"), "root")
-    labelled = written(buckets.join(roots, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "labelled")
-    drawn = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("draw"), "cid"))["cid"]
-    per_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), drawn.alias("pivot"))
-    big = F.max(F.struct("n", "root", "pivot"))
-    open_keys = per_root.groupBy("key").agg(big.alias("b"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).filter("roots > 1")
-    return labelled, written(open_keys.select("key", "size", F.col("b.root").alias("big"), F.col("b.pivot").alias("pivot")), "open")
+    labelled = written(buckets.join(roots, "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("root")), "labelled")
+    per_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+    per_key = per_root.groupBy("key").agg(F.max(F.struct("own", "root"))["root"].alias("big"), F.count(F.lit(1)).alias("roots"), F.sum("own").alias("members"))
+    return labelled, written(per_key.filter("roots > 1").drop("roots"), "open")
 
 
-def _contested(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _contested(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between bucket members that no link joins yet: every such pair is decided, few leave a task.
 
     Of buckets with the same members one is kept. In a bucket, members of its commonest root need no comparison with
     one another. The others and they are dealt into blocks of a bounded size, and each block of others meets every
-    block, with full sets at hand: pairs whose sizes and sketches allow the threshold are verified there and then. A
-    pair that shares several buckets is looked at in one. Of the links, those that join anything new in the block come out.
+    block: with sketches first, which leave the members that have a plausible partner there, then with the full sets of
+    these alone, to verify their plausible pairs. A pair that shares several buckets is looked at in one. No pair
+    leaves a task but links that join anything new in the block.
     """
-    labelled, open_keys = _by_root(buckets, labels, 0)
+    labelled, open_keys = _open_buckets(buckets, labels)
     h = F.xxhash64("cid")
-    members = labelled.join(open_keys.select("key", "big"), "key").join(sets.select("cid", "n"), "cid")
+    members = join_salted(labelled, open_keys, ["key"], "members", ["cid"])
     other = F.col("root") != F.col("big")
+
+    def blocks(side):
+        count, shingles = F.count(F.when(side, 1)), F.sum(F.when(side, F.col("n")).otherwise(0))
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
     shape = members.groupBy("key").agg(
-        F.bit_xor(h).alias("sig"),
-        F.sum(h % 1_000_003).alias("sig2"),
-        F.count(F.lit(1)).alias("size"),
-        *(F.greatest(F.ceil(F.count(F.when(side, 1)) / BLOCK), F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(name) for side, name in ((other, "others"), (~other, "bigs"))),
+        F.bit_xor(h).alias("sig"), F.sum(h % 1_000_003).alias("sig2"), F.count(F.lit(1)).alias("size"), blocks(other).alias("others"), blocks(~other).alias("bigs")
     )
-    kept = shape.groupBy("sig", "sig2", "size").agg(F.min(F.struct("key", "others", "bigs")).alias("k")).select("k.*")
-    members = written(members.join(kept, "key"), "members")
-    own_keys = members.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    kept = written(shape.groupBy("sig", "sig2", "size").agg(F.min(F.struct("key", "others", "bigs", "size")).alias("k")).select("k.*"), "kept")
+    kept_members = written(join_salted(members, kept, ["key"], "size", ["cid"]), "members")
+    own_keys = kept_members.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most BANDS
     block = F.when(other, F.pmod(h, F.col("others"))).otherwise(F.col("others") + F.pmod(h, F.greatest("bigs", F.lit(1)))).cast("int")
     meets = F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(other, F.col("bigs")).otherwise(0)))
-    dealt = members.withColumn("block", block).withColumn("meets", meets)
-    dealt = dealt.select("key", F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "block", "cid", "root")
-    dealt = dealt.join(own_keys, "cid").join(sets.select("cid", "data"), "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "cid")
+    of_member = kept_members.withColumn("block", block).join(own_keys, "cid").join(classes.select("cid", "data"), "cid")
+    dealt = of_member.withColumn("meets", meets)
+    dealt = dealt.select("key", F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "block", "cid", "n", "root", "keys", "data")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, lo, hi), group in runs_of(batches, ["key", "lo", "hi"]):
+            yield group[plausible_members(lo == hi, group, percent)][["key", "lo", "hi", "block", "cid", "root"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (key, lo, hi), group in runs_of(batches, ["key", "lo", "hi"]):
-            links = links_of(key, lo == hi, group, percent)
+        for (_, lo, hi), group in runs_of(batches, ["key", "lo", "hi"]):
+            links = links_of(lo == hi, group, percent)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.select("key", "lo", "hi", "block", "cid", "root", "keys", "data").mapInPandas(compare, "a long, b long")
+    place = ["key", "lo", "hi"]
+    likely = dealt.repartition(*place).sortWithinPartitions(*place, "block", "cid").mapInPandas(judge, "key long, lo int, hi int, block int, cid long, root long")
+    likely = written(likely, "likely")
+    met = likely.join(sets.select("cid", "data"), "cid").repartition(*place).sortWithinPartitions(*place, "block", "cid")
+    links = written(met.select(*place, "block", "cid", "root", "data").mapInPandas(compare, "a long, b long"), "contested")
+    discard(labelled, open_keys, kept, kept_members, likely)
+    return links
+
+
+def _near_sized(n: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets `rest` are of a size that a link with set i allows."""
+    return 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
+
+
+def plausible_members(alone: bool, group: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which members of one block, or of two that meet, have a plausible partner of another root there.
+
+    Pairs that also share a bucket of a smaller key are left to that one.
+    """
+    root, block, n = (group[c].to_numpy() for c in ("root", "block", "n"))
+    found = np.zeros(len(group), bool)
+    if (root == root[0]).all():
+        return found
+    sketches = np.frombuffer(b"".join(group.data), np.uint16).reshape(len(group), -1)
+    key = group["key"].iloc[0]
+    earlier = [{k for k in keys if k < key} for keys in group["keys"]]
+    for i in range(len(group) - 1):
+        rest = np.arange(i + 1, len(group))
+        near = (root[rest] != root[i]) & _near_sized(n, i, rest, percent)
+        if not alone:
+            near &= block[rest] != block[i]
+        j = rest[near]
+        j = j[may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), percent / 100)] if len(j) else j
+        j = j[[earlier[i].isdisjoint(earlier[x]) for x in j]] if len(j) else j
+        found[j] = True
+        found[i] |= len(j) > 0
+    return found
 
 
-def links_of(key: int, alone: bool, group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """New links among the members of one block, or between those of two."""
+def links_of(alone: bool, group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """New links among the members of one block, or between those of two, verified on full sets."""
     members = [np.frombuffer(data, np.uint64) for data in group.data]
     cid, root, block = (group[c].to_numpy() for c in ("cid", "root", "block"))
     if (root == root[0]).all():
@@ -255,17 +294,15 @@ def links_of(key: int, alone: bool, group: pd.DataFrame, percent: int) -> list[t
     sketches, n = np.stack([sketch(m) for m in members]), np.array([len(m) for m in members])
     ends = np.cumsum(n)
     flat, starts = np.concatenate(members), ends - n
-    earlier = [{k for k in keys if k < key} for keys in group["keys"]]
     root = root.copy()
     links = []
     for i in range(len(cid)):
         rest = np.arange(i + 1, len(cid))
-        near = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+        near = (root[rest] != root[i]) & _near_sized(n, i, rest, percent)
         if not alone:
             near &= block[rest] != block[i]
         j = rest[near]
         j = j[may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), percent / 100)] if len(j) else j
-        j = j[[earlier[i].isdisjoint(earlier[x]) for x in j]] if len(j) else j
         for part in np.array_split(j, -(-len(j) // 64)) if len(j) else ():
             part = part[root[part] != root[i]]
             if not len(part):
@@ -281,57 +318,57 @@ def links_of(key: int, alone: bool, group: pd.DataFrame, percent: int) -> list[t
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, mark (a hash of the text).
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, mark (a hash of the text), stays.
 
     Lower-cases A-Z, takes words at ASCII white space and the set of distinct `words`-word shingles; with fewer words
     the whole sequence as one. Documents are linked when 100 * intersection >= percent * union of the full sets.
     component_id is the smallest id reachable over links, the document's own included; kept says that the row carries
-    it. Null or wordless texts have no shingles and no links: each is its own component. Rows with equal sets form
-    one class from the start, so copies are never paired; ids may repeat or be null (null sorts after all others).
+    it; stays holds for one (id, mark) of a component, also where ids repeat or are null. Null or wordless texts have no
+    shingles and no links: each is its own component. Rows with equal sets form one class from the start, so copies are
+    never paired; ids may repeat or be null (null sorts after all others).
 
-    First every bucket's members are checked against its smallest member, and again against a drawn member of its
-    largest component. Then all pairs of bucket members that no link joins yet meet in blocks, and those whose estimate
-    comes near the threshold are checked. So every candidate pair is either verified, estimated clearly below the
-    threshold, or inside one component already.
+    First every bucket's members are checked against its smallest member. Then all pairs of bucket members that no link
+    joins yet meet in blocks, and those whose estimate comes near the threshold are checked. So every candidate pair is
+    either verified, estimated clearly below the threshold, or inside one component already.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digest = written(_set_table(rows, words, True), "digest")
-    classes = digest.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.first("data").alias("data"))
+    classes = digest.filter("node IS NOT NULL").groupBy("node").agg(F.min(first_row(F.col("id"), F.col("mark"))).alias("label"), F.first("n").alias("n"), F.first("data").alias("data"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     bands = written(_bands(classes), "bands")
-    shared = bands.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(bands.join(shared.select("key", "pivot"), "key"), "buckets")
+    shared = written(bands.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
+    buckets = written(join_salted(bands, shared, ["key"], "members", ["cid"]), "buckets")
     stars = buckets.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     stars = written(_plausible(stars, classes, percent / 100), "stars")
 
     # Full sets are made again for candidates only: members of buckets that are shared.
-    wanted = classes.select("cid", "n", "label", "node").join(buckets.select("cid").distinct(), "cid", "left_semi")
-    wanted = written(wanted, "wanted")
-    n_wanted = wanted.count()
-    labels = broadcast_if_small(wanted.select("label").distinct(), n_wanted)
+    wanted = written(classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("label.id").alias("label"), "node"), "wanted")
+    labels = broadcast_if_small(wanted.select("label").distinct())
     texts = rows.join(labels, rows["id"].eqNullSafe(labels["label"]), "left_semi")
-    sets = _set_table(texts, words, False).select("node", "data").join(broadcast_if_small(wanted.select("node", "cid", "n"), n_wanted), "node")
+    sets = _set_table(texts, words, False).select("node", "data").join(broadcast_if_small(wanted.select("node", "cid", "n")), "node")
     sets = written(sets.dropDuplicates(["cid"]).select("cid", "n", "data"), "sets")
 
     links = written(_verified(stars, sets, percent), "links")
     joined = components(links)
-    for seed in range(1, 1 + MORE_STARS):
-        labelled, open_keys = _by_root(buckets.select("key", "cid"), joined, seed)
-        pairs = labelled.join(open_keys, "key").filter("root <> big").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        links = written(links.union(_verified(_plausible(pairs, classes, percent / 100), sets, percent)), "links")
-        joined = components(links)
-    links = links.union(written(_contested(buckets.select("key", "cid"), joined, sets, percent), "contested"))
-    joined = written(components(links), "components")
+    members = buckets.select("key", "cid").join(sets.select("cid", "n"), "cid")
+    more = _contested(members, joined, classes, sets, percent)
+    discard(joined, bands, shared, buckets, stars, wanted, sets)
+    joined = components(links.union(more))
+    discard(links, more)
 
     member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label", F.coalesce("root", "cid").alias("root"))
     member = written(member, "member")
-    lowest = member.groupBy("root").agg(F.min("label").alias("component"))
-    found = digest.select("id", "mark", "n", "node").join(broadcast_if_small(member.join(lowest, "root").select("node", "component"), member.count()), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "mark")
+    lowest = member.groupBy("root").agg(F.min("label").alias("first"))
+    of_node = written(member.join(lowest, "root").select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")), "of_node")
+    discard(classes, joined, member)
+    found = digest.select("id", "mark", "n", "node").join(broadcast_if_small(of_node), "node", "left")
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("first_id"))
+    kept = F.col("id").eqNullSafe(component)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "mark", (kept & (alone | (F.col("mark") == F.col("first_mark")))).alias("stays"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with their columns: one document of each component."""
+    """The rows of docs that near_dedup lets stay, with their columns: one document of each component."""
     return without_dropped(docs, near_dedup(docs, id_col, text_col, words, percent), id_col, text_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    map_path = f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/slot-map"
+    map_path = f"{shared_folder(spark)}/skyloom-slot-maps/{zlib.crc32(sf_dir.encode()):08x}"  # one for each table, kept between calls
     return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24, map_path=map_path)
 
 
@@ -44,7 +44,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("mark")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("mark", "stays")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +52,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85).drop("mark")
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85).drop("mark", "stays")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(documents(spark, sf_dir))
+    found = line_dedup.line_dedup(documents(spark, sf_dir), words=50)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -95,10 +95,12 @@ ORACLE_SQL = {
     """,
     "op10_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-        w AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM l WHERE len(lines) >= 3),
-        k AS (SELECT doc_id, s, lines[s:s + 2] AS run FROM w),
-        f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS place FROM k),
-        gone AS (SELECT doc_id, list(DISTINCT s + o) AS gone FROM f, (SELECT unnest([0, 1, 2]) AS o) WHERE place > 1 GROUP BY doc_id)
+        n AS (SELECT *, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS words FROM l),
+        w AS (SELECT doc_id, lines, words, size, unnest(range(1, len(lines) - size + 2)) AS s FROM n, (VALUES (1), (2), (3)) AS t(size) WHERE len(lines) >= size),
+        k AS (SELECT doc_id, s, size, lines[s:s + size - 1] AS run FROM w WHERE size = 3 OR list_sum(words[s:s + size - 1]) > 50),
+        f AS (SELECT doc_id, s, size, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS place FROM k),
+        o AS (SELECT doc_id, unnest(range(s, s + size)) AS line FROM f WHERE place > 1),
+        gone AS (SELECT doc_id, list(DISTINCT line) AS gone FROM o GROUP BY doc_id)
         SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
             sha256(CASE WHEN gone IS NULL THEN text
                 ELSE coalesce(array_to_string(list_transform(list_sort(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i))), lambda i: lines[i]), chr(10)), '') END) AS text_sha256
