@@ -76,6 +76,18 @@ def events_from_parameters(changes: DataFrame) -> DataFrame:
     return out.withColumn("epoch", event_key(F.lit(None), F.lit("params"), F.col("flight_index"), F.col("change_type")))
 
 
+def merged(declared: DataFrame, detected: DataFrame) -> DataFrame:
+    """(drone_id, flight_index, source, change_type, epoch, seq): declared and detected changes in flight order.
+
+    declared: (drone_id, flight_index, seq, change_type, epoch); detected: rows of events_from_parameters. At one flight
+    declared changes come first, in their own order. seq counts from 1 for each vehicle.
+    """
+    one = declared.select("drone_id", "flight_index", F.lit("declared").alias("source"), "change_type", "epoch", F.col("seq").cast("long").alias("own"))
+    two = detected.select("drone_id", "flight_index", F.lit("detected").alias("source"), "change_type", "epoch", F.lit(0).cast("long").alias("own"))
+    order = Window.partitionBy("drone_id").orderBy("flight_index", "source", "own", "change_type")
+    return one.unionByName(two).withColumn("seq", F.row_number().over(order)).drop("own")
+
+
 def event_key(epoch_id: Column, source: Column, flight: Column, change: Column) -> Column:
     """The stored id, else a name that later events don't alter."""
     return F.coalesce(epoch_id.cast("string"), F.concat_ws("-", source, flight.cast("string"), change))

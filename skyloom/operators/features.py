@@ -41,19 +41,22 @@ def magnitude(*axes: Column) -> Column:
 
 
 def percentile_features(signals: DataFrame, table: tuple = PERCENTILES, flight: str = "flight") -> DataFrame:
-    """(flight, feature_key, value, reason) of every percentile feature whose signal the flight has; few samples give a reason."""
-    wanted = F.array(*[F.struct(F.lit(f).alias("feature_key"), F.lit(k).alias("key"), F.lit(p).alias("p")) for f, k, p in table])
-    parts = []
-    for p in sorted({p for _, _, p in table}):
-        own = signals.groupBy(flight, "key").agg(F.percentile("value", F.lit(p)).alias("value"), F.count("value").alias("n"))
-        names = own.select("*", F.explode(wanted).alias("w")).filter((F.col("w.p") == p) & (F.col("w.key") == F.col("key")))
-        parts.append(names.select(flight, "w.feature_key", F.when(F.col("n") >= MIN_SAMPLES, F.col("value")).alias("value"), F.when(F.col("n") < MIN_SAMPLES, "insufficient_samples").alias("reason")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def worst_ratio(signals: DataFrame, flight: str = "flight") -> DataFrame:
-    """(flight, value, worst): the largest p95 of the estimator's test ratios, and which one it is."""
-    own = signals.groupBy(flight, "key").agg(F.percentile("value", F.lit(0.95)).alias("p95"))
+    """(flight, feature_key, value, reason) of every percentile feature whose signal the flight has; few samples give a reason.
+
+    Only wanted signals are grouped, once for all percentiles.
+    """
+    shares = sorted({p for _, _, p in table})
+    wanted = F.array(*[F.struct(F.lit(f).alias("feature_key"), F.lit(k).alias("key"), F.lit(shares.index(p)).alias("at")) for f, k, p in table])
+    own = signals.filter(F.col("key").isin(sorted({k for _, k, _ in table})))
+    own = own.groupBy(flight, "key").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p"), F.count("value").alias("n"))
+    named = own.select("*", F.explode(wanted).alias("w")).filter(F.col("w.key") == F.col("key"))
+    enough = F.col("n") >= MIN_SAMPLES
+    return named.select(flight, "w.feature_key", F.when(enough, F.get("p", F.col("w.at"))).alias("value"), F.when(~enough, "insufficient_samples").alias("reason"))
+
+
+def worst_ratio(signals: DataFrame, flight: str = "flight", least: int = 1) -> DataFrame:
+    """(flight, value, worst): the largest p95 of the estimator's test ratios with enough samples, and which one it is."""
+    own = signals.groupBy(flight, "key").agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.count("value").alias("n")).filter(F.col("n") >= least)
     return own.groupBy(flight).agg(F.max("p95").alias("value"), F.max_by("key", F.struct("p95", "key")).alias("worst"))
 
 
@@ -210,13 +213,16 @@ def normalised_actuator(value: Column, lowest: Column, highest: Column, least: C
     return F.when((lowest >= -0.01) & (highest <= 1.01), value).otherwise(F.try_divide(value - least, most - least))
 
 
-def all_features(flights: DataFrame, values: DataFrame, flight: str = "flight") -> DataFrame:
+def all_features(flights: DataFrame, values: DataFrame, flight: str = "flight", extra: tuple[str, ...] = ()) -> DataFrame:
     """Every catalogue feature of every flight: value or reason. flights: (flight, qualified, window_reason).
 
-    An unqualified flight has no value, with its window's reason; a feature without any row has no signal.
+    An unqualified flight has no value, with its window's reason; a feature without any row has no signal. Columns
+    `extra` of values are kept; a row with a first one of these, a label, needs no value.
     """
-    every = flights.crossJoin(F.broadcast(catalogue(flights.sparkSession).select("feature_key", "subsystem", "tier")))  # 26 rows
-    rows = every.join(values.select(flight, "feature_key", "value", "reason"), [flight, "feature_key"], "left")
-    value = F.when(F.col("qualified"), F.col("value"))
-    reason = F.when(~F.col("qualified"), F.coalesce("window_reason", F.lit("flight_not_qualified"))).when(F.col("value").isNull(), F.coalesce("reason", F.lit("signal_absent")))
-    return rows.select(flight, "feature_key", "subsystem", "tier", value.alias("value"), reason.alias("reason"))
+    names = catalogue(flights.sparkSession).select("feature_key", "subsystem", "tier")
+    every = flights.crossJoin(F.broadcast(names))  # 26 rows
+    rows = every.join(values.select(flight, "feature_key", "value", "reason", *extra), [flight, "feature_key"], "left")
+    own = [F.when(F.col("qualified"), F.col(c)).alias(c) for c in ("value", *extra)]
+    nothing = F.col("value").isNull() & (F.col(extra[0]).isNull() if extra else F.lit(True))
+    reason = F.when(~F.col("qualified"), F.coalesce("window_reason", F.lit("flight_not_qualified"))).when(nothing, F.coalesce("reason", F.lit("signal_absent")))
+    return rows.select(flight, "feature_key", "subsystem", "tier", *own, reason.alias("reason"))

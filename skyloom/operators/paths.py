@@ -164,7 +164,7 @@ def simplified(points: np.ndarray, obstacles: np.ndarray, tolerance: float, clea
         if hi - lo < 2:
             continue
         off = segment_distance(points[lo + 1 : hi], points[lo], points[hi])
-        blocked = len(obstacles) and segment_distance(obstacles, points[lo], points[hi]).min() <= clearance
+        blocked = len(obstacles) and segment_distance(obstacles, points[lo], points[hi]).min() < clearance + tolerance  # the curve bulges
         if off.max() > tolerance or blocked:
             middle = lo + 1 + int(off.argmax())
             keep.add(middle)

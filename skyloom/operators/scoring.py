@@ -106,6 +106,7 @@ def score_features(admitted: DataFrame) -> DataFrame:
         .when(F.col("mode") == "personal", F.when((F.col("n") >= HIGH_FROM) & (F.col("tier") == "R1"), "high").otherwise("medium"))
         .when(F.col("mode") == "blended", "medium")
         .when(s_abs.isNotNull(), F.col("norm_confidence"))
+        .when(definitional(F.col("feature_key"), F.col("value"), F.col("value")).isNotNull(), "high")
         .otherwise("low")
     )
     rows = rows.withColumn("confidence", F.when(scored, confidence).when(F.col("status") == "usage", F.col("norm_confidence")))

@@ -50,6 +50,26 @@ def welch(series: DataFrame, rate: float, key: str = "key", order: str = "us") -
     return bins.groupBy(key, "bin", "length").agg(F.avg("power").alias("power")).select(key, "bin", (F.col("bin") * rate / F.col("length")).alias("hz"), "power")
 
 
+def averaged_density(rows: DataFrame, series: list[str], keys: list[str]) -> DataFrame:
+    """(keys, bin, hz, power): densities of half-overlapping segments averaged over all series of a key.
+
+    rows: (series columns, us, value, rate, length), of which rate and length are those of the key. Series shorter than
+    a segment don't count.
+    """
+    by = Window.partitionBy(*series)
+    placed = rows.select(*series, "rate", "length", "value", (F.row_number().over(by.orderBy("us")) - 1).alias("i"), F.count(F.lit(1)).over(by).alias("n"))
+    step = F.floor(F.col("length") / 2).cast("int")
+    placed = placed.filter(F.col("n") >= F.col("length")).withColumn("step", F.col("length") - step)
+    at = F.floor(F.col("i") / F.col("step")).cast("int")
+    last = F.floor((F.col("n") - F.col("length")) / F.col("step")).cast("int")
+    dealt = placed.withColumn("last", last).withColumn("part", F.explode(F.array(at, at - 1))).filter("part >= 0 AND part <= last AND i < part * step + length")
+    parts = dealt.groupBy(*series, "part", "rate", "length").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s"))  # one segment
+    power = F.pandas_udf(_density, "array<double>")(F.transform("s", lambda x: x["value"]), F.col("rate"))
+    bins = parts.select(*keys, "rate", "length", F.posexplode(power).alias("bin", "power"))
+    mean = bins.groupBy(*keys, "rate", "length", "bin").agg(F.avg("power").alias("power"))
+    return mean.select(*keys, "bin", (F.col("bin") * F.col("rate") / F.col("length")).alias("hz"), "power")
+
+
 def log_distance(spectra: DataFrame, key: str = "pair") -> DataFrame:
     """(key, lsd_db): root mean square of 10 log10 of the ratio of two densities, both floored."""
     floored = lambda c: F.greatest(F.col(c), F.lit(DENSITY_FLOOR))
@@ -89,6 +109,25 @@ def band_ratios(spectra: DataFrame, nyquist: float, cutoffs: DataFrame, key: str
     return out.select(key, "band", F.when(reason.isNull(), 10 * F.log10(F.col("sim") / F.col("real"))).alias("ratio_db"), reason.alias("reason"), partial.alias("partial"))
 
 
+def comparison(spectra: DataFrame, cutoffs: DataFrame, low_rate: DataFrame | None = None, key: str = "pair") -> DataFrame:
+    """(key, lsd_db, centroid_real_hz, centroid_sim_hz, centroid_shift_hz, reason, cutoff_mismatch) of two densities.
+
+    spectra: (key, hz, real, sim); cutoffs: (key, cutoff_real, cutoff_sim), 0 or null for none. Where the cutoffs differ,
+    every figure rests on spectra that two filters shaped differently, and cutoff_mismatch says so. Without power on
+    both sides there is no shift. Keys of low_rate have no figures, with that reason.
+    """
+    cut = lambda c: F.when(F.col(c) > 0, F.col(c))
+    mismatch = cutoffs.select(key, (~cut("cutoff_real").eqNullSafe(cut("cutoff_sim"))).alias("cutoff_mismatch"))
+    slow = (cutoffs.select(key).limit(0) if low_rate is None else low_rate.select(key)).withColumn("slow", F.lit(True))
+    db = 10 * F.log10(F.greatest("real", F.lit(DENSITY_FLOOR)) / F.greatest("sim", F.lit(DENSITY_FLOOR)))
+    middle = lambda c: F.when(F.sum(c) > 0, F.sum(F.col("hz") * F.col(c)) / F.sum(c))
+    out = spectra.groupBy(key).agg(F.sqrt(F.avg(db * db)).alias("lsd_db"), middle("real").alias("centroid_real_hz"), middle("sim").alias("centroid_sim_hz"))
+    out = mismatch.join(out, key, "left").join(slow, key, "left").withColumn("centroid_shift_hz", F.col("centroid_sim_hz") - F.col("centroid_real_hz"))
+    reason = F.when(F.col("slow"), "low_rate").when(F.col("lsd_db").isNull(), "insufficient_samples").when(F.col("centroid_shift_hz").isNull(), "no_spectral_power")
+    figures = [F.when(F.col("slow").isNull(), F.col(c)).alias(c) for c in ("lsd_db", "centroid_real_hz", "centroid_sim_hz", "centroid_shift_hz")]
+    return out.select(key, *figures, reason.alias("reason"), "cutoff_mismatch")
+
+
 def correlation_lags(a: Column, b: Column, most: int) -> Column:
     """Scores of lags -most to most of the first array against the second, normalised by both lengths after their means go.
 

@@ -59,12 +59,19 @@ def outliers(recent: DataFrame, fields: tuple[str, ...] = ("temperature", "speed
 
     Only vehicles with MIN_HISTORY values before it and a deviation above 0; anomalous says that abs(z) > Z_CUT.
     """
-    parts = []
-    for field in fields:
-        before = F.when(F.col("place") > 1, F.col(field))
-        stats = recent.groupBy("drone_id").agg(F.max(F.when(F.col("place") == 1, F.col(field))).alias("value"), F.avg(before).alias("mean"), F.stddev_pop(before).alias("deviation"), F.count(before).alias("n"))
-        parts.append(stats.select("drone_id", F.lit(field).alias("field"), "value", "mean", "deviation", "n"))
-    rows = reduce(DataFrame.unionByName, parts).filter((F.col("n") >= MIN_HISTORY) & (F.col("deviation") > 1e-12) & F.col("value").isNotNull())
+    stats = recent.groupBy("drone_id").agg(F.array(*map(_field_stats, fields)).alias("stats"))
+    return _judged(stats.select("drone_id", F.explode("stats").alias("s")).select("drone_id", "s.*"))
+
+
+def _field_stats(field: str) -> Column:
+    """A struct of the field's current value and the statistics of those before it, for one aggregation of all fields."""
+    before = F.when(F.col("place") > 1, F.col(field))
+    current = F.max(F.when(F.col("place") == 1, F.col(field))).alias("value")
+    return F.struct(F.lit(field).alias("field"), current, F.avg(before).alias("mean"), F.stddev_pop(before).alias("deviation"), F.count(before).alias("n"))
+
+
+def _judged(stats: DataFrame) -> DataFrame:
+    rows = stats.filter((F.col("n") >= MIN_HISTORY) & (F.col("deviation") > 1e-12) & F.col("value").isNotNull())
     z = (F.col("value") - F.col("mean")) / F.col("deviation")
     return rows.withColumn("z", z).withColumn("anomalous", F.abs(z) > Z_CUT)
 
@@ -85,11 +92,24 @@ def health_band(risk: Column) -> Column:
 
 
 def risk(recent: DataFrame, fault_points: DataFrame) -> DataFrame:
-    """Additive 0-100 risk of every vehicle's current reading, from recent rows (place from 1) and (drone_id, fault_points)."""
-    current = recent.filter("place = 1").select("drone_id", "battery", "temperature")
-    anomalies = outliers(recent).groupBy("drone_id").agg(F.count_if("anomalous").alias("anomalies"))
-    rows = current.join(battery_estimate(recent).select("drone_id", "minutes_remaining"), "drone_id", "left").join(anomalies, "drone_id", "left").join(fault_points, "drone_id", "left")
-    n = F.coalesce("anomalies", F.lit(0))
+    """Additive 0-100 risk of every vehicle's current reading, from recent rows (place from 1) and (drone_id, fault_points).
+
+    The recent rows are read once: one aggregation gives the current reading, the drain and the statistics of all fields.
+    """
+    first = F.min(F.when(F.col("battery").isNotNull(), F.col("us"))).over(Window.partitionBy("drone_id"))
+    known = F.when(F.col("battery").isNotNull(), (F.col("us") - first) / 6e7)
+    slope, _, _ = line_fit(F.col("minute"), F.col("battery"))
+    now = lambda c: F.max(F.when(F.col("place") == 1, F.col(c))).alias(c)
+    last = F.max_by("battery", F.when(F.col("battery").isNotNull(), F.struct("us", "reading_id")))
+    rows = recent.withColumn("minute", known).groupBy("drone_id").agg(
+        now("battery"),
+        now("temperature"),
+        F.when((F.count("battery") >= MIN_REGRESSION) & (slope < FLAT_SLOPE), F.greatest(F.lit(0.0), -last / slope)).alias("minutes_remaining"),
+        F.array(_field_stats("temperature"), _field_stats("speed")).alias("stats"),
+    )
+    odd = F.filter("stats", lambda s: (s["n"] >= MIN_HISTORY) & (s["deviation"] > 1e-12) & (F.abs((s["value"] - s["mean"]) / s["deviation"]) > Z_CUT))
+    rows = rows.withColumn("anomalies", F.size(odd)).join(fault_points, "drone_id", "left")
+    n = F.col("anomalies")
     score = (
         points(F.col("battery"), BATTERY_POINTS)
         + points(F.col("minutes_remaining"), MINUTES_POINTS)

@@ -71,6 +71,29 @@ def callouts(admitted: DataFrame) -> DataFrame:
     )
 
 
+KEYS = ["drone_id", "pack", "feature_key"]
+
+
+def points(scored: DataFrame) -> DataFrame:
+    """What is drawn: (drone_id, pack, feature_key, flight_index, value, baseline_group, admitted, score, current).
+
+    One point for each qualified flight with a value; power features are drawn by pack, pack being null for others.
+    current holds for the points in the group of the last one: earlier ones belong to the time before a change.
+    """
+    pack = F.when(F.col("feature_key").startswith("pwr."), F.col("pack_id").cast("string"))
+    rows = scored.filter(F.col("qualified") & F.col("value").isNotNull()).withColumn("pack", pack)
+    last = F.last("baseline_group").over(Window.partitionBy(*KEYS).orderBy("flight_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select(*KEYS, "flight_index", "value", "baseline_group", "admitted", "score", (F.col("baseline_group") == last).alias("current"))
+
+
+def boundaries(drawn: DataFrame, events: DataFrame, resets: DataFrame) -> DataFrame:
+    """(drone_id, pack, feature_key, flight_index, source, change_type): changes that reset a feature inside its drawn range."""
+    range_ = drawn.groupBy(*KEYS).agg(F.min("flight_index").alias("first"), F.max("flight_index").alias("last"))
+    marks = events.join(F.broadcast(resets), "change_type")
+    rows = range_.join(marks, ["drone_id", "feature_key"])
+    return rows.filter((F.col("flight_index") > F.col("first")) & (F.col("flight_index") <= F.col("last"))).select(*KEYS, "flight_index", "source", "change_type")
+
+
 def guide_crossed(admitted: DataFrame, norms: DataFrame) -> DataFrame:
     """(keys, guide): series whose last three values are all past the nearest edge of a graded or bad-only norm."""
     keys = ["drone_id", "baseline_group", "feature_key"]

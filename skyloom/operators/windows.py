@@ -59,9 +59,13 @@ def flight_windows(signals: DataFrame, flight: str = "flight", step_us: int = 1_
 
     n = F.greatest(F.lit(2), F.round((F.col("end_us") - F.col("start_us")) / step_us).cast("int") + 1)
     points = air.select(flight, "start_us", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(flight, (F.col("start_us") + F.col("i").cast("long") * step_us).alias("us"))
-    on_grid = [S.at_times(signals.filter(F.col("key") == k).select(flight, "us", "value"), points, flight).select(flight, "us", (F.abs("value") < (S.CLIMB_RATE if k == "vel.z" else S.BODY_RATE)).alias(f"s{j}")) for j, k in enumerate(STEADY_SIGNALS)]
-    grid = reduce(lambda a, b: a.join(b, [flight, "us"]), on_grid)
-    flag = reduce(lambda a, b: a & b, [F.coalesce(f"s{j}", F.lit(False)) for j in range(len(STEADY_SIGNALS))])
+    # All signals of a flight are interpolated in one pass: a track is a signal of a flight.
+    track = F.struct(F.col(flight).alias("flight"), "key").alias("track")
+    samples = signals.filter(F.col("key").isin(*STEADY_SIGNALS)).select(track, "us", "value")
+    asked = points.withColumn("key", F.explode(F.array(*map(F.lit, STEADY_SIGNALS)))).select(track, "us")
+    small = F.abs("value") < F.when(F.col("track.key") == "vel.z", S.CLIMB_RATE).otherwise(S.BODY_RATE)
+    grid = S.at_times(samples, asked, "track").groupBy(F.col("track.flight").alias(flight), "us").agg(F.bool_and(F.coalesce(small, F.lit(False))).alias("steady"))
+    flag = F.col("steady")
     segments = S.steady_segments(grid, flag, int(S.MIN_SEGMENT_S * 1e6 * scale) - step_us, flight)
     steady = segments.groupBy(flight).agg((F.sum(F.col("length_us") + step_us) / 1e6).alias("steady_s"))
     have = signals.filter(F.col("key").isin(*STEADY_SIGNALS)).groupBy(flight).agg(F.array_sort(F.collect_set("key")).alias("have"))

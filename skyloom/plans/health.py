@@ -182,7 +182,7 @@ def worst_findings(spark: SparkSession, folder: str) -> DataFrame:
     return S.worst_findings(_findings(spark, folder)).select("drone_id", "flight_index", "cause", "rank_score", "place")
 
 
-@PLANS.add(f"""WITH RECURSIVE {FOLD_SQL}, t1 AS (SELECT *, sum(CASE WHEN admitted THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS ra, row_number() OVER (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index DESC) AS back, lead(value) OVER w AS nxt FROM adm WHERE qualified WINDOW w AS (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index)),
+TREND_SQL = """t1 AS (SELECT *, sum(CASE WHEN admitted THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS ra, row_number() OVER (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index DESC) AS back, lead(value) OVER w AS nxt FROM adm WHERE qualified WINDOW w AS (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index)),
     t2 AS (SELECT *, max(CASE WHEN admitted THEN ra END) OVER p AS have, list(CASE WHEN admitted AND ra <= 5 THEN value END) OVER p AS five FROM t1 WINDOW p AS (PARTITION BY drone_id, baseline_group, feature_key)),
     t3 AS (SELECT *, CASE WHEN have >= 5 THEN list_aggregate(list_filter(five, lambda x: x IS NOT NULL), 'median') END AS ref FROM t2),
     t4 AS (SELECT *, 2 * greatest(1.4826 * list_aggregate(list_transform(list_filter(five, lambda x: x IS NOT NULL), lambda x: abs(x - ref)), 'median'), floor, relative_floor * abs(ref)) AS half FROM t3),
@@ -190,7 +190,10 @@ def worst_findings(spark: SparkSession, folder: str) -> DataFrame:
     t7 AS (SELECT drone_id, baseline_group, feature_key, max(flight_index) AS flight_index, arg_max(value, flight_index) AS value, any_value(ref) AS ref, any_value(CASE WHEN ref IS NOT NULL THEN half END) AS half, any_value(have) AS have, count(*) AS n, count(*) FILTER (WHERE back <= 3 AND beyond) AS recent, quantile_cont(CASE WHEN back <= 5 THEN value END, 0.5) AS med5, any_value(edge) AS edge,
         any_value(lower_is_worse) AS lower, any_value(floor) AS floor, any_value(relative_floor) AS rel, max(CASE WHEN NOT beyond THEN flight_index END) AS last_in, any_value(ref IS NULL) AS none FROM t6 GROUP BY ALL),
     t8 AS (SELECT t7.*, abs(t6.nxt - t6.value) >= t7.half AS abr FROM t7 LEFT JOIN t6 ON t6.drone_id = t7.drone_id AND t6.baseline_group = t7.baseline_group AND t6.feature_key = t7.feature_key AND t6.flight_index = t7.last_in),
-    t9 AS (SELECT *, coalesce(n >= 3 AND recent = 3, false) AS s, coalesce(n >= 5 AND CASE WHEN lower THEN med5 < edge ELSE med5 > edge END, false) AS d, coalesce(abr, true) AS a FROM t8)
+    t9 AS (SELECT *, coalesce(n >= 3 AND recent = 3, false) AS s, coalesce(n >= 5 AND CASE WHEN lower THEN med5 < edge ELSE med5 > edge END, false) AS d, coalesce(abr, true) AS a FROM t8)"""
+
+
+@PLANS.add(f"""WITH RECURSIVE {FOLD_SQL}, {TREND_SQL}
     SELECT drone_id, baseline_group, feature_key, flight_index, round(value, 6) AS value, round(ref, 6) AS reference_median, round(ref - half, 5) AS band_low, round(ref + half, 5) AS band_high, round(value - ref, 6) AS delta, s AND (NOT d OR a) AS step, d AND (NOT s OR NOT a) AS drift,
         CASE WHEN none THEN CAST(have AS INTEGER) END AS reference_progress, round(4 * greatest(floor, rel * abs(coalesce(ref, value))), 6) AS min_span FROM t9""")
 def trend_callouts(spark: SparkSession, folder: str) -> DataFrame:
