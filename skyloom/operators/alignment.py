@@ -103,6 +103,8 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
 
     pair, real_us, sim_us, methods, axis, shift_s, correlation, quality, overlap_s, reason, short_overlap. quality is fine
     where the correlation reaches GATE, else coarse_only without a shift; a pair with too little overlap has a reason.
+    shift_s is the lag of the real series against the other, negative where the other one is late; resample() adds it to
+    the other's times, as the rules have it.
     """
     ends = signals.groupBy("log").agg(F.max("us").alias("last"))
     start = anchors(signals).join(ends, "log")
@@ -115,16 +117,19 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
         asked = rows.filter("n >= 32 AND axis IS NOT NULL").select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key"), F.col(f"{name}_us").alias("t0"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         targets = asked.select(F.struct("pair", "log").alias("series"), "i", (F.col("t0") + F.col("i").cast("long") * step_us).alias("us"))
         own = rows.select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key")).join(signals, ["log", "key"]).select(F.struct("pair", "log").alias("series"), "us", "value")
-        grid = S.at_times(own, targets, "series")
-        return grid.groupBy(F.col("series.pair").alias("pair")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda x: x["v"]).alias(name))
+        return S.at_times(own, targets, "series").select(F.col("series.pair").alias("pair"), "i", F.col("value").alias(name))
 
     rate = 1e6 / step_us
 
-    def shift(real: pd.Series, sim: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if a is None or b is None else best_shift(np.asarray(a, float), np.asarray(b, float), rate) for a, b in zip(real, sim, strict=True)]
-        return pd.DataFrame(found, columns=["lag", "correlation"])
+    def shift(both: pd.DataFrame) -> pd.DataFrame:
+        """One pair's two grids, the length of a flight each."""
+        own = both.sort_values("i")
+        lag, correlation = best_shift(own["real"].to_numpy(float), own["sim"].to_numpy(float), rate)
+        return pd.DataFrame({"pair": own["pair"].iloc[:1], "lag": [lag], "correlation": [correlation]})
 
-    rows = rows.join(on_grid("real"), "pair", "left").join(on_grid("sim"), "pair", "left").withColumn("found", F.pandas_udf(shift, "lag double, correlation double")("real", "sim"))
+    both = on_grid("real").join(on_grid("sim"), ["pair", "i"])
+    found = both.groupBy("pair").applyInPandas(shift, f"pair {dict(rows.dtypes)['pair']}, lag double, correlation double")
+    rows = rows.join(found.select("pair", F.struct("lag", "correlation").alias("found")), "pair", "left")
     fine = F.coalesce(F.col("found.correlation") >= GATE, F.lit(False))
     rows = rows.withColumn("shift_s", F.when(fine, F.col("found.lag") / rate).otherwise(0.0))
     overlap = F.greatest(F.lit(0.0), F.least(F.col("real_s"), F.col("sim_s") - F.col("shift_s")))
