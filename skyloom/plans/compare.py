@@ -100,7 +100,13 @@ def correlation_lag(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pair", lag.alias("lag"), F.round(score, 6).alias("score"), F.round(refined, 5).alias("refined"))
 
 
-@PLANS.add()
+@PLANS.add(f"""WITH {VECTORS_SQL}, w AS (SELECT pair, 0 AS side, a, b FROM v UNION ALL SELECT pair, 1, list_reverse(a), list_reverse(b) FROM v),
+    m AS (SELECT pair, side, [x - list_avg(a) FOR x IN a] AS a, [x - list_avg(b) FOR x IN b] AS b FROM w), k AS (SELECT pair, side, a, b, unnest(range(-5, 6)) AS lag FROM m),
+    s AS (SELECT pair, side, lag, CASE WHEN lag >= 0 THEN list_inner_product(a[lag + 1:], b[:len(b) - lag]) ELSE list_inner_product(a[:len(a) + lag], b[1 - lag:]) END / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS score FROM k),
+    p AS (SELECT pair, side, arg_max(lag, (score, -lag)) AS lag, max(score) AS score FROM s GROUP BY pair, side),
+    n AS (SELECT p.pair, p.side, p.lag, p.score, l.score AS ls, r.score AS rs, l.score - 2 * p.score + r.score AS bend FROM p LEFT JOIN s l ON l.pair = p.pair AND l.side = p.side AND l.lag = p.lag - 1 LEFT JOIN s r ON r.pair = p.pair AND r.side = p.side AND r.lag = p.lag + 1),
+    f AS (SELECT pair, side, score, lag + coalesce(CASE WHEN bend <> 0 AND abs((ls - rs) / (2 * bend)) <= 1 THEN (ls - rs) / (2 * bend) END, 0) AS lag FROM n)
+    SELECT x.pair, CASE WHEN x.score >= 0.3 AND y.score >= 0.3 THEN round((y.lag - x.lag) / 50 * 1000, 4) END AS delta_ms, CASE WHEN x.score < 0.3 OR y.score < 0.3 THEN 'lag_unreliable' END AS reason FROM f x JOIN f y ON y.pair = x.pair AND x.side = 0 AND y.side = 1""")
 def actuator_lag(spark: SparkSession, folder: str) -> DataFrame:
     """Lag of the reversed signals against the plain ones, in milliseconds at 50 Hz."""
     rows = vectors(spark, folder)

@@ -10,7 +10,7 @@ from ..operators import alignment as A
 from ..operators import windows as W
 from ..sources.tables import table
 from .common import Plans, rounded
-from .health import FEATURE_OF, observations
+from .health import FEATURE_OF, OBS_SQL, observations
 from .series import SERIES_SQL, signals
 
 PLANS = Plans()
@@ -83,7 +83,11 @@ def aligned_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(A.align(*_recordings(spark, folder)), 4)
 
 
-@PLANS.add()
+@PLANS.add(f"""WITH {OBS_SQL}, u(feature_key, name, unit, form, factor) AS (VALUES ('vib.metric_p50', 'Vibration', ' m/s²', '%.1f', 1), ('act.spread', 'Motor spread', '%', '%.0f', 100), ('pwr.r_cell', 'Resistance', ' mΩ/cell', '%.1f', 1), ('gps.nsats_p10', 'Satellites', '', '%.0f', 1), ('gps.eph_p50', 'GPS error', ' m', '%.2f', 1)),
+    r AS (SELECT *, CASE feature_key WHEN 'pwr.r_cell' THEN 'about ' ELSE '' END || printf(form, value * factor) || unit || ', ' || CASE WHEN value >= 40 THEN 'up' ELSE 'down' END || ' ' || printf(form, abs(value - 40) * factor) AS figures, printf(form, 40.0 * factor) || CASE unit WHEN '%' THEN '%' ELSE '' END AS usual,
+        CASE WHEN flight_index < 3 THEN 'low' WHEN flight_index < 10 THEN 'medium' ELSE 'high' END AS confidence, CASE feature_key WHEN 'pwr.r_cell' THEN 'Pack resistance' ELSE name END AS long FROM obs JOIN u USING (feature_key)),
+    l AS (SELECT *, CASE WHEN len(string_split(long || ' ' || figures || ' from a usual ' || usual, ' ')) <= 9 THEN long || ' ' || figures || ' from a usual ' || usual WHEN len(string_split(long || ' ' || figures || ' from ' || usual, ' ')) <= 9 THEN long || ' ' || figures || ' from ' || usual ELSE name || ' ' || figures || ' from ' || usual END AS line FROM r)
+    SELECT drone_id, feature_key, flight_index, CASE confidence WHEN 'low' THEN 'Early read: ' || line WHEN 'medium' THEN 'Looks like ' || CASE WHEN line LIKE 'GPS%' THEN line ELSE lower(line[1]) || line[2:] END ELSE line END AS text FROM l""")
 def personal_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The line of every observation against 40, hedged by flight number."""
     rows = observations(spark, folder).filter(F.col("feature_key").isin(*FEATURE_OF.values()))

@@ -201,7 +201,8 @@ def trend_callouts(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.withColumns({"band_low": F.round("band_low", 5), "band_high": F.round("band_high", 5)}))
 
 
-@PLANS.add()
+@PLANS.add(f"""WITH RECURSIVE {FOLD_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index DESC) AS back FROM adm WHERE qualified AND feature_key = 'vib.metric_p50' AND autopilot = 'px4')
+    SELECT drone_id, baseline_group, feature_key, 30.0::DOUBLE AS guide FROM l WHERE back <= 3 AND value > 30 GROUP BY ALL HAVING count(*) = 3""")
 def guide_callouts(spark: SparkSession, folder: str) -> DataFrame:
     """Callouts where a graded norm is registered for a feature."""
     graded = (("vib.metric_p50", "px4", "graded", False, 30.0, 60.0, "low"),)

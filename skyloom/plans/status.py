@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import kalman, latest, status
 from ..sources.tables import TELEMETRY_SQL, table, telemetry
 from .common import Plans, rounded
+from .filters import FAULTS_SQL, kalman_steps
 
 PLANS = Plans()
 #: Readings that a status looks at, and the gap and time unit that fit this telemetry: half a day, in hours.
@@ -95,7 +96,14 @@ def zscore_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(status.outliers(latest.newest(telemetry(spark, folder), RECENT)))
 
 
-@PLANS.add()
+@PLANS.add(f"""WITH RECURSIVE {RECENT_SQL.removeprefix("WITH ")}, {kalman_steps("recent")}, {FAULTS_SQL}, fp AS (SELECT drone_id, sum(CASE severity WHEN 'CRITICAL' THEN 20 ELSE 10 END) AS points FROM fr GROUP BY drone_id),
+    {ESTIMATE_SQL}, {ANOMALY_SQL}, m AS (SELECT drone_id, CASE WHEN slope < -0.01 THEN greatest(0.0, -last / slope) END AS minutes FROM est),
+    n AS (SELECT drone_id, count(*) FILTER (WHERE abs(z) > 2.5) AS anomalies FROM z GROUP BY drone_id),
+    sc AS (SELECT r.drone_id, coalesce(anomalies, 0) AS anomalies, CAST(least(100,
+        CASE WHEN battery < 15 THEN 40 WHEN battery < 30 THEN 25 WHEN battery < 50 THEN 10 ELSE 0 END + CASE WHEN minutes < 2 THEN 25 WHEN minutes < 5 THEN 15 WHEN minutes < 10 THEN 5 ELSE 0 END
+        + CASE WHEN temperature > 80 THEN 20 WHEN temperature > 60 THEN 10 ELSE 0 END + least(15, coalesce(anomalies, 0) * 8) + least(20, coalesce(points, 0))) AS INTEGER) AS risk
+        FROM recent r LEFT JOIN m USING (drone_id) LEFT JOIN n USING (drone_id) LEFT JOIN fp USING (drone_id) WHERE r.place = 1)
+    SELECT drone_id, anomalies, risk, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 40 THEN 'warning' ELSE 'healthy' END AS health FROM sc""")
 def vehicle_risk(spark: SparkSession, folder: str) -> DataFrame:
     """Risk with the fault runs of the filtered altitude, all from one set of recent rows."""
     recent = latest.newest(telemetry(spark, folder), RECENT)
