@@ -103,16 +103,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
-def join_salted(many: DataFrame, one: DataFrame, keys: list[str], n: str, spread: list[str]) -> DataFrame:
+def join_salted(many: DataFrame, one: DataFrame, keys: list[str], n: str, spread: list[str], total: int | None = None) -> DataFrame:
     """many joined with one, which has one row for each key and in column n the number of rows of many with it.
 
     Keys with more than a HOT_PARTS-th of all rows, of which there are at most HOT_PARTS, are broadcast with the number
     of parts they need; rows of many with such a key are dealt over the parts by a hash of the spread columns, and one's
     row is repeated for each part, HOT_PARTS repetitions in all at most. So no task gets a key that holds, say, a third
-    of all rows. Null keys are equal; `one` is read three times and should be a table. Column n is dropped.
+    of all rows. Null keys are equal; `one` is read twice, and once more for the rows in all where total doesn't tell
+    them, so it should be a table or a shuffle that Spark reuses. Column n is dropped.
     """
     own = [f"{k}_of_one" for k in keys]
-    total = one.agg(F.sum(n)).first()[0] or 0
+    total = (one.agg(F.sum(n)).first()[0] or 0) if total is None else total
     share = max(1, total // HOT_PARTS)
     needed = F.ceil(F.col(n) / share).cast("int")
 

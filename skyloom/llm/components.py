@@ -25,14 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        lowest = written(lowest.select("u", F.least("u", "m").alias("m"), "n"), "lowest")
-        large = join_salted(both.filter("v > u"), lowest, ["u"], "n", ["v"])
+        lowest = lowest.filter("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+        large = join_salted(both.filter("v > u"), lowest, ["u"], "n", ["v"], total=state[0])
         large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         new_state = _state(new)
-        discard(now, lowest, large)
+        discard(now, large)
         now = new
         if new_state == state:
             break

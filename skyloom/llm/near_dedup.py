@@ -263,7 +263,8 @@ def _near_sized(n: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.nda
 def plausible_members(alone: bool, group: pd.DataFrame, percent: int) -> np.ndarray:
     """Which members of one block, or of two that meet, have a plausible partner of another root there.
 
-    Pairs that also share a bucket of a smaller key are left to that one.
+    Pairs that also share a bucket of a smaller key are left to that one. A pair of two that have a partner already is
+    not looked at, so a block of copies takes time in proportion to its members.
     """
     root, block, n = (group[c].to_numpy() for c in ("root", "block", "n"))
     found = np.zeros(len(group), bool)
@@ -275,6 +276,8 @@ def plausible_members(alone: bool, group: pd.DataFrame, percent: int) -> np.ndar
     for i in range(len(group) - 1):
         rest = np.arange(i + 1, len(group))
         near = (root[rest] != root[i]) & _near_sized(n, i, rest, percent)
+        if found[i]:
+            near &= ~found[rest]
         if not alone:
             near &= block[rest] != block[i]
         j = rest[near]
