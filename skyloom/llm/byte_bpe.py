@@ -185,11 +185,13 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         for batch in slices(batches):
             rows = [bpe.digest(text or "") for text in batch.column(1).to_pylist()]
             n, ids, data = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data,
+                pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode,
+        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _id_lists(data: list[bytes]) -> pa.ListArray:
@@ -220,11 +222,13 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             found = [bpe.encode_and_decode(text) for text in texts]
             ids = _id_lists([ids for ids, _ in found])
             lossless = [data == text.encode() for (_, data), text in zip(found, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(ids).cast(pa.int64()), ids, pa.array(lossless, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(ids).cast(pa.int64()), ids, pa.array(lossless,
+                pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
 
     small_batches(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode,
+        f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -233,7 +237,8 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if ids is None else bpe.decode(ids)
+                for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
     small_batches(encoded.sparkSession)
     kind = encoded.select("doc_id").dtypes[0][1]

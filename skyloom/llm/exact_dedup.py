@@ -42,11 +42,13 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
                 parts = [CountingQuotientFilter.merged(parts)]
         for block, own in CountingQuotientFilter.merged(parts).blocks(block_bits) if parts else ():
             data = [[own.runs.astype("<u4").tobytes()], [own.remainders.astype("<u8").tobytes()], [own.counts.astype("<i8").tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["block", "runs", "remainders", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["block", "runs",
+                "remainders", "counts"])
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         found = CountingQuotientFilter.merged(
-            [CountingQuotientFilter(64 - block_bits, RUN_BITS, np.frombuffer(r, "<u4"), np.frombuffer(m, "<u8"), np.frombuffer(c, "<i8")) for r, m, c in zip(parts.runs, parts.remainders, parts["counts"], strict=True)]
+            [CountingQuotientFilter(64 - block_bits, RUN_BITS, np.frombuffer(r, "<u4"), np.frombuffer(m, "<u8"), np.frombuffer(c, "<i8"))
+                for r, m, c in zip(parts.runs, parts.remainders, parts["counts"], strict=True)]
         )
         fingerprints, counts = found.repeated()
         return pd.DataFrame({"fp": ((np.uint64(key[0]) << np.uint64(64 - block_bits)) | fingerprints).view(np.int64), "n": counts})
@@ -62,13 +64,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id of the group, nulls last; kept says whether the row carries it, so rows repeated with one id share their fate;
     stays holds for one (id, mark) of a group. An empty table gives an empty result. Other columns of docs are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), mark(F.col(text_col)).alias("mark")).withColumn("fp", F.xxhash64("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"),
+        mark(F.col(text_col)).alias("mark")).withColumn("fp", F.xxhash64("norm"))
     digest = written(rows.select("id", "mark", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")), "digest")
     repeated = written(repeated_fingerprints(digest.select("fp"), digest.count()).select("fp"), "repeated")
     # Byte verification: the grouping key is the text itself. Map-side aggregation leaves one text per task and group.
     candidates = rows.join(broadcast_if_small(repeated), "fp", "left_semi")
     groups = candidates.groupBy("fp", "norm").agg(F.min(first_row(F.col("id"), F.col("mark"))).alias("first"), F.count(F.lit(1)).alias("size"))
-    groups = written(groups.filter("size > 1").select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("first.id").alias("keep"), F.col("first.mark").alias("first_mark"), "size"), "groups")
+    groups = written(groups.filter("size > 1").select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("first.id").alias("keep"),
+        F.col("first.mark").alias("first_mark"), "size"), "groups")
     discard(repeated)
     found = digest.join(broadcast_if_small(groups), ["fp", "sha"], "left")
     alone = F.col("size").isNull()

@@ -50,7 +50,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How far out of the article an element is: by a layout name, by another name, by its element, role or style.
 LAYOUT, NAMED, FIXED = 1, 2, 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)",
+    re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
 _NOTICE = re.compile(r"©|(?:\(c\)|copyright\b)(?:\W*(?:©|\(c\)|\d{4}\b|by\b)|.*(?:©|rights reserved)|.{0,60}\b\d{4}\W*$)|all rights reserved", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
@@ -98,7 +99,8 @@ def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool]:
     A name counts if all its parts are known; with other parts beside known ones, as in elementor-widget, it is doubtful.
     """
     found = {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(attributes) if m[1]}
-    if found.get("role", "").lower() in OUTSIDE_ROLES or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
+    if found.get("role", "").lower() in OUTSIDE_ROLES or re.search(r"display\s*:\s*none", found.get("style",
+        "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
         return FIXED, False
     if name in ROOTS or name in INLINE:
         return 0, False
@@ -190,7 +192,8 @@ def lines_of(page: str) -> list[_Line]:
             continue
         above = stack[-1]
         level, doubt = _names_outside(name, m[3], above.rooted) if m[3] and name not in ("html", "body") else (0, False)
-        fixed = name in OUTSIDE or (name == "header" and not above.rooted and not any(CONTENT_HEADERS & {w.lower() for w in _WORDS.findall(v)} for v in re.findall(r"class\s*=\s*[\"']?([^\"'>]*)", m[3])))
+        fixed = name in OUTSIDE or (name == "header" and not above.rooted and not any(CONTENT_HEADERS & {w.lower()
+            for w in _WORDS.findall(v)} for v in re.findall(r"class\s*=\s*[\"']?([^\"'>]*)", m[3])))
         outside = max(FIXED if fixed else level, 0 if name == "main" and above.outside < FIXED else above.outside)
         if name in WHOLE:
             close_at = closings.after(name, at)
@@ -322,6 +325,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [main_text(page) for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts),
+                pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

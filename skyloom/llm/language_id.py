@@ -114,7 +114,8 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
                     own += np.bincount(found, minlength=BUCKETS)
         for lang, own in counts.items():
             rows = own.nonzero()[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array(own[rows], pa.int64())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array(own[rows],
+                pa.int64())], ["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     small_batches(labelled.sparkSession)
@@ -140,11 +141,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
         for batch in slices(batches):
             rows = [own.predict(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.float64()))],
+                [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
+                    pa.array([list(r[2].items()) for r in rows], pa.map_(pa.string(), pa.float64()))],
                 ["doc_id", "lang_pred", "score", "proportions"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict,
+        f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
 
 
 def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "found") -> DataFrame:
@@ -158,7 +161,8 @@ def with_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
         own = shared.value
         for batch in slices(batches):
             rows = [own.predict(text) for text in batch.column(at).to_pylist()]
-            found = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang_pred", "score"])
+            found = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
+                ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, f"c{len(names)}"])
 
     numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(names)])

@@ -60,7 +60,8 @@ def repeated_runs(rows: DataFrame, run: int, words: int | None) -> DataFrame:
         return F.transform(starts, lambda s: _selected(s, size))
 
     chosen = F.array_distinct(F.concat(*[places(size) for size in sizes]))
-    prints = hashed.select("id", "mark", F.explode(F.transform(chosen, lambda at: F.struct(at.alias("at"), F.get("lines", at - 1)["h"].alias("line")))).alias("f"))
+    prints = hashed.select("id", "mark", F.explode(F.transform(chosen, lambda at: F.struct(at.alias("at"), F.get("lines", at
+        - 1)["h"].alias("line")))).alias("f"))
     prints = written(prints.select("id", "mark", "f.*"), "prints")
     again = written(prints.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     hits = join_salted(prints, again, ["line"], "n", ["id", "mark", "at"])
@@ -81,7 +82,8 @@ def repeated_runs(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     windows = written(near.select("id", "mark", F.explode(found).alias("w")).select("id", "mark", "w.*"), "windows")
     key = ["k1", "k2", "size"]
     firsts = windows.groupBy(*key).agg(F.min(F.struct("id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = written(firsts.select(*key, F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.col("first.start").alias("first_start"), "n"), "firsts")
+    firsts = written(firsts.select(*key, F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"),
+        F.col("first.start").alias("first_start"), "n"), "firsts")
     matches = join_salted(windows, firsts, key, "n", ["id", "mark", "start"]).withColumn("diagonal", F.col("first_start") - F.col("start"))
     matches = matches.filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")) & (F.col("diagonal") == 0)))
 
@@ -89,7 +91,8 @@ def repeated_runs(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     order = Window.partitionBy(*diagonal).orderBy("start", "size")  # windows of one document
     end = F.col("start") + F.col("size")
     begins = F.coalesce(F.col("start") > F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    merged = matches.withColumn("run", F.sum(begins.cast("int")).over(order)).groupBy(*diagonal, "run").agg(F.min("start").alias("start"), F.max(end).alias("end"))
+    merged = matches.withColumn("run", F.sum(begins.cast("int")).over(order)).groupBy(*diagonal, "run").agg(F.min("start").alias("start"),
+        F.max(end).alias("end"))
     own = ["id", "mark", "start", (F.col("end") - F.col("start")).alias("size"), "first_id", "first_mark"]
     out = written(merged.select(*own, (F.col("start") + F.col("diagonal")).alias("first_start")), "runs")
     discard(hashed, prints, again, hits, windows, firsts)
@@ -118,7 +121,8 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     texts = rows.alias("d").join(broadcast_if_small(stretches).alias("s"), same).select("s.*", stretch)
     texts = written(texts.dropDuplicates(first), "texts")
     claims = join_salted(runs, texts, first, "n", ["id", "mark", "start"])
-    gone = claims.groupBy(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_list(F.struct("start", "size", "same_text")).alias("runs"))
+    gone = claims.groupBy(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_list(F.struct("start", "size",
+        "same_text")).alias("runs"))
     gone = written(gone, "gone")
     discard(runs, stretches, texts)
 

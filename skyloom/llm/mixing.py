@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, mark, written
+from .common import WORD, broadcast_if_small, join_salted, mark, written
 
 #: Documents, or residuals of the level below, that one node of the reduction tree folds.
 FAN_IN = 32
@@ -19,13 +19,13 @@ def _uniform(*parts: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...]) -> DataFrame:
-    """(source, source_size, n, target) from rows (source, size).
+    """(source, source_size, n, rows, target) from rows (source, size).
 
     Sources by code point, null last, take the weights in turn and share `share` times all sizes. No target is above
     MOST_COPIES times its source: with sources in order of cap by weight, the full ones are a prefix, found by running
     sums. One row per source is ordered in one place; documents are not.
     """
-    stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
+    stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"), F.count(F.lit(1)).alias("rows"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     stats = stats.withColumn("place", place).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("place") % len(weights) + 1))
     stats = stats.withColumn("cap", F.col("source_size") * float(MOST_COPIES)).withColumn("ratio", F.col("cap") / F.col("weight"))
@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...]) -
     stats = stats.withColumn("level", left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     stats = stats.withColumn("full", F.col("ratio") <= F.col("level"))
     water = F.min(F.when(~F.col("full"), F.struct("ratio", "place", "level"))).over(everything)["level"]
-    return stats.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * water).alias("target"))
+    return stats.select("source", "source_size", "n", "rows", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * water).alias("target"))
 
 
 def _fold(units: Column, level: int, seed: int) -> Column:
@@ -47,7 +47,8 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     settled = F.transform(F.slice(units, 1, 0), lambda u: F.struct(u["doc_id"], u["rep"], u["size"], F.lit(0).alias("copy")))
 
     def settle(unit: Column, copy: int | Column) -> Column:
-        return F.struct(unit["doc_id"].alias("doc_id"), unit["rep"].alias("rep"), unit["size"].alias("size"), (F.lit(copy) if isinstance(copy, int) else copy).alias("copy"))
+        return F.struct(unit["doc_id"].alias("doc_id"), unit["rep"].alias("rep"), unit["size"].alias("size"), (F.lit(copy)
+            if isinstance(copy, int) else copy).alias("copy"))
 
     def carry(unit: Column, mass: Column) -> Column:
         return F.struct(unit["doc_id"].alias("doc_id"), unit["rep"].alias("rep"), unit["size"].alias("size"), mass.alias("mass"))
@@ -56,8 +57,12 @@ def _fold(units: Column, level: int, seed: int) -> Column:
         held = acc["held"]
         up, down = F.least(held["size"] - held["mass"], unit["mass"]), F.least(held["mass"], unit["size"] - unit["mass"])
         rises = _uniform(held["doc_id"], held["rep"], unit["doc_id"], unit["rep"], F.lit(level), F.lit(seed)) * (up + down) < down
-        risen = F.when(held["size"] - held["mass"] <= unit["mass"], F.struct(carry(unit, unit["mass"] - up).alias("held"), settle(held, 1).alias("one"))).otherwise(F.struct(carry(held, held["mass"] + up).alias("held"), settle(unit, 0).alias("one")))
-        fallen = F.when(held["mass"] <= unit["size"] - unit["mass"], F.struct(carry(unit, unit["mass"] + down).alias("held"), settle(held, F.when(up + down > 0, 0).otherwise((held["mass"] > 0).cast("int"))).alias("one"))).otherwise(F.struct(carry(held, held["mass"] - down).alias("held"), settle(unit, 1).alias("one")))
+        risen = F.when(held["size"] - held["mass"] <= unit["mass"], F.struct(carry(unit, unit["mass"] - up).alias("held"), settle(held,
+            1).alias("one"))).otherwise(F.struct(carry(held, held["mass"] + up).alias("held"), settle(unit, 0).alias("one")))
+        fallen = F.when(held["mass"] <= unit["size"] - unit["mass"], F.struct(carry(unit, unit["mass"] + down).alias("held"), settle(held,
+            F.when(up + down > 0,
+            0).otherwise((held["mass"] > 0).cast("int"))).alias("one"))).otherwise(F.struct(carry(held, held["mass"] - down).alias("held"),
+            settle(unit, 1).alias("one")))
         new = F.when(rises, risen).otherwise(fallen)
         return F.transform(F.array(new), lambda x: F.struct(x["held"].alias("held"), F.concat(acc["done"], F.array(x["one"])).alias("done")))[0]
 
@@ -81,7 +86,8 @@ def _corrected(settled: DataFrame, last: DataFrame) -> DataFrame:
     turned = turned.select(F.col("source").alias("of"), F.col("t.doc_id").alias("t_id"), F.col("t.rep").alias("t_rep"))
     same = settled["source"].eqNullSafe(F.col("of")) & settled["doc_id"].eqNullSafe(F.col("t_id")) & (settled["rep"] == F.col("t_rep"))
     own = ["source", "doc_id", "rep", "size"]
-    out = settled.join(broadcast_if_small(written(turned, "turned")), same, "left").select(*own, F.when(F.col("t_rep").isNull(), F.col("copy")).otherwise(1 - F.col("copy")).alias("copy"))
+    out = settled.join(broadcast_if_small(written(turned, "turned")), same, "left").select(*own, F.when(F.col("t_rep").isNull(),
+        F.col("copy")).otherwise(1 - F.col("copy")).alias("copy"))
     return out.union(last.select(*own, "copy"))
 
 
@@ -91,7 +97,8 @@ def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tupl
     return rows, F.row_number().over(Window.partitionBy("key").orderBy(id_col, source_col, mark(F.col(text_col))))
 
 
-def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
+def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id",
+    source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
     """The mix itself: rows of docs, with their columns, as often as mix_sources takes them."""
     taken = mix_sources(docs, share, weights, id_col, source_col, text_col, seed)
     taken = taken.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "copies"))).alias("taken"))
@@ -103,7 +110,8 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[float, .
     return rows.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), id_col: str = "doc_id",
+    source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, source, copies, key, rep.
 
     size is the number of words at ASCII white space; null text has none. Every document of a source has the same
@@ -118,17 +126,19 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     words. An empty table gives an empty result. Other columns of docs are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), mark(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text,
+        F.lit(WORD)).cast("long").alias("size"), mark(F.col(text_col)).alias("text"))
     rows, rep = _keyed(rows, "doc_id", "source", "text")
     digest = written(rows.withColumn("rep", rep).drop("text"), "digest")
     targets = written(source_targets(digest, share, weights), "targets")
 
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    of_source = targets.select(F.col("source").alias("of"), "source_size", "target", expected.alias("expected"), F.ceil(F.col("n") / FAN_IN).alias("chunks"))
-    joined = digest.join(of_source, digest["source"].eqNullSafe(of_source["of"])).drop("of")
+    of_source = targets.select("source", "source_size", "target", expected.alias("expected"), F.ceil(F.col("n") / FAN_IN).alias("chunks"), "rows")
+    joined = join_salted(digest, of_source, ["source"], "rows", ["doc_id", "rep"])  # a source may hold a third of all rows
     fraction = F.col("expected") - F.floor("expected")
     open_docs = joined.filter((F.col("size") > 0) & (fraction > 0))
-    unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "rep", F.lit(seed)).alias("draw"), "doc_id", "rep", "size", (F.col("size") * fraction).alias("mass"))
+    unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "rep", F.lit(seed)).alias("draw"), "doc_id", "rep", "size",
+        (F.col("size") * fraction).alias("mass"))
     units = open_docs.select("source", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "rep"), F.col("chunks")).alias("chunk"), unit.alias("unit"))
 
     width = targets.agg(F.max(F.ceil(F.col("n") / FAN_IN))).first()[0] or 0
@@ -148,8 +158,10 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
         unit = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "rep", F.lit(seed)).alias("draw"), "doc_id", "rep", "size", "mass")
         units = held.select("source", F.floor(F.col("chunk") / FAN_IN).alias("chunk"), unit.alias("unit"))
 
-    whole = joined.filter(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rep", "size", "source_size", "target", F.floor("expected").alias("copies"))
+    whole = joined.filter(~((F.col("size") > 0) & (fraction > 0))).select("source", "doc_id", "rep", "size", "source_size", "target",
+        F.floor("expected").alias("copies"))
     if settled is not None:
-        drawn = settled.join(of_source, settled["source"].eqNullSafe(of_source["of"]))
+        drawn = join_salted(settled, of_source, ["source"], "rows", ["doc_id", "rep"])
         whole = whole.union(drawn.select("source", "doc_id", "rep", "size", "source_size", "target", F.floor("expected") + F.col("copy")))
-    return whole.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"), F.xxhash64("doc_id", "source").alias("key"), "rep")
+    return whole.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source",
+        F.col("copies").cast("int").alias("copies"), F.xxhash64("doc_id", "source").alias("key"), "rep")

@@ -143,10 +143,12 @@ def _set_table(docs: DataFrame, words: int, with_sketch: bool) -> DataFrame:
             sets = [shingle_set(text, words, hashes) for text in batch.column(1).to_pylist()]
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             data = [(sketch(s) if with_sketch else s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(data, pa.binary())], ["id", "mark", "n", "node", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(nodes,
+                pa.binary()), pa.array(data, pa.binary())], ["id", "mark", "n", "node", "data"])
 
     kind = docs.dtypes[0][1]
-    return docs.select("id", F.col("text").cast("binary").alias("text"), mark(F.col("text")).alias("mark")).mapInArrow(make, f"id {kind}, mark long, n long, node binary, data binary")
+    return docs.select("id", F.col("text").cast("binary").alias("text"), mark(F.col("text")).alias("mark")).mapInArrow(make,
+        f"id {kind}, mark long, n long, node binary, data binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -247,7 +249,8 @@ def _contested(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets:
                 yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     place = ["key", "lo", "hi"]
-    likely = dealt.repartition(*place).sortWithinPartitions(*place, "block", "cid").mapInPandas(judge, "key long, lo int, hi int, block int, cid long, root long")
+    likely = dealt.repartition(*place).sortWithinPartitions(*place, "block", "cid").mapInPandas(judge,
+        "key long, lo int, hi int, block int, cid long, root long")
     likely = written(likely, "likely")
     met = likely.join(sets.select("cid", "data"), "cid").repartition(*place).sortWithinPartitions(*place, "block", "cid")
     links = written(met.select(*place, "block", "cid", "root", "data").mapInPandas(compare, "a long, b long"), "contested")
@@ -260,6 +263,27 @@ def _near_sized(n: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.nda
     return 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
 
 
+class LikelyPairs:
+    """Pairs of sketch rows whose equal registers, told apart by one byte each, leave may_reach a chance to say yes.
+
+    A register's byte makes more registers equal, never fewer, and the number of equal ones that may_reach asks for
+    grows with the registers that it uses, of which there are at least as many as either row holds.
+    """
+
+    def __init__(self, sketches: np.ndarray, threshold: float):
+        self.held = sketches != 0
+        byte = ((sketches.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+        self.table = np.where(self.held, np.maximum(byte, 2), 0).astype(np.uint8)
+        n = self.held.sum(axis=1)
+        self.need = threshold * n - MARGIN * np.sqrt(threshold * (1 - threshold) * n) - 1
+
+    def after(self, i: int) -> np.ndarray:
+        """For each row after i, whether it may pair with row i."""
+        own = np.where(self.held[i], self.table[i], np.uint8(1))  # what is empty equals nothing
+        same = np.bitwise_count((self.table[i + 1 :] == own).view(np.uint64)).sum(axis=1)
+        return same >= np.maximum(self.need[i + 1 :], self.need[i])
+
+
 def plausible_members(alone: bool, group: pd.DataFrame, percent: int) -> np.ndarray:
     """Which members of one block, or of two that meet, have a plausible partner of another root there.
 
@@ -271,16 +295,19 @@ def plausible_members(alone: bool, group: pd.DataFrame, percent: int) -> np.ndar
     if (root == root[0]).all():
         return found
     sketches = np.frombuffer(b"".join(group.data), np.uint16).reshape(len(group), -1)
+    likely = LikelyPairs(sketches, percent / 100)
     key = group["key"].iloc[0]
     earlier = [{k for k in keys if k < key} for keys in group["keys"]]
     for i in range(len(group) - 1):
         rest = np.arange(i + 1, len(group))
-        near = (root[rest] != root[i]) & _near_sized(n, i, rest, percent)
+        near = root[rest] != root[i]
         if found[i]:
             near &= ~found[rest]
         if not alone:
             near &= block[rest] != block[i]
-        j = rest[near]
+        if not near.any():
+            continue
+        j = rest[near & _near_sized(n, i, rest, percent) & likely.after(i)]
         j = j[may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), percent / 100)] if len(j) else j
         j = j[[earlier[i].isdisjoint(earlier[x]) for x in j]] if len(j) else j
         found[j] = True
@@ -295,16 +322,19 @@ def links_of(alone: bool, group: pd.DataFrame, percent: int) -> list[tuple[int,
     if (root == root[0]).all():
         return []
     sketches, n = np.stack([sketch(m) for m in members]), np.array([len(m) for m in members])
+    likely = LikelyPairs(sketches, percent / 100)
     ends = np.cumsum(n)
     flat, starts = np.concatenate(members), ends - n
     root = root.copy()
     links = []
     for i in range(len(cid)):
         rest = np.arange(i + 1, len(cid))
-        near = (root[rest] != root[i]) & _near_sized(n, i, rest, percent)
+        near = root[rest] != root[i]
         if not alone:
             near &= block[rest] != block[i]
-        j = rest[near]
+        if not near.any():
+            continue
+        j = rest[near & _near_sized(n, i, rest, percent) & likely.after(i)]
         j = j[may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), percent / 100)] if len(j) else j
         for part in np.array_split(j, -(-len(j) // 64)) if len(j) else ():
             part = part[root[part] != root[i]]
@@ -336,7 +366,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digest = written(_set_table(rows, words, True), "digest")
-    classes = digest.filter("node IS NOT NULL").groupBy("node").agg(F.min(first_row(F.col("id"), F.col("mark"))).alias("label"), F.first("n").alias("n"), F.first("data").alias("data"))
+    classes = digest.filter("node IS NOT NULL").groupBy("node").agg(F.min(first_row(F.col("id"), F.col("mark"))).alias("label"),
+        F.first("n").alias("n"), F.first("data").alias("data"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     bands = written(_bands(classes), "bands")
@@ -360,7 +391,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = components(links.union(more))
     discard(links, more)
 
-    member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label", F.coalesce("root", "cid").alias("root"))
+    member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label",
+        F.coalesce("root", "cid").alias("root"))
     member = written(member, "member")
     lowest = member.groupBy("root").agg(F.min("label").alias("first"))
     of_node = written(member.join(lowest, "root").select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")), "of_node")
@@ -369,7 +401,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("first_id"))
     kept = F.col("id").eqNullSafe(component)
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "mark", (kept & (alone | (F.col("mark") == F.col("first_mark")))).alias("stays"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"),
+        "mark", (kept & (alone | (F.col("mark") == F.col("first_mark")))).alias("stays"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -218,7 +218,8 @@ def _search(queries: DataFrame, index: DataFrame, radius: dict[int, int], k: int
     kind = dict(queries.dtypes)["query_id"]
     query_blocks, index_blocks = blocks
     every_index, every_query = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (index_blocks, query_blocks))
-    dealt_queries = queries.select("dim", "qn", "query_id", "qvec", *WORDS, F.pmod(F.xxhash64("qn"), F.lit(query_blocks)).cast("int").alias("qb"), every_index.alias("ib"))
+    dealt_queries = queries.select("dim", "qn", "query_id", "qvec", *WORDS, F.pmod(F.xxhash64("qn"),
+        F.lit(query_blocks)).cast("int").alias("qb"), every_index.alias("ib"))
     dealt_index = index.select("dim", "ids", "vec", *WORDS, F.pmod(F.xxhash64("vec"), F.lit(index_blocks)).cast("int").alias("ib"), every_query.alias("qb"))
     columns = ["qn", "query_id", "ids", "score"]
 
@@ -238,11 +239,13 @@ def _search(queries: DataFrame, index: DataFrame, radius: dict[int, int], k: int
                 i, j, score = i[order], j[order], score[order]
                 place = np.arange(len(i)) - np.searchsorted(i, i)
                 best = place <= k  # one more: the query's own class may be among them with no other id
-                found.append(pd.DataFrame({"qn": left.qn.to_numpy()[i[best]], "query_id": left.query_id.to_numpy()[i[best]], "ids": right.ids.to_numpy()[j[best]], "score": score[best]}))
+                found.append(pd.DataFrame({"qn": left.qn.to_numpy()[i[best]], "query_id": left.query_id.to_numpy()[i[best]],
+                    "ids": right.ids.to_numpy()[j[best]], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame(columns=columns, dtype=object)
 
     keys = ["dim", "qb", "ib"]
-    found = dealt_queries.groupBy(*keys).cogroup(dealt_index.groupBy(*keys)).applyInPandas(compare, f"qn long, query_id {kind}, ids array<{kind}>, score double")
+    found = dealt_queries.groupBy(*keys).cogroup(dealt_index.groupBy(*keys)).applyInPandas(compare,
+        f"qn long, query_id {kind}, ids array<{kind}>, score double")
     return found.select("qn", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
 
 
@@ -282,7 +285,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     # A rank of at most k + 1 is also applied before the shuffle, so a vector with very many copies is no hot group.
     place = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))
-    classes = rows.select("dim", "vec", "id", place.alias("place")).filter(F.col("place") <= k + 1).groupBy("dim", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    classes = rows.select("dim", "vec", "id", place.alias("place")).filter(F.col("place") <= k + 1).groupBy("dim",
+        "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     codes = _fitted(classes, k)
     index = written(_coded(classes, codes), "index")

@@ -84,26 +84,31 @@ ORACLE_SQL = {
         FROM d JOIN g ON d.norm = g.norm
     """,
     "op9_near_dedup": r"""
-        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 3 THEN [w] ELSE [w[i:i + 2] FOR i IN range(1, len(w) - 1)] END) AS sh FROM d),
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 3 THEN [w] ELSE [w[i:i + 2] FOR i IN range(1,
+            len(w) - 1)] END) AS sh FROM d),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
         e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
         ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
         r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT ee.b, r.c FROM r JOIN ee ON ee.a = r.doc_id)
-        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.doc_id = min(r.c) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.doc_id = min(r.c) AS kept FROM r LEFT JOIN n
+            ON n.doc_id = r.doc_id GROUP BY r.doc_id
     """,
     "op10_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         n AS (SELECT *, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS words FROM l),
-        w AS (SELECT doc_id, lines, words, size, unnest(range(1, len(lines) - size + 2)) AS s FROM n, (VALUES (1), (2), (3)) AS t(size) WHERE len(lines) >= size),
+        w AS (SELECT doc_id, lines, words, size, unnest(range(1, len(lines) - size + 2)) AS s FROM n, (VALUES (1), (2), (3)) AS t(size)
+            WHERE len(lines) >= size),
         k AS (SELECT doc_id, s, size, lines[s:s + size - 1] AS run FROM w WHERE size = 3 OR list_sum(words[s:s + size - 1]) > 50),
         f AS (SELECT doc_id, s, size, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS place FROM k),
         o AS (SELECT doc_id, unnest(range(s, s + size)) AS line FROM f WHERE place > 1),
         gone AS (SELECT doc_id, list(DISTINCT line) AS gone FROM o GROUP BY doc_id)
         SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
             sha256(CASE WHEN gone IS NULL THEN text
-                ELSE coalesce(array_to_string(list_transform(list_sort(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i))), lambda i: lines[i]), chr(10)), '') END) AS text_sha256
+                ELSE coalesce(array_to_string(list_transform(list_sort(list_filter(range(1, len(lines) + 1), lambda i: NOT
+                    list_contains(gone, i))), lambda i: lines[i]), chr(10)), '') END) AS text_sha256
         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id
     """,
 }

@@ -49,4 +49,5 @@ class CountingQuotientFilter:
         ends = np.cumsum(sizes)
         for block in np.flatnonzero(sizes):
             own = slice(ends[block] - sizes[block], ends[block])
-            yield int(block), CountingQuotientFilter(self.width - block_bits, self.quotient_bits - block_bits, per_block[block], self.remainders[own], self.counts[own])
+            yield int(block), CountingQuotientFilter(self.width - block_bits, self.quotient_bits - block_bits, per_block[block],
+                self.remainders[own], self.counts[own])

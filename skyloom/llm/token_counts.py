@@ -125,6 +125,7 @@ def token_counts(docs: DataFrame, pieces: tuple[list[str], list[str]], begin: st
                 words.append(len(counts))
                 tokens.append(sum(counts) + 2 * missed)
                 unknown.append(missed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(unknown, pa.int64())], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(unknown,
+                pa.int64())], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     return rows.mapInArrow(count, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_tokens long, n_unknown long")

@@ -37,7 +37,8 @@ def test_tables_go_when_nothing_reads_them(spark):
 
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(2)
-    edges = [(a, b) for a, b in pairwise(range(60))] + [(100, 100 + i) for i in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (150, 2))]
+    edges = [(a, b) for a, b in pairwise(range(60))] + [(100, 100 + i) for i in range(1, 400)] + [(int(a), int(b)) for a,
+        b in rng.integers(1000, 1200, (150, 2))]
     parent = {}
 
     def find(x):
@@ -179,7 +180,8 @@ def test_unclosed_elements_do_not_take_the_rest_of_the_page():
 
 def test_hostile_pages_take_time_in_proportion():
     n = 1 << 17
-    pages = ["<div>" * n + "</span>" * n, "<svg>" * n, "<b>" * n + "x<hr>" * n, "<p>" + "<span>" * n + "y<p>" * n, "<" * (8 * n), "<a b=" * n, "<ul>" + "<li>x" * n, "<!--" * n, "<p class='" + "a " * (4 * n) + "'>x"]
+    pages = ["<div>" * n + "</span>" * n, "<svg>" * n, "<b>" * n + "x<hr>" * n, "<p>" + "<span>" * n + "y<p>" * n, "<" * (8 * n), "<a b="
+        * n, "<ul>" + "<li>x" * n, "<!--" * n, "<p class='" + "a " * (4 * n) + "'>x"]
     for page in pages:
         began = time.process_time()
         html_text.main_text(page)
@@ -232,6 +234,23 @@ def test_unlinked_documents_of_one_template_ship_no_sets():
     assert near_dedup.links_of(True, met, 80) == [(17, 600)]
 
 
+def test_likely_pairs_hold_all_plausible_ones():
+    rng = np.random.default_rng(10)
+    sets = []
+    for size in (3, 20, 150, 900):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        sets += [np.unique(np.r_[base[: round(size * s)], rng.integers(0, 2**63, size - round(size * s)).astype(np.uint64)]) for s in (1, 0.97, 0.9, 0.8, 0.6, 0.3)]
+    sketches, n = np.stack([near_dedup.sketch(x) for x in sets]), np.array([len(x) for x in sets])
+    likely = near_dedup.LikelyPairs(sketches, 0.8)
+    passed = 0
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        true, fast = near_dedup.may_reach(sketches[j], sketches[i], n[j], np.full(len(j), n[i]), 0.8), likely.after(i)
+        assert not (true & ~fast).any()
+        passed += fast.sum()
+    assert passed < 0.6 * len(sets) * (len(sets) - 1) / 2
+
+
 # --- 10: repeated lines
 
 

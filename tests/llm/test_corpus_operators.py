@@ -30,7 +30,8 @@ def docs(spark):
     """Odd rows: nulls in every column, empty and long texts, ties, repeated rows, columns with names used inside."""
     rng = np.random.default_rng(3)
     base = [prose(rng, 60) for _ in range(12)]
-    texts = [None, "", "  \t\n ", "One", "a b", base[0], base[0].replace(" ", "  ", 3), base[0].upper(), base[1], base[1] + " extra", *base[2:], "x\ny\nz\nx\ny\nz", "ß∂ 漢字 " * 4, prose(rng, 30_000), "12 34 !!"]
+    texts = [None, "", "  \t\n ", "One", "a b", base[0], base[0].replace(" ", "  ", 3), base[0].upper(), base[1], base[1] + " extra",
+        *base[2:], "x\ny\nz\nx\ny\nz", "ß∂ 漢字 " * 4, prose(rng, 30_000), "12 34 !!"]
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, None, "zz", i, 0, "f", 1, 2, "c", 3, 4) for i, t in enumerate(texts)]
     rows += [rows[5], rows[5], (None, base[3], "en", "s1", 1, *[None] * 9), (None,) * 14]
     return spark.createDataFrame(rows, DOCS)
@@ -51,7 +52,8 @@ def ranks():
 
 def test_sharding_places_every_row_once(docs, rows):
     out = sharding.shard_by_bytes(docs, shards=3).collect()
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t
+        or "").encode())) for i, t, _ in rows)
     for shard in range(3):
         own = sorted(r.slot for r in out if r.shard == shard)
         assert own == list(range(len(own)))
@@ -105,7 +107,8 @@ def test_nearest_reaches_the_recall_of_brute_force(spark):
 
 def test_nearest_with_copies_ties_and_unusable_vectors(spark):
     a, b = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
-    table = [(0, a), (1, a), (2, a), (3, a), (4, b), (50, b), (7, None), (8, []), (9, [0.0, 0.0, 0.0]), (10, [1.0, None, 2.0]), (11, [float("nan"), 1.0, 1.0]), (12, [float("inf"), 0.0, 0.0]), (None, a), (0, a)]
+    table = [(0, a), (1, a), (2, a), (3, a), (4, b), (50, b), (7, None), (8, []), (9, [0.0, 0.0, 0.0]), (10, [1.0, None, 2.0]), (11,
+        [float("nan"), 1.0, 1.0]), (12, [float("inf"), 0.0, 0.0]), (None, a), (0, a)]
     frame = spark.createDataFrame(table, "vec_id long, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest.nearest(frame, 3, 50).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (50, 1, 4), (50, 2, 0), (50, 3, 1)]
@@ -350,7 +353,8 @@ def test_quotient_filters_merge_without_loss():
 
 
 def test_bpe_is_the_librarys_and_round_trips(docs, rows):
-    path, library = public_tokenizers.path(queries.BPE_FILE), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    path, library = public_tokenizers.path(queries.BPE_FILE), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=ranks(), special_tokens={})
     bpe = byte_bpe.ByteBPE(path, public_tokenizers.PATTERN)
     rng = np.random.default_rng(6)
     for n in (1, 2, 3, 5, 9, 40, 400):
@@ -408,7 +412,8 @@ def test_near_dedup_against_brute_force(spark, docs, rows, words, percent):
             text[int(rng.integers(0, 80))] = f"new{len(table)}"
             text[int(rng.integers(0, 80))] = f"new{len(table)}"
     frame = spark.createDataFrame(table, "doc_id long, text string, source string")
-    assert Counter(tuple(r)[:4] for r in near_dedup.near_dedup(frame, words=words, percent=percent).collect()) == Counter(brute_components(table, words, percent))
+    assert Counter(tuple(r)[:4] for r in near_dedup.near_dedup(frame, words=words,
+        percent=percent).collect()) == Counter(brute_components(table, words, percent))
 
 
 def test_near_dedup_leaves_one_of_each_group(docs, rows):
@@ -469,7 +474,8 @@ def test_line_dedup_of_long_passages_on_one_or_two_lines(spark):
     pool = [prose(rng, int(n)) for n in rng.integers(15, 60, 12)] + [prose(rng, n) for n in (50, 51, 25, 26)]
     rows = [(i, "\n".join(rng.choice(pool, rng.integers(1, 7))), None) for i in range(60)]
     long, half, other = prose(rng, 168), prose(rng, 30), prose(rng, 30)
-    rows += [(100, long, None), (101, long, None), (102, f"{half}\n{other}", None), (103, f"own\n{half}\n{other}\nend", None), (104, half, None), (105, None, None), (106, "", None)]
+    rows += [(100, long, None), (101, long, None), (102, f"{half}\n{other}", None), (103, f"own\n{half}\n{other}\nend", None), (104, half,
+        None), (105, None, None), (106, "", None)]
     seen, gone = set(), defaultdict(set)
     lines = {i: [] if t is None else t.split("\n") for i, t, _ in rows}
     for i, own in lines.items():
@@ -480,5 +486,6 @@ def test_line_dedup_of_long_passages_on_one_or_two_lines(spark):
                     gone[i] |= set(range(s, s + size)) if key in seen else set()
                     seen.add(key)
     out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), words=50).collect()}
-    assert {i: r.text for i, r in out.items()} == {i: None if t is None else "\n".join(x for n, x in enumerate(lines[i]) if n not in gone[i]) for i, t, _ in rows}
+    assert {i: r.text for i, r in out.items()} == {i: None if t is None else "\n".join(x for n, x in enumerate(lines[i])
+        if n not in gone[i]) for i, t, _ in rows}
     assert out[101].text == "" and out[103].text == "own\nend" and out[104].n_removed == 0

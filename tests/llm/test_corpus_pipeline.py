@@ -54,4 +54,5 @@ def test_queries_agree_with_their_sql(spark, sf_dir):
     for name, sql in queries.ORACLE_SQL.items():
         out = queries.QUERIES[name](spark, sf_dir)
         true = con.execute(sql).fetchdf()[out.columns]
-        assert Counter(map(tuple, out.collect())) == Counter(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in true.itertuples(index=False, name=None))
+        assert Counter(map(tuple, out.collect())) == Counter(tuple(x.item() if hasattr(x, "item") else x for x in r)
+            for r in true.itertuples(index=False, name=None))
