@@ -38,7 +38,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return byte_bpe.encoded(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("source_mixing", mixing_stage), ("byte_bpe", tokens_stage)]
+STAGES = [("language_id", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("source_mixing", mixing_stage),
+    ("byte_bpe", tokens_stage)]
 ORACLE_SQL = None
 
 

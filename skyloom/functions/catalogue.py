@@ -93,16 +93,21 @@ WATCHED = (
 )
 # What a report never says, by kind of claim.
 FORBIDDEN = (
-    ("remaining life", r"remaining life|life (left|remaining)|lifespan|life expectancy|until (it )?fail|wear out in|\b\d+\s*(more )?(hours?|cycles?|flights?) (left|remaining)\b|end of (its )?life"),
-    ("failed part", r"\b(is|has|was) (failed|failing|broken|dead|faulty|defective|bad)\b|\bfailed (motor|esc|prop|arm|cell)\b|\bfaulty\b|\bdiagnos|\bthe cause is\b|\bcaused by\b|\bdefinitely\b|\bcertainly\b"),
-    ("battery capacity", r"state of health|\bsoh\b|\b\d+(\.\d+)?\s*%\s*(health|healthy|capacity|charge|battery|remaining|left)\b|remaining capacity|capacity (left|remaining|fade of)|\b(battery|pack) (health|life)\b|health\s*(of\s*|at\s*)?\d+(\.\d+)?\s*%"),
+    ("remaining life",
+        r"remaining life|life (left|remaining)|lifespan|life expectancy|until (it )?fail|wear out in|\b\d+\s*(more )?(hours?|cycles?|flights?) (left|remaining)\b|end of (its )?life"),
+    ("failed part",
+        r"\b(is|has|was) (failed|failing|broken|dead|faulty|defective|bad)\b|\bfailed (motor|esc|prop|arm|cell)\b|\bfaulty\b|\bdiagnos|\bthe cause is\b|\bcaused by\b|\bdefinitely\b|\bcertainly\b"),
+    ("battery capacity",
+        r"state of health|\bsoh\b|\b\d+(\.\d+)?\s*%\s*(health|healthy|capacity|charge|battery|remaining|left)\b|remaining capacity|capacity (left|remaining|fade of)|\b(battery|pack) (health|life)\b|health\s*(of\s*|at\s*)?\d+(\.\d+)?\s*%"),
     ("rotor frequency", r"blade[- ]?pass|rotor (frequency|speed)|\b\d+(\.\d+)?\s*hz\b"),
     ("motor internals", r"\brpm\b|motor (temperature|temp|current)|esc (temperature|temp|current)"),
     ("safe to fly", r"safe to fly|\bunsafe\b|airworth|cleared (for|to) fl|fit to fly|ok to fly|certif"),
-    ("other drones", r"better than (average|most|other)|worse than (average|most|other)|other drones|\bfleet\b|\baverage drone\b|than most drones|percentile|\b\d+\s+drones\b|\bmost drones\b|\b(typical|normal) drone\b"),
+    ("other drones",
+        r"better than (average|most|other)|worse than (average|most|other)|other drones|\bfleet\b|\baverage drone\b|than most drones|percentile|\b\d+\s+drones\b|\bmost drones\b|\b(typical|normal) drone\b"),
     ("wind", r"(due to|because of|caused by) (the )?wind|not (the )?wind|wind,? not|mechanical,? not wind"),
     ("unrecorded change", r"because you|since you (swapped|changed|replaced|installed)"),
-    ("tuning quality", r"\b(pids?|tune|tuning|gains) (is|are) (bad|good|poor|wrong|off|great)\b|badly tuned|well tuned|poorly tuned|\bbad (tune|tuning|pids?)\b"),
+    ("tuning quality",
+        r"\b(pids?|tune|tuning|gains) (is|are) (bad|good|poor|wrong|off|great)\b|badly tuned|well tuned|poorly tuned|\bbad (tune|tuning|pids?)\b"),
     ("payload mass", r"\b\d+(\.\d+)?\s*(g|kg|grams?) (heavier|lighter|of payload)\b|payload (is|weighs|of) \d|heavier by \d"),
     ("equivalence", r"(same as|equivalent to|equals) (ardupilot|px4)|(ardupilot|px4) equivalent"),
     ("simulator", r"simulat|sim[- ]vs[- ]real|digital twin|fidelity"),
@@ -111,13 +116,16 @@ FORBIDDEN = (
 
 def features(spark: SparkSession) -> DataFrame:
     """feature_key, place, subsystem, tier, floor, relative_floor, lower_is_worse, baselined: 26 rows."""
-    rows = [(k, i, sub, tier, FLOORS.get(k, 0.0), RELATIVE_FLOORS.get(k, 0.0), k in LOWER_IS_WORSE, k in FLOORS and k not in NOT_BASELINED) for i, (k, sub, tier) in enumerate(FEATURES)]
-    return spark.createDataFrame(rows, "feature_key string, place int, subsystem string, tier string, floor double, relative_floor double, lower_is_worse boolean, baselined boolean")
+    rows = [(k, i, sub, tier, FLOORS.get(k, 0.0), RELATIVE_FLOORS.get(k, 0.0), k in LOWER_IS_WORSE, k in FLOORS and k not in NOT_BASELINED)
+        for i, (k, sub, tier) in enumerate(FEATURES)]
+    return spark.createDataFrame(rows,
+        "feature_key string, place int, subsystem string, tier string, floor double, relative_floor double, lower_is_worse boolean, baselined boolean")
 
 
 def norms(spark: SparkSession, rows: tuple = NORMS) -> DataFrame:
     """feature_key, autopilot, norm_kind, norm_lower, healthy_edge, bad_edge, norm_confidence; pass other rows to change rules."""
-    return spark.createDataFrame(list(rows), "feature_key string, autopilot string, norm_kind string, norm_lower boolean, healthy_edge double, bad_edge double, norm_confidence string")
+    return spark.createDataFrame(list(rows),
+        "feature_key string, autopilot string, norm_kind string, norm_lower boolean, healthy_edge double, bad_edge double, norm_confidence string")
 
 
 def reset_features(spark: SparkSession) -> DataFrame:

@@ -140,7 +140,8 @@ def blade_coefficients(lift_slope: Column, cd0: Column, chord: Column, root_deg:
 
         def add(s: Column) -> Column:
             thrust = 4 * s["f"] * s["x"] * s["x"] * r * width
-            return F.struct((acc["ct"] + thrust).alias("ct"), (acc["cp_induced"] + s["x"] * thrust).alias("cp_induced"), (acc["cp_profile"] + sigma * cd0 / 2 * r * r * r * width).alias("cp_profile"))
+            return F.struct((acc["ct"] + thrust).alias("ct"), (acc["cp_induced"] + s["x"] * thrust).alias("cp_induced"), (acc["cp_profile"]
+                + sigma * cd0 / 2 * r * r * r * width).alias("cp_profile"))
 
         return let(solved, add)
 
@@ -199,7 +200,8 @@ def wing_cruise(mass_kg: Column, cells: Column, capacity_mah: Column, area: Colu
     weight = mass_kg * G
     velocity = F.sqrt(2 * weight / (density * area * WING_CL))
     power = weight / ratio * velocity
-    return {"wing_loading": weight / area, "velocity": velocity, "power_w": power, "minutes": WING_EFFICIENCY * capacity_mah / 1000 * cells * CELL_VOLTS / power * 60}
+    return {"wing_loading": weight / area, "velocity": velocity, "power_w": power, "minutes": WING_EFFICIENCY * capacity_mah / 1000 * cells
+        * CELL_VOLTS / power * 60}
 
 
 def acceleration_limit(mass_kg: Column, thrust_n: Column) -> Column:
@@ -235,10 +237,14 @@ def step_response(step_deg: Column, zeta: Column, omega: Column, duration_s: flo
     def rk4(s: Column, i: Column) -> Column:
         t, h = i * DT_S, DT_S
         bind = lambda s: F.struct(s["x"].alias("x"), s["v"].alias("v"), slope(t, s["x"], s["v"]).alias("a1"))
-        two = lambda s: F.struct(s["x"].alias("x"), s["v"].alias("v"), s["a1"].alias("a1"), (s["v"] + s["a1"] * h / 2).alias("v2"), slope(t + h / 2, s["x"] + s["v"] * h / 2, s["v"] + s["a1"] * h / 2).alias("a2"))
-        three = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2")], (s["v"] + s["a2"] * h / 2).alias("v3"), slope(t + h / 2, s["x"] + s["v2"] * h / 2, s["v"] + s["a2"] * h / 2).alias("a3"))
-        four = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2", "v3", "a3")], (s["v"] + s["a3"] * h).alias("v4"), slope(t + h, s["x"] + s["v3"] * h, s["v"] + s["a3"] * h).alias("a4"))
-        done = lambda s: F.struct((s["x"] + h / 6 * (s["v"] + 2 * s["v2"] + 2 * s["v3"] + s["v4"])).alias("x"), (s["v"] + h / 6 * (s["a1"] + 2 * s["a2"] + 2 * s["a3"] + s["a4"])).alias("v"))
+        two = lambda s: F.struct(s["x"].alias("x"), s["v"].alias("v"), s["a1"].alias("a1"), (s["v"] + s["a1"] * h / 2).alias("v2"), slope(t
+            + h / 2, s["x"] + s["v"] * h / 2, s["v"] + s["a1"] * h / 2).alias("a2"))
+        three = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2")], (s["v"] + s["a2"] * h / 2).alias("v3"), slope(t
+            + h / 2, s["x"] + s["v2"] * h / 2, s["v"] + s["a2"] * h / 2).alias("a3"))
+        four = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2", "v3", "a3")], (s["v"] + s["a3"] * h).alias("v4"),
+            slope(t + h, s["x"] + s["v3"] * h, s["v"] + s["a3"] * h).alias("a4"))
+        done = lambda s: F.struct((s["x"] + h / 6 * (s["v"] + 2 * s["v2"] + 2 * s["v3"] + s["v4"])).alias("x"), (s["v"] + h / 6 * (s["a1"]
+            + 2 * s["a2"] + 2 * s["a3"] + s["a4"])).alias("v"))
         return let(let(let(let(let(s, bind), two), three), four), done)
 
     rest = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("v"))
@@ -248,4 +254,5 @@ def step_response(step_deg: Column, zeta: Column, omega: Column, duration_s: flo
         return F.concat(acc, F.array(moved))
 
     states = F.aggregate(F.sequence(F.lit(1), F.lit(outputs)), F.array(rest), chunk)
-    return F.transform(states, lambda s, k: F.struct((k * every * DT_S).alias("t"), F.when(k * every * DT_S >= STEP_AT_S, step_deg).otherwise(0.0).alias("desired"), s["x"].alias("actual")))
+    return F.transform(states, lambda s, k: F.struct((k * every * DT_S).alias("t"), F.when(k * every * DT_S >= STEP_AT_S,
+        step_deg).otherwise(0.0).alias("desired"), s["x"].alias("actual")))

@@ -87,7 +87,8 @@ def anchors(signals: DataFrame, key: str = "log") -> DataFrame:
     """(log, us, source): where each log's flight begins: armed, else takeoff, else the first sample."""
     of = lambda name: signals.filter(F.col("key") == name).select(key, "us", "value")
     armed = of("status.armed").filter("value > 0.5").groupBy(key).agg(F.min("us").alias("us"))
-    pull = S.runs(of("accel.z"), F.abs(F.abs("value") - S.GRAVITY) > S.TAKEOFF_EXCESS, key).filter(F.col("next_us") - F.col("start_us") >= int(S.TAKEOFF_S * 1e6))
+    pull = S.runs(of("accel.z"), F.abs(F.abs("value") - S.GRAVITY) > S.TAKEOFF_EXCESS, key).filter(F.col("next_us")
+        - F.col("start_us") >= int(S.TAKEOFF_S * 1e6))
     return S.anchor(armed, pull.groupBy(key).agg(F.min("start_us").alias("us")), signals.groupBy(key).agg(F.min("us").alias("us")), key)
 
 
@@ -108,15 +109,18 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
     """
     ends = signals.groupBy("log").agg(F.max("us").alias("last"))
     start = anchors(signals).join(ends, "log")
-    side = lambda name: start.select(F.col("log").alias(f"{name}_log"), F.col("us").alias(f"{name}_us"), F.col("source").alias(f"{name}_method"), ((F.col("last") - F.col("us")) / 1e6).alias(f"{name}_s"))
+    side = lambda name: start.select(F.col("log").alias(f"{name}_log"), F.col("us").alias(f"{name}_us"),
+        F.col("source").alias(f"{name}_method"), ((F.col("last") - F.col("us")) / 1e6).alias(f"{name}_s"))
     rows = pairs.join(side("real"), "real_log").join(side("sim"), "sim_log").join(reference_axis(pairs, signals), "pair", "left")
     n = (F.greatest(F.lit(1.0), F.least("real_s", "sim_s")) * 1e6 / step_us).cast("int")
     rows = rows.withColumn("n", n)
 
     def on_grid(name: str) -> DataFrame:
-        asked = rows.filter("n >= 32 AND axis IS NOT NULL").select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key"), F.col(f"{name}_us").alias("t0"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        asked = rows.filter("n >= 32 AND axis IS NOT NULL").select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key"),
+            F.col(f"{name}_us").alias("t0"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         targets = asked.select(F.struct("pair", "log").alias("series"), "i", (F.col("t0") + F.col("i").cast("long") * step_us).alias("us"))
-        own = rows.select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key")).join(signals, ["log", "key"]).select(F.struct("pair", "log").alias("series"), "us", "value")
+        own = rows.select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key")).join(signals, ["log",
+            "key"]).select(F.struct("pair", "log").alias("series"), "us", "value")
         return S.at_times(own, targets, "series").select(F.col("series.pair").alias("pair"), "i", F.col("value").alias(name))
 
     rate = 1e6 / step_us
@@ -160,16 +164,19 @@ def resample(aligned: DataFrame, signals: DataFrame, step_us: int = 1_000_000 //
     names = signals.select("log", "key").distinct()
     shared = fine.join(names.withColumnRenamed("log", "real_log"), "real_log").join(names.withColumnRenamed("log", "sim_log"), ["sim_log", "key"])
     points = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.round(F.col("overlap_s") * 1e6 / step_us).cast("int") + 1) - 1))
-    grid = shared.select("pair", "key", "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s") * 1e6).cast("long")).alias("sim_us"), points.alias("i"))
+    grid = shared.select("pair", "key", "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s")
+        * 1e6).cast("long")).alias("sim_us"), points.alias("i"))
 
     def side(name: str) -> DataFrame:
         targets = grid.select(F.struct("pair", "key").alias("series"), "i", (F.col(f"{name}_us") + F.col("i").cast("long") * step_us).alias("us"))
-        own = shared.select("pair", F.col(f"{name}_log").alias("log"), "key").join(signals, ["log", "key"]).select(F.struct("pair", "key").alias("series"), "us", "value")
+        own = shared.select("pair", F.col(f"{name}_log").alias("log"), "key").join(signals, ["log", "key"]).select(F.struct("pair",
+            "key").alias("series"), "us", "value")
         held = F.col("series.key").isin(*HELD)
         parts = [S.at_times(own.filter(test), targets.filter(test), "series", hold=hold) for test, hold in ((held, True), (~held, False))]
         return parts[0].unionByName(parts[1]).select("series.pair", "series.key", "i", F.col("value").alias(name))
 
-    slow = shared.join(rates.select(F.col("log").alias("real_log"), "key", F.col("rate_hz").alias("r")), ["real_log", "key"]).join(rates.select(F.col("log").alias("sim_log"), "key", F.col("rate_hz").alias("s")), ["sim_log", "key"])
+    slow = shared.join(rates.select(F.col("log").alias("real_log"), "key", F.col("rate_hz").alias("r")), ["real_log",
+        "key"]).join(rates.select(F.col("log").alias("sim_log"), "key", F.col("rate_hz").alias("s")), ["sim_log", "key"])
     least = F.least(F.coalesce("r", F.lit(0.0)), F.coalesce("s", F.lit(0.0)))
     flags = slow.select("pair", "key", (least < LOW_RATE_HZ).alias("low_rate"), (least < 1e6 / step_us).alias("upsampled"))
     out = side("real").join(side("sim"), ["pair", "key", "i"]).join(flags, ["pair", "key"])

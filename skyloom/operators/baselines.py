@@ -23,7 +23,8 @@ GATE_OUTPUTS = "admitted boolean, quarantine_reason string, n_before int, base_m
 def group_key(feature: Column, epoch: Column, pack: Column) -> Column:
     """Name of a baseline: by epoch, and for power features by battery pack."""
     name = F.coalesce(epoch.cast("string"), F.lit("initial"))
-    of_pack = F.concat(F.lit("pack:"), F.coalesce(pack.cast("string"), F.lit("unknown")), F.when(epoch.isNull(), "").otherwise(F.concat(F.lit("/epoch:"), name)))
+    of_pack = F.concat(F.lit("pack:"), F.coalesce(pack.cast("string"), F.lit("unknown")), F.when(epoch.isNull(),
+        "").otherwise(F.concat(F.lit("/epoch:"), name)))
     return F.when(feature.startswith("pwr."), of_pack).otherwise(F.concat(F.lit("epoch:"), name))
 
 
@@ -42,7 +43,8 @@ def median_mad(rows: DataFrame, keys: list[str], value: str = "value") -> DataFr
     values = F.sort_array(F.collect_list(value))
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
     out = rows.groupBy(*keys).agg(values.alias("v")).withColumn("median", middle(F.col("v")))
-    return out.withColumn("d", F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("median"))))).select(*keys, "median", middle(F.col("d")).alias("mad"), F.size("v").alias("n"))
+    return out.withColumn("d", F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("median"))))).select(*keys, "median",
+        middle(F.col("d")).alias("mad"), F.size("v").alias("n"))
 
 
 def gate():
@@ -89,7 +91,8 @@ def admit(observations: DataFrame) -> DataFrame:
     the rolling and reference baselines that it was judged against (null while they have too few values). A value is
     judged against admitted values only, so each decision depends on the earlier ones.
     """
-    return fold_sorted(observations, KEYS, ["flight_index"], gate, ["value", "qualified", "valid", "absolute_bad", "floor", "relative_floor", "baselined"], GATE_OUTPUTS)
+    return fold_sorted(observations, KEYS, ["flight_index"], gate, ["value", "qualified", "valid", "absolute_bad", "floor",
+        "relative_floor", "baselined"], GATE_OUTPUTS)
 
 
 def inferred_changes(admitted: DataFrame) -> DataFrame:
@@ -110,4 +113,5 @@ def inferred_changes(admitted: DataFrame) -> DataFrame:
     pairwise = F.try_divide(F.col("hi") - F.col("lo"), F.col("spread"))
     one_side = (F.col("lo") > F.col("median")) | (F.col("hi") <= F.col("median"))
     out = out.filter((F.col("n") == INFER_FLIGHTS) & F.col("outliers") & one_side & (pairwise <= INFER_SPREADS))
-    return out.select(*KEYS, F.when(F.col("lo") > F.col("median"), "up").otherwise("down").alias("direction"), F.col("median").alias("baseline_median"), pairwise.alias("max_pairwise_z"))
+    return out.select(*KEYS, F.when(F.col("lo") > F.col("median"), "up").otherwise("down").alias("direction"),
+        F.col("median").alias("baseline_median"), pairwise.alias("max_pairwise_z"))

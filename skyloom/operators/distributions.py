@@ -17,7 +17,8 @@ KS_TERMS = 50
 
 def both_sides(pairs: DataFrame) -> DataFrame:
     """(pair, side, value): 1 for real, 0 for sim."""
-    return pairs.select("pair", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("real").alias("value")), F.struct(F.lit(0).alias("side"), F.col("sim").alias("value")))).alias("x")).select("pair", "x.*")
+    return pairs.select("pair", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("real").alias("value")),
+        F.struct(F.lit(0).alias("side"), F.col("sim").alias("value")))).alias("x")).select("pair", "x.*")
 
 
 def effective_samples(rows: DataFrame, key: str = "pair", value: str = "real", order: str = "i") -> DataFrame:
@@ -46,10 +47,12 @@ def histograms(sides: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair, bin, p, q): smoothed shares of real and sim in each bin; the last bin is closed. Pairs without range are absent."""
     edges = edges.filter("bins IS NOT NULL")
     place = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1).cast("int")
-    counts = sides.join(edges, "pair").groupBy("pair", place.alias("bin")).agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 0).alias("b"))
+    counts = sides.join(edges, "pair").groupBy("pair", place.alias("bin")).agg(F.count_if(F.col("side") == 1).alias("a"),
+        F.count_if(F.col("side") == 0).alias("b"))
     every = edges.select("pair", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     totals = Window.partitionBy("pair")
-    filled = every.join(counts, ["pair", "bin"], "left").select("pair", "bin", "bins", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    filled = every.join(counts, ["pair", "bin"], "left").select("pair", "bin", "bins", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b",
+        F.lit(0)).alias("b"))
     share = lambda c: (F.col(c) + EPSILON) / (F.sum(c).over(totals) + F.col("bins") * EPSILON)
     return filled.select("pair", "bin", share("a").alias("p"), share("b").alias("q"))
 
@@ -75,8 +78,10 @@ def distances(sides: DataFrame) -> DataFrame:
     upto = by.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
     n, m = F.count_if(F.col("side") == 1).over(by), F.count_if(F.col("side") == 0).over(by)
     gap = F.abs(F.count_if(F.col("side") == 1).over(upto) / n - F.count_if(F.col("side") == 0).over(upto) / m)
-    rows = sides.select("pair", "value", gap.alias("gap"), (F.lead("value").over(by.orderBy("value")) - F.col("value")).alias("step"), n.alias("n"), m.alias("m"))
-    out = rows.groupBy("pair").agg(F.sum(F.col("gap") * F.col("step")).alias("wasserstein"), F.max("gap").alias("ks"), F.first("n").alias("n"), F.first("m").alias("m"))
+    rows = sides.select("pair", "value", gap.alias("gap"), (F.lead("value").over(by.orderBy("value")) - F.col("value")).alias("step"),
+        n.alias("n"), m.alias("m"))
+    out = rows.groupBy("pair").agg(F.sum(F.col("gap") * F.col("step")).alias("wasserstein"), F.max("gap").alias("ks"),
+        F.first("n").alias("n"), F.first("m").alias("m"))
     x2 = F.col("ks") * F.col("ks") * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x2))
     return out.select("pair", "wasserstein", "ks", F.when(x2 < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))).alias("ks_pvalue"))
@@ -107,7 +112,8 @@ def compare(pairs: DataFrame) -> DataFrame:
         F.covar_samp("real", "sim").alias("covar"),
     )
     sides = both_sides(rows)
-    out = stats.join(effective_samples(rows), "pair", "left").join(divergences(histograms(sides, bin_edges(sides))), "pair", "left").join(distances(sides), "pair", "left")
+    out = stats.join(effective_samples(rows), "pair", "left").join(divergences(histograms(sides, bin_edges(sides))), "pair",
+        "left").join(distances(sides), "pair", "left")
     flat_real, flat_sim = F.col("var_real") < DEGENERATE_VARIANCE, F.col("var_sim") < DEGENERATE_VARIANCE
     flat = flat_real | flat_sim
     short = F.col("range") < RANGE_FLOOR

@@ -38,7 +38,8 @@ def feature_epoch(observations: DataFrame, events: DataFrame, resets: DataFrame,
 
 def latest_epoch(flights: DataFrame, events: DataFrame, key: str = "drone_id") -> DataFrame:
     """flights with epoch: the latest event of any type at or before each flight."""
-    both = flights.withColumn("side", F.lit(1)).unionByName(events.select(key, "flight_index", "seq", F.struct("epoch").alias("event")).withColumn("side", F.lit(0)), allowMissingColumns=True)
+    both = flights.withColumn("side", F.lit(1)).unionByName(events.select(key, "flight_index", "seq",
+        F.struct("epoch").alias("event")).withColumn("side", F.lit(0)), allowMissingColumns=True)
     upto = Window.partitionBy(key).orderBy("flight_index", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("epoch", F.last("event", ignorenulls=True).over(upto)["epoch"]).filter("side = 1").select(*flights.columns, "epoch")
 

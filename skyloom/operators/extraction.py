@@ -34,7 +34,8 @@ def rows_of(frame: DataFrame, feature: str | Column, value=None, reason=None, la
         return (F.lit(None) if x is None else x).cast(kind).alias(name)
 
     key = F.lit(feature) if isinstance(feature, str) else feature
-    return frame.select("flight", key.alias("feature_key"), column(value, "double", "value"), column(label, "string", "label"), column(detail, "string", "detail"), column(reason, "string", "reason"))
+    return frame.select("flight", key.alias("feature_key"), column(value, "double", "value"), column(label, "string", "label"),
+        column(detail, "string", "detail"), column(reason, "string", "reason"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -63,11 +64,13 @@ def vector_length(signals: DataFrame, present: DataFrame, axes: list[str], alone
 
     With `alone`, flights without that have the first axis as it is.
     """
-    sizes = present.filter(F.col("key").isin(axes)).groupBy("flight").agg(F.count_distinct("key").alias("axes"), F.count_distinct("n").alias("sizes"), F.max((F.col("key") == axes[0]).cast("int")).alias("first"))
+    sizes = present.filter(F.col("key").isin(axes)).groupBy("flight").agg(F.count_distinct("key").alias("axes"),
+        F.count_distinct("n").alias("sizes"), F.max((F.col("key") == axes[0]).cast("int")).alias("first"))
     whole = (F.col("axes") == len(axes)) & (F.col("sizes") == 1)
     use = sizes.select("flight", whole.alias("whole")).filter(F.col("whole") | F.lit(alone))
     rows = placed(signals.filter(F.col("key").isin(axes))).join(use, "flight").filter(F.col("whole") | (F.col("key") == axes[0]))
-    lengths = rows.groupBy("flight", "i", "whole").agg(F.max(F.when(F.col("key") == axes[0], F.col("us"))).alias("us"), F.sum(F.col("value") * F.col("value")).alias("square"), F.max("value").alias("own"))
+    lengths = rows.groupBy("flight", "i", "whole").agg(F.max(F.when(F.col("key") == axes[0], F.col("us"))).alias("us"), F.sum(F.col("value")
+        * F.col("value")).alias("square"), F.max("value").alias("own"))
     return lengths.select("flight", "us", F.when(F.col("whole"), F.sqrt("square")).otherwise(F.col("own")).alias("value"))
 
 
@@ -82,16 +85,19 @@ def percentiles(signals: DataFrame, present: DataFrame, flights: DataFrame) -> D
     found = X.percentile_features(both.join(spans, "flight").select("flight", "key", inside.alias("value")))
     ratios = airborne(signals.filter(F.col("key").isin([f"est.{r}_tr" for r in RATIOS])), flights)
     worst = X.worst_ratio(ratios, least=X.MIN_SAMPLES)
-    return union([rows_of(found, F.col("feature_key"), F.col("value"), F.col("reason")), rows_of(worst, "est.test_ratio_p95", F.col("value"), detail=F.col("worst"))])
+    return union([rows_of(found, F.col("feature_key"), F.col("value"), F.col("reason")), rows_of(worst, "est.test_ratio_p95",
+        F.col("value"), detail=F.col("worst"))])
 
 
 def clip_rate(signals: DataFrame, flights: DataFrame) -> DataFrame:
     """Clippings a minute: growth of the three counters between the last values at takeoff and at landing."""
     rows = signals.filter(F.col("key").isin([f"imu.clip{i}" for i in range(3)])).join(flights.select("flight", "start_us", "end_us"), "flight")
     at = lambda bound: F.max_by("value", F.when(F.col("us") <= F.col(bound), F.col("us")))
-    each = rows.groupBy("flight", "key").agg(at("start_us").alias("before"), at("end_us").alias("after"), F.min_by("value", "us").alias("first"), F.first(F.col("end_us") - F.col("start_us")).alias("span"))
+    each = rows.groupBy("flight", "key").agg(at("start_us").alias("before"), at("end_us").alias("after"), F.min_by("value",
+        "us").alias("first"), F.first(F.col("end_us") - F.col("start_us")).alias("span"))
     grown = F.col("after") - F.coalesce("before", "first")
-    out = each.groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.count("after").alias("known"), F.min(grown).alias("least"), F.sum(grown).alias("total"), F.first("span").alias("span"))
+    out = each.groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.count("after").alias("known"), F.min(grown).alias("least"),
+        F.sum(grown).alias("total"), F.first("span").alias("span"))
     out = out.filter("n = 3")
     reason = F.when(F.col("known") < 3, FEW).when(F.col("least") < 0, "counter_reset")
     return rows_of(out, "vib.clip_rate", F.when(reason.isNull(), F.col("total") / (F.col("span") / 6e7)), reason)
@@ -105,24 +111,30 @@ def vibration_bands(signals: DataFrame, present: DataFrame, flights: DataFrame,
     """
     parts = []
     sets = {source: [f"{source}.{a}" for a in "xyz"] for source in ("accel_fifo", "accel")}
-    have = {s: present.filter(F.col("key").isin(keys)).groupBy("flight").agg(F.count_distinct("key").alias("axes"), F.count_distinct("n").alias("sizes"), F.max(F.when(F.col("key") == keys[0], F.col("rate_hz"))).alias("rate")).filter("axes = 3") for s, keys in sets.items()}
+    have = {s: present.filter(F.col("key").isin(keys)).groupBy("flight").agg(F.count_distinct("key").alias("axes"),
+        F.count_distinct("n").alias("sizes"), F.max(F.when(F.col("key") == keys[0], F.col("rate_hz"))).alias("rate")).filter("axes = 3")
+        for s, keys in sets.items()}
     for source, keys in sets.items():
         mine = have[source] if source == "accel_fifo" else have[source].join(have["accel_fifo"].select("flight"), "flight", "left_anti")
         mine = mine.join(flights.select("flight", "steady_qualified", "steady_reason", "accel_cutoff"), "flight")
-        length = F.least(F.lit(MOST_SEGMENT), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(float(LEAST_SEGMENT)), F.col("rate") * SEGMENT_S)) + 1e-12)).cast("int"))
+        length = F.least(F.lit(MOST_SEGMENT), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(float(LEAST_SEGMENT)), F.col("rate")
+            * SEGMENT_S)) + 1e-12)).cast("int"))
         mine = mine.withColumn("length", length)
         lengths = vector_length(signals, present, keys).join(mine.filter("steady_qualified").select("flight", "rate", "length"), "flight")
-        inside = lengths.join(steady.select("flight", "segment", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), "flight").filter("us BETWEEN from_us AND to_us")
+        inside = lengths.join(steady.select("flight", "segment", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")),
+            "flight").filter("us BETWEEN from_us AND to_us")
         spectrum = averaged_density(inside, ["flight", "segment"], ["flight"])
         bands = F.array(*[F.struct(F.lit(k).alias("feature_key"), F.lit(lo).alias("lo"), F.lit(hi).cast("double").alias("hi")) for k, lo, hi in BANDS])
-        asked = mine.select("*", F.explode(bands).alias("b")).select("flight", "sizes", "rate", "steady_qualified", "steady_reason", F.when(F.col("accel_cutoff") > 0, F.col("accel_cutoff")).alias("cutoff"), "b.*")
+        asked = mine.select("*", F.explode(bands).alias("b")).select("flight", "sizes", "rate", "steady_qualified", "steady_reason",
+            F.when(F.col("accel_cutoff") > 0, F.col("accel_cutoff")).alias("cutoff"), "b.*")
         asked = asked.withColumn("nyquist", F.col("rate") / 2).withColumn("hi", F.coalesce("hi", "nyquist"))
         if source == "accel_fifo":
             asked = asked.withColumn("cutoff", F.lit(None).cast("double"))
         bins = spectrum.join(asked.select("flight", "feature_key", "lo", "hi"), "flight").filter("hz > lo AND hz < hi")
         by = Window.partitionBy("flight", "feature_key").orderBy("hz")
         area = (F.col("hz") - F.lag("hz").over(by)) * (F.col("power") + F.lag("power").over(by)) / 2
-        power = bins.select("flight", "feature_key", area.alias("area")).groupBy("flight", "feature_key").agg(F.sum("area").alias("power"), F.count(F.lit(1)).alias("bins"))
+        power = bins.select("flight", "feature_key", area.alias("area")).groupBy("flight", "feature_key").agg(F.sum("area").alias("power"),
+            F.count(F.lit(1)).alias("bins"))
         out = asked.join(power, ["flight", "feature_key"], "left").join(spectrum.select("flight").distinct().withColumn("seen", F.lit(True)), "flight", "left")
         reason = (
             F.when(~F.col("steady_qualified"), F.coalesce("steady_reason", F.lit(UNSTEADY)))
@@ -153,7 +165,8 @@ def steady_medians(signals: DataFrame, present: DataFrame, flights: DataFrame, s
     names = {"fd.imbalance": "vib.imbalance", "thrust.sp": "act.hover"}
     own = _steady_samples(signals.filter(F.col("key").isin(list(names))), flights, steady)
     own = own.groupBy("flight", "key").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
-    out = present.filter(F.col("key").isin(list(names))).select("flight", "key").join(flights.select("flight", "steady_qualified", "steady_reason"), "flight").join(own, ["flight", "key"], "left")
+    out = present.filter(F.col("key").isin(list(names))).select("flight", "key").join(flights.select("flight", "steady_qualified",
+        "steady_reason"), "flight").join(own, ["flight", "key"], "left")
     reason = F.coalesce(_unsteady(flights), F.when(F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES, FEW))
     feature = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("key")]
     return rows_of(out, feature, F.when(reason.isNull(), F.col("median")), reason)
@@ -163,11 +176,14 @@ def motor_signals(signals: DataFrame, present: DataFrame, flights: DataFrame) ->
     """(flight, motor, us, value) of flights that log all their motors, else of those that log all their outputs."""
     number = F.regexp_extract("key", r"^act\.(motor|out)(\d+)$", 2)
     kind = F.regexp_extract("key", r"^act\.(motor|out)(\d+)$", 1)
-    rows = present.select("flight", kind.alias("kind"), F.try_to_number(F.nullif(number, F.lit("")), F.lit("999")).cast("int").alias("motor")).filter("motor IS NOT NULL")
+    rows = present.select("flight", kind.alias("kind"), F.try_to_number(F.nullif(number, F.lit("")),
+        F.lit("999")).cast("int").alias("motor")).filter("motor IS NOT NULL")
     rows = rows.join(flights.select("flight", "motor_count"), "flight").filter("motor < motor_count")
-    whole = rows.groupBy("flight", "kind", "motor_count").agg(F.count(F.lit(1)).alias("n")).filter("n = motor_count").groupBy("flight").agg(F.min("kind").alias("kind"))
+    whole = rows.groupBy("flight", "kind",
+        "motor_count").agg(F.count(F.lit(1)).alias("n")).filter("n = motor_count").groupBy("flight").agg(F.min("kind").alias("kind"))
     motors = signals.filter(F.col("key").rlike(r"^act\.(motor|out)\d+$")).withColumn("motor", number.cast("int")).withColumn("kind", kind)
-    return motors.join(whole, ["flight", "kind"]).join(flights.select("flight", "motor_count"), "flight").filter("motor < motor_count").select("flight", "motor", "us", "value")
+    return motors.join(whole, ["flight", "kind"]).join(flights.select("flight", "motor_count"),
+        "flight").filter("motor < motor_count").select("flight", "motor", "us", "value")
 
 
 def motor_features(signals: DataFrame, present: DataFrame, flights: DataFrame, steady: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -204,7 +220,8 @@ def power_features(signals: DataFrame, present: DataFrame, flights: DataFrame, s
     known = have.filter("cells IS NOT NULL")
     unknown = have.filter("cells IS NULL")
     own = signals.filter(F.col("key").isin(list(fields)))
-    wide = own.groupBy("flight", "us").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in fields.items()), F.count(F.lit(1)).alias("n"))
+    wide = own.groupBy("flight", "us").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in fields.items()),
+        F.count(F.lit(1)).alias("n"))
     aligned = wide.groupBy("flight").agg(F.bool_and(F.col("n") == 3).alias("aligned"), F.count("amps").alias("amps"), F.count("mah").alias("mah"))
     air = airborne(wide.select("flight", "us", *fields.values()), flights)
     fit = X.pack_resistance(air)
@@ -215,7 +232,8 @@ def power_features(signals: DataFrame, present: DataFrame, flights: DataFrame, s
     few = F.when(F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES, FEW)
     before = flights.select("flight", (F.col("start_us") - int(BEFORE_S * 1e6)).alias("start_us"), (F.col("start_us") - 1).alias("end_us"))
     total = Window.partitionBy("flight").orderBy("start_us").rowsBetween(Window.unboundedPreceding, -1)
-    spans = steady.withColumn("length_us", F.col("end_us") - F.col("start_us")).withColumn("before_us", F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(total), F.lit(0)))
+    spans = steady.withColumn("length_us", F.col("end_us") - F.col("start_us")).withColumn("before_us", F.coalesce(F.sum(F.col("end_us")
+        - F.col("start_us")).over(total), F.lit(0)))
     hover = clipped(spans, int(HOVER_S * 1e6)).join(flights.filter("steady_qualified").select("flight"), "flight")
 
     def median(windows: DataFrame, name: str) -> DataFrame:
@@ -243,7 +261,8 @@ def tracking(signals: DataFrame, present: DataFrame, flights: DataFrame) -> Data
     The gyro is interpolated at the setpoints' times. The lag is the shift, up to LAG_S, by which the gyro comes nearest
     to the setpoints; shifted samples go round from the end to the start of the window.
     """
-    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(f"rate_sp.{a}").alias("sp_key"), F.lit(g).alias("gyro_key")) for a, g in AXES])).alias("a")
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(f"rate_sp.{a}").alias("sp_key"), F.lit(g).alias("gyro_key")) for a,
+        g in AXES])).alias("a")
     asked = flights.select("flight", "start_us", "end_us", axes).select("flight", "start_us", "end_us", "a.*")
     rate = present.select("flight", F.col("key").alias("sp_key"), "rate_hz")
     asked = asked.join(rate, ["flight", "sp_key"]).join(present.select("flight", F.col("key").alias("gyro_key")), ["flight", "gyro_key"])
@@ -252,15 +271,20 @@ def tracking(signals: DataFrame, present: DataFrame, flights: DataFrame) -> Data
     gyro = signals.withColumnRenamed("key", "gyro_key").join(asked.select("flight", "gyro_key", "axis"), ["flight", "gyro_key"])
     rows = at_times(gyro.select(track, "us", "value"), sp.select(track, "us", F.col("value").alias("sp")), "track", clamp=True)
     by = Window.partitionBy("track")
-    rows = rows.withColumn("i", F.row_number().over(by.orderBy("us")) - 1).withColumn("n", F.count(F.lit(1)).over(by)).withColumn("on", F.abs("sp") > X.MANOEUVRE_RATE)
-    own = asked.select(track, "rate_hz", F.floor(F.col("rate_hz") * X.MANOEUVRE_S).alias("need"), F.greatest(F.lit(1), F.floor(F.col("rate_hz") * LAG_S)).cast("int").alias("lags"))
+    rows = rows.withColumn("i", F.row_number().over(by.orderBy("us")) - 1).withColumn("n", F.count(F.lit(1)).over(by)).withColumn("on",
+        F.abs("sp") > X.MANOEUVRE_RATE)
+    own = asked.select(track, "rate_hz", F.floor(F.col("rate_hz") * X.MANOEUVRE_S).alias("need"), F.greatest(F.lit(1),
+        F.floor(F.col("rate_hz") * LAG_S)).cast("int").alias("lags"))
     shifted = rows.join(own.select("track", "lags"), "track").select("track", "n", "i", "value", F.explode(F.sequence(F.lit(0), F.col("lags") - 1)).alias("k"))
     shifted = shifted.select("track", "k", F.pmod(F.col("i") + F.col("k"), F.col("n")).alias("i"), F.col("value").alias("late"))
     errors = rows.filter("on").join(shifted, ["track", "i"]).groupBy("track", "k").agg(F.sqrt(F.avg(F.pow(F.col("late") - F.col("sp"), 2))).alias("error"))
-    best = errors.groupBy("track").agg(F.min(F.struct(F.round("error", 12).alias("error"), "k")).alias("best"), F.max(F.when(F.col("k") == 0, F.col("error"))).alias("plain"))
-    level = rows.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("active"), F.sqrt(F.avg(F.when(F.col("on"), F.col("sp") * F.col("sp")))).alias("rms"))
+    best = errors.groupBy("track").agg(F.min(F.struct(F.round("error", 12).alias("error"), "k")).alias("best"),
+        F.max(F.when(F.col("k") == 0, F.col("error"))).alias("plain"))
+    level = rows.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("active"), F.sqrt(F.avg(F.when(F.col("on"),
+        F.col("sp") * F.col("sp")))).alias("rms"))
     out = own.join(level, "track", "left").join(best, "track", "left")
-    reason = F.when((F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES) | F.col("rate_hz").isNull(), FEW).when(F.col("active") < F.col("need"), "insufficient_manoeuvring")
+    reason = F.when((F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES) | F.col("rate_hz").isNull(), FEW).when(F.col("active") < F.col("need"),
+        "insufficient_manoeuvring")
     fine = reason.isNull()
     return out.select(
         "track.*", "n", "active", "need",
@@ -275,12 +299,14 @@ def attitude(signals: DataFrame, present: DataFrame, flights: DataFrame) -> Data
     """p95 of the angle between attitude, interpolated at the setpoints' times, and setpoint."""
     parts = [f"{kind}.q{c}" for kind in ("att", "att_sp") for c in "wxyz"]
     have = present.filter(F.col("key").isin(parts)).groupBy("flight").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("flight")
-    own = signals.filter(F.col("key").isin(parts)).join(have, "flight").select("flight", F.split("key", r"\.")[0].alias("kind"), F.split("key", r"\.")[1].alias("part"), "us", "value")
+    own = signals.filter(F.col("key").isin(parts)).join(have, "flight").select("flight", F.split("key", r"\.")[0].alias("kind"),
+        F.split("key", r"\.")[1].alias("part"), "us", "value")
     track = F.struct("flight", "part").alias("track")
     targets = airborne(own.filter("kind = 'att_sp'"), flights)
     rows = at_times(own.filter("kind = 'att'").select(track, "us", "value"), targets.select(track, "us", F.col("value").alias("d")), "track", clamp=True)
     pick = lambda c, v: F.max(F.when(F.col("track.part") == f"q{c}", F.col(v)))
-    wide = rows.groupBy(F.col("track.flight").alias("flight"), "us").agg(*(pick(c, "value").alias(f"q{c}") for c in "wxyz"), *(pick(c, "d").alias(f"d{c}") for c in "wxyz"))
+    wide = rows.groupBy(F.col("track.flight").alias("flight"), "us").agg(*(pick(c, "value").alias(f"q{c}") for c in "wxyz"), *(pick(c,
+        "d").alias(f"d{c}") for c in "wxyz"))
     out = have.join(X.attitude_error(wide), "flight", "left")
     few = F.when(F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES, FEW)
     return rows_of(out, "trk.att_err_p95", F.when(few.isNull(), F.col("value")), few)

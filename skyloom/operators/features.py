@@ -51,7 +51,8 @@ def percentile_features(signals: DataFrame, table: tuple = PERCENTILES, flight:
     own = own.groupBy(flight, "key").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p"), F.count("value").alias("n"))
     named = own.select("*", F.explode(wanted).alias("w")).filter(F.col("w.key") == F.col("key"))
     enough = F.col("n") >= MIN_SAMPLES
-    return named.select(flight, "w.feature_key", F.when(enough, F.get("p", F.col("w.at"))).alias("value"), F.when(~enough, "insufficient_samples").alias("reason"))
+    return named.select(flight, "w.feature_key", F.when(enough, F.get("p", F.col("w.at"))).alias("value"), F.when(~enough,
+        "insufficient_samples").alias("reason"))
 
 
 def worst_ratio(signals: DataFrame, flight: str = "flight", least: int = 1) -> DataFrame:
@@ -72,9 +73,11 @@ def motor_means(motors: DataFrame, flight: str = "flight") -> DataFrame:
 
 def motor_spread(means: DataFrame, flight: str = "flight") -> DataFrame:
     """(flight, mean, spread, highest, reason): spread is (max - min) / mean over the motors' means; highest counts from 1."""
-    out = means.groupBy(flight).agg(F.avg("mean").alias("mean"), F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.count("mean").alias("n"), F.max_by("motor", F.struct("mean", -F.col("motor"))).alias("at"))
+    out = means.groupBy(flight).agg(F.avg("mean").alias("mean"), F.max("mean").alias("hi"), F.min("mean").alias("lo"),
+        F.count("mean").alias("n"), F.max_by("motor", F.struct("mean", -F.col("motor"))).alias("at"))
     few = (F.col("n") < 2) | (F.col("mean") <= 0)
-    return out.select(flight, "mean", F.when(~few, (F.col("hi") - F.col("lo")) / F.col("mean")).alias("spread"), F.when(~few, F.col("at") + 1).alias("highest"), F.when(few, "too_few_motors").alias("reason"))
+    return out.select(flight, "mean", F.when(~few, (F.col("hi") - F.col("lo")) / F.col("mean")).alias("spread"), F.when(~few, F.col("at")
+        + 1).alias("highest"), F.when(few, "too_few_motors").alias("reason"))
 
 
 def motor_pattern(means: DataFrame, geometry: DataFrame, flight: str = "flight") -> DataFrame:
@@ -124,9 +127,12 @@ def motor_pattern(means: DataFrame, geometry: DataFrame, flight: str = "flight")
         .when(modelled, "same_spin_set_high")
         .otherwise("mixed")
     )
-    toward = F.when(F.abs("bx") >= F.abs("by"), F.when(F.col("bx") > 0, "front").otherwise("rear")).otherwise(F.when(F.col("by") > 0, "right").otherwise("left"))
-    detail = F.when(pattern == "single_motor_high", (1 - F.get("order", F.lit(0))["m"]).cast("string")).when(pattern == "one_side_high", toward).when(pattern == "same_spin_set_high", F.when(F.col("high_spin") > 0, "+").otherwise("-"))
-    return out.select(flight, pattern.alias("pattern"), detail.alias("detail"), F.round("side", 3).alias("r2_one_side"), F.round("spin", 3).alias("r2_same_spin"), F.when(F.col("missing") > 0, "geometry_unavailable").alias("reason"))
+    toward = F.when(F.abs("bx") >= F.abs("by"), F.when(F.col("bx") > 0, "front").otherwise("rear")).otherwise(F.when(F.col("by") > 0,
+        "right").otherwise("left"))
+    detail = F.when(pattern == "single_motor_high", (1 - F.get("order", F.lit(0))["m"]).cast("string")).when(pattern == "one_side_high",
+        toward).when(pattern == "same_spin_set_high", F.when(F.col("high_spin") > 0, "+").otherwise("-"))
+    return out.select(flight, pattern.alias("pattern"), detail.alias("detail"), F.round("side", 3).alias("r2_one_side"), F.round("spin",
+        3).alias("r2_same_spin"), F.when(F.col("missing") > 0, "geometry_unavailable").alias("reason"))
 
 
 def pack_resistance(battery: DataFrame, cells: Column | None = None, flight: str = "flight") -> DataFrame:
@@ -143,7 +149,8 @@ def pack_resistance(battery: DataFrame, cells: Column | None = None, flight: str
         F.count(F.lit(1)).alias("n"),
         F.avg("amps").alias("mean_i"),
         p.alias("p"),
-        *(cov(a, b).alias(n) for a, b, n in (("mah", "mah", "cc"), ("amps", "amps", "ii"), ("mah", "amps", "ci"), ("mah", "volts", "cv"), ("amps", "volts", "iv"), ("volts", "volts", "vv"))),
+        *(cov(a, b).alias(n) for a, b, n in (("mah", "mah", "cc"), ("amps", "amps", "ii"), ("mah", "amps", "ci"), ("mah", "volts", "cv"),
+            ("amps", "volts", "iv"), ("volts", "volts", "vv"))),
     )
     det = F.col("cc") * F.col("ii") - F.col("ci") * F.col("ci")
     slope = F.try_divide(F.col("iv") * F.col("cc") - F.col("cv") * F.col("ci"), det)
@@ -158,7 +165,8 @@ def pack_resistance(battery: DataFrame, cells: Column | None = None, flight: str
         .when(F.col("r").isNull() | (F.col("r") <= 0), "non_physical_fit")
     )
     fine = reason.isNull()
-    return s.select(flight, F.when(fine, F.col("r") / cells * 1000).alias("r_cell_mohm"), F.when(fine, se).alias("se_ohm"), F.when(fine, 1 - F.try_divide(F.col("rest"), F.col("vv"))).alias("r2"), "n", reason.alias("reason"))
+    return s.select(flight, F.when(fine, F.col("r") / cells * 1000).alias("r_cell_mohm"), F.when(fine, se).alias("se_ohm"), F.when(fine, 1
+        - F.try_divide(F.col("rest"), F.col("vv"))).alias("r2"), "n", reason.alias("reason"))
 
 
 def hover_sag(volts: DataFrame, before: DataFrame, steady: DataFrame, cells: float = 1.0, flight: str = "flight") -> DataFrame:
@@ -182,7 +190,8 @@ def cell_count(parameter: Column, signal_median: Column) -> Column:
     return F.coalesce(F.nullif(parameter, F.lit(0)), F.round(signal_median).cast("int"))
 
 
-def rate_tracking(setpoints: DataFrame, gyro: DataFrame, rate_hz: float, threshold: float = MANOEUVRE_RATE, key: str = "key", need_s: float = MANOEUVRE_S) -> DataFrame:
+def rate_tracking(setpoints: DataFrame, gyro: DataFrame, rate_hz: float, threshold: float = MANOEUVRE_RATE, key: str = "key",
+    need_s: float = MANOEUVRE_S) -> DataFrame:
     """(key, ratio, active, reason): RMS of gyro less setpoint over RMS of setpoint, on commanded motion.
 
     The gyro is interpolated at the setpoints' times. Needs need_s seconds of setpoints beyond the threshold.
@@ -190,7 +199,8 @@ def rate_tracking(setpoints: DataFrame, gyro: DataFrame, rate_hz: float, thresho
     rows = at_times(gyro, setpoints.select(key, "us", F.col("value").alias("sp")), key, clamp=True)
     error = F.col("value") - F.col("sp")
     active = F.abs("sp") > threshold
-    out = rows.groupBy(key).agg(F.count_if(active).alias("active"), F.sqrt(F.avg(F.when(active, error * error))).alias("e"), F.sqrt(F.avg(F.when(active, F.col("sp") * F.col("sp")))).alias("s"))
+    out = rows.groupBy(key).agg(F.count_if(active).alias("active"), F.sqrt(F.avg(F.when(active, error * error))).alias("e"),
+        F.sqrt(F.avg(F.when(active, F.col("sp") * F.col("sp")))).alias("s"))
     few = F.col("active") < int(need_s * rate_hz)
     return out.select(key, F.when(~few, F.try_divide("e", "s")).alias("ratio"), "active", F.when(few, "insufficient_manoeuvring").alias("reason"))
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[..., tuple | None]], inputs: list[str], outputs: str) -> DataFrame:
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[..., tuple | None]], inputs: list[str],
+    outputs: str) -> DataFrame:
     """Adds output columns that a stateful step computes from each row's inputs, in order within a key.
 
     start() gives a fresh step for a key; step(*inputs) gives the row's outputs, or None to leave the row out. Rows are

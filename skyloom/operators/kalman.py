@@ -62,7 +62,8 @@ def smooth(readings: DataFrame, value: str = "altitude", reset_gap_s: float = RE
     Innovation and NIS are null at the start of a track.
     """
     rows = tracks(readings, value, reset_gap_s, second_us)
-    return fold_sorted(rows, ["drone_id", "track"], ["us", "reading_id"], altitude_filter(ACCELERATION_STD**2, MEASUREMENT_STD**2), ["value", "dt"], "filtered double, velocity double, deviation double, innovation double, nis double")
+    return fold_sorted(rows, ["drone_id", "track"], ["us", "reading_id"], altitude_filter(ACCELERATION_STD**2, MEASUREMENT_STD**2),
+        ["value", "dt"], "filtered double, velocity double, deviation double, innovation double, nis double")
 
 
 def fault_runs(smoothed: DataFrame, cut: float = NIS_95, least: int = FAULT_RUN) -> DataFrame:
@@ -74,7 +75,8 @@ def fault_runs(smoothed: DataFrame, cut: float = NIS_95, least: int = FAULT_RUN)
     rows = smoothed.withColumn("nis", F.round("nis", 3)).withColumn("place", F.row_number().over(order))
     over = rows.filter(F.col("nis") > cut)
     over = over.withColumn("run", F.col("place") - F.row_number().over(order))
-    runs = over.groupBy("drone_id", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.max("nis").alias("peak_nis")).filter(F.col("n") >= least)
+    runs = over.groupBy("drone_id", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"),
+        F.max("nis").alias("peak_nis")).filter(F.col("n") >= least)
     return runs.select("drone_id", "start_us", "end_us", "n", "peak_nis", F.when(F.col("peak_nis") > NIS_99, "CRITICAL").otherwise("WARNING").alias("severity"))
 
 
@@ -170,4 +172,5 @@ def fuse(readings: DataFrame, reset_gap_s: float = RESET_GAP_S) -> DataFrame:
     """
     rows = to_local_metres(readings).select("drone_id", "reading_id", "us", "east", "north", "altitude", "speed", "roll", "pitch", "yaw")
     names = ("x", "y", "z", "vx", "vy", "vz", "roll_est", "pitch_est", "yaw_est", "position_std")
-    return fold_sorted(rows, ["drone_id"], ["us", "reading_id"], nine_state_filter(reset_gap_s), ["us", "east", "north", "altitude", "speed", "roll", "pitch", "yaw"], ", ".join(f"{n} double" for n in names))
+    return fold_sorted(rows, ["drone_id"], ["us", "reading_id"], nine_state_filter(reset_gap_s), ["us", "east", "north", "altitude",
+        "speed", "roll", "pitch", "yaw"], ", ".join(f"{n} double" for n in names))

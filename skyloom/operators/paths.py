@@ -44,7 +44,8 @@ def near_obstacles(points: DataFrame, obstacles: DataFrame, radius: float = RADI
     bucket = lambda c, shift=None: F.floor(F.col(c) / radius) + (F.lit(0) if shift is None else shift)
     shifts = F.array(*[F.struct(*[F.lit(s).alias(a) for s, a in zip(shift, axes, strict=True)]) for shift in itertools.product((-1, 0, 1), repeat=len(axes))])
     places = obstacles.select(scene, *[F.col(a).alias(f"o_{a}") for a in axes], *[bucket(a).alias(f"b_{a}") for a in axes])
-    looks = points.select(scene, *axes).distinct().withColumn("shift", F.explode(shifts)).select(scene, *axes, *[bucket(a, F.col(f"shift.{a}")).alias(f"b_{a}") for a in axes])
+    looks = points.select(scene, *axes).distinct().withColumn("shift", F.explode(shifts)).select(scene, *axes, *[bucket(a,
+        F.col(f"shift.{a}")).alias(f"b_{a}") for a in axes])
     near = distance([F.col(a) for a in axes], [F.col(f"o_{a}") for a in axes]) <= radius
     hits = looks.join(places, [scene, *[f"b_{a}" for a in axes]]).filter(near).select(scene, *axes).distinct()
     return points.join(hits.withColumn("hit", F.lit(True)), [scene, *axes], "left").withColumn("blocked", F.coalesce("hit", F.lit(False))).drop("hit")
@@ -124,7 +125,8 @@ def risk_of(obstacles: np.ndarray, places: np.ndarray, radius: float):
     return risk
 
 
-def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y"), radius: float = RADIUS, cell: float = CELL, margin: float = MARGIN, spread: float | None = None, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y"), radius: float = RADIUS, cell: float = CELL,
+    margin: float = MARGIN, spread: float | None = None, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """(request, i, axes): way points of each request; a request without a way has none.
 
     requests: request, start_<axis>, goal_<axis>; obstacles: request, axes. With spread, obstacles are uncertain by that
@@ -178,7 +180,8 @@ def quintic(p0, p1, v0, v1, duration: float) -> np.ndarray:
     return np.array([p0, v0, np.zeros_like(p0), 10 * a / t**3 - 4 * b / t**2, -15 * a / t**4 + 7 * b / t**3, 6 * a / t**5 - 3 * b / t**4])
 
 
-def trajectory(points: np.ndarray, obstacles: np.ndarray, max_velocity: float, max_acceleration: float, tolerance: float, clearance: float, rate_hz: float = 20.0) -> tuple[np.ndarray, bool]:
+def trajectory(points: np.ndarray, obstacles: np.ndarray, max_velocity: float, max_acceleration: float, tolerance: float, clearance: float,
+    rate_hz: float = 20.0) -> tuple[np.ndarray, bool]:
     """(rows of t and position, smooth): a least-jerk spline through simplified way points within velocity and acceleration.
 
     Where the spline comes too near an obstacle the tolerance is halved, RETRIES times; after that the raw way is kept.
@@ -211,7 +214,8 @@ def trajectory(points: np.ndarray, obstacles: np.ndarray, max_velocity: float, m
     return np.column_stack([np.r_[0, np.cumsum(length)] / max_velocity, points]), False
 
 
-def smooth(ways: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), max_velocity: float = 5.0, max_acceleration: float = 2.5, tolerance: float = 0.5, clearance: float = RADIUS) -> DataFrame:
+def smooth(ways: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), max_velocity: float = 5.0,
+    max_acceleration: float = 2.5, tolerance: float = 0.5, clearance: float = RADIUS) -> DataFrame:
     """(request, t, axes, smooth): timed positions along each request's way; a single point stands still at time 0."""
 
     def run(way: pd.DataFrame, scene: pd.DataFrame) -> pd.DataFrame:
@@ -219,10 +223,12 @@ def smooth(ways: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x",
         columns = ["request", "t", *axes, "smooth"]
         if not len(points):
             return pd.DataFrame(columns=columns)
-        rows, fine = (np.column_stack([[0.0], points]), True) if len(points) == 1 else trajectory(points, scene[list(axes)].to_numpy(float), max_velocity, max_acceleration, tolerance, clearance)
+        rows, fine = (np.column_stack([[0.0], points]), True) if len(points) == 1 else trajectory(points, scene[list(axes)].to_numpy(float),
+            max_velocity, max_acceleration, tolerance, clearance)
         out = pd.DataFrame(rows, columns=["t", *axes])
         return out.assign(request=way.request.iloc[0], smooth=fine)[columns]
 
     kind = dict(ways.dtypes)["request"]
     obstacles = obstacles.select(F.col("request").alias("request"), *[F.col(a).alias(a) for a in axes])
-    return ways.groupBy("request").cogroup(obstacles.groupBy("request")).applyInPandas(run, f"request {kind}, t double, " + ", ".join(f"{a} double" for a in axes) + ", smooth boolean")
+    return ways.groupBy("request").cogroup(obstacles.groupBy("request")).applyInPandas(run, f"request {kind}, t double, "
+        + ", ".join(f"{a} double" for a in axes) + ", smooth boolean")

@@ -90,7 +90,8 @@ def score_features(admitted: DataFrame) -> DataFrame:
     seen = Window.partitionBy("drone_id", "baseline_group", "feature_key").orderBy("flight_index").rowsBetween(Window.unboundedPreceding, -1)
     counted = F.col("qualified") & F.col("valid") & F.col("value").isNotNull()
     rows = rows.withColumn("valid_before", F.count_if(counted).over(seen)).withColumn("bad_before", F.count_if(counted & F.col("absolute_bad")).over(seen))
-    skip = F.when(~F.col("valid") | F.col("value").isNull(), F.coalesce("reason", F.lit("feature_invalid"))).when(F.col("tier") == "R3", "tier_r3_never_scored").when(F.col("absolute_status").startswith("usage"), "usage_note_only").when(~F.col("baselined"), "detail_only")
+    skip = F.when(~F.col("valid") | F.col("value").isNull(), F.coalesce("reason", F.lit("feature_invalid"))).when(F.col("tier") == "R3",
+        "tier_r3_never_scored").when(F.col("absolute_status").startswith("usage"), "usage_note_only").when(~F.col("baselined"), "detail_only")
     rows = rows.withColumn("unscored_reason", skip)
     scored = F.col("unscored_reason").isNull()
     own, s_abs, weight = baseline_score(F.col("z")), F.col("absolute_score"), blend_weight(F.col("n"))
@@ -100,7 +101,8 @@ def score_features(admitted: DataFrame) -> DataFrame:
     capped = F.coalesce(F.col("absolute_bad") & (raw > ABSOLUTE_BAD_CAP), F.lit(False))
     rows = rows.withColumn("capped", scored & capped).withColumn("score", F.when(scored, one_digit(F.when(capped, ABSOLUTE_BAD_CAP).otherwise(raw))))
     rows = rows.withColumn("mode", F.when(scored, F.when(use, mode(F.col("n"))).otherwise("absolute")))
-    rows = rows.withColumn("status", F.when(F.col("unscored_reason") == "usage_note_only", "usage").when(~scored, "unscored").when(F.col("score").isNull(), "learning").otherwise("scored"))
+    rows = rows.withColumn("status", F.when(F.col("unscored_reason") == "usage_note_only", "usage").when(~scored,
+        "unscored").when(F.col("score").isNull(), "learning").otherwise("scored"))
     confidence = (
         F.when((F.col("tier") == "R2") & (F.col("n") < 5), "low")
         .when(F.col("mode") == "personal", F.when((F.col("n") >= HIGH_FROM) & (F.col("tier") == "R1"), "high").otherwise("medium"))
@@ -129,7 +131,8 @@ def rollup(scores: DataFrame, flight: tuple[str, ...] = ("drone_id", "flight_ind
     A subsystem counts if it has a scored feature; an overall score needs four of them.
     """
     scored = F.when(F.col("status") == "scored", F.col("score"))
-    subsystems = scores.groupBy(*flight, "subsystem").agg(one_digit(combined(scored)).alias("own"), F.min(scored).alias("worst"), F.count_if(F.col("status") == "scored").alias("scored"), F.count_if("valid").alias("valid"), F.count(F.lit(1)).alias("total"))
+    subsystems = scores.groupBy(*flight, "subsystem").agg(one_digit(combined(scored)).alias("own"), F.min(scored).alias("worst"),
+        F.count_if(F.col("status") == "scored").alias("scored"), F.count_if("valid").alias("valid"), F.count(F.lit(1)).alias("total"))
     out = subsystems.groupBy(*flight).agg(
         F.count("own").alias("scored_subsystems"), one_digit(combined(F.col("own"))).alias("raw"), F.min("worst").alias("worst_score"), F.sum("scored").alias("features_scored"), F.sum("valid").alias("features_valid"), F.sum("total").alias("features_total")
     )
@@ -140,13 +143,15 @@ def rollup(scores: DataFrame, flight: tuple[str, ...] = ("drone_id", "flight_ind
         ceiling = F.when(worst == name, most).otherwise(ceiling)
     applied = F.coalesce(enough & (F.col("raw") > ceiling), F.lit(False))
     overall = F.when(enough, F.when(applied, ceiling).otherwise(F.col("raw")))
-    return out.select(*flight, "scored_subsystems", overall.alias("overall"), band(overall).alias("score_band"), applied.alias("capped"), "worst_score", "features_scored", "features_valid", "features_total")
+    return out.select(*flight, "scored_subsystems", overall.alias("overall"), band(overall).alias("score_band"), applied.alias("capped"),
+        "worst_score", "features_scored", "features_valid", "features_total")
 
 
 def subsystem_scores(scores: DataFrame, flight: tuple[str, ...] = ("drone_id", "flight_index")) -> DataFrame:
     """(flight, subsystem, score, worst_feature) of subsystems that have a scored feature."""
     rows = scores.filter("status = 'scored'")
-    return rows.groupBy(*flight, "subsystem").agg(one_digit(combined(F.col("score"))).alias("score"), F.min_by("feature_key", F.struct("score", "place")).alias("worst_feature"))
+    return rows.groupBy(*flight, "subsystem").agg(one_digit(combined(F.col("score"))).alias("score"), F.min_by("feature_key",
+        F.struct("score", "place")).alias("worst_feature"))
 
 
 # Checks of a first flight: name, feature, passing rule, status of a failure, confidence, for one autopilot only.
@@ -167,8 +172,10 @@ def checklist(features: DataFrame, flight: tuple[str, ...] = ("drone_id", "fligh
 
     A check without a value is unavailable.
     """
-    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(f).alias("feature_key"), F.lit(fail).alias("fail"), F.lit(conf).alias("confidence"), F.lit(only).cast("string").alias("only")) for c, f, _, fail, conf, only in CHECKS])
-    flights = features.select(*flight, "autopilot").distinct().withColumn("c", F.explode(rows)).select(*flight, "autopilot", "c.*").filter("only IS NULL OR only = autopilot")
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(f).alias("feature_key"), F.lit(fail).alias("fail"),
+        F.lit(conf).alias("confidence"), F.lit(only).cast("string").alias("only")) for c, f, _, fail, conf, only in CHECKS])
+    flights = features.select(*flight, "autopilot").distinct().withColumn("c", F.explode(rows)).select(*flight, "autopilot",
+        "c.*").filter("only IS NULL OR only = autopilot")
     ok = F.lit(False)
     for _, feature, rule, _, _, _ in CHECKS:
         ok = F.when(F.col("feature_key") == feature, F.expr(rule)).otherwise(ok)
@@ -217,12 +224,14 @@ def findings(scores: DataFrame, flight: tuple[str, ...] = ("drone_id", "flight_i
         .otherwise("absolute")
     )
     rows = scores.filter(F.col("value").isNotNull()).withColumn("kind", kind).filter("kind IS NOT NULL")
-    rows = rows.withColumn("cause", cause_group(F.col("feature_key"), F.col("pattern"))).withColumn("rank_score", F.coalesce(F.when(F.col("kind") == "definitional", DEFINITIONAL_RANK), F.col("score"), F.lit(DEFINITIONAL_RANK)))
+    rows = rows.withColumn("cause", cause_group(F.col("feature_key"), F.col("pattern"))).withColumn("rank_score",
+        F.coalesce(F.when(F.col("kind") == "definitional", DEFINITIONAL_RANK), F.col("score"), F.lit(DEFINITIONAL_RANK)))
     order = Window.partitionBy(*flight, "cause").orderBy("rank_score", F.col("tier") != "R1", "place")
     ranked = rows.withColumn("rank", F.row_number().over(order))
     related = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "feature_key"))))
     lead = lambda c: F.min_by(c, "rank").alias(c)
-    out = ranked.groupBy(*flight, "cause").agg(lead("feature_key"), lead("kind"), lead("rank_score"), F.transform(related, lambda x: x["feature_key"]).alias("related"))
+    out = ranked.groupBy(*flight, "cause").agg(lead("feature_key"), lead("kind"), lead("rank_score"), F.transform(related,
+        lambda x: x["feature_key"]).alias("related"))
     return out
 
 

@@ -60,7 +60,8 @@ def at_times(samples: DataFrame, targets: DataFrame, key: str = "key", hold: boo
     """
     by = Window.partitionBy(key).orderBy("us")
     ends = Window.partitionBy(key)
-    rows = samples.select(key, "us", F.struct(F.col("us").cast("double").alias("us"), F.col("value").cast("double").alias("v"), F.lead("us").over(by).cast("double").alias("us2"), F.lead("value").over(by).cast("double").alias("v2")).alias("s"))
+    rows = samples.select(key, "us", F.struct(F.col("us").cast("double").alias("us"), F.col("value").cast("double").alias("v"),
+        F.lead("us").over(by).cast("double").alias("us2"), F.lead("value").over(by).cast("double").alias("v2")).alias("s"))
     merged = rows.withColumn("side", F.lit(0)).unionByName(targets.withColumn("side", F.lit(1)), allowMissingColumns=True)
     running = Window.partitionBy(key).orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
     merged = merged.withColumn("left", F.last("s", ignorenulls=True).over(running))
@@ -94,9 +95,11 @@ def runs(rows: DataFrame, flag: Column, key: str = "key", order: tuple[str, ...]
     next_us is the time of the first row after the stretch; where there is none, that of its last row.
     """
     by = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("place", F.row_number().over(by)).withColumn("after", F.coalesce(F.lead("us").over(by), F.col("us"))).filter(F.coalesce(flag, F.lit(False)))
+    marked = rows.withColumn("place", F.row_number().over(by)).withColumn("after", F.coalesce(F.lead("us").over(by),
+        F.col("us"))).filter(F.coalesce(flag, F.lit(False)))
     marked = marked.withColumn("run", F.col("place") - F.row_number().over(by))
-    return marked.groupBy(key, "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.max("after").alias("next_us"))
+    return marked.groupBy(key, "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"),
+        F.max("after").alias("next_us"))
 
 
 def longest_run(rows: DataFrame, flag: Column, key: str = "key", order: tuple[str, ...] = ("us",)) -> DataFrame:
@@ -136,7 +139,8 @@ def first_lasting(rows: DataFrame, flag: Column, need: int, key: str = "key", or
 
 def anchor(armed: DataFrame, takeoff: DataFrame, first: DataFrame, key: str = "key") -> DataFrame:
     """(key, us, source): armed, else takeoff, else the first sample."""
-    rows = first.select(key, F.col("us").alias("f")).join(armed.select(key, F.col("us").alias("a")), key, "left").join(takeoff.select(key, F.col("us").alias("t")), key, "left")
+    rows = first.select(key, F.col("us").alias("f")).join(armed.select(key, F.col("us").alias("a")), key, "left").join(takeoff.select(key,
+        F.col("us").alias("t")), key, "left")
     source = F.when(F.col("a").isNotNull(), "armed").when(F.col("t").isNotNull(), "takeoff").otherwise("first_sample")
     return rows.select(key, F.coalesce("a", "t", "f").alias("us"), source.alias("source"))
 
@@ -182,7 +186,8 @@ def counter_rate(rows: DataFrame, spans: DataFrame, key: str = "key") -> DataFra
     out = rows.groupBy(key).agg(at("start_us").alias("a"), at("end_us").alias("b"), (F.first("end_us") - F.first("start_us")).alias("span"))
     grown = F.col("b") - F.col("a")
     reason = F.when(F.col("a").isNull() | F.col("b").isNull(), "no_samples").when(grown < 0, "counter_reset")
-    return out.select(key, F.when(reason.isNull(), grown).alias("increase"), F.when(reason.isNull() & (F.col("span") > 0), grown / (F.col("span") / 6e7)).alias("per_minute"), reason.alias("reason"))
+    return out.select(key, F.when(reason.isNull(), grown).alias("increase"), F.when(reason.isNull() & (F.col("span") > 0), grown
+        / (F.col("span") / 6e7)).alias("per_minute"), reason.alias("reason"))
 
 
 def modal(rows: DataFrame, value: str, key: str = "key") -> DataFrame:

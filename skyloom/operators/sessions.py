@@ -28,7 +28,8 @@ def with_steps(readings: DataFrame, gap_s: float = SESSION_GAP_S) -> DataFrame:
     order = Window.partitionBy("drone_id").orderBy("us", "reading_id")
     before = {c: F.lag(c).over(order) for c in ("us", "latitude", "longitude", "battery")}
     begins = before["us"].isNull() | (F.col("us") - before["us"] > gap_s * 1e6)
-    metres = F.when(~begins & before["latitude"].isNotNull() & F.col("latitude").isNotNull(), flat_metres(before["latitude"], before["longitude"], F.col("latitude"), F.col("longitude")))
+    metres = F.when(~begins & before["latitude"].isNotNull() & F.col("latitude").isNotNull(), flat_metres(before["latitude"],
+        before["longitude"], F.col("latitude"), F.col("longitude")))
     charged = F.coalesce(F.col("battery") - before["battery"] >= CHARGE_STEP, F.lit(False))
     return readings.select("*", begins.alias("begins"), metres.alias("metres"), charged.alias("charged"))
 
@@ -44,7 +45,8 @@ def sessions(readings: DataFrame, gap_s: float = SESSION_GAP_S) -> DataFrame:
     return (
         with_sessions(readings, gap_s)
         .groupBy("drone_id", "session")
-        .agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("readings"), F.coalesce(F.sum("metres"), F.lit(0.0)).alias("metres"))
+        .agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("readings"), F.coalesce(F.sum("metres"),
+            F.lit(0.0)).alias("metres"))
         .withColumn("seconds", (F.col("end_us") - F.col("start_us")) / 1e6)
     )
 

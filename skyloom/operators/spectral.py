@@ -43,11 +43,13 @@ def welch(series: DataFrame, rate: float, key: str = "key", order: str = "us") -
     rows = rows.withColumn("length", segment_length(F.col("n"))).withColumn("step", F.col("length") - F.floor(F.col("length") / 2).cast("int"))
     at = F.floor(F.col("i") / F.col("step")).cast("int")
     last = F.floor((F.col("n") - F.col("length")) / F.col("step")).cast("int")
-    rows = rows.withColumn("last", last).withColumn("segment", F.explode(F.array(at, at - 1))).filter("segment >= 0 AND segment <= last AND i < segment * step + length")
+    rows = rows.withColumn("last", last).withColumn("segment", F.explode(F.array(at, at
+        - 1))).filter("segment >= 0 AND segment <= last AND i < segment * step + length")
     segments = rows.groupBy(key, "segment", "length").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s"))
     power = F.pandas_udf(_density, "array<double>")(F.transform("s", lambda x: x["value"]), F.lit(rate))
     bins = segments.select(key, "length", F.posexplode(power).alias("bin", "power"))
-    return bins.groupBy(key, "bin", "length").agg(F.avg("power").alias("power")).select(key, "bin", (F.col("bin") * rate / F.col("length")).alias("hz"), "power")
+    return bins.groupBy(key, "bin", "length").agg(F.avg("power").alias("power")).select(key, "bin", (F.col("bin") * rate
+        / F.col("length")).alias("hz"), "power")
 
 
 def averaged_density(rows: DataFrame, series: list[str], keys: list[str]) -> DataFrame:
@@ -90,7 +92,8 @@ def band_ratios(spectra: DataFrame, nyquist: float, cutoffs: DataFrame, key: str
     A band must lie under the Nyquist frequency; one that begins above a cutoff was filtered away; one that holds a
     cutoff is partial. Powers are trapezoids over the band's own bins.
     """
-    names = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(float(hi or nyquist)).alias("hi"), F.lit(hi is not None).alias("closed")) for n, lo, hi in BANDS])
+    names = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(float(hi or nyquist)).alias("hi"),
+        F.lit(hi is not None).alias("closed")) for n, lo, hi in BANDS])
     bands = cutoffs.select(key, "cutoff_real", "cutoff_sim", F.explode(names).alias("b")).select(key, "cutoff_real", "cutoff_sim", "b.*")
     rows = spectra.join(bands.select(key, "band", "lo", "hi"), key).filter("hz >= lo AND hz < hi")
     by = Window.partitionBy(key, "band").orderBy("hz")
@@ -106,7 +109,8 @@ def band_ratios(spectra: DataFrame, nyquist: float, cutoffs: DataFrame, key: str
         .when(~(F.coalesce(F.col("real") > 0, F.lit(False)) & F.coalesce(F.col("sim") > 0, F.lit(False))), "no_power_in_band")
     )
     partial = reason.isNull() & any_cut(lambda c: (c > F.col("lo")) & (c < F.col("hi")))
-    return out.select(key, "band", F.when(reason.isNull(), 10 * F.log10(F.col("sim") / F.col("real"))).alias("ratio_db"), reason.alias("reason"), partial.alias("partial"))
+    return out.select(key, "band", F.when(reason.isNull(), 10 * F.log10(F.col("sim") / F.col("real"))).alias("ratio_db"),
+        reason.alias("reason"), partial.alias("partial"))
 
 
 def comparison(spectra: DataFrame, cutoffs: DataFrame, low_rate: DataFrame | None = None, key: str = "pair") -> DataFrame:
@@ -123,7 +127,8 @@ def comparison(spectra: DataFrame, cutoffs: DataFrame, low_rate: DataFrame | Non
     middle = lambda c: F.when(F.sum(c) > 0, F.sum(F.col("hz") * F.col(c)) / F.sum(c))
     out = spectra.groupBy(key).agg(F.sqrt(F.avg(db * db)).alias("lsd_db"), middle("real").alias("centroid_real_hz"), middle("sim").alias("centroid_sim_hz"))
     out = mismatch.join(out, key, "left").join(slow, key, "left").withColumn("centroid_shift_hz", F.col("centroid_sim_hz") - F.col("centroid_real_hz"))
-    reason = F.when(F.col("slow"), "low_rate").when(F.col("lsd_db").isNull(), "insufficient_samples").when(F.col("centroid_shift_hz").isNull(), "no_spectral_power")
+    reason = F.when(F.col("slow"), "low_rate").when(F.col("lsd_db").isNull(),
+        "insufficient_samples").when(F.col("centroid_shift_hz").isNull(), "no_spectral_power")
     figures = [F.when(F.col("slow").isNull(), F.col(c)).alias(c) for c in ("lsd_db", "centroid_real_hz", "centroid_sim_hz", "centroid_shift_hz")]
     return out.select(key, *figures, reason.alias("reason"), "cutoff_mismatch")
 
@@ -137,11 +142,13 @@ def correlation_lags(a: Column, b: Column, most: int) -> Column:
     mean = lambda x: F.aggregate(F.slice(x, 1, n), F.lit(0.0), lambda s, v: s + v) / n
     centred = lambda x: F.transform(F.slice(x, 1, n), lambda v: v - mean(x))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    bound = F.transform(F.array(F.struct(centred(a).alias("a"), centred(b).alias("b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.sqrt(dot(x["a"], x["a"]) * dot(x["b"], x["b"])).alias("norm")))
+    bound = F.transform(F.array(F.struct(centred(a).alias("a"), centred(b).alias("b"))), lambda x: F.struct(x["a"].alias("a"),
+        x["b"].alias("b"), F.sqrt(dot(x["a"], x["a"]) * dot(x["b"], x["b"])).alias("norm")))
 
     def scores(x: Column) -> Column:
         shifted = lambda v, k: F.slice(v, k + 1, n)
-        one = lambda k: F.when(k >= 0, dot(shifted(x["a"], F.greatest(k, F.lit(0))), x["b"])).otherwise(dot(x["a"], shifted(x["b"], F.greatest(-k, F.lit(0)))))
+        one = lambda k: F.when(k >= 0, dot(shifted(x["a"], F.greatest(k, F.lit(0))), x["b"])).otherwise(dot(x["a"], shifted(x["b"],
+            F.greatest(-k, F.lit(0)))))
         return F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda k: F.when(x["norm"] > 0, one(k) / x["norm"]).otherwise(0.0))
 
     return F.transform(bound, scores)[0]

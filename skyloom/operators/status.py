@@ -48,10 +48,12 @@ def battery_estimate(recent: DataFrame) -> DataFrame:
     rows = rows.withColumn("minute", (F.col("us") - first) / 6e7)
     slope, _, fit = line_fit(F.col("minute"), F.col("battery"))
     last = F.max_by("battery", F.struct("us", "reading_id"))
-    out = rows.groupBy("drone_id").agg(slope.alias("slope"), fit.alias("fit"), last.alias("last"), F.count(F.lit(1)).alias("sample_size")).filter(F.col("sample_size") >= MIN_REGRESSION)
+    out = rows.groupBy("drone_id").agg(slope.alias("slope"), fit.alias("fit"), last.alias("last"),
+        F.count(F.lit(1)).alias("sample_size")).filter(F.col("sample_size") >= MIN_REGRESSION)
     drains = F.col("slope") < FLAT_SLOPE
     minutes = F.greatest(F.lit(0.0), -F.col("last") / F.col("slope"))
-    return out.select("drone_id", F.col("slope").alias("drain_per_min"), F.when(drains, minutes).alias("minutes_remaining"), F.when(drains, F.col("fit")).alias("confidence"), "sample_size")
+    return out.select("drone_id", F.col("slope").alias("drain_per_min"), F.when(drains, minutes).alias("minutes_remaining"), F.when(drains,
+        F.col("fit")).alias("confidence"), "sample_size")
 
 
 def outliers(recent: DataFrame, fields: tuple[str, ...] = ("temperature", "speed")) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def first_by_content(rows: DataFrame, keys: list[str], content: Column, order: list[str], failed: Column | None = None) -> DataFrame:
     """The first row of each content per key, by SHA-256; rows whose upload failed don't hold their content back."""
     rows = rows.withColumn("content_sha256", F.sha2(content, 256))
-    place = F.row_number().over(Window.partitionBy(*keys, "content_sha256").orderBy(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(0), *order))
+    place = F.row_number().over(Window.partitionBy(*keys, "content_sha256").orderBy(F.coalesce(failed, F.lit(False)) if failed is not None
+        else F.lit(0), *order))
     return rows.withColumn("place", place).filter("place = 1").drop("place")
 
 

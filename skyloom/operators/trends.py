@@ -29,11 +29,13 @@ def callouts(admitted: DataFrame) -> DataFrame:
     rows = rows.withColumn("reference", F.when(F.col("have") >= 5, reference))
     middle = F.get("reference", F.lit(2))
     deviations = F.sort_array(F.transform("reference", lambda x: F.abs(x - middle)))
-    rows = rows.withColumn("ref", middle).withColumn("half", BAND_SPREADS * F.greatest(1.4826 * F.get(deviations, F.lit(2)), F.col("floor"), F.col("relative_floor") * F.abs(middle)))
+    rows = rows.withColumn("ref", middle).withColumn("half", BAND_SPREADS * F.greatest(1.4826 * F.get(deviations, F.lit(2)), F.col("floor"),
+        F.col("relative_floor") * F.abs(middle)))
     edge = F.when(F.col("lower_is_worse"), F.col("ref") - F.col("half")).otherwise(F.col("ref") + F.col("half"))
     rows = rows.withColumn("edge", edge)
     beyond = F.when(F.col("lower_is_worse"), F.col("value") < F.col("edge")).otherwise(F.col("value") > F.col("edge"))
-    rows = rows.withColumn("beyond", beyond).withColumn("back", F.row_number().over(whole.orderBy(F.desc("flight_index")))).withColumn("next", F.lead("value").over(order))
+    rows = rows.withColumn("beyond", beyond).withColumn("back",
+        F.row_number().over(whole.orderBy(F.desc("flight_index")))).withColumn("next", F.lead("value").over(order))
     inside = ~F.col("beyond")
     last = lambda c: F.max_by(c, "flight_index")
     out = rows.groupBy(*keys).agg(
@@ -91,15 +93,18 @@ def boundaries(drawn: DataFrame, events: DataFrame, resets: DataFrame) -> DataFr
     range_ = drawn.groupBy(*KEYS).agg(F.min("flight_index").alias("first"), F.max("flight_index").alias("last"))
     marks = events.join(F.broadcast(resets), "change_type")
     rows = range_.join(marks, ["drone_id", "feature_key"])
-    return rows.filter((F.col("flight_index") > F.col("first")) & (F.col("flight_index") <= F.col("last"))).select(*KEYS, "flight_index", "source", "change_type")
+    return rows.filter((F.col("flight_index") > F.col("first")) & (F.col("flight_index") <= F.col("last"))).select(*KEYS, "flight_index",
+        "source", "change_type")
 
 
 def guide_crossed(admitted: DataFrame, norms: DataFrame) -> DataFrame:
     """(keys, guide): series whose last three values are all past the nearest edge of a graded or bad-only norm."""
     keys = ["drone_id", "baseline_group", "feature_key"]
-    edges = norms.filter("norm_kind IN ('graded', 'bad_only')").select("feature_key", "autopilot", F.coalesce(F.when(F.col("norm_kind") == "graded", F.col("healthy_edge")), F.col("bad_edge")).alias("guide"))
+    edges = norms.filter("norm_kind IN ('graded', 'bad_only')").select("feature_key", "autopilot",
+        F.coalesce(F.when(F.col("norm_kind") == "graded", F.col("healthy_edge")), F.col("bad_edge")).alias("guide"))
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("flight_index")))
-    rows = admitted.filter(F.col("qualified") & F.col("value").isNotNull()).withColumn("back", back).filter(F.col("back") <= GUIDE).drop("guide").join(F.broadcast(edges), ["feature_key", "autopilot"])
+    rows = admitted.filter(F.col("qualified") & F.col("value").isNotNull()).withColumn("back",
+        back).filter(F.col("back") <= GUIDE).drop("guide").join(F.broadcast(edges), ["feature_key", "autopilot"])
     past = F.when(F.col("lower_is_worse"), F.col("value") < F.col("guide")).otherwise(F.col("value") > F.col("guide"))
     return rows.groupBy(*keys, "guide").agg(F.count_if(past).alias("n")).filter(F.col("n") == GUIDE).drop("n")
 

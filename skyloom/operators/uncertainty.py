@@ -48,4 +48,5 @@ def gust_uncertainty(specs: DataFrame, draws: int = DRAWS) -> DataFrame:
     rows = rows.withColumn("power", power).withColumn("minutes", F.col("energy_wh") / (F.col("power") * F.col("motors")) * 60)
     p = lambda c: F.percentile(c, F.array(*map(F.lit, LEVELS)))
     out = rows.groupBy("spec").agg(F.avg("power").alias("power_mean"), p("power").alias("pw"), p("minutes").alias("mn"))
-    return out.select("spec", "power_mean", *(F.col("pw")[i].alias(f"power_{n}") for i, n in enumerate(("p05", "p50", "p95"))), *(F.col("mn")[i].alias(f"minutes_{n}") for i, n in enumerate(("p05", "p50", "p95"))))
+    return out.select("spec", "power_mean", *(F.col("pw")[i].alias(f"power_{n}") for i, n in enumerate(("p05", "p50", "p95"))),
+        *(F.col("mn")[i].alias(f"minutes_{n}") for i, n in enumerate(("p05", "p50", "p95"))))

@@ -33,7 +33,8 @@ def airborne(signals: DataFrame, flight: str = "flight") -> DataFrame:
     takeoff = _first_held(pull, F.col("excess"), int(S.TAKEOFF_S * 1e6), flight)
     first = rest.groupBy(flight).agg(F.min("us").alias("us"))
     span = S.airborne_span(only("alt.rel"), S.anchor(armed, takeoff, first, flight), AIRBORNE_M, flight)
-    above = span.filter("NOT ground_only AND end_us > start_us").select(flight, "start_us", "end_us", F.lit("altitude_threshold").alias("source"), F.lit(1).cast("long").alias("segments"))
+    above = span.filter("NOT ground_only AND end_us > start_us").select(flight, "start_us", "end_us",
+        F.lit("altitude_threshold").alias("source"), F.lit(1).cast("long").alias("segments"))
     return detected.unionByName(above)
 
 
@@ -58,13 +59,15 @@ def flight_windows(signals: DataFrame, flight: str = "flight", step_us: int = 1_
     base = base.withColumn("reason", reason).withColumn("qualified", reason.isNull())
 
     n = F.greatest(F.lit(2), F.round((F.col("end_us") - F.col("start_us")) / step_us).cast("int") + 1)
-    points = air.select(flight, "start_us", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(flight, (F.col("start_us") + F.col("i").cast("long") * step_us).alias("us"))
+    points = air.select(flight, "start_us", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(flight, (F.col("start_us")
+        + F.col("i").cast("long") * step_us).alias("us"))
     # All signals of a flight are interpolated in one pass: a track is a signal of a flight.
     track = F.struct(F.col(flight).alias("flight"), "key").alias("track")
     samples = signals.filter(F.col("key").isin(*STEADY_SIGNALS)).select(track, "us", "value")
     asked = points.withColumn("key", F.explode(F.array(*map(F.lit, STEADY_SIGNALS)))).select(track, "us")
     small = F.abs("value") < F.when(F.col("track.key") == "vel.z", S.CLIMB_RATE).otherwise(S.BODY_RATE)
-    grid = S.at_times(samples, asked, "track").groupBy(F.col("track.flight").alias(flight), "us").agg(F.bool_and(F.coalesce(small, F.lit(False))).alias("steady"))
+    grid = S.at_times(samples, asked, "track").groupBy(F.col("track.flight").alias(flight), "us").agg(F.bool_and(F.coalesce(small,
+        F.lit(False))).alias("steady"))
     flag = F.col("steady")
     segments = S.steady_segments(grid, flag, int(S.MIN_SEGMENT_S * 1e6 * scale) - step_us, flight)
     steady = segments.groupBy(flight).agg((F.sum(F.col("length_us") + step_us) / 1e6).alias("steady_s"))
@@ -72,8 +75,10 @@ def flight_windows(signals: DataFrame, flight: str = "flight", step_us: int = 1_
     out = base.join(steady, flight, "left").join(have, flight, "left").withColumn("steady_s", F.coalesce("steady_s", F.lit(0.0)))
     missing = F.array_except(F.array(*map(F.lit, STEADY_SIGNALS)), F.coalesce("have", F.array().cast("array<string>")))
     enough = F.col("steady_s") >= S.MIN_STEADY_S * scale
-    why = F.when(F.size(missing) > 0, F.concat(F.lit("signal_absent:"), F.array_join(missing, ","))).when(F.col("qualified") & ~enough, "insufficient_steady_flight")
-    windows = out.select(flight, "qualified", "reason", "start_us", "end_us", "airborne_s", "source", "steady_s", (F.col("qualified") & enough & (F.size(missing) == 0)).alias("steady_qualified"), why.alias("steady_reason"))
+    why = F.when(F.size(missing) > 0, F.concat(F.lit("signal_absent:"), F.array_join(missing, ","))).when(F.col("qualified") & ~enough,
+        "insufficient_steady_flight")
+    windows = out.select(flight, "qualified", "reason", "start_us", "end_us", "airborne_s", "source", "steady_s", (F.col("qualified")
+        & enough & (F.size(missing) == 0)).alias("steady_qualified"), why.alias("steady_reason"))
     return windows, segments
 
 

@@ -16,28 +16,37 @@ from .series import SERIES_SQL, signals
 PLANS = Plans()
 
 
-@PLANS.add("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size * 1.2 NOT BETWEEN 1 AND 40 THEN 'propeller_diameter_in' END, CASE WHEN p_retailprice * 2 NOT BETWEEN 30 AND 3000 THEN 'motor_kv' END, CASE WHEN p_partkey % 20 NOT BETWEEN 1 AND 16 THEN 'battery_cells' END) AS out_of_range FROM part""")
+@PLANS.add("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size * 1.2 NOT BETWEEN 1 AND 40 THEN 'propeller_diameter_in' END, CASE WHEN
+    p_retailprice * 2 NOT BETWEEN 30 AND 3000 THEN 'motor_kv' END, CASE WHEN p_partkey % 20 NOT BETWEEN 1 AND 16 THEN 'battery_cells' END)
+    AS out_of_range FROM part""")
 def spec_validation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "part").select("p_partkey", (F.col("p_size") * 1.2).alias("propeller_diameter_in"), (F.col("p_retailprice") * 2).alias("motor_kv"), (F.col("p_partkey") % 20).alias("battery_cells"))
+    rows = table(spark, folder, "part").select("p_partkey", (F.col("p_size") * 1.2).alias("propeller_diameter_in"), (F.col("p_retailprice")
+        * 2).alias("motor_kv"), (F.col("p_partkey") % 20).alias("battery_cells"))
     return rows.select("p_partkey", F.array_join(validation.out_of_range(rows.columns, validation.SPEC_LIMITS), ",").alias("out_of_range"))
 
 
-@PLANS.add("""SELECT e.drone_id, count(*) FILTER (WHERE t = 'obstacle') AS obstacles, arg_min(CASE WHEN t = 'landing' THEN x END, CASE WHEN t = 'landing' THEN id END) AS landing_x FROM (SELECT l_suppkey AS drone_id, l_orderkey * 10 + l_linenumber + l_partkey / 1e6 AS id, CASE l_returnflag WHEN 'A' THEN 'obstacle' WHEN 'R' THEN 'landing' ELSE 'tree' END AS t, l_quantity AS x FROM lineitem) e GROUP BY e.drone_id""")
+@PLANS.add("""SELECT e.drone_id, count(*) FILTER (WHERE t = 'obstacle') AS obstacles, arg_min(CASE WHEN t = 'landing' THEN x END, CASE WHEN
+    t = 'landing' THEN id END) AS landing_x FROM (SELECT l_suppkey AS drone_id, l_orderkey * 10 + l_linenumber + l_partkey / 1e6 AS id, CASE
+    l_returnflag WHEN 'A' THEN 'obstacle' WHEN 'R' THEN 'landing' ELSE 'tree' END AS t, l_quantity AS x FROM lineitem) e GROUP BY e.drone_id""")
 def scene_objects(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.expr("CASE l_returnflag WHEN 'A' THEN 'obstacle' WHEN 'R' THEN 'landing' ELSE 'tree' END")
-    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("drone_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") + F.col("l_partkey") / 1e6).alias("id"), kind.alias("object_type"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("drone_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        + F.col("l_partkey") / 1e6).alias("id"), kind.alias("object_type"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     obstacles, landing = validation.scene(rows)
     counts = rows.select("drone_id").distinct().join(obstacles.groupBy("drone_id").agg(F.count(F.lit(1)).alias("n")), "drone_id", "left")
     return counts.join(landing, "drone_id", "left").select("drone_id", F.coalesce("n", F.lit(0)).alias("obstacles"), F.col("x").alias("landing_x"))
 
 
-@PLANS.add("""SELECT o_custkey AS drone_id, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS flight_number FROM orders""")
+@PLANS.add("""SELECT o_custkey AS drone_id, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,
+    o_orderkey) AS INTEGER) AS flight_number FROM orders""")
 def flights_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("drone_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("uploaded_at"))
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("drone_id"), F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("uploaded_at"))
     return W.flight_numbers(rows).select("drone_id", "id", "flight_number")
 
 
-@PLANS.add("""SELECT l_orderkey AS flight, string_agg(l_partkey || ':' || CAST(l_quantity AS INTEGER), ',' ORDER BY l_partkey, l_quantity) AS features FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') o ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
+@PLANS.add("""SELECT l_orderkey AS flight, string_agg(l_partkey || ':' || CAST(l_quantity AS INTEGER), ',' ORDER BY l_partkey, l_quantity)
+    AS features FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') o ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
 def features_by_flight(spark: SparkSession, folder: str) -> DataFrame:
     """All features of a set of flights, gathered per flight in order of their key."""
     wanted = table(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -47,14 +56,17 @@ def features_by_flight(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("flight")).agg(text.alias("features"))
 
 
-_LAND_SQL = f"""WITH {SERIES_SQL}, p AS (SELECT *, row_number() OVER w AS place, coalesce(lead(us) OVER w, us) AS after FROM series WINDOW w AS (PARTITION BY key ORDER BY us)), o AS (SELECT *, place - row_number() OVER (PARTITION BY key ORDER BY us) AS run FROM p WHERE value < 60),
+_LAND_SQL = f"""WITH {SERIES_SQL}, p AS (SELECT *, row_number() OVER w AS place, coalesce(lead(us) OVER w, us) AS after FROM series WINDOW w
+    AS (PARTITION BY key ORDER BY us)), o AS (SELECT *, place - row_number() OVER (PARTITION BY key ORDER BY us) AS run FROM p WHERE value < 60),
     r AS (SELECT key, run, min(us) AS s, max(after) AS e FROM o GROUP BY key, run), n AS (SELECT key, count(*) AS segments FROM r GROUP BY key)"""
 
 
-@PLANS.add(f"""{_LAND_SQL} SELECT r.key AS flight, s AS start_us, e AS end_us, 'land_detector' AS source, segments FROM r JOIN n USING (key) WHERE e > s QUALIFY row_number() OVER (PARTITION BY r.key ORDER BY e - s DESC, s) = 1""")
+@PLANS.add(f"""{_LAND_SQL} SELECT r.key AS flight, s AS start_us, e AS end_us, 'land_detector' AS source, segments FROM r JOIN n USING (key)
+    WHERE e > s QUALIFY row_number() OVER (PARTITION BY r.key ORDER BY e - s DESC, s) = 1""")
 def airborne_flights(spark: SparkSession, folder: str) -> DataFrame:
     """Values under 60 mean airborne."""
-    rows = signals(spark, folder).select(F.col("key").alias("flight"), F.lit("land.landed").alias("key"), "us", (F.col("value") >= 60).cast("double").alias("value"))
+    rows = signals(spark, folder).select(F.col("key").alias("flight"), F.lit("land.landed").alias("key"), "us",
+        (F.col("value") >= 60).cast("double").alias("value"))
     return W.airborne(rows)
 
 
@@ -71,9 +83,12 @@ def flight_windows(spark: SparkSession, folder: str) -> DataFrame:
 def _recordings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Each vector repeated into a signal of 50 s, and a copy of it that lags by 0.6 s."""
     rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    wave = F.transform(F.sequence(F.lit(0), F.lit(2499)), lambda i: F.get("e", (i / 40).cast("int")) * F.sin(i / 11.0) + F.get("e", ((i + 20) / 40).cast("int")) * F.cos(i / 17.0))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(2499)), lambda i: F.get("e", (i / 40).cast("int")) * F.sin(i / 11.0) + F.get("e", ((i
+        + 20) / 40).cast("int")) * F.cos(i / 17.0))
     rows = rows.withColumn("wave", wave)
-    one = lambda name, delay: rows.select(F.concat(F.lit(f"{name}-"), "vec_id").alias("log"), F.lit("att.roll").alias("key"), F.posexplode("wave").alias("i", "value"), F.lit(delay).alias("d")).select("log", "key", ((F.col("i") + F.when(F.col("i") > 0, F.col("d")).otherwise(0)) * 20_000).cast("long").alias("us"), "value")
+    one = lambda name, delay: rows.select(F.concat(F.lit(f"{name}-"), "vec_id").alias("log"), F.lit("att.roll").alias("key"),
+        F.posexplode("wave").alias("i", "value"), F.lit(delay).alias("d")).select("log", "key", ((F.col("i") + F.when(F.col("i") > 0,
+        F.col("d")).otherwise(0)) * 20_000).cast("long").alias("us"), "value")
     pairs = rows.select(F.col("vec_id").alias("pair"), F.concat(F.lit("real-"), "vec_id").alias("real_log"), F.concat(F.lit("sim-"), "vec_id").alias("sim_log"))
     return pairs, one("real", 0).unionByName(one("sim", 30))
 
@@ -83,11 +98,19 @@ def aligned_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(A.align(*_recordings(spark, folder)), 4)
 
 
-@PLANS.add(f"""WITH {OBS_SQL}, u(feature_key, name, unit, form, factor) AS (VALUES ('vib.metric_p50', 'Vibration', ' m/s²', '%.1f', 1), ('act.spread', 'Motor spread', '%', '%.0f', 100), ('pwr.r_cell', 'Resistance', ' mΩ/cell', '%.1f', 1), ('gps.nsats_p10', 'Satellites', '', '%.0f', 1), ('gps.eph_p50', 'GPS error', ' m', '%.2f', 1)),
-    r AS (SELECT *, CASE feature_key WHEN 'pwr.r_cell' THEN 'about ' ELSE '' END || printf(form, value * factor) || unit || ', ' || CASE WHEN value >= 40 THEN 'up' ELSE 'down' END || ' ' || printf(form, abs(value - 40) * factor) AS figures, printf(form, 40.0 * factor) || CASE unit WHEN '%' THEN '%' ELSE '' END AS usual,
-        CASE WHEN flight_index < 3 THEN 'low' WHEN flight_index < 10 THEN 'medium' ELSE 'high' END AS confidence, CASE feature_key WHEN 'pwr.r_cell' THEN 'Pack resistance' ELSE name END AS long FROM obs JOIN u USING (feature_key)),
-    l AS (SELECT *, CASE WHEN len(string_split(long || ' ' || figures || ' from a usual ' || usual, ' ')) <= 9 THEN long || ' ' || figures || ' from a usual ' || usual WHEN len(string_split(long || ' ' || figures || ' from ' || usual, ' ')) <= 9 THEN long || ' ' || figures || ' from ' || usual ELSE name || ' ' || figures || ' from ' || usual END AS line FROM r)
-    SELECT drone_id, feature_key, flight_index, CASE confidence WHEN 'low' THEN 'Early read: ' || line WHEN 'medium' THEN 'Looks like ' || CASE WHEN line LIKE 'GPS%' THEN line ELSE lower(line[1]) || line[2:] END ELSE line END AS text FROM l""")
+@PLANS.add(f"""WITH {OBS_SQL}, u(feature_key, name, unit, form, factor) AS (VALUES ('vib.metric_p50', 'Vibration', ' m/s²', '%.1f', 1),
+    ('act.spread', 'Motor spread', '%', '%.0f', 100), ('pwr.r_cell', 'Resistance', ' mΩ/cell', '%.1f', 1), ('gps.nsats_p10', 'Satellites',
+    '', '%.0f', 1), ('gps.eph_p50', 'GPS error', ' m', '%.2f', 1)),
+    r AS (SELECT *, CASE feature_key WHEN 'pwr.r_cell' THEN 'about ' ELSE '' END || printf(form, value * factor) || unit || ', ' || CASE
+        WHEN value >= 40 THEN 'up' ELSE 'down' END || ' ' || printf(form, abs(value - 40) * factor) AS figures, printf(form, 40.0 * factor)
+        || CASE unit WHEN '%' THEN '%' ELSE '' END AS usual,
+        CASE WHEN flight_index < 3 THEN 'low' WHEN flight_index < 10 THEN 'medium' ELSE 'high' END AS confidence, CASE feature_key WHEN
+            'pwr.r_cell' THEN 'Pack resistance' ELSE name END AS long FROM obs JOIN u USING (feature_key)),
+    l AS (SELECT *, CASE WHEN len(string_split(long || ' ' || figures || ' from a usual ' || usual, ' ')) <= 9 THEN long || ' ' || figures
+        || ' from a usual ' || usual WHEN len(string_split(long || ' ' || figures || ' from ' || usual, ' ')) <= 9 THEN long || ' ' ||
+        figures || ' from ' || usual ELSE name || ' ' || figures || ' from ' || usual END AS line FROM r)
+    SELECT drone_id, feature_key, flight_index, CASE confidence WHEN 'low' THEN 'Early read: ' || line WHEN 'medium' THEN 'Looks like ' ||
+        CASE WHEN line LIKE 'GPS%' THEN line ELSE lower(line[1]) || line[2:] END ELSE line END AS text FROM l""")
 def personal_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The line of every observation against 40, hedged by flight number."""
     rows = observations(spark, folder).filter(F.col("feature_key").isin(*FEATURE_OF.values()))

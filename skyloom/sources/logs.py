@@ -21,8 +21,11 @@ BATCH = 50_000
 
 # File marks; element types of both log formats; messages of the telemetry stream with their wire order.
 ULOG_MAGIC, DATAFLASH_HEAD = b"ULog\x01\x12\x35", b"\xa3\x95"
-ULOG_TYPES = {"int8_t": "b", "uint8_t": "B", "int16_t": "h", "uint16_t": "H", "int32_t": "i", "uint32_t": "I", "int64_t": "q", "uint64_t": "Q", "float": "f", "double": "d", "bool": "?", "char": "c"}
-DATAFLASH_TYPES = {"a": ("32h", 1), "b": ("b", 1), "B": ("B", 1), "h": ("h", 1), "H": ("H", 1), "i": ("i", 1), "I": ("I", 1), "f": ("f", 1), "d": ("d", 1), "n": ("4s", 0), "N": ("16s", 0), "Z": ("64s", 0), "c": ("h", 0.01), "C": ("H", 0.01), "e": ("i", 0.01), "E": ("I", 0.01), "L": ("i", 1e-7), "M": ("B", 1), "q": ("q", 1), "Q": ("Q", 1)}
+ULOG_TYPES = {"int8_t": "b", "uint8_t": "B", "int16_t": "h", "uint16_t": "H", "int32_t": "i", "uint32_t": "I", "int64_t": "q",
+    "uint64_t": "Q", "float": "f", "double": "d", "bool": "?", "char": "c"}
+DATAFLASH_TYPES = {"a": ("32h", 1), "b": ("b", 1), "B": ("B", 1), "h": ("h", 1), "H": ("H", 1), "i": ("i", 1), "I": ("I", 1), "f": ("f", 1),
+    "d": ("d", 1), "n": ("4s", 0), "N": ("16s", 0), "Z": ("64s", 0), "c": ("h", 0.01), "C": ("H", 0.01), "e": ("i", 0.01), "E": ("I",
+    0.01), "L": ("i", 1e-7), "M": ("B", 1), "q": ("q", 1), "Q": ("Q", 1)}
 STREAM_MESSAGES = {
     0: ("HEARTBEAT", "IBBBBB", "custom_mode type autopilot base_mode system_status version"),
     1: ("SYS_STATUS", "IIIHHhHHHHHHb", "present enabled health load voltage_battery current_battery drop_rate errors e1 e2 e3 e4 battery_remaining"),
@@ -35,14 +38,16 @@ STREAM_MESSAGES = {
     83: ("ATTITUDE_TARGET", "IffffffffB", "time_boot_ms q0 q1 q2 q3 roll_rate pitch_rate yaw_rate thrust type_mask"),
     116: ("SCALED_IMU", "Ihhhhhhhhh", "time_boot_ms xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
     129: ("SCALED_IMU", "Ihhhhhhhhh", "time_boot_ms xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
-    147: ("BATTERY_STATUS", "iihHHHHHHHHHHhBBBb", "current_consumed energy_consumed temperature v1 v2 v3 v4 v5 v6 v7 v8 v9 v10 current_battery id function type battery_remaining"),
+    147: ("BATTERY_STATUS", "iihHHHHHHHHHHhBBBb",
+        "current_consumed energy_consumed temperature v1 v2 v3 v4 v5 v6 v7 v8 v9 v10 current_battery id function type battery_remaining"),
 }
 
 
 def log_format(content: Column, path: Column) -> Column:
     """ulog, dataflash, tlog or null: by the first bytes, and by the name only where there is no mark."""
     head = F.hex(F.substring(content, 1, 7))
-    return F.when(head.startswith(ULOG_MAGIC.hex().upper()), "ulog").when(head.startswith(DATAFLASH_HEAD.hex().upper()), "dataflash").when(F.lower(path).endswith(".tlog"), "tlog")
+    return F.when(head.startswith(ULOG_MAGIC.hex().upper()), "ulog").when(head.startswith(DATAFLASH_HEAD.hex().upper()),
+        "dataflash").when(F.lower(path).endswith(".tlog"), "tlog")
 
 
 def _text(data: bytes) -> str:
@@ -147,7 +152,8 @@ def dataflash_rows(data: bytes) -> Iterator[tuple]:
         name, shape, fields, length = formats[kind]
         if at + length > len(data):
             break
-        row = {f: (_text(v) if isinstance(v, bytes) else v if scale == 1 else v * scale) for (f, scale), v in zip(fields, shape.unpack_from(data, at + 3), strict=True)}
+        row = {f: (_text(v) if isinstance(v, bytes) else v if scale == 1 else v * scale) for (f, scale), v in zip(fields,
+            shape.unpack_from(data, at + 3), strict=True)}
         at += length
         if name == "PARM":
             yield us, PARAMETER, 0, row.get("Name"), float(row.get("Value", "nan")), None
@@ -204,7 +210,8 @@ def messages(files: DataFrame) -> DataFrame:
     """Messages of all files of a known format; unreadable parts give warning rows, never an exception."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("log", pa.string()), ("seq", pa.int64()), ("us", pa.int64()), ("topic", pa.string()), ("instance", pa.int32()), ("field", pa.string()), ("value", pa.float64()), ("text", pa.string())])
+        schema = pa.schema([("log", pa.string()), ("seq", pa.int64()), ("us", pa.int64()), ("topic", pa.string()), ("instance", pa.int32()),
+            ("field", pa.string()), ("value", pa.float64()), ("text", pa.string())])
         for batch in batches:
             for log, kind, content in zip(*(batch.column(i) for i in range(3)), strict=True):
                 held: list[tuple] = []

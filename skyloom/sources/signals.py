@@ -88,7 +88,8 @@ DATAFLASH_SIGNALS = (
     ("imu.clip1", "VIBE", "Clip1", 1.0),
     ("imu.clip2", "VIBE", "Clip2", 1.0),
     ("gps.sacc", "GPA", "SAcc", 1.0),
-    *((k, t, f, 1.0) for t in ("XKF1", "NKF1") for k, f in (("pos.x", "PN"), ("pos.y", "PE"), ("pos.z", "PD"), ("vel.x", "VN"), ("vel.y", "VE"), ("vel.z", "VD"))),
+    *((k, t, f, 1.0) for t in ("XKF1", "NKF1") for k, f in (("pos.x", "PN"), ("pos.y", "PE"), ("pos.z", "PD"), ("vel.x", "VN"), ("vel.y",
+        "VE"), ("vel.z", "VD"))),
 )
 ARMED_STATE, MOTOR_FUNCTIONS = 2, 101
 OUTPUT_BANKS = ("PWM_MAIN", "PWM_AUX")
@@ -113,13 +114,16 @@ def primary_instances(logged: DataFrame) -> DataFrame:
     """
     data = logged.filter(~F.col("topic").startswith("$"))
     lowest = data.groupBy("log", "topic").agg(F.min("instance").alias("instance"))
-    named = series.modal(data.filter("topic = 'estimator_selector_status' AND field = 'primary_instance'"), "value", "log").select("log", F.col("value").cast("int").alias("named"))
+    named = series.modal(data.filter("topic = 'estimator_selector_status' AND field = 'primary_instance'"), "value", "log").select("log",
+        F.col("value").cast("int").alias("named"))
     device = data.filter("field = 'accel_device_id'").groupBy("log", "topic", "instance").agg(F.min_by("value", "seq").alias("device"))
     estimators = data.filter("topic = 'estimator_status'").select("log", "instance").distinct().withColumnRenamed("instance", "named")
-    chosen = lowest.join(named.join(estimators, ["log", "named"]), "log", "left").withColumn("instance", F.when(F.col("topic") == "estimator_status", F.coalesce("named", "instance")).otherwise(F.col("instance"))).drop("named")
+    chosen = lowest.join(named.join(estimators, ["log", "named"]), "log", "left").withColumn("instance",
+        F.when(F.col("topic") == "estimator_status", F.coalesce("named", "instance")).otherwise(F.col("instance"))).drop("named")
     used = chosen.filter("topic = 'estimator_status'").join(device.filter("topic = 'estimator_status'"), ["log", "topic", "instance"]).select("log", "device")
     unit = device.filter("topic = 'vehicle_imu_status'").join(used, ["log", "device"]).groupBy("log").agg(F.min("instance").alias("unit"))
-    return chosen.join(unit, "log", "left").select("log", "topic", F.when(F.col("topic") == "vehicle_imu_status", F.coalesce("unit", "instance")).otherwise(F.col("instance")).alias("instance"))
+    return chosen.join(unit, "log", "left").select("log", "topic", F.when(F.col("topic") == "vehicle_imu_status", F.coalesce("unit",
+        "instance")).otherwise(F.col("instance")).alias("instance"))
 
 
 def euler(w: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
@@ -131,7 +135,8 @@ def euler(w: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, C
 def by_message(logged: DataFrame, topic: str, fields: dict[str, str]) -> DataFrame:
     """(log, seq, us, names): one row for each message of a topic, fields as columns."""
     rows = logged.filter(F.col("topic") == topic).withColumn("message", F.col("us"))
-    return rows.groupBy("log", "instance", "us").agg(F.min("seq").alias("seq"), *(F.max(F.when(F.col("field") == f, F.col("value"))).alias(n) for n, f in fields.items()))
+    return rows.groupBy("log", "instance", "us").agg(F.min("seq").alias("seq"), *(F.max(F.when(F.col("field") == f,
+        F.col("value"))).alias(n) for n, f in fields.items()))
 
 
 def _named(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -150,7 +155,8 @@ def canonical(logged: DataFrame) -> DataFrame:
     own = logged.join(primary_instances(logged), ["log", "topic", "instance"])
     direct = own.join(F.broadcast(names), ["topic", "field"]).select("log", "key", "seq", "us", (F.col("value") * F.col("factor")).alias("value"), "topic")
     first = F.min(F.when(F.col("topic") == "XKF1", 0).when(F.col("topic") == "NKF1", 1).otherwise(-1)).over(Window.partitionBy("log", "key"))
-    direct = direct.withColumn("best", first).filter("topic NOT IN ('XKF1', 'NKF1') OR (topic = 'XKF1' AND best <= 0) OR (topic = 'NKF1' AND best = 1)").select("log", "seq", "us", "key", "value")
+    direct = direct.withColumn("best",
+        first).filter("topic NOT IN ('XKF1', 'NKF1') OR (topic = 'XKF1' AND best <= 0) OR (topic = 'NKF1' AND best = 1)").select("log", "seq", "us", "key", "value")
 
     q = {f"q{c}": f"q[{i}]" for i, c in enumerate("wxyz")}
     attitude = by_message(own, "vehicle_attitude", q)
@@ -158,7 +164,8 @@ def canonical(logged: DataFrame) -> DataFrame:
     attitude = _named(attitude, {"att.roll": roll, "att.pitch": pitch, "att.yaw": yaw, **{f"att.{c}": F.col(c) for c in q}})
     wanted = by_message(own, "vehicle_attitude_setpoint", {f"q{c}": f"q_d[{i}]" for i, c in enumerate("wxyz")})
     wanted = _named(wanted, {f"att_sp.{c}": F.col(c) for c in q})
-    armed = own.filter("topic = 'vehicle_status' AND field = 'arming_state'").select("log", "seq", "us", F.lit("status.armed").alias("key"), (F.col("value") == ARMED_STATE).cast("double").alias("value"))
+    armed = own.filter("topic = 'vehicle_status' AND field = 'arming_state'").select("log", "seq", "us", F.lit("status.armed").alias("key"),
+        (F.col("value") == ARMED_STATE).cast("double").alias("value"))
 
     parts = direct.unionByName(attitude).unionByName(wanted).unionByName(armed).unionByName(actuators(logged)).unionByName(fifo(logged))
     rows = parts.select(F.struct("log", "key").alias("key"), "seq", "us", "value")
@@ -177,36 +184,48 @@ def actuators(logged: DataFrame) -> DataFrame:
     number = F.regexp_extract("field", r"\[(\d+)\]", 1)
     control = control.select("log", "seq", "us", F.concat(F.lit("act.motor"), number).alias("key"), "value")
     params = logged.filter(F.col("topic") == PARAMETER)
-    function = params.select("log", F.regexp_extract("field", r"^(PWM_MAIN|PWM_AUX)_FUNC(\d+)$", 1).alias("bank"), F.regexp_extract("field", r"_FUNC(\d+)$", 1).alias("channel"), (F.col("value") - MOTOR_FUNCTIONS).cast("int").alias("motor"))
-    px4 = function.filter("bank <> '' AND motor BETWEEN 0 AND 11").groupBy("log", "motor").agg(F.min(F.struct(F.when(F.col("bank") == OUTPUT_BANKS[0], 0).otherwise(1).alias("o"), F.col("channel").cast("int").alias("channel"), "bank")).alias("m"))
-    px4 = px4.select("log", "motor", "m.bank", "m.channel", F.lit("actuator_outputs").alias("topic"), F.concat(F.lit("output["), F.col("m.channel") - 1, F.lit("]")).alias("field"))
-    servo = params.select("log", F.regexp_extract("field", r"^SERVO(\d+)_FUNCTION$", 1).alias("channel"), F.col("value").cast("int").alias("f")).filter("channel <> '' AND (f BETWEEN 33 AND 40 OR f BETWEEN 82 AND 85)")
-    pilot = servo.select("log", F.when(F.col("f") <= 40, F.col("f") - 33).otherwise(F.col("f") - 74).alias("motor"), F.lit("SERVO").alias("bank"), F.col("channel").cast("int").alias("channel"), F.lit("RCOU").alias("topic"), F.concat(F.lit("C"), F.col("channel")).alias("field"))
+    function = params.select("log", F.regexp_extract("field", r"^(PWM_MAIN|PWM_AUX)_FUNC(\d+)$", 1).alias("bank"), F.regexp_extract("field",
+        r"_FUNC(\d+)$", 1).alias("channel"), (F.col("value") - MOTOR_FUNCTIONS).cast("int").alias("motor"))
+    px4 = function.filter("bank <> '' AND motor BETWEEN 0 AND 11").groupBy("log",
+        "motor").agg(F.min(F.struct(F.when(F.col("bank") == OUTPUT_BANKS[0], 0).otherwise(1).alias("o"),
+        F.col("channel").cast("int").alias("channel"), "bank")).alias("m"))
+    px4 = px4.select("log", "motor", "m.bank", "m.channel", F.lit("actuator_outputs").alias("topic"), F.concat(F.lit("output["),
+        F.col("m.channel") - 1, F.lit("]")).alias("field"))
+    servo = params.select("log", F.regexp_extract("field", r"^SERVO(\d+)_FUNCTION$", 1).alias("channel"),
+        F.col("value").cast("int").alias("f")).filter("channel <> '' AND (f BETWEEN 33 AND 40 OR f BETWEEN 82 AND 85)")
+    pilot = servo.select("log", F.when(F.col("f") <= 40, F.col("f") - 33).otherwise(F.col("f") - 74).alias("motor"),
+        F.lit("SERVO").alias("bank"), F.col("channel").cast("int").alias("channel"), F.lit("RCOU").alias("topic"), F.concat(F.lit("C"),
+        F.col("channel")).alias("field"))
     mapping = px4.unionByName(pilot)
-    limit = lambda which: F.when(F.col("bank") == "SERVO", F.concat(F.lit("SERVO"), "channel", F.lit(f"_{which}"))).otherwise(F.concat("bank", F.lit(f"_{which}"), "channel"))
+    limit = lambda which: F.when(F.col("bank") == "SERVO", F.concat(F.lit("SERVO"), "channel",
+        F.lit(f"_{which}"))).otherwise(F.concat("bank", F.lit(f"_{which}"), "channel"))
     maps = mapping.join(parameters(logged), "log", "left")
     low = F.coalesce(F.try_element_at("params", limit("MIN")), F.lit(PWM_RANGE[0]))
     high = F.coalesce(F.try_element_at("params", limit("MAX")), F.lit(PWM_RANGE[1]))
     maps = maps.select("log", "topic", "field", "motor", low.alias("low"), high.alias("high"))
     rows = logged.join(maps, ["log", "topic", "field"])
-    per = rows.groupBy("log", "topic", "instance", "motor").agg((F.max("value") > F.min("value")).cast("int").alias("moves")).groupBy("log", "topic", "instance").agg(F.sum("moves").alias("moves"))
+    per = rows.groupBy("log", "topic", "instance", "motor").agg((F.max("value") > F.min("value")).cast("int").alias("moves")).groupBy("log",
+        "topic", "instance").agg(F.sum("moves").alias("moves"))
     best = per.groupBy("log", "topic").agg(F.max_by("instance", F.struct("moves", -F.col("instance"))).alias("instance"))
     rows = rows.join(best, ["log", "topic", "instance"])
     by = Window.partitionBy("log", "motor")
-    share = F.when((F.min("value").over(by) >= -0.01) & (F.max("value").over(by) <= 1.01) | (F.col("high") <= F.col("low")), F.col("value")).otherwise((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")))
+    share = F.when((F.min("value").over(by) >= -0.01) & (F.max("value").over(by) <= 1.01) | (F.col("high") <= F.col("low")),
+        F.col("value")).otherwise((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")))
     return control.unionByName(rows.select("log", "seq", "us", F.concat(F.lit("act.out"), "motor").alias("key"), share.alias("value")))
 
 
 def fifo(logged: DataFrame) -> DataFrame:
     """(log, seq, us, key, value): batched raw samples, one row each: time + i dt, value x scale, valid ones only."""
-    fields = {"base": "timestamp_sample", "dt": "dt", "scale": "scale", "samples": "samples", **{f"{a}{i}": f"{a}[{i}]" for a in "xyz" for i in range(FIFO_WIDTH)}}
+    fields = {"base": "timestamp_sample", "dt": "dt", "scale": "scale", "samples": "samples", **{f"{a}{i}": f"{a}[{i}]" for a in "xyz"
+        for i in range(FIFO_WIDTH)}}
     out = None
     for topic, prefix in FIFO_TOPICS.items():
         rows = by_message(logged.filter("instance = 0"), topic, fields)
         for axis in "xyz":
             values = F.posexplode(F.slice(F.array(*[F.col(f"{axis}{i}") for i in range(FIFO_WIDTH)]), 1, F.greatest(F.lit(1), F.col("samples").cast("int"))))
             one = rows.filter("samples > 0").select("log", "seq", F.coalesce("base", "us").alias("t"), "dt", "scale", values.alias("i", "v"))
-            one = one.select("log", "seq", (F.col("t") + F.col("i") * F.round("dt")).cast("long").alias("us"), F.lit(f"{prefix}.{axis}").alias("key"), (F.col("v") * F.col("scale")).alias("value")).filter("value IS NOT NULL")
+            one = one.select("log", "seq", (F.col("t") + F.col("i") * F.round("dt")).cast("long").alias("us"),
+                F.lit(f"{prefix}.{axis}").alias("key"), (F.col("v") * F.col("scale")).alias("value")).filter("value IS NOT NULL")
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -217,7 +236,8 @@ def release(code: Column, branch: Column) -> Column:
     part = lambda shift: F.shiftright(n, shift).bitwiseAND(255).cast("string")
     kind = n.bitwiseAND(255)
     label = F.when(kind == 255, "").when(kind >= 192, " rc").when(kind >= 128, " beta").when(kind >= 64, " alpha").otherwise(" dev")
-    return F.when(n != 0, F.concat(part(24), F.lit("."), part(16), F.lit("."), part(8), label, F.when(branch.isNotNull() & (branch != ""), F.concat(F.lit(" ("), branch, F.lit(")"))).otherwise("")))
+    return F.when(n != 0, F.concat(part(24), F.lit("."), part(16), F.lit("."), part(8), label, F.when(branch.isNotNull() & (branch != ""),
+        F.concat(F.lit(" ("), branch, F.lit(")"))).otherwise("")))
 
 
 def provenance(logged: DataFrame) -> DataFrame:
@@ -228,7 +248,8 @@ def provenance(logged: DataFrame) -> DataFrame:
     """
     info = lambda name, c: F.max(F.when((F.col("topic") == INFO) & (F.col("field") == name), F.col(c)))
     param = lambda name: F.max(F.when((F.col("topic") == PARAMETER) & (F.col("field") == name), F.col("value")))
-    banner = F.min_by("text", F.when((F.col("topic") == TEXT) & F.col("text").rlike(r"^\s*(ArduCopter|ArduPlane|ArduRover|ArduSub|ArduPilot|APM)\b"), F.col("seq")))
+    banner = F.min_by("text", F.when((F.col("topic") == TEXT)
+        & F.col("text").rlike(r"^\s*(ArduCopter|ArduPlane|ArduRover|ArduSub|ArduPilot|APM)\b"), F.col("seq")))
     data = ~F.col("topic").startswith("$")
     out = logged.groupBy("log").agg(
         F.coalesce(info("ver_sw", "text"), F.trim(banner)).alias("firmware"),
@@ -237,19 +258,23 @@ def provenance(logged: DataFrame) -> DataFrame:
         F.coalesce(param("SYS_HITL"), F.lit(0.0)).alias("hitl"),
         param("SYS_AUTOSTART").alias("autostart"),
         F.bool_or((F.col("topic") == PARAMETER) & F.col("field").startswith("SIM_")).alias("sim"),
-        F.bool_or(F.coalesce((((F.col("topic") == INFO) & (F.col("field") == "sys_name")) | (F.col("topic") == TEXT)) & F.upper("text").contains("SITL"), F.lit(False))).alias("sitl"),
+        F.bool_or(F.coalesce((((F.col("topic") == INFO) & (F.col("field") == "sys_name")) | (F.col("topic") == TEXT))
+            & F.upper("text").contains("SITL"), F.lit(False))).alias("sitl"),
         info("boot_time_utc_us", "value").alias("boot"),
         F.coalesce(info("start_us", "value"), F.min(F.when(data, F.col("us"))).cast("double")).alias("start"),
     )
-    fix = by_message(logged.filter("instance = 0"), "vehicle_gps_position", {"utc": "time_utc_usec", "fix": "fix_type"}).filter("utc > 0 AND coalesce(fix, 3) >= 3").select("log", "us", "utc")
+    fix = by_message(logged.filter("instance = 0"), "vehicle_gps_position", {"utc": "time_utc_usec",
+        "fix": "fix_type"}).filter("utc > 0 AND coalesce(fix, 3) >= 3").select("log", "us", "utc")
     gps = by_message(logged, "GPS", {"status": "Status", "week": "GWk", "ms": "GMS"}).filter("status >= 3 AND week > 0")
     gps = gps.select("log", "us", ((GPS_EPOCH_S + F.col("week") * WEEK_S + F.col("ms") / 1000 - LEAP_S) * 1e6).alias("utc"))
     first = fix.unionByName(gps).groupBy("log").agg(F.min_by(F.struct("us", "utc"), "us").alias("f"))
     out = out.join(first, "log", "left")
     real = lambda us: F.when(us >= EARLIEST_US, us.cast("long"))
     start = F.coalesce(real(F.when(F.col("boot") > 0, F.col("boot") + F.col("start"))), real(F.col("f.utc") - (F.col("f.us") - F.col("start"))))
-    evidence = F.array_compact(F.array(F.when(F.col("hitl") != 0, "SYS_HITL set"), F.when((F.col("autostart") >= 10000) & (F.col("autostart") < 20000), "simulation airframe"), F.when(F.col("sim"), "SIM_* parameters present"), F.when(F.col("sitl"), "SITL named")))
-    return out.select("log", "firmware", "release", "airframe", F.when(F.size(evidence) > 0, True).alias("looks_simulated"), evidence.alias("evidence"), start.alias("start_utc_us"))
+    evidence = F.array_compact(F.array(F.when(F.col("hitl") != 0, "SYS_HITL set"), F.when((F.col("autostart") >= 10000)
+        & (F.col("autostart") < 20000), "simulation airframe"), F.when(F.col("sim"), "SIM_* parameters present"), F.when(F.col("sitl"), "SITL named")))
+    return out.select("log", "firmware", "release", "airframe", F.when(F.size(evidence) > 0, True).alias("looks_simulated"),
+        evidence.alias("evidence"), start.alias("start_utc_us"))
 
 
 def telemetry_points(logged: DataFrame) -> DataFrame:
@@ -263,7 +288,8 @@ def telemetry_points(logged: DataFrame) -> DataFrame:
     names = sorted({f for own in fields for f in own})
     marked = rows.withColumn("head", F.col("field").isin(*{own[0] for own in fields}).cast("int"))  # a message begins with its first field
     order = Window.partitionBy("log").orderBy("seq")
-    wide = marked.withColumn("message", F.sum("head").over(order)).groupBy("log", "message").agg(F.min("seq").alias("seq"), F.min("us").alias("us"), F.first("topic").alias("topic"), *(F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names))
+    wide = marked.withColumn("message", F.sum("head").over(order)).groupBy("log", "message").agg(F.min("seq").alias("seq"),
+        F.min("us").alias("us"), F.first("topic").alias("topic"), *(F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names))
     at = lambda *topics: F.col("topic").isin(*topics)
     imu = at("SCALED_IMU", "RAW_IMU")
     roll, pitch, yaw = euler(F.col("q0"), F.col("q1"), F.col("q2"), F.col("q3"))
@@ -281,7 +307,8 @@ def telemetry_points(logged: DataFrame) -> DataFrame:
         **{f"accel_{a}": F.when(imu, F.struct((F.col(f"{a}acc") / 1000 * 9.81).alias("v"))) for a in "xyz"},
         **{f"gyro_{a}": F.when(imu, F.struct(F.degrees(F.col(f"{a}gyro") / 1000).alias("v"))) for a in "xyz"},
     }
-    state = wide.select("log", "seq", "us", "topic", F.col("lat").alias("lat7"), F.col("lon").alias("lon7"), F.col("relative_alt").alias("alt_mm"), *(v.alias(n) for n, v in held.items()))
+    state = wide.select("log", "seq", "us", "topic", F.col("lat").alias("lat7"), F.col("lon").alias("lon7"),
+        F.col("relative_alt").alias("alt_mm"), *(v.alias(n) for n, v in held.items()))
     filled = series.forward_filled(state, list(held), "log", ("seq",)).filter("topic = 'GLOBAL_POSITION_INT'")
     return filled.select(
         "log",

@@ -57,25 +57,29 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def counts(stream: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Readings and mean altitude of each vehicle in tumbling windows."""
-    return stream.withWatermark("ts", delay).groupBy("drone_id", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg("altitude").alias("altitude")).select("drone_id", F.col("w.start").alias("start"), "n", "altitude")
+    return stream.withWatermark("ts", delay).groupBy("drone_id", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"),
+        F.avg("altitude").alias("altitude")).select("drone_id", F.col("w.start").alias("start"), "n", "altitude")
 
 
 def sliding_means(stream: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Mean battery of each vehicle in sliding windows."""
-    return stream.withWatermark("ts", delay).groupBy("drone_id", F.window("ts", width, slide).alias("w")).agg(F.avg("battery").alias("battery")).select("drone_id", F.col("w.start").alias("start"), "battery")
+    return stream.withWatermark("ts", delay).groupBy("drone_id", F.window("ts", width,
+        slide).alias("w")).agg(F.avg("battery").alias("battery")).select("drone_id", F.col("w.start").alias("start"), "battery")
 
 
 def live_sessions(stream: DataFrame, gap: str = "45 seconds", delay: str = "10 minutes") -> DataFrame:
     """Sessions that the watermark has closed: start, seconds between first and last reading, readings. A gap of exactly `gap` does not split."""
     w = F.session_window("ts", gap)
-    out = stream.withWatermark("ts", delay).groupBy("drone_id", w.alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("readings"))
+    out = stream.withWatermark("ts", delay).groupBy("drone_id", w.alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"),
+        F.count(F.lit(1)).alias("readings"))
     return out.select("drone_id", "start", (F.unix_micros("last") - F.unix_micros("start")).alias("length_us"), "readings")
 
 
 FILTER_OUTPUT = "drone_id long, reading_id long, us long, value double, filtered double, velocity double, innovation double, nis double"
 
 
-def live_filter(stream: DataFrame, value: str = "altitude", reset_gap_s: float = RESET_GAP_S, second_us: float = 1e6, delay: str = "10 minutes", forget_s: float = 3600.0) -> DataFrame:
+def live_filter(stream: DataFrame, value: str = "altitude", reset_gap_s: float = RESET_GAP_S, second_us: float = 1e6,
+    delay: str = "10 minutes", forget_s: float = 3600.0) -> DataFrame:
     """The altitude filter on a stream: its state goes from one micro-batch to the next.
 
     Readings of a micro-batch are put in order first. One that is not later than the vehicle's last is left out, as is a
@@ -104,7 +108,8 @@ def live_filter(stream: DataFrame, value: str = "altitude", reset_gap_s: float =
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FILTER_OUTPUT.split(", ")])
 
     rows = stream.withWatermark("ts", delay).select("drone_id", "reading_id", "ts", F.unix_micros("ts").alias("us"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("drone_id").applyInPandasWithState(step, FILTER_OUTPUT, "last long, x double, v double, a double, b double, c double", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("drone_id").applyInPandasWithState(step, FILTER_OUTPUT,
+        "last long, x double, v double, a double, b double, c double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_connection(stream: DataFrame) -> DataFrame:
@@ -123,4 +128,5 @@ def deliver(stream: DataFrame, watchers: Callable[[], DataFrame], send: Callable
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Writes what there is to a Parquet table, exactly once, and ends; the checkpoint takes the place of job states."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation",
+        checkpoint).outputMode(mode).trigger(availableNow=True).start()

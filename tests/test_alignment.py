@@ -18,7 +18,8 @@ def recordings(spark):
     late = np.interp(t - 0.6, t, wave)
     rows = []
     for log, values in (("r1", wave), ("s1", late), ("r2", wave), ("s2", rng.standard_normal(3000)), ("r3", wave[:200]), ("s3", late[:200])):
-        rows += [(log, "att.roll", int(i * 20_000), float(v)) for i, v in enumerate(values)] + [(log, "alt.rel", int(i * 20_000), float(i)) for i in range(0, len(values), 25)]
+        rows += [(log, "att.roll", int(i * 20_000), float(v)) for i, v in enumerate(values)] + [(log, "alt.rel", int(i * 20_000), float(i))
+            for i in range(0, len(values), 25)]
     signals = spark.createDataFrame(rows, "log string, key string, us long, value double")
     return spark.createDataFrame([(1, "r1", "s1"), (2, "r2", "s2"), (3, "r3", "s3")], "pair int, real_log string, sim_log string"), signals, wave, late
 
@@ -27,7 +28,8 @@ def test_shift_is_that_of_a_plain_search(recordings):
     pairs, signals, wave, late = recordings
     out = {r.pair: r for r in alignment.align(pairs, signals).collect()}
     best = max(range(-100, 101), key=lambda k: np.corrcoef(wave[200:2800], late[200 + k : 2800 + k])[0, 1])
-    assert best == 30 and out[1].shift_s == pytest.approx(-best / 50, abs=0.02)  # the lag of the real series against the other and out[1].quality == "fine" and out[1].correlation > 0.95
+    assert best == 30 and out[1].shift_s == pytest.approx(-best / 50,
+        abs=0.02)  # the lag of the real series against the other and out[1].quality == "fine" and out[1].correlation > 0.95
     assert out[2].quality == "coarse_only" and out[2].shift_s == 0 and out[2].correlation < 0.6
     assert out[3].reason == "insufficient_overlap" and {r.axis for r in out.values()} == {"att.roll"}
 

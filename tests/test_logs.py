@@ -19,7 +19,8 @@ def ulog(seconds: int = 20, rate: int = 10) -> bytes:
         out.extend(struct.pack("<Hc", len(payload), kind) + payload)
 
     def keyed(kind: bytes, name: str, value) -> None:
-        head = (f"char[{len(value)}] {name}" if isinstance(value, str) else f"float {name}" if isinstance(value, float) else f"uint64_t {name}" if value > 2**32 - 1 else f"uint32_t {name}").encode()
+        head = (f"char[{len(value)}] {name}" if isinstance(value, str) else f"float {name}" if isinstance(value, float)
+            else f"uint64_t {name}" if value > 2**32 - 1 else f"uint32_t {name}").encode()
         body = value.encode() if isinstance(value, str) else struct.pack("<f" if isinstance(value, float) else "<Q" if value > 2**32 - 1 else "<I", value)
         add(kind, bytes([len(head)]) + head + body)
 
@@ -37,11 +38,15 @@ def ulog(seconds: int = 20, rate: int = 10) -> bytes:
     }
     for name, fields in formats.items():
         add(b"F", f"{name}:{fields}".encode())
-    for name, value in {"sys_name": "PX4", "ver_sw": "abc", "ver_sw_release": 0x010E00FF, "ver_sw_branch": "main", "boot_time_utc_us": 1_700_000_000_000_000}.items():
+    for name, value in {"sys_name": "PX4", "ver_sw": "abc", "ver_sw_release": 0x010E00FF, "ver_sw_branch": "main",
+        "boot_time_utc_us": 1_700_000_000_000_000}.items():
         keyed(b"I", name, value)
-    for name, value in {"CA_ROTOR_COUNT": 2.0, "PWM_MAIN_FUNC3": 101.0, "PWM_MAIN_FUNC1": 102.0, "PWM_MAIN_MIN3": 1100.0, "PWM_MAIN_MAX3": 1900.0, "SYS_AUTOSTART": 4001.0}.items():
+    for name, value in {"CA_ROTOR_COUNT": 2.0, "PWM_MAIN_FUNC3": 101.0, "PWM_MAIN_FUNC1": 102.0, "PWM_MAIN_MIN3": 1100.0,
+        "PWM_MAIN_MAX3": 1900.0, "SYS_AUTOSTART": 4001.0}.items():
         keyed(b"P", name, value)
-    topics = [("vehicle_attitude", 0), ("vehicle_local_position", 0), ("vehicle_imu_status", 0), ("vehicle_imu_status", 1), ("estimator_status", 0), ("estimator_status", 1), ("estimator_selector_status", 0), ("actuator_outputs", 0), ("actuator_outputs", 1), ("vehicle_status", 0), ("cpuload", 0), ("sensor_accel_fifo", 0)]
+    topics = [("vehicle_attitude", 0), ("vehicle_local_position", 0), ("vehicle_imu_status", 0), ("vehicle_imu_status", 1),
+        ("estimator_status", 0), ("estimator_status", 1), ("estimator_selector_status", 0), ("actuator_outputs", 0), ("actuator_outputs",
+        1), ("vehicle_status", 0), ("cpuload", 0), ("sensor_accel_fifo", 0)]
     for number, (name, instance) in enumerate(topics):
         add(b"A", struct.pack("<BH", instance, number) + name.encode())
     for k in range(seconds * rate):
@@ -117,7 +122,8 @@ def stream() -> bytes:
 def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("logs")
     whole = ulog()
-    for name, data in {"a.ulg": whole, "cut.ulg": whole[: len(whole) * 6 // 10], "renamed.bin": whole, "b.bin": dataflash(), "c.tlog": stream(), "empty.ulg": b"", "garbage.bin": bytes(range(256)) * 4}.items():
+    for name, data in {"a.ulg": whole, "cut.ulg": whole[: len(whole) * 6 // 10], "renamed.bin": whole, "b.bin": dataflash(),
+        "c.tlog": stream(), "empty.ulg": b"", "garbage.bin": bytes(range(256)) * 4}.items():
         (path / name).write_bytes(data)
     return str(path)
 
@@ -168,7 +174,8 @@ def test_provenance(logged):
 
 def test_telemetry_points_carry_the_latest_state(logged):
     out = signals.telemetry_points(logged.filter("log = 'c.tlog'")).orderBy("ts").collect()
-    assert [(round(r.latitude, 7), r.altitude, r.flight_state) for r in out] == [(47.6000001, 1.0, "idle"), (47.6000002, 2.0, "flying"), (47.6000003, 3.0, "flying")]
+    assert [(round(r.latitude, 7), r.altitude, r.flight_state) for r in out] == [(47.6000001, 1.0, "idle"), (47.6000002, 2.0, "flying"),
+        (47.6000003, 3.0, "flying")]
     assert out[0].roll is None and out[1].yaw == pytest.approx(270.0) and out[1].battery == 77 and out[2].battery == 77
     assert (out[1].motor_pwm_1, out[1].motor_pwm_2, out[1].motor_pwm_3) == (1500.0, None, 1600.0) and out[2].motor_pwm_1 is None
     assert out[1].accel_z == pytest.approx(9.81) and out[1].gyro_x == pytest.approx(math.degrees(1))

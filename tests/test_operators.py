@@ -23,7 +23,8 @@ def value(spark, column):
 def readings(spark, rows):
     """rows: (second, battery, altitude) of one vehicle."""
     data = [(1, i, BASE + timedelta(seconds=s), int(s * 1e6), b, a, 50.0, 5.0, 10.0, 20.0, "flying") for i, (s, b, a) in enumerate(rows)]
-    return spark.createDataFrame(data, "drone_id long, reading_id long, ts timestamp_ntz, us long, battery double, altitude double, temperature double, speed double, latitude double, longitude double, flight_state string")
+    return spark.createDataFrame(data,
+        "drone_id long, reading_id long, ts timestamp_ntz, us long, battery double, altitude double, temperature double, speed double, latitude double, longitude double, flight_state string")
 
 
 # --- status and sessions
@@ -108,6 +109,42 @@ def test_fused_state_stays_finite_with_gaps(spark):
     assert out[20].z == 5.0 and out[20].vz == 0.0
 
 
+def test_fused_state_is_that_of_a_matrix_filter(spark):
+    """Joint updates with matrix inverses, and blocks moved by their own transition matrices, give the same states."""
+    rng = np.random.default_rng(8)
+    rows = [(1, i, int(i * 1e6), 10 + i * 1e-5 + rng.normal(0, 1e-6), 20 + i * 2e-5, 30.0 + i * 0.4, float(rng.normal(2.5, 0.3)), *map(float, rng.normal(0, 3, 3))) for i in range(30)]
+    rows[7] = (*rows[7][:3], None, None, *rows[7][5:])
+    rows[11] = (*rows[11][:6], None, *rows[11][7:9], None)
+    frame = spark.createDataFrame(rows, "drone_id int, reading_id int, us long, latitude double, longitude double, altitude double, speed double, roll double, pitch double, yaw double")
+    out = kalman.fuse(frame).orderBy("us").collect()
+    x, p = None, None
+    for n, (_, _, us, lat, lon, alt, speed, *angles) in enumerate(rows):
+        east = None if lon is None else math.radians(lon - rows[0][4]) * 6_371_000 * math.cos(math.radians(rows[0][3]))
+        north = None if lat is None else math.radians(lat - rows[0][3]) * 6_371_000
+        if x is None:
+            x, p = np.array([east, north, alt, 0, 0, 0, *angles], float), np.eye(9) * 10
+        else:
+            moved = p.copy()
+            for i in range(3):
+                at, f = np.ix_([i, i + 3], [i, i + 3]), np.array([[1.0, 1.0], [0.0, 1.0]])
+                moved[at] = f @ p[at] @ f.T + 0.25 * np.array([[0.25, 0.5], [0.5, 1.0]])
+                moved[6 + i, 6 + i] += 4.0
+            x, p = x + np.r_[x[3:6], np.zeros(6)], moved
+        for at, values, r in (([0, 1, 2], [east, north, alt], 0.09), ([6, 7, 8], angles, 4.0)):
+            if None not in values:
+                h = np.eye(9)[at]
+                gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r * np.eye(3))
+                x, p = x + gain @ (np.array(values) - h @ x), (np.eye(9) - gain @ h) @ p
+        pace = np.linalg.norm(x[3:6])
+        if speed is not None and pace >= 1e-6:
+            h = np.r_[np.zeros(3), x[3:6] / pace, np.zeros(3)][None]
+            gain = p @ h.T / (h @ p @ h.T + 0.25)
+            x, p = x + gain[:, 0] * (speed - pace), (np.eye(9) - gain @ h) @ p
+        r = out[n]
+        assert np.allclose([r.x, r.y, r.z, r.vx, r.vy, r.vz, r.roll_est, r.pitch_est, r.yaw_est], x, atol=1e-6)
+        assert r.position_std == pytest.approx(math.sqrt(p[0, 0] + p[1, 1] + p[2, 2]))
+
+
 # --- series
 
 
@@ -156,7 +193,8 @@ def test_runs_phases_and_anchor(spark):
 
 
 def pairs(spark, real, sim):
-    return spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(real, sim, strict=True))], "pair long, i long, real double, sim double")
+    return spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(real, sim, strict=True))],
+        "pair long, i long, real double, sim double")
 
 
 def test_comparison_identities(spark):
@@ -213,7 +251,8 @@ def test_lag_is_recovered(spark):
 def observed(spark, values, feature="act.hover", **more):
     table = {k: (sub, tier) for k, sub, tier in catalogue.FEATURES}
     rows = [(1, "epoch:initial", feature, i, v, more.get("qualified", {}).get(i, True), v is not None, False) for i, v in enumerate(values)]
-    frame = spark.createDataFrame(rows, "drone_id long, baseline_group string, feature_key string, flight_index int, value double, qualified boolean, valid boolean, absolute_bad boolean")
+    frame = spark.createDataFrame(rows,
+        "drone_id long, baseline_group string, feature_key string, flight_index int, value double, qualified boolean, valid boolean, absolute_bad boolean")
     assert feature in table
     return frame.join(F.broadcast(catalogue.features(spark)), "feature_key").withColumns({"autopilot": F.lit("px4"), "reason": F.lit(None).cast("string")})
 
@@ -225,7 +264,8 @@ def test_outliers_are_quarantined_and_never_learned(spark):
     assert out[8].n_before == 6 and out[8].base_median == pytest.approx(0.5)
     change = baselines.inferred_changes(frame).first()
     assert change.direction == "up" and change.max_pairwise_z <= 2
-    assert [r.quarantine_reason for r in baselines.admit(observed(spark, [0.5, None], qualified={0: False})).orderBy("flight_index").collect()] == ["flight_not_qualified", "feature_invalid"]
+    assert [r.quarantine_reason for r in baselines.admit(observed(spark, [0.5, None],
+        qualified={0: False})).orderBy("flight_index").collect()] == ["flight_not_qualified", "feature_invalid"]
 
 
 def test_scores_follow_baseline_and_norms(spark):
@@ -246,7 +286,8 @@ def test_drift_and_step_callouts(spark):
 
 
 def test_epochs_take_the_later_event_of_a_flight(spark):
-    events = spark.createDataFrame([(1, 2, 0, "a", "props"), (1, 2, 1, "b", "props"), (1, 4, 2, "c", "gps")], "drone_id long, flight_index int, seq long, epoch string, change_type string")
+    events = spark.createDataFrame([(1, 2, 0, "a", "props"), (1, 2, 1, "b", "props"), (1, 4, 2, "c", "gps")],
+        "drone_id long, flight_index int, seq long, epoch string, change_type string")
     flights = spark.createDataFrame([(1, i, "act.hover") for i in range(6)], "drone_id long, flight_index int, feature_key string")
     out = epochs.feature_epoch(flights, events, catalogue.reset_features(spark)).orderBy("flight_index").collect()
     assert [r.epoch for r in out] == [None, None, "b", "b", "b", "b"]
@@ -254,13 +295,16 @@ def test_epochs_take_the_later_event_of_a_flight(spark):
 
 
 def test_absent_parameters_are_no_change(spark):
-    rows = [(1, 0, "MC_ROLL_P", "6.5"), (1, 1, "MC_ROLL_P", "6.5000001"), (1, 2, "MC_ROLL_P", "7.0"), (1, 4, "MC_ROLL_P", "8.0"), (1, 0, "CA_ROTOR7_PX", "1"), (1, 1, "CA_ROTOR7_PX", "2"), (1, 0, "CA_ROTOR_COUNT", "4"), (1, 1, "CA_ROTOR_COUNT", "4"), (1, 0, "OTHER", "1"), (1, 1, "OTHER", "2")]
+    rows = [(1, 0, "MC_ROLL_P", "6.5"), (1, 1, "MC_ROLL_P", "6.5000001"), (1, 2, "MC_ROLL_P", "7.0"), (1, 4, "MC_ROLL_P", "8.0"), (1, 0,
+        "CA_ROTOR7_PX", "1"), (1, 1, "CA_ROTOR7_PX", "2"), (1, 0, "CA_ROTOR_COUNT", "4"), (1, 1, "CA_ROTOR_COUNT", "4"),
+        (1, 0, "OTHER", "1"), (1, 1, "OTHER", "2")]
     out = epochs.parameter_changes(spark.createDataFrame(rows, "drone_id long, flight_index int, name string, value string")).collect()
     assert [(r.flight_index, r.name, r.new) for r in out] == [(2, "MC_ROLL_P", "7.0")]
 
 
 def test_forbidden_claims(spark):
-    texts = {"Motor spread 12%, usual 4%": [], "about 20 flights left on this pack": ["remaining life"], "The pack is at 80 % health": ["battery capacity"], "Safe to fly, better than most drones": ["safe to fly", "other drones"]}
+    texts = {"Motor spread 12%, usual 4%": [], "about 20 flights left on this pack": ["remaining life"],
+        "The pack is at 80 % health": ["battery capacity"], "Safe to fly, better than most drones": ["safe to fly", "other drones"]}
     for text, kinds in texts.items():
         assert value(spark, catalogue.forbidden_claims(F.lit(text))) == kinds
 
@@ -278,7 +322,8 @@ def test_resistance_is_recovered(spark):
     assert features.pack_resistance(rows.withColumn("amps", F.lit(10.0))).first().reason == "insufficient_current_range"
 
 
-@pytest.mark.parametrize(("means", "pattern", "detail"), [([0.5, 0.5, 0.5, 0.5], "balanced", None), ([0.6, 0.5, 0.5, 0.5], "single_motor_high", "1"), ([0.55, 0.5, 0.55, 0.5], "one_side_high", "front"), ([0.55, 0.55, 0.5, 0.5], "same_spin_set_high", "+")])
+@pytest.mark.parametrize(("means", "pattern", "detail"), [([0.5, 0.5, 0.5, 0.5], "balanced", None), ([0.6, 0.5, 0.5, 0.5],
+    "single_motor_high", "1"), ([0.55, 0.5, 0.55, 0.5], "one_side_high", "front"), ([0.55, 0.55, 0.5, 0.5], "same_spin_set_high", "+")])
 def test_motor_patterns(spark, means, pattern, detail):
     shape = [(0.2, 0.2, 0.05), (-0.2, -0.2, 0.05), (0.2, -0.2, -0.05), (-0.2, 0.2, -0.05)]
     geometry = spark.createDataFrame([(1, i, *g) for i, g in enumerate(shape)], "flight long, motor int, px double, py double, km double")
@@ -288,7 +333,8 @@ def test_motor_patterns(spark, means, pattern, detail):
 
 def test_attitude_angle(spark):
     half = math.radians(10) / 2
-    angle = features.quaternion_angle([F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)], [F.lit(-2 * math.cos(half)), F.lit(-2 * math.sin(half)), F.lit(0.0), F.lit(0.0)])
+    angle = features.quaternion_angle([F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)], [F.lit(-2 * math.cos(half)), F.lit(-2
+        * math.sin(half)), F.lit(0.0), F.lit(0.0)])
     assert value(spark, angle) == pytest.approx(10)
 
 
@@ -342,12 +388,14 @@ def test_draws_are_uniform_and_summaries_contain_the_point(spark):
 
 
 def test_search_goes_around_and_is_cheapest(spark):
-    asked = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 0.0), (2, 0.0, 0.0, 5.0, 0.0)], "request long, start_x double, start_y double, goal_x double, goal_y double")
+    asked = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 0.0), (2, 0.0, 0.0, 5.0, 0.0)],
+        "request long, start_x double, start_y double, goal_x double, goal_y double")
     scene = spark.createDataFrame([(1, 2.5, y / 2) for y in range(-2, 3)], "request long, x double, y double")
     ways = paths.plan(asked, scene)
     length = {r.path: r.metres for r in paths.path_length(ways.withColumnRenamed("request", "path"), axes=("x", "y")).collect()}
     assert length[2] == pytest.approx(5.0) and 5.5 < length[1] < 9
-    near = ways.filter("request = 1 AND i > 0").crossJoin(scene.select(F.col("x").alias("ox"), F.col("y").alias("oy"))).select(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))).first()[0]
+    near = ways.filter("request = 1 AND i > 0").crossJoin(scene.select(F.col("x").alias("ox"),
+        F.col("y").alias("oy"))).select(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))).first()[0]
     assert near > paths.RADIUS
 
 
@@ -380,7 +428,8 @@ def test_trajectory_keeps_limits_and_ends():
 
 
 def test_store_operations(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, "a", False), (2, 1, "a", True), (3, 1, "a", False), (4, 2, "a", False), (5, 1, None, False)], "id long, drone_id long, text string, failed boolean")
+    rows = spark.createDataFrame([(1, 1, "a", False), (2, 1, "a", True), (3, 1, "a", False), (4, 2, "a", False), (5, 1, None, False)],
+        "id long, drone_id long, text string, failed boolean")
     kept = store.first_by_content(rows, ["drone_id"], F.coalesce("text", F.lit("")), ["id"], F.col("failed"))
     assert sorted(r.id for r in kept.collect()) == [1, 4, 5]
     left, gone = store.without(rows, rows.filter("drone_id = 2"), "drone_id")

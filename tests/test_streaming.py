@@ -19,7 +19,8 @@ def rows(first: int, last: int):
     for i in range(first, last):
         for drone in (1, 2):
             second = i * 10 + (200 if i >= 20 else 0)
-            out.append((drone, i * 2 + drone, BASE + timedelta(seconds=second), int(BASE.timestamp() + second) * 1_000_000, 10.0 + i * 0.5 + (i * drone) % 3 * 0.2, 90.0 - i * 0.1, None, None))
+            out.append((drone, i * 2 + drone, BASE + timedelta(seconds=second), int(BASE.timestamp() + second) * 1_000_000, 10.0 + i * 0.5
+                + (i * drone) % 3 * 0.2, 90.0 - i * 0.1, None, None))
     return out
 
 
@@ -77,7 +78,8 @@ def test_watchers_get_each_batch_once(spark, folder, tmp_path):
 
 def test_newest_connection_replaces_older(spark, tmp_path):
     path = str(tmp_path / "connections")
-    spark.createDataFrame([(1, 5, "a", BASE), (1, 5, "b", BASE + timedelta(seconds=5)), (1, 6, "c", BASE)], "drone_id long, user_id long, connection string, ts timestamp").write.parquet(path)
+    spark.createDataFrame([(1, 5, "a", BASE), (1, 5, "b", BASE + timedelta(seconds=5)), (1, 6, "c", BASE)],
+        "drone_id long, user_id long, connection string, ts timestamp").write.parquet(path)
     q = R.newest_connection(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.user_id, r.connection) for r in spark.table("newest").collect()} == {(5, "b"), (6, "c")}
