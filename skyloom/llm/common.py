@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Most bytes of rows that are broadcast, as counted beforehand; above it Spark shuffles.
 BROADCAST_BYTES = 8 << 20
 #: A key that holds more than one part in so many of all rows is hot: there are at most so many hot keys.
-HOT_PARTS = 500
+HOT_PARTS = 200
 
 #: Rows of an Arrow batch, as rows here hold whole texts, sets or sketches.
 ARROW_CONF, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
@@ -106,28 +106,30 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def join_salted(many: DataFrame, one: DataFrame, keys: list[str], n: str, spread: list[str], total: int | None = None) -> DataFrame:
     """many joined with one, which has one row for each key and in column n the number of rows of many with it.
 
-    Keys with more than a HOT_PARTS-th of all rows, of which there are at most HOT_PARTS, are broadcast with the number
-    of parts they need; rows of many with such a key are dealt over the parts by a hash of the spread columns, and one's
-    row is repeated for each part, HOT_PARTS repetitions in all at most. So no task gets a key that holds, say, a third
-    of all rows. Null keys are equal; `one` is read twice, and once more for the rows in all where total doesn't tell
-    them, so it should be a table or a shuffle that Spark reuses. Column n is dropped.
+    Keys with more than a HOT_PARTS-th of all rows, of which there are HOT_PARTS at most, are dealt over several tasks:
+    rows of many by a hash of the spread columns, while one's row is repeated for each part, 2 HOT_PARTS repetitions in
+    all at most. So no task gets a key that holds, say, a third of all rows. Null keys are equal. `one` is read for its
+    hot keys, whose hashes the driver collects, and for the rows in all where total doesn't tell them, so it should be
+    a table or cheap to make. Column n is dropped.
     """
     own = [f"{k}_of_one" for k in keys]
     total = (one.agg(F.sum(n)).first()[0] or 0) if total is None else total
     share = max(1, total // HOT_PARTS)
-    needed = F.ceil(F.col(n) / share).cast("int")
-
-    def same(left: list[str]) -> Column:
-        pairs = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
-        return reduce(Column.__and__, [*pairs, *(F.col(x) == F.col(f"{x}_of_one") for x in left)])
-
-    renamed = one.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(c for c in one.columns if c not in keys))
-    hot = renamed.filter(F.col(n) > share).select(*own, needed.alias("parts"))
-    dealt = many.join(F.broadcast(hot), same([]), "left")  # HOT_PARTS narrow rows at most
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("parts"))).cast("int")
-    dealt = dealt.withColumn("salt", salt).drop("parts", *own)
-    copies = renamed.withColumn("salt_of_one", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, needed - 1).otherwise(0)))).drop(n)
-    return dealt.join(copies, same(["salt"])).drop("salt", "salt_of_one", *own)
+    hot = dict(one.filter(F.col(n) > share).select(F.xxhash64(*keys), F.ceil(F.col(n) / share).cast("int")).collect())
+
+    def salted(rows: DataFrame, name: str, salt) -> DataFrame:
+        h = F.xxhash64(*keys)  # equal hashes of unequal keys are dealt alike, which does no harm
+        parts = F.map_from_arrays(F.array(*map(F.lit, hot)), F.array(*map(F.lit, hot.values())))
+        return rows.withColumn(name, salt(F.when(h.isin(list(hot)), F.element_at(parts, h)).otherwise(1)))
+
+    if hot:
+        many = salted(many, "salt", lambda parts: F.pmod(F.xxhash64(*spread), parts).cast("int"))
+        one = salted(one, "salt_of_one", lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+    if hot:
+        pairs.append(F.col("salt") == F.col("salt_of_one"))
+    renamed = one.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(c for c in one.columns if c not in (*keys, n)))
+    return many.join(renamed, reduce(Column.__and__, pairs)).drop("salt", "salt_of_one", *own)
 
 
 def fresh(rows: DataFrame, name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +35,23 @@ def _starts(first: Column, last: Column, size: int) -> Column:
     return F.when(F.size("lines") >= size, F.sequence(F.greatest(first, F.lit(1)), end)).otherwise(F.array().cast("array<int>"))
 
 
+def _words(line: Column) -> Column:
+    """Words of a line: one more than its spaces where these stand alone between words, else counted by pattern."""
+    odd = [line.contains(c) for c in ("  ", "\t", "\v", "\f", "\r")]
+    plain = ~(reduce(Column.__or__, odd) | line.startswith(" ") | line.endswith(" ")) & (line != "")
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(plain, spaces + 1).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
 def _hashed(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     """(id, mark, lines) of rows (id, mark, text): for each line two hashes, its place and its number of words."""
 
     def of(x: Column, i: Column) -> Column:
-        n = [] if words is None else [F.regexp_count(x, F.lit(WORD)).alias("n")]
+        n = [] if words is None else [_words(x).alias("n")]
         return F.struct(F.xxhash64(x).alias("h"), (-i - 1).alias("at"), F.xxhash64(F.lit(run), x).alias("h2"), *n)
 
     lines = F.transform(F.split("text", "\n"), of).alias("lines")
-    return rows.select("id", "mark", lines).filter(F.size("lines") >= (run if words is None else 1)).distinct()
+    return rows.select("id", "mark", lines).filter(F.size("lines") >= (run if words is None else 1))
 
 
 def repeated_runs(rows: DataFrame, run: int, words: int | None) -> DataFrame:
