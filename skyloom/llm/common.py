@@ -19,6 +19,9 @@ BROADCAST_BYTES = 8 << 20
 #: A key that holds more than one part in so many of all rows is hot: there are at most so many hot keys.
 HOT_PARTS = 200
 
+#: Narrow rows that fill a file of a table whose size is known.
+FILE_ROWS = 100_000
+
 #: Rows of an Arrow batch, as rows here hold whole texts, sets or sketches.
 ARROW_CONF, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 #: Texts that a Python task works on at once.
@@ -54,15 +57,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_CONF, ARROW_ROWS)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs its own tasks only.
 
+    most is a bound of its narrow rows, where the caller knows one: then no more files than these need are written.
     Tables that no returned DataFrame reads are given to discard() by their makers; clean_up() removes all of a session.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     small_batches(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    dealt = df if most is None else df.coalesce(-(-most // FILE_ROWS) or 1)
+    dealt.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

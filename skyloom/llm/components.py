@@ -27,17 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         lowest = lowest.filter("n > 0").select("u", F.least("u", "m").alias("m"), "n")
         large = join_salted(both.filter("v > u"), lowest, ["u"], "n", ["v"], total=state[0])
-        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", state[0])
         new_state = _state(new)
-        discard(now, large)
+        discard(now)
         now = new
         if new_state == state:
             break
         state = new_state
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    out = written(roots, "roots")
+    out = written(roots, "roots", 2 * state[0])
     discard(now)
     return out

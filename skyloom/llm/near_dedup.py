@@ -369,6 +369,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = digest.filter("node IS NOT NULL").groupBy("node").agg(F.min(first_row(F.col("id"), F.col("mark"))).alias("label"),
         F.first("n").alias("n"), F.first("data").alias("data"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    n_classes = classes.count()
 
     bands = written(_bands(classes), "bands")
     shared = written(bands.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
@@ -377,7 +378,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = written(_plausible(stars, classes, percent / 100), "stars")
 
     # Full sets are made again for candidates only: members of buckets that are shared.
-    wanted = written(classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("label.id").alias("label"), "node"), "wanted")
+    wanted = written(classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("label.id").alias("label"), "node"), "wanted", n_classes)
     labels = broadcast_if_small(wanted.select("label").distinct())
     texts = rows.join(labels, rows["id"].eqNullSafe(labels["label"]), "left_semi")
     sets = _set_table(texts, words, False).select("node", "data").join(broadcast_if_small(wanted.select("node", "cid", "n")), "node")
@@ -393,10 +394,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     member = classes.select("node", "cid", "label").join(joined, F.col("cid") == joined["node"], "left").select(classes["node"], "label",
         F.coalesce("root", "cid").alias("root"))
-    member = written(member, "member")
     lowest = member.groupBy("root").agg(F.min("label").alias("first"))
-    of_node = written(member.join(lowest, "root").select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")), "of_node")
-    discard(classes, joined, member)
+    of_node = written(member.join(lowest, "root").select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")), "of_node", n_classes)
+    discard(classes, joined)
     found = digest.select("id", "mark", "n", "node").join(broadcast_if_small(of_node), "node", "left")
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("first_id"))
