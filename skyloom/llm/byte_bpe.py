@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches
 
 #: Bytes of pieces remembered in a Python worker, and pairs of neighbouring tokens. What was used lately stays.
-MEMO_BYTES, MEMO_PAIRS = 16 << 20, 1 << 16
+MEMO_BYTES, MEMO_PAIRS = 40 << 20, 1 << 17
 #: Longest piece that is remembered, and what an entry takes besides its characters and ids.
 MEMO_PIECE, ENTRY_BYTES = 64, 200
 
