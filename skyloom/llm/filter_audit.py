@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -61,7 +61,8 @@ def effects(counts: np.ndarray) -> Iterator[tuple]:
         yield ("".join(FILTERS[i] for i in order), step + 1, *map(int, found), total[order[step]])
 
 
-def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang",
+        fingerprint: Callable[[bytes | str], int] = xxhash.xxh64_intdigest) -> DataFrame:
     """doc_id, part, mask, n: how many rows of docs have this id and part and fail just these filters.
 
     Texts are dealt by xxhash; a partition keeps, for each fingerprint, a chain of full texts with the smallest id of
@@ -84,9 +85,9 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def passed_on() -> Iterator[tuple]:
             for data, (own, counts) in texts.items():
-                yield xxhash.xxh64_intdigest(data), (data, own, list(counts.items()))
+                yield fingerprint(data), (data, own, list(counts.items()))
             for (own, part, mask), n in settled.items():
-                yield xxhash.xxh64_intdigest(str(own)), (None, own, [((part, mask), n)])
+                yield fingerprint(str(own)), (None, own, [((part, mask), n)])
 
         for own, text, part in rows:
             mask = failures(text)
@@ -117,11 +118,11 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def chained(records: Iterator[tuple]) -> Iterator[tuple]:
         chains: dict[int, list[list]] = {}
-        for fingerprint, (data, own, counts) in records:
+        for key, (data, own, counts) in records:
             if data is None:
                 yield from ((own, part, mask, n) for (part, mask), n in counts)
                 continue
-            chain = chains.setdefault(fingerprint, [])
+            chain = chains.setdefault(key, [])
             link = next((x for x in chain if x[0] == data), None)
             if link is None:
                 chain.append([data, own, Counter(dict(counts))])
@@ -135,7 +136,7 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for _, own, counts in chain:
                 yield from ((own, part, mask, n) for (part, mask), n in counts.items())
 
-    routed: RDD = rows.rdd.mapPartitions(gathered).partitionBy(parts, lambda fingerprint: fingerprint % parts)
+    routed: RDD = rows.rdd.mapPartitions(gathered).partitionBy(parts, lambda key: key % parts)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(chained), f"doc_id {kind}, part string, mask int, n long", verifySchema=False)
 
 

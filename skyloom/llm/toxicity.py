@@ -29,8 +29,9 @@ PREFIXES = range(3, 9)
 #: A feature marks toxic words when its likelihood ratio exceeds twice the log of the features looked at by EVIDENCE, and it is TIMES
 #: times as frequent in toxic documents.
 EVIDENCE, TIMES = 8.0, 20.0
-#: Passes of the fit over its sequences, its step, and the weight of its ridge.
-EPOCHS, RATE, RIDGE = 40, 0.3, 0.05
+#: Passes of the fit over its sequences, its step, the weight of its ridge, and the share of features that a pass leaves out, so that
+#: prefixes learn to stand for words that were never seen.
+EPOCHS, RATE, RIDGE, LEFT_OUT = 40, 0.5, 0.05, 0.6
 #: Weights of documents are counted in such parts, so that sums are exact.
 PARTS = 1 << 20
 
@@ -156,11 +157,13 @@ def fit_chain(sequences: list[tuple[list[str], list[int]]]) -> ToxicityModel:
         at[i, : len(own)], y[i, : len(own)], real[i, : len(own)] = words.of(own), labels, True
     a, b = y[:, :-1].astype(int), y[:, 1:].astype(int)
     seen = np.bincount((2 * a + b)[real[:, 1:]], minlength=4).reshape(2, 2)
-    used, at = np.unique(at, return_inverse=True)
-    at = at.reshape(-1, CHAIN, width)
+    used, at = np.unique(np.append(at, BUCKETS), return_inverse=True)
+    all_features = at[:-1].reshape(-1, CHAIN, width).astype(np.int32)
+    rng = np.random.default_rng(0)
     weights, bias, turns = np.zeros((3, len(used))), np.full(1, -3.0), np.zeros((2, 2))
     known, squares = used < BUCKETS, [np.ones_like(weights), np.ones(1), np.ones((2, 2))]
     for _ in range(EPOCHS if len(sequences) else 0):
+        at = np.where(rng.random(all_features.shape, np.float32) < LEFT_OUT, np.int32(len(used) - 1), all_features)
         own, before, after = (w[at].sum(axis=2) for w in weights)
         e = own + bias
         e[:, 1:] += before[:, :-1]
