@@ -17,14 +17,21 @@ from .common import slices, small_batches
 
 #: Lines in a window, and the characters that a window must hold for a surge.
 WINDOW, SURGE = 3, 86
-#: So many lines that are half links or more, one after another, or so many links in one such line, are a menu.
-MENU_LINES = 3
+#: So many lines that are half links or more, one after another, or so many links in one such line, are a menu if their links are
+#: labels of so many characters on average, or if there are LONG_MENU of them; longer links in a shorter list name sources.
+MENU_LINES, LABEL, LONG_MENU = 3, 24, 8
 #: Longest copyright notice.
 NOTICE = 200
 
 # Element names of HTML, and words by which pages name the parts that are not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+BLOCK = frozenset(
+    """address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form
+    frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section
+    summary table tbody td tfoot th thead tr ul""".split()
+)
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre q summary td th".split())  # blocks that hold text itself
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 WHOLE = RAW | frozenset("audio button canvas noscript object select svg template video".split())  # left out with all they hold, inside a line
 OUTSIDE = frozenset(
@@ -38,6 +45,7 @@ OUTSIDE_WORDS = frozenset(
     newsletter notice notices pager pagination popup promo promoted promotion recommendations recommended related replies
     respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split()
 )
+ADVERT_WORDS = frozenset("ad ads adsbygoogle adslot adunit advert advertisement advertising adverts promo promoted promotion sponsor sponsored".split())
 LAYOUT_WORDS = frozenset("banner header masthead menu modal nav navbar navigation notice notices popup sidebar social toolbar topbar widget widgets".split())  # themes also give these to wrappers of the article
 NEUTRAL_WORDS = frozenset(
     """area article articles bar blog block body bottom box btn button buttons col column container count desktop entry fixed form
@@ -53,7 +61,7 @@ LAYOUT, NAMED, FIXED = 1, 2, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)",
     re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
-_NOTICE = re.compile(r"©|(?:\(c\)|copyright\b)(?:\W*(?:©|\(c\)|\d{4}\b|by\b)|.*(?:©|rights reserved)|.{0,60}\b\d{4}\W*$)|all rights reserved", re.I)
+_NOTICE = re.compile(r"©|(?:\(c\)|copyright\b)(?:\W*(?:©|\(c\)|by\b|\d{4}\b\W*(?:(?-i:[A-Z0-9])|by\b|all\b|$))|.*(?:©|rights reserved)|.{0,60}\b\d{4}\W*$)|all rights reserved", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
@@ -66,6 +74,7 @@ class _Line:
     rooted: int  # the outermost article or main that holds it
     outside: int
     doubt: int  # the outermost element with a doubtful name
+    inset: bool  # outside for an element that stands within articles, as adverts do
 
 
 @dataclass
@@ -78,6 +87,7 @@ class _Element:
     doubt: int
     holder: int  # the element that holds blocks here
     block: int  # height in the stack of the innermost element that is not inline
+    inset: bool
 
 
 class _Closings:
@@ -93,28 +103,35 @@ class _Closings:
         return self.of[name][k] if k < len(self.of[name]) else None
 
 
-def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool]:
-    """How far role, style, class or id put an element out of the article, and whether a name leaves that in doubt.
+def is_inline(name: str) -> bool:
+    """Elements that nobody knows are inline, as browsers have it."""
+    return name in INLINE or not (name in BLOCK or name in VOID or name in OUTSIDE)
+
+
+def _names_outside(name: str, attributes: str, rooted: int) -> tuple[int, bool, bool]:
+    """How far role, style, class or id put an element out of the article, whether a name leaves that in doubt, and whether it is an inset.
 
-    A name counts if all its parts are known; with other parts beside known ones, as in elementor-widget, it is doubtful.
+    A name counts if all its parts are known; with other parts beside known ones, as in elementor-widget, it is
+    doubtful, and so it is for a paragraph or another block of text inside an article.
     """
     found = {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(attributes) if m[1]}
     if found.get("role", "").lower() in OUTSIDE_ROLES or re.search(r"display\s*:\s*none", found.get("style",
         "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
-        return FIXED, False
+        return FIXED, False, False
     if name in ROOTS or name in INLINE:
-        return 0, False
-    level, doubt = 0, False
+        return 0, False, False
+    level, doubt, inset = 0, False, True
     for one in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = {w.lower() for w in _WORDS.findall(one)}
         words = parts & OUTSIDE_WORDS
         if "header" in parts and not rooted and name not in HEADINGS and not parts & CONTENT_HEADERS:
             words |= {"header"}
-        if words and parts - words <= NEUTRAL_WORDS:
+        if words and parts - words <= NEUTRAL_WORDS and not (rooted and name in PROSE):
             level = max(level, LAYOUT if words <= LAYOUT_WORDS else NAMED)
+            inset = inset and words <= ADVERT_WORDS
         elif words and not parts & {"has", "no", "non", "with", "without"}:
             doubt = True
-    return level, doubt
+    return level, doubt, inset and level > 0
 
 
 def lines_of(page: str) -> list[_Line]:
@@ -124,7 +141,7 @@ def lines_of(page: str) -> list[_Line]:
     closed is passed over, so that it doesn't take the rest of the page with it. Time is in proportion to the page.
     """
     lines: list[_Line] = []
-    stack = [_Element("", 0, 0, 0, False, 0, 0, 0)]
+    stack = [_Element("", 0, 0, 0, False, 0, 0, 0, False)]
     opened: Counter[str] = Counter()
     closings = _Closings(page)
     parts: list[tuple[str, bool]] = []
@@ -137,7 +154,8 @@ def lines_of(page: str) -> list[_Line]:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 inside = [n for p, link in parts if link and (n := len(" ".join(html.unescape(p).split())))]
-                lines.append(_Line(text, sum(inside), len(inside), stack[-1].holder, stack[-1].rooted, stack[-1].outside, stack[-1].doubt))
+                lines.append(_Line(text, sum(inside), len(inside), stack[-1].holder, stack[-1].rooted, stack[-1].outside, stack[-1].doubt,
+                    stack[-1].inset))
             parts.clear()
 
     def leave(to: int) -> None:
@@ -145,7 +163,7 @@ def lines_of(page: str) -> list[_Line]:
         del stack[to:]
 
     def close(to: int) -> None:
-        if any(e.name not in INLINE or e.outside for e in stack[to:]):
+        if any(not is_inline(e.name) or e.outside for e in stack[to:]):
             flush()
         leave(to)
 
@@ -171,7 +189,7 @@ def lines_of(page: str) -> list[_Line]:
         if m[1]:
             if opened[name]:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
-            elif name not in INLINE:
+            elif not is_inline(name):
                 flush()
             continue
         if name == "br":
@@ -182,16 +200,16 @@ def lines_of(page: str) -> list[_Line]:
             continue
         if name in ("td", "th"):
             parts.append((" ", False))
-        elif name not in INLINE and name not in VOID and name not in WHOLE or name == "hr":
+        elif not is_inline(name) and name not in VOID and name not in WHOLE or name == "hr":
             flush()
             top = stack[-1].block
             above = stack[top].name
             if above == "p" or (above == name and name in ("li", "tr", "option")) or (above in ("dt", "dd") and name in ("dt", "dd")):
                 leave(top)
-        if name in VOID or m[3].endswith("/") and name not in INLINE and name in OUTSIDE:
+        if name in VOID or m[3].endswith("/") and name not in INLINE and (name in OUTSIDE or name not in BLOCK):
             continue
         above = stack[-1]
-        level, doubt = _names_outside(name, m[3], above.rooted) if m[3] and name not in ("html", "body") else (0, False)
+        level, doubt, inset = _names_outside(name, m[3], above.rooted) if m[3] and name not in ("html", "body") else (0, False, False)
         fixed = name in OUTSIDE or (name == "header" and not above.rooted and not any(CONTENT_HEADERS & {w.lower()
             for w in _WORDS.findall(v)} for v in re.findall(r"class\s*=\s*[\"']?([^\"'>]*)", m[3])))
         outside = max(FIXED if fixed else level, 0 if name == "main" and above.outside < FIXED else above.outside)
@@ -207,10 +225,11 @@ def lines_of(page: str) -> list[_Line]:
         if outside != above.outside:
             flush()  # also an inline element, when it is no part of the article
         places += 1
-        inline = name in INLINE
+        inline = is_inline(name)
         rooted = above.rooted or (places if name in ROOTS and outside < FIXED else 0)
         holder, block = above.holder if inline or name == "p" else places, above.block if inline else len(stack)
-        stack.append(_Element(name, places, outside, rooted, above.linked or name == "a", above.doubt or (places if doubt else 0), holder, block))
+        stack.append(_Element(name, places, outside, rooted, above.linked or name == "a", above.doubt or (places if doubt else 0), holder, block,
+            above.inset if above.outside else inset or (name == "aside" and above.rooted > 0)))
         opened[name] += 1
     flush()
     return lines
@@ -259,10 +278,15 @@ def _blank_notices(lines: list[_Line], blank: list[bool], only_links: list[bool]
         blank[i] = blank[i] or notice
 
 
+def _is_menu(lines: list[_Line], items: int) -> bool:
+    return items >= LONG_MENU or (items >= MENU_LINES and sum(x.linked for x in lines) <= LABEL * sum(x.links for x in lines))
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds; empty if there is none.
 
-    Lines get their length without links; lines outside the article, menus and copyright notices become blank windows.
+    Lines get their length without links; lines outside the article, menus and copyright notices become blank windows, but adverts
+    are taken away, so that they don't cut off what is short before or after them.
     Where a window's sum rises from nothing is a surge, where it falls to nothing a dive; a stretch between them is kept
     whole if a window in it reaches SURGE, if it shares an element with such a stretch, or, where no window does, if it
     is the densest. Inside article or main elements links and notices stay. Lines beside these elements don't count if
@@ -272,12 +296,12 @@ def main_text(page: str | None) -> str:
     _settle_names(lines)
     blank = [x.outside > 0 for x in lines]
     only_links = [not x.rooted and x.linked * 2 >= len(x.text) for x in lines]
-    blank = [gone or (only and x.links >= MENU_LINES) for gone, only, x in zip(blank, only_links, lines, strict=True)]
+    blank = [gone or (only and _is_menu([x], x.links)) for gone, only, x in zip(blank, only_links, lines, strict=True)]
     _blank_notices(lines, blank, only_links)
     for i in range(len(lines)):
         if only_links[i] and not blank[i] and (i == 0 or not only_links[i - 1] or blank[i - 1]):
             run = next((j for j in range(i, len(lines)) if not only_links[j] or blank[j]), len(lines))
-            if run - i >= MENU_LINES:
+            if _is_menu(lines[i:run], run - i):
                 blank[i:run] = [True] * (run - i)
     beside = [not gone and not x.rooted for gone, x in zip(blank, lines, strict=True)]
     within = [not gone and x.rooted > 0 for gone, x in zip(blank, lines, strict=True)]
@@ -287,6 +311,8 @@ def main_text(page: str | None) -> str:
     kept_lines: list[_Line | None] = []
     root = 0
     for line, gone in zip(lines, blank, strict=True):
+        if gone and line.outside and line.inset:
+            continue  # taken away: what it interrupts goes on
         if gone or (roots and not line.rooted) or (not roots and line.rooted != root):
             lengths += [0] * WINDOW
             kept_lines += [None] * WINDOW

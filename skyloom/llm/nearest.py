@@ -26,6 +26,8 @@ CERTAIN = 2.0
 FIT_ROWS, FIT_QUERIES = 16_384, 256
 #: Share of the true neighbours in the fitting sample that the radius must cover. A larger table has nearer neighbours, so it covers more there.
 FIT_RECALL = 0.98
+#: Share of the queries that probing must be expected to settle, or it is left out.
+WORTH = 0.05
 ITQ_ROUNDS = 20
 #: Vectors in a block of the index and queries in a block: what one task holds of each.
 INDEX_BLOCK, QUERY_BLOCK = 8_192, 16_384
@@ -40,6 +42,13 @@ class BinaryCodes:
     mean: np.ndarray
     projection: np.ndarray
     radius: int
+    kth: float = 0.0  # distance of the k-th nearest code that a share of WORTH of the sample's queries falls below
+    nearing: float = 0.0  # by how much that distance shrinks when a table has four times the vectors
+    fitted: int = 0
+
+    def kth_at(self, n: int) -> float:
+        """The distance kth, carried on to a table of n vectors."""
+        return max(0.0, self.kth - self.nearing * max(0.0, np.log2(max(1, n) / max(1, self.fitted)) / 2))
 
     @classmethod
     def fit(cls, vectors: np.ndarray, k: int, seed: int = 0) -> BinaryCodes:
@@ -65,7 +74,15 @@ class BinaryCodes:
         near = np.argsort(-likeness, axis=1, kind="stable")[:, : min(k, len(unit) - 1)]
         words = codes.of(unit).view(np.uint64)
         apart = np.bitwise_count(words[chosen][:, None, :] ^ words[near]).sum(axis=2)
-        return cls(mean, projection, int(np.quantile(apart, FIT_RECALL)) if apart.size else BITS)
+        if not apart.size:
+            return cls(mean, projection, BITS)
+
+        def kth(rows: np.ndarray) -> float:
+            each = np.array([np.partition(np.bitwise_count(words[q] ^ words[rows]).sum(axis=1), min(k, len(rows) - 1))[min(k, len(rows) - 1)] for q in chosen])
+            return float(np.quantile(each, WORTH))  # a query is its own nearest, at 0
+
+        whole = kth(np.arange(len(unit)))
+        return cls(mean, projection, int(np.quantile(apart, FIT_RECALL)), whole, max(0.0, kth(np.arange(0, len(unit), 4)) - whole), len(unit))
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, SUBSTRINGS) substrings of the codes, as 16-bit words."""
@@ -249,17 +266,35 @@ def _search(queries: DataFrame, index: DataFrame, radius: dict[int, int], k: int
     return found.select("qn", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
 
 
-def _fitted(index: DataFrame, k: int) -> dict[int, BinaryCodes]:
-    """Codes for each dimension, from FIT_ROWS distinct vectors in all, chosen by hash: as many of each, if it has them."""
-    dims = [r.dim for r in index.select("dim").distinct().limit(FIT_ROWS + 1).collect()]
-    if len(dims) > FIT_ROWS:
+def _fitted(index: DataFrame, k: int, n_of: dict[int, int]) -> dict[int, BinaryCodes]:
+    """Codes for each dimension, from FIT_ROWS distinct vectors in all, chosen by hash: as many of each, if it has them.
+
+    n_of tells how many a dimension has. Hashes are cut off where a few more than its share are expected, in the tasks
+    that read the table, so only those are ranked.
+    """
+    if len(n_of) > FIT_ROWS:
         raise ValueError(f"vectors of more than {FIT_ROWS} dimensions")
-    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec")))
-    share = FIT_ROWS // max(1, len(dims))
-    sample = index.select("dim", "vec", place.alias("place")).filter(F.col("place") <= share).toPandas()
+    share = FIT_ROWS // max(1, len(n_of))
+    enough = {dim: (share + 8 * share**0.5 + 16) / n for dim, n in n_of.items()}
+    cut = index.sparkSession.createDataFrame([(dim, min(2**63 - 1, int(x * 2.0**63))) for dim, x in enough.items()], "fit_dim int, cut long")
+    hashed = index.select("dim", "vec", F.xxhash64("vec").bitwiseAND(2**63 - 1).alias("h")).join(F.broadcast(cut), F.col("dim") == F.col("fit_dim"))
+    place = F.row_number().over(Window.partitionBy("dim").orderBy("h", "vec"))
+    sample = hashed.filter("h <= cut").select("dim", "vec", place.alias("place")).filter(F.col("place") <= share).toPandas()
     return {int(dim): BinaryCodes.fit(_matrix(own.vec, np.float64), k) for dim, own in sample.groupby("dim")}
 
 
+def _worth_probing(codes: dict[int, BinaryCodes], n_of: dict[int, int], width: int) -> set[int]:
+    """The dimensions in which probing is expected to settle a share of WORTH of the queries."""
+    flips = max(n for n in range(width) if sum(comb(width, i) for i in range(n + 1)) <= PROBES)
+    reach = BITS // width * (flips + 1) - 1
+    out = set()
+    for dim, own in codes.items():
+        kth = own.kth_at(n_of[dim])
+        if kth + CERTAIN * np.sqrt(kth * (1 - kth / BITS)) <= reach:
+            out.add(dim)
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows by cosine.
 
@@ -268,6 +303,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     substring turned over, by joins on equal values, as long as that takes at most PROBES values; pairs within the
     radius that such a step covers for certain are reranked by cosines of the original vectors in double precision. A
     query is settled when that radius exceeds the distance of its k-th nearest code by CERTAIN standard deviations.
+    Where the fitted sample, carried on to the table's size, tells that probing would settle hardly any, it is left out.
     The rest, whose neighbours are further away or share a substring with more than BUCKET vectors, meet all codes in
     blocks: within the learned radius, or without one where that holds fewer than k. Equal vectors are indexed once
     with their k + 1 smallest ids: of equal scores the smaller ids win, so no other copy can be among k results.
@@ -288,17 +324,22 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     classes = rows.select("dim", "vec", "id", place.alias("place")).filter(F.col("place") <= k + 1).groupBy("dim",
         "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    codes = _fitted(classes, k)
+    n_of = dict(classes.groupBy("dim").count().limit(FIT_ROWS + 1).collect())
+    codes = _fitted(classes, k, n_of)
     index = written(_coded(classes, codes), "index")
     asked = rows.filter(F.col("id") % every == 0).select("dim", F.col("id").alias("query_id"), "vec").distinct()
     queries = written(_coded(asked, codes).withColumnRenamed("vec", "qvec").withColumn("qn", F.monotonically_increasing_id()), "queries")
-    n_index = index.count()
+    n_index = sum(n_of.values())
     width = SUBSTRING if n_index <= LONG_FROM else 2 * SUBSTRING
-    parts = written(_substrings(index, "cid", width, [0]), "parts")
-    common = written(parts.groupBy("dim", "pos", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).drop("n"), "common")
-
-    found, left, used = [], queries, [rows, classes]
-    for flips in range(width):
+    probed = _worth_probing(codes, n_of, width)
+    far = queries.filter(~F.col("dim").isin(list(probed)))
+
+    found, left, used = [], queries.filter(F.col("dim").isin(list(probed))), [rows, classes, queries]
+    if probed:
+        parts = written(_substrings(index.filter(F.col("dim").isin(list(probed))), "cid", width, [0]), "parts")
+        common = written(parts.groupBy("dim", "pos", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).drop("n"), "common")
+        used += [parts, common]
+    for flips in range(width if probed else 0):
         if sum(comb(width, n) for n in range(flips + 1)) > PROBES or left.isEmpty():
             break
         pairs, unserved, radius = candidates(left, index, parts, common, width, flips)
@@ -308,9 +349,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         settled = written(kth.filter(F.col("apart") + CERTAIN * spread <= radius).select("qn"), "settled")
         found.append(written(_best(scored.join(settled, "qn", "left_semi"), k), "found"))
         open_queries = written(left.join(settled, "qn", "left_anti"), "open")
-        used += [unserved, scored, settled, left]
+        used += [unserved, scored, settled, open_queries]
         left = open_queries
-    used += [parts, common]
+    left = left.unionByName(far)
 
     if not left.isEmpty():
         index_blocks = max(1, -(-n_index // INDEX_BLOCK))
@@ -323,5 +364,5 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             blocks = (max(1, -(-short.count() // QUERY_BLOCK)), index_blocks)
             found.append(written(_best(_search(short, index, dict.fromkeys(codes, BITS), k, blocks), k), "far"))
         used.append(short)
-    discard(*used, left, index)
+    discard(*used, index)
     return reduce(DataFrame.union, found).select("query_id", "rank", "vec_id", "score")

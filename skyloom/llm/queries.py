@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    map_path = f"{shared_folder(spark)}/skyloom-slot-maps/{zlib.crc32(sf_dir.encode()):08x}"  # one for each table, kept between calls
+    map_path = f"{shared_folder(spark)}/skyloom-slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()}"  # one for each table, kept between calls
     return sharding.shard_by_bytes(documents(spark, sf_dir), shards=24, map_path=map_path)
 
 

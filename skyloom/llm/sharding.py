@@ -13,6 +13,8 @@ from .common import written
 
 #: Virtual slots. The number never changes over the life of a corpus; only the map does.
 SLOTS = 8192
+#: Rows equal in id, checksum and size that one task writes out.
+EQUAL_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,13 @@ class SlotMap:
             held += weight[slot]
 
 
+_MAP_SCHEMA = "version int, shards int, virtual_slot int, shard int"
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The map table at path, or None where there is none yet."""
     try:
-        return spark.read.schema("version int, shards int, virtual_slot int, shard int").parquet(path)
+        return spark.read.schema(_MAP_SCHEMA).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -91,12 +96,18 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Appends one version to the map table; a stored version is never changed, nor stored again."""
-    table = _stored(spark, path)
-    if table is not None and not table.filter(F.col("version") == slot_map.version).isEmpty():
-        raise ValueError(f"version {slot_map.version} is stored at {path} already")
-    rows = [(slot_map.version, slot_map.shards, slot, int(shard)) for slot, shard in enumerate(slot_map.shard_of)]
-    spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+    """Adds one version to the map table, in a folder of its own; a stored version is never changed, nor stored again.
+
+    Of two jobs that store the same version at once, the folder lets one pass.
+    """
+    rows = [(slot_map.shards, slot, int(shard)) for slot, shard in enumerate(slot_map.shard_of)]
+    table = spark.createDataFrame(rows, "shards int, virtual_slot int, shard int").coalesce(1)
+    try:
+        table.write.mode("errorifexists").parquet(f"{path}/version={slot_map.version}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise ValueError(f"version {slot_map.version} is stored at {path} already") from e
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
@@ -120,11 +131,18 @@ def slot_weights(slotted: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot). Size: UTF-8 bytes of the text plus 8. Null text counts as empty.
 
-    The slot is a hash of id and text checksum, so copies with ids of their own spread.
+    The slot is a hash of id, checksum and size, so copies with ids of their own spread, and of the row's number among
+    those that are equal in all three, so that these spread too. Equal rows are counted, in each task first, and written
+    out again from their counts by as many tasks as they need.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     out = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    counted = out.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL_ROWS)))
+    parts = counted.withColumn("part", part).repartition("doc_id", "size", "text_crc32", "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * EQUAL_ROWS) - 1
+    single = parts.withColumn("number", F.explode(F.sequence(F.col("part") * EQUAL_ROWS, last))).drop("n", "part")
+    return single.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "number"), F.lit(slots)).cast("int")).drop("number")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
