@@ -47,11 +47,12 @@ def median_mad(rows: DataFrame, keys: list[str], value: str = "value") -> DataFr
         middle(F.col("d")).alias("mad"), F.size("v").alias("n"))
 
 
-def gate():
-    """A step of the admission fold; holds the ten last and five first admitted values of a series."""
-    rolling: list[float] = []
-    reference: list[float] = []
-    count = 0
+def gate(kept: list | None = None):
+    """A step of the admission fold; holds the ten last and five first admitted values of a series.
+
+    step.state() tells how many were admitted, and both lists; a gate may take up such a state.
+    """
+    count, rolling, reference = (0, [], []) if kept is None else (kept[0], list(kept[1]), list(kept[2]))
 
     def baseline(values, floor, relative):
         middle = median(values)
@@ -80,6 +81,7 @@ def gate():
                 reference.append(value)
         return out
 
+    step.state = lambda: [count, list(rolling), list(reference)]
     return step
 
 
