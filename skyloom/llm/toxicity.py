@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, slices, small_batches, written
 from .language_id import held_out
 
-TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
+TOKEN = re.compile(r"\w+")
 #: Most labelled documents of either label that the model is fitted on, chosen by a hash of their ids.
 FIT_ROWS = 4_096
 #: Most sequences with, and without, a word labelled toxic among those that the random field is fitted on, chosen by hash.
 FIT_SEQUENCES = 8_192
 #: Words in a sequence: the chain is cut there, while features still look at the neighbours beyond.
 CHAIN = 32
-#: Hashed features of words; words that a worker remembers.
+#: Hashed features of words, so many of each word at most; words that a worker remembers.
 BUCKETS = 1 << 19
-MEMO_WORDS = 200_000
 PREFIXES = range(3, 9)
+FEATURES = len(PREFIXES) + 3
+MEMO_WORDS = 400_000
 #: A feature marks toxic words when its likelihood ratio exceeds twice the log of the features looked at by EVIDENCE, and it is TIMES
 #: times as frequent in toxic documents.
 EVIDENCE, TIMES = 8.0, 20.0
@@ -36,44 +39,62 @@ EPOCHS, RATE, RIDGE, LEFT_OUT = 40, 0.5, 0.05, 0.6
 PARTS = 1 << 20
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def features_of(word: str) -> list[int]:
-    """Buckets of a word: itself and its prefixes, which may mark toxic words, then its ending and shape."""
-    low = word.lower()
-    names = [f"w{low}", *(f"p{low[:n]}" for n in PREFIXES if len(low) > n), f"s{low[-3:]}", f"u{word.isupper():d}{any(c.isdigit() for c in word):d}"]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    """Buckets of a word: itself and its prefixes (lower case, by their UTF-8 bytes), which may mark toxic words, then its ending and shape."""
+    low = word.lower().encode()
+    out = [zlib.crc32(low, 1) % BUCKETS]
+    for n in PREFIXES:
+        if n >= len(low):
+            break
+        out.append(zlib.crc32(low[:n], 2) % BUCKETS)
+    out.append(zlib.crc32(low[-3:], 3) % BUCKETS)
+    out.append((2 * word.isupper() + (_DIGIT.search(word) is not None)) % BUCKETS)
+    return out
 
 
 def marking(features: list[int]) -> list[int]:
     return features[:-2]
 
 
+def features_table(words: list[str]) -> np.ndarray:
+    """Features of words in rows, filled up with BUCKETS, which stands for nothing."""
+    out = np.full((len(words), FEATURES), BUCKETS, np.int32)
+    for i, w in enumerate(words):
+        own = features_of(w)
+        out[i, : len(own)] = own
+    return out
+
+
 class Words:
     """Numbers words as they come and keeps what know() says of each in a row of a table; starts anew beyond MEMO_WORDS."""
 
-    def __init__(self, know: Callable[[str], list[float]], width: int):
+    def __init__(self, know: Callable[[list[str]], np.ndarray], width: int):
         self.know, self.width = know, width
         self._anew()
 
     def _anew(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.table = np.empty((1024, self.width))
+        self.table = np.empty((1 << 14, self.width))
 
     def of(self, words: list[str]) -> np.ndarray:
         """The rows of the words."""
         if len(self.numbers) > MEMO_WORDS:
             self._anew()
-        numbers = self.numbers
-        out = list(map(numbers.get, words))
-        if None in out:
-            for i, n in enumerate(out):
-                if n is None:
-                    if (n := numbers.get(words[i])) is None:
-                        n = numbers[words[i]] = len(numbers)
-                        if n == len(self.table):
-                            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                        self.table[n] = self.know(words[i])
-                    out[i] = n
-        return self.table[np.array(out, np.int64)] if out else np.empty((0, self.width))
+        numbers, known = self.numbers, len(self.numbers)
+        out = [numbers.setdefault(w, len(numbers)) for w in words]
+        if len(numbers) > known:
+            new = list(islice(reversed(numbers), len(numbers) - known))[::-1]
+            if len(numbers) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((max(len(self.table), len(numbers) - known), self.width))])
+            self.table[known : len(numbers)] = self.know(new)
+        return self.table[np.array(out, np.int64)]
+
+
+#: The words that this worker remembers, by the model that knows them.
+_REMEMBERED: dict[str, Words] = {}
 
 
 def _sigmoid(x):
@@ -118,8 +139,18 @@ class ToxicityModel:
     turns: np.ndarray
     scale: np.ndarray
 
-    def know(self, word: str) -> np.ndarray:
-        return self.weights[:, features_of(word)].sum(axis=1)
+    def know(self, words: list[str]) -> np.ndarray:
+        """Of each word the sums of its features' weights, in the three rows."""
+        at = features_table(words)
+        found = self.weights[:, np.minimum(at, BUCKETS - 1)] * (at < BUCKETS)
+        return found.sum(axis=2, dtype=np.float64).T
+
+    def words(self, name: str) -> Words:
+        """This worker's memory of words; that of another model is forgotten."""
+        if name not in _REMEMBERED:
+            _REMEMBERED.clear()
+            _REMEMBERED[name] = Words(self.know, 3)
+        return _REMEMBERED[name]
 
     def marginals(self, texts: list[list[str]], words: Words) -> list[np.ndarray]:
         """Probability of toxic at each word of each text."""
@@ -149,8 +180,8 @@ class ToxicityModel:
 
 def fit_chain(sequences: list[tuple[list[str], list[int]]]) -> ToxicityModel:
     """Conditional likelihood of labelled sequences of up to CHAIN words, climbed by Adagrad, with a ridge; without any, nothing is toxic."""
-    width = len(PREFIXES) + 3
-    words = Words(lambda w: [*(f := features_of(w)), *[BUCKETS] * (width - len(f))], width)
+    width = FEATURES
+    words = Words(features_table, width)
     at = np.full((len(sequences), CHAIN, width), BUCKETS, np.int32)  # that bucket is nothing's
     y, real = np.zeros(at.shape[:2]), np.zeros(at.shape[:2], bool)
     for i, (own, labels) in enumerate(sequences):
@@ -279,10 +310,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     taken = [r for marked in (True, False) for r in sequences.filter(F.col("marked") == marked).orderBy(F.xxhash64("words"), "words").limit(
         fit_sequences).collect()]
     model = fit_chain([(r.words, r.labels) for r in taken])
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value.know, 3)
+        words = shared.value.words(name)
         for batch in slices(batches):
             texts = [TOKEN.findall(t) for t in batch.column(0).to_pylist()]
             totals = [shared.value.totals(m) for m in shared.value.marginals(texts, words)]
@@ -314,12 +345,12 @@ def find_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     word. Words with a marginal of at least 0.5 offend, neighbours in one span. The model is broadcast: 6 BUCKETS bytes.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kind = docs.select(F.col(id_col)).dtypes[0][1]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        words = Words(own.know, 3)
+        words = own.words(name)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [TOKEN.findall(t) for t in texts]
