@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import fold_sorted
+from .scans import quantiles
 
 # Scale of the MAD, sizes of rolling and reference baseline, flights for each mode, gate and inference cuts.
 MAD_SCALE = 1.4826
@@ -39,12 +41,13 @@ def robust_z(value: Column, centre: Column, spread: Column, lower_is_worse: Colu
 
 
 def median_mad(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys, median, mad, n): exact, from values gathered per key. Keys must be groups of a bounded history."""
-    values = F.sort_array(F.collect_list(value))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    out = rows.groupBy(*keys).agg(values.alias("v")).withColumn("median", middle(F.col("v")))
-    return out.withColumn("d", F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("median"))))).select(*keys, "median",
-        middle(F.col("d")).alias("mad"), F.size("v").alias("n"))
+    """(keys, median, mad, n): exact, from ranks among sorted values (scans.quantiles), so a key may have any number of rows."""
+    middle = quantiles(rows, keys, value, [0.5]).select(*keys, F.get("q", F.lit(0)).alias("median"), "n")
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(middle[k]) for k in keys])
+    apart = rows.filter(F.col(value).isNotNull()).join(middle, same).select(*(rows[k] for k in keys), F.abs(rows[value] - middle["median"]).alias("apart"))
+    mad = quantiles(apart, keys, "apart", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("mad"))
+    same = reduce(Column.__and__, [middle[k].eqNullSafe(mad[k]) for k in keys])
+    return middle.join(mad, same).select(*(middle[k] for k in keys), "median", "mad", F.col("n").cast("int").alias("n"))
 
 
 def gate(kept: list | None = None):

@@ -5,9 +5,13 @@ Rows are (pair, i, real, sim): sample i of both recordings. Everything is exact;
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import quantiles, scanned
+
 # Smoothing, bin limits, degeneracy and range floors.
 EPSILON = 1e-6
 MIN_BINS, MAX_BINS = 20, 200
@@ -34,8 +38,8 @@ def effective_samples(rows: DataFrame, key: str = "pair", value: str = "real", o
 
 def bin_edges(sides: DataFrame) -> DataFrame:
     """(pair, lo, hi, bins): bins of width 2 IQR n^(-1/3) over both sides together, within limits; sqrt(n) where IQR is 0."""
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    s = sides.groupBy("pair").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"), quartiles.alias("q"))
+    found = quantiles(sides.select("pair", "value"), ["pair"], "value", [0.0, 0.25, 0.75, 1.0])
+    s = found.select("pair", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(3)).alias("hi"), "n", F.slice("q", 2, 2).alias("q"))
     iqr = F.col("q")[1] - F.col("q")[0]
     wide = F.ceil(F.round((F.col("hi") - F.col("lo")) / (2 * iqr * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3))), 9))
     raw = F.when(iqr > 0, wide).otherwise(F.ceil(F.sqrt("n")))
@@ -72,16 +76,27 @@ def divergences(shares: DataFrame) -> DataFrame:
 def distances(sides: DataFrame) -> DataFrame:
     """(pair, wasserstein, ks, ks_pvalue): both from the two step functions along the values; ties move together.
 
-    The p-value is the asymptotic one. At these sizes it says nothing about significance.
+    Equal values are counted first; the counts are then scanned in order (scans.scanned), so a pair may have any number of
+    rows. Null values don't count. Distances are null if a side has no value. The p-value is the asymptotic one. At
+    these sizes it says nothing about significance.
     """
-    by = Window.partitionBy("pair")
-    upto = by.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    n, m = F.count_if(F.col("side") == 1).over(by), F.count_if(F.col("side") == 0).over(by)
-    gap = F.abs(F.count_if(F.col("side") == 1).over(upto) / n - F.count_if(F.col("side") == 0).over(upto) / m)
-    rows = sides.select("pair", "value", gap.alias("gap"), (F.lead("value").over(by.orderBy("value")) - F.col("value")).alias("step"),
-        n.alias("n"), m.alias("m"))
-    out = rows.groupBy("pair").agg(F.sum(F.col("gap") * F.col("step")).alias("wasserstein"), F.max("gap").alias("ks"),
-        F.first("n").alias("n"), F.first("m").alias("m"))
+    counted = sides.filter("value IS NOT NULL").groupBy("pair", "value").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 0).alias("b"))
+
+    def summary(piece: pd.DataFrame) -> tuple[int, int, float]:
+        return int(piece["a"].sum()), int(piece["b"].sum()), float(piece["value"].iloc[0])
+
+    def walk(piece: pd.DataFrame, before: tuple | None, after: tuple | None) -> pd.DataFrame:
+        a, b = (piece[c].to_numpy().cumsum() + (before[i] if before else 0) for i, c in enumerate("ab"))
+        n, m = (int(x[-1]) + (after[i] if after else 0) for i, x in enumerate((a, b)))
+        values = piece["value"].to_numpy(float)
+        steps = np.diff(values, append=after[2] if after else values[-1])
+        gap = np.abs(a / n - b / m) if n and m else np.full(len(a), np.nan)
+        return pd.DataFrame({"pair": piece["pair"].iloc[:1], "area": [float(gap @ steps)], "most": [float(gap.max())], "n": [n], "m": [m]})
+
+    found = scanned(counted, ["pair"], ["value"], summary, lambda x, y: (x[0] + y[0], x[1] + y[1], x[2]), walk,
+        f"pair {dict(sides.dtypes)['pair']}, area double, most double, n long, m long")
+    out = found.groupBy("pair").agg(F.sum(F.nanvl("area", F.lit(None))).alias("wasserstein"), F.max(F.nanvl("most", F.lit(None))).alias("ks"), F.max("n").alias("n"),
+        F.max("m").alias("m"))
     x2 = F.col("ks") * F.col("ks") * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x2))
     return out.select("pair", "wasserstein", "ks", F.when(x2 < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))).alias("ks_pvalue"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import features as catalogue
+from .scans import quantiles
 from .series import at_times
 
 # Least samples, saturation, current range, manoeuvre rate, pattern cuts, sag window.
@@ -43,12 +44,15 @@ def magnitude(*axes: Column) -> Column:
 def percentile_features(signals: DataFrame, table: tuple = PERCENTILES, flight: str = "flight") -> DataFrame:
     """(flight, feature_key, value, reason) of every percentile feature whose signal the flight has; few samples give a reason.
 
-    Only wanted signals are grouped, once for all percentiles.
+    Only wanted signals take part, once for all percentiles; ranks are looked for among sorted values (scans.quantiles),
+    so no task holds a flight's signal.
     """
     shares = sorted({p for _, _, p in table})
     wanted = F.array(*[F.struct(F.lit(f).alias("feature_key"), F.lit(k).alias("key"), F.lit(shares.index(p)).alias("at")) for f, k, p in table])
     own = signals.filter(F.col("key").isin(sorted({k for _, k, _ in table})))
-    own = own.groupBy(flight, "key").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p"), F.count("value").alias("n"))
+    there = own.select(flight, "key").distinct()
+    found = quantiles(own.select(flight, "key", "value"), [flight, "key"], "value", shares)
+    own = there.join(found, [flight, "key"], "left").select(flight, "key", F.col("q").alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
     named = own.select("*", F.explode(wanted).alias("w")).filter(F.col("w.key") == F.col("key"))
     enough = F.col("n") >= MIN_SAMPLES
     return named.select(flight, "w.feature_key", F.when(enough, F.get("p", F.col("w.at"))).alias("value"), F.when(~enough,
@@ -57,7 +61,8 @@ def percentile_features(signals: DataFrame, table: tuple = PERCENTILES, flight:
 
 def worst_ratio(signals: DataFrame, flight: str = "flight", least: int = 1) -> DataFrame:
     """(flight, value, worst): the largest p95 of the estimator's test ratios with enough samples, and which one it is."""
-    own = signals.groupBy(flight, "key").agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.count("value").alias("n")).filter(F.col("n") >= least)
+    found = quantiles(signals.select(flight, "key", "value"), [flight, "key"], "value", [0.95])
+    own = found.select(flight, "key", F.get("q", F.lit(0)).alias("p95"), "n").filter(F.col("n") >= least)
     return own.groupBy(flight).agg(F.max("p95").alias("value"), F.max_by("key", F.struct("p95", "key")).alias("worst"))
 
 
