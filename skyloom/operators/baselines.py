@@ -19,6 +19,7 @@ GATE_Z = 3.5
 INFER_FLIGHTS, INFER_SPREADS = 3, 2.0
 
 KEYS = ["drone_id", "baseline_group", "feature_key"]
+GATE_INPUTS = ["value", "qualified", "valid", "absolute_bad", "floor", "relative_floor", "baselined"]
 GATE_OUTPUTS = "admitted boolean, quarantine_reason string, n_before int, base_median double, base_mad double, base_spread double, base_n int, ref_median double, ref_spread double"
 
 
@@ -96,8 +97,7 @@ def admit(observations: DataFrame) -> DataFrame:
     the rolling and reference baselines that it was judged against (null while they have too few values). A value is
     judged against admitted values only, so each decision depends on the earlier ones.
     """
-    return fold_sorted(observations, KEYS, ["flight_index"], gate, ["value", "qualified", "valid", "absolute_bad", "floor",
-        "relative_floor", "baselined"], GATE_OUTPUTS)
+    return fold_sorted(observations, KEYS, ["flight_index"], gate, GATE_INPUTS, GATE_OUTPUTS)
 
 
 def inferred_changes(admitted: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ EMIT_BELOW, DEFINITIONAL_RANK = 85.0, 70.0
 REJECTION_RATIO, IMBALANCE_TRIGGER = 1.0, 30.0
 TOP_FINDINGS = 3
 #: Reasons for missing values that a change of logging or hardware would mend.
-LOGGING_GAPS = {"requires_fifo_accel": "raw high-rate accelerometer logging", "no_per_cell_sensing": "a battery monitor with per-cell sensing"}
+LOGGING_GAPS = {"requires_fifo_accel": "raw high-rate accelerometer logging", "no_per_cell_sensing": "sensing of every battery cell"}
 
 
 def band(score: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogue as C
 from ..operators import baselines as B
 from ..operators import epochs as E
+from ..operators import rebuild as R
 from ..operators import scoring as S
 from ..operators import trends as T
 from ..sources.tables import micros, table
@@ -110,6 +111,34 @@ FOLD_SQL = f"""{OBS_SQL}, s AS MATERIALIZED (SELECT *, row_number() OVER (PARTIT
         FROM s JOIN fold f USING (drone_id, baseline_group, feature_key, rn))"""
 
 
+_DELETED_SQL = FOLD_SQL.replace("AS rn FROM grp),", "AS rn FROM grp WHERE NOT (drone_id % 10 = 3 AND flight_index IN (4, 9))),")
+
+
+@PLANS.add(f"""WITH RECURSIVE {_DELETED_SQL} SELECT drone_id, baseline_group, feature_key, flight_index, admitted, quarantine_reason, n_before, round(med, 6)
+    AS base_median, round(spread, 6) AS base_spread FROM adm""")
+def flight_deletion(spark: SparkSession, folder: str) -> DataFrame:
+    """Admissions after the fifth and the tenth flight of every tenth vehicle were deleted: only what follows them is folded anew."""
+    recorded = R.admit_recorded(grouped(spark, folder))
+    doomed = recorded.filter("drone_id % 10 = 3 AND flight_index IN (4, 9)").select("drone_id", "flight_index")
+    out = R.rebuilt(recorded, doomed)
+    return rounded(out.select("drone_id", "baseline_group", "feature_key", "flight_index", "admitted", "quarantine_reason", "n_before", "base_median", "base_spread"))
+
+
+@PLANS.add(f"""WITH RECURSIVE {FOLD_SQL}, own AS (SELECT drone_id, baseline_group, feature_key, value, flight_index, floor, relative_floor, row_number() OVER
+    (PARTITION BY drone_id, baseline_group, feature_key ORDER BY flight_index DESC) AS back, row_number() OVER (PARTITION BY drone_id, baseline_group,
+    feature_key ORDER BY flight_index) AS nth FROM adm WHERE admitted),
+    k AS (SELECT *, 'rolling' AS kind FROM own WHERE back <= 10 UNION ALL SELECT *, 'reference' AS kind FROM own WHERE nth <= 5),
+    g AS (SELECT drone_id, baseline_group, feature_key, kind, median(value) AS m, mad(value) AS d, count(*) AS n, any_value(floor) AS f, any_value(relative_floor)
+        AS r, min(flight_index) AS first_flight, max(flight_index) AS last_flight FROM k GROUP BY ALL)
+    SELECT drone_id, baseline_group, feature_key, kind, round(m, 6) AS median, round(d, 6) AS mad, round(greatest(1.4826 * d, f, r * abs(m)), 6) AS spread,
+        CAST(n AS INTEGER) AS n, first_flight, last_flight FROM g WHERE kind = 'rolling' OR n = 5""")
+def stored_baselines(spark: SparkSession, folder: str) -> DataFrame:
+    """The baselines that each vehicle's next flight is judged against."""
+    out = R.final_baselines(admitted(spark, folder))
+    return rounded(out.select("drone_id", "baseline_group", "feature_key", "kind", "median", "mad", "spread", "n", F.array_min("flights").alias("first_flight"),
+        F.array_max("flights").alias("last_flight")))
+
+
 @PLANS.add("""SELECT user_id, event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad, CAST(count(*) AS INTEGER) AS n
     FROM events GROUP BY user_id, event_type""")
 def median_mad(spark: SparkSession, folder: str) -> DataFrame:

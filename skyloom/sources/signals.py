@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import series
+from ..operators.scans import quantiles, scanned, stored
 from .logs import INFO, PARAMETER, STREAM_MESSAGES, TEXT, log_files, messages
 
 # Signal, topic, field and factor of both log formats.
@@ -96,6 +99,7 @@ OUTPUT_BANKS = ("PWM_MAIN", "PWM_AUX")
 PWM_RANGE = (1000.0, 2000.0)
 FIFO_TOPICS = {"sensor_accel_fifo": "fifo.accel", "sensor_gyro_fifo": "fifo.gyro"}
 FIFO_WIDTH, HIGH_RATE_HZ = 32, 500.0
+FIR_HALF, SHORTEST = 10, 27
 GPS_EPOCH_S, LEAP_S, WEEK_S = 315_964_800, 18, 604_800
 EARLIEST_US = 1_420_070_400_000_000
 
@@ -167,7 +171,7 @@ def canonical(logged: DataFrame) -> DataFrame:
     armed = own.filter("topic = 'vehicle_status' AND field = 'arming_state'").select("log", "seq", "us", F.lit("status.armed").alias("key"),
         (F.col("value") == ARMED_STATE).cast("double").alias("value"))
 
-    parts = direct.unionByName(attitude).unionByName(wanted).unionByName(armed).unionByName(actuators(logged)).unionByName(fifo(logged))
+    parts = direct.unionByName(attitude).unionByName(wanted).unionByName(armed).unionByName(actuators(logged)).unionByName(decimated(fifo(logged)))
     rows = parts.select(F.struct("log", "key").alias("key"), "seq", "us", "value")
     rows = series.clean(series.cut_clock_jump(rows)).drop("noisy")
     turned = series.unwrapped(rows.filter("key.key = 'att.yaw'"), 2 * math.pi).select("key", "seq", "us", F.col("unwrapped").alias("value"))
@@ -215,7 +219,7 @@ def actuators(logged: DataFrame) -> DataFrame:
 
 
 def fifo(logged: DataFrame) -> DataFrame:
-    """(log, seq, us, key, value): batched raw samples, one row each: time + i dt, value x scale, valid ones only."""
+    """(log, seq, us, key, value, dt): batched raw samples, one row each: time + i dt, value x scale, valid ones only."""
     fields = {"base": "timestamp_sample", "dt": "dt", "scale": "scale", "samples": "samples", **{f"{a}{i}": f"{a}[{i}]" for a in "xyz"
         for i in range(FIFO_WIDTH)}}
     out = None
@@ -225,11 +229,60 @@ def fifo(logged: DataFrame) -> DataFrame:
             values = F.posexplode(F.slice(F.array(*[F.col(f"{axis}{i}") for i in range(FIFO_WIDTH)]), 1, F.greatest(F.lit(1), F.col("samples").cast("int"))))
             one = rows.filter("samples > 0").select("log", "seq", F.coalesce("base", "us").alias("t"), "dt", "scale", values.alias("i", "v"))
             one = one.select("log", "seq", (F.col("t") + F.col("i") * F.round("dt")).cast("long").alias("us"),
-                F.lit(f"{prefix}.{axis}").alias("key"), (F.col("v") * F.col("scale")).alias("value")).filter("value IS NOT NULL")
+                F.lit(f"{prefix}.{axis}").alias("key"), (F.col("v") * F.col("scale")).alias("value"), "dt").filter("value IS NOT NULL")
             out = one if out is None else out.unionByName(one)
     return out
 
 
+def low_pass(factor: int) -> np.ndarray:
+    """The anti-alias filter of a decimation: 20 factor + 1 taps of a windowed sinc at the new Nyquist rate, with a gain of 1 at rest."""
+    half = FIR_HALF * factor
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / factor) * (0.54 + 0.46 * np.cos(np.pi * k / half))
+    return taps / taps.sum()
+
+
+def decimated(samples: DataFrame) -> DataFrame:
+    """(log, seq, us, key, value): series above HIGH_RATE_HZ (by the median of their dt) with every factor-th sample, low-passed without delay.
+
+    samples has dt beside these columns. The factor is the whole part of rate / HIGH_RATE_HZ. Outside its ends a series
+    counts as 0; one of 27 factor samples or fewer keeps all of them, as it is. Series are scanned in ranges
+    (scans.scanned): a range gets the samples around it that the filter needs, so no flight is held whole.
+    """
+    rates = quantiles(samples.filter("dt IS NOT NULL"), ["log", "key"], "dt", [0.5]).select("log", "key", F.get("q", F.lit(0)).alias("dt"))
+    rate = F.when(F.col("dt") > 0, 1e6 / F.col("dt")).otherwise(F.lit(0.0))
+    sizes = samples.groupBy("log", "key").agg(F.count(F.lit(1)).alias("n"))
+    rates = rates.join(sizes, ["log", "key"]).select("log", "key", F.when((rate > HIGH_RATE_HZ) & (F.col("n") > SHORTEST * F.floor(rate / HIGH_RATE_HZ)),
+        F.floor(rate / HIGH_RATE_HZ)).otherwise(1).cast("int").alias("factor"))
+    rates = stored(rates)
+    halo = FIR_HALF * (rates.agg(F.max("factor")).first()[0] or 1)  # samples that a range tells its neighbours
+    rows = samples.join(rates, ["log", "key"], "left").select("log", "key", "us", "seq", "value", F.coalesce("factor", F.lit(1)).alias("factor"))
+
+    def summary(piece: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        x = piece["value"].to_numpy(float)
+        return len(x), x[:halo], x[-halo:]
+
+    def combine(one: tuple, other: tuple) -> tuple:
+        return one[0] + other[0], np.concatenate([one[1], other[1]])[:halo], np.concatenate([one[2], other[2]])[-halo:]
+
+    def run(piece: pd.DataFrame, before: tuple | None, after: tuple | None) -> pd.DataFrame:
+        factor = int(piece["factor"].iloc[0])
+        own = piece[["log", "seq", "us", "key", "value"]]
+        if factor == 1:
+            return own
+        half, x = FIR_HALF * factor, piece["value"].to_numpy(float)
+        left, right = np.zeros(half), np.zeros(half)
+        if before:
+            left[half - min(half, len(before[2])) :] = before[2][-half:]
+        if after:
+            right[: min(half, len(after[1]))] = after[1][:half]
+        smooth = np.convolve(np.concatenate([left, x, right]), low_pass(factor), "valid")
+        at = np.arange((-(before[0] if before else 0)) % factor, len(x), factor)
+        return own.iloc[at].assign(value=smooth[at])
+
+    return scanned(rows, ["log", "key"], ["us", "seq"], summary, combine, run, "log string, seq long, us long, key string, value double")
+
+
 def release(code: Column, branch: Column) -> Column:
     """Firmware release from its packed number: major.minor.patch, kind, branch."""
     n = code.cast("long")
@@ -272,7 +325,7 @@ def provenance(logged: DataFrame) -> DataFrame:
     real = lambda us: F.when(us >= EARLIEST_US, us.cast("long"))
     start = F.coalesce(real(F.when(F.col("boot") > 0, F.col("boot") + F.col("start"))), real(F.col("f.utc") - (F.col("f.us") - F.col("start"))))
     evidence = F.array_compact(F.array(F.when(F.col("hitl") != 0, "SYS_HITL set"), F.when((F.col("autostart") >= 10000)
-        & (F.col("autostart") < 20000), "simulation airframe"), F.when(F.col("sim"), "SIM_* parameters present"), F.when(F.col("sitl"), "SITL named")))
+        & (F.col("autostart") < 20000), "simulation airframe"), F.when(F.col("sim"), "has SIM_* parameters"), F.when(F.col("sitl"), "SITL named")))
     return out.select("log", "firmware", "release", "airframe", F.when(F.size(evidence) > 0, True).alias("looks_simulated"),
         evidence.alias("evidence"), start.alias("start_utc_us"))
 

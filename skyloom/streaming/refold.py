@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.baselines import GATE_OUTPUTS, KEYS, REFERENCE, ROLLING, gate
+from ..operators.baselines import GATE_INPUTS, GATE_OUTPUTS, KEYS, REFERENCE, ROLLING, gate
 from ..operators.kalman import ACCELERATION_STD, MEASUREMENT_STD, RESET_GAP_S, altitude_filter
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -38,11 +38,11 @@ class Refold(StatefulProcessor):
         self.history = handle.getListState("history", "place array<bigint>, inputs string, before string, output string, revision int")
         self.head = handle.getValueState("head", "sequence long, base string, floor array<bigint>")  # base: the state after all that is forgotten
 
-    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        row = initial.iloc[0]
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
         self.head.update((0, row["state"], [int(x) for x in row["floor"]]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sequence, base, floor = self.head.get() if self.head.exists() else (0, None, None)
         floor = None if floor is None else tuple(floor)
         kept = [(tuple(place), *rest) for place, *rest in self.history.get()] if self.history.exists() else []
@@ -158,9 +158,6 @@ def corrected_filter(stream: DataFrame, value: str = "altitude", horizon_s: int
     return refolded(rows, _altitude_fold(reset_gap_s, second_us), ["drone_id"], ["us", "reading_id"], ["value"], outputs, int(horizon_s * second_us))
 
 
-GATE_INPUTS = ["value", "qualified", "valid", "absolute_bad", "floor", "relative_floor", "baselined"]
-
-
 def _gate_fold(state: list | None):
     judge = gate(state)
 

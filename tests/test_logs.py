@@ -150,7 +150,9 @@ def test_signals_of_a_self_described_log(logged):
     assert set(own["vibe.x"][:, 1]) == {22.0} and np.allclose(own["est.vel_tr"][:, 1], 0.22)
     assert own["status.armed"][:, 1].tolist() == [float(x > 5) for x in t]
     assert set(own["act.out0"][:, 1].round(6)) == {0.5, 0.625} and own["act.out1"][-1, 1] == pytest.approx(t[-1] * 10 / 1000, rel=1e-3)
-    assert own["fifo.accel.x"][:3].tolist() == [[1e6, pytest.approx(1.0)], [1e6 + 250, pytest.approx(2.0)], [1e6 + 500, pytest.approx(3.0)]]
+    raw = signals.fifo(logged.filter("log = 'a.ulg'")).filter("key = 'fifo.accel.x'").orderBy("us").limit(3).collect()
+    assert [(r.us, round(r.value, 6), r.dt) for r in raw] == [(1_000_000, 1.0, 250.0), (1_000_250, 2.0, 250.0), (1_000_500, 3.0, 250.0)]
+    assert len(own["fifo.accel.x"]) == 600 // 8  # at 500 of 4,000 Hz
     assert "gps.eph" not in own
     assert 0 < len(rows["cut.ulg", "alt.rel"]) < 200
     assert logged.filter("log = 'cut.ulg' AND text = 'partial_parse_recovered'").count() == 1
@@ -179,3 +181,33 @@ def test_telemetry_points_carry_the_latest_state(logged):
     assert out[0].roll is None and out[1].yaw == pytest.approx(270.0) and out[1].battery == 77 and out[2].battery == 77
     assert (out[1].motor_pwm_1, out[1].motor_pwm_2, out[1].motor_pwm_3) == (1500.0, None, 1600.0) and out[2].motor_pwm_1 is None
     assert out[1].accel_z == pytest.approx(9.81) and out[1].gyro_x == pytest.approx(math.degrees(1))
+
+
+def test_decimated_signals_are_the_closed_form(spark):
+    """Samples of 4 kHz to 500 Hz, 5 kHz to 500 Hz, a slow and a short series: every factor-th sample of the filtered series, wherever ranges end."""
+    rng = np.random.default_rng(7)
+    series = {("a", "fifo.accel.x", 250.0): rng.normal(0, 1, 5003), ("a", "fifo.accel.y", 200.0): rng.normal(0, 1, 3001), ("b", "fifo.gyro.x", 2500.0): rng.normal(0, 1,
+        400), ("b", "fifo.gyro.y", 250.0): rng.normal(0, 1, 27 * 8), ("c", "fifo.accel.x", 250.0): np.full(2000, 2.0)}
+    rows = [(log, i // 10, int(i * dt), key, float(v), dt) for (log, key, dt), x in series.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "log string, seq long, us long, key string, value double, dt double").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        out = {}
+        for r in signals.decimated(frame).collect():
+            out.setdefault((r.log, r.key), []).append((r.us, r.value))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for (log, key, dt), x in series.items():
+        factor = {250.0: 8, 200.0: 10}.get(dt, 1) if len(x) > 27 * 8 else 1
+        got = sorted(out[log, key])
+        assert [us for us, _ in got] == [int(i * dt) for i in range(0, len(x), factor)]
+        if factor == 1:
+            assert [v for _, v in got] == x.tolist()
+            continue
+        k = np.arange(-10 * factor, 10 * factor + 1)
+        h = np.sinc(k / factor) / factor * np.hamming(len(k))
+        h /= h.sum()
+        true = [sum(h[j] * x[i - k[j]] for j in range(len(k)) if 0 <= i - k[j] < len(x)) for i in range(0, len(x), factor)]
+        assert np.allclose([v for _, v in got], true, atol=1e-9)
+    middle = [v for _, v in sorted(out["c", "fifo.accel.x"])][20:-20]
+    assert np.allclose(middle, 2.0)  # a level stays
