@@ -48,7 +48,7 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], summarise: Calla
     A piece is the rows of one key in one range, in order; rows that are equal in keys and order stay in one range. before
     and after are the combined summaries of the key's pieces in earlier and later ranges, None without any. combine() is
     associative and takes summaries in order. There are `parts` ranges (by default spark.sql.shuffle.partitions), of about
-    the same size each; a task holds one.
+    the same size each; a task holds one. The dealing and the summaries are jobs of their own, which run now.
     """
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

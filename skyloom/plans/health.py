@@ -58,14 +58,15 @@ def change_events(spark: SparkSession, folder: str) -> DataFrame:
     return E.flight_of_change(changes(spark, folder), flights).withColumn("epoch", F.col("seq").cast("string"))
 
 
-def grouped(spark: SparkSession, folder: str) -> DataFrame:
-    rows = E.feature_epoch(observations(spark, folder), change_events(spark, folder), C.reset_features(spark))
+def grouped(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """Observations with their baseline groups, by the declared changes, or by other events."""
+    rows = E.feature_epoch(observations(spark, folder), change_events(spark, folder) if events is None else events, C.reset_features(spark))
     rows = rows.withColumn("baseline_group", B.group_key(F.col("feature_key"), F.col("epoch"), F.col("pack_id")))
     return S.with_absolute(rows, C.norms(spark))
 
 
-def admitted(spark: SparkSession, folder: str) -> DataFrame:
-    return B.admit(grouped(spark, folder))
+def admitted(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    return B.admit(grouped(spark, folder, events))
 
 
 _FEATURE_ROWS = ", ".join(f"('{k}', {i}, '{sub}', '{tier}', {C.FLOORS.get(k, 0.0)}::DOUBLE, {C.RELATIVE_FLOORS.get(k, 0.0)}::DOUBLE, {k in C.LOWER_IS_WORSE}, {k in C.FLOORS})"
@@ -195,8 +196,12 @@ SCORE_SQL = f"""{FOLD_SQL}, sc1 AS (SELECT *, n_before + 1 AS n, CASE WHEN valid
     CASE WHEN valid THEN CASE WHEN tier = 'R2' AND n < 5 THEN 'low' WHEN mode = 'personal' THEN CASE WHEN n >= 10 AND tier = 'R1' THEN
         'high' ELSE 'medium' END WHEN mode = 'blended' THEN 'medium' WHEN absolute_score IS NOT NULL THEN 'medium' ELSE 'low' END END AS confidence FROM st""")
 def feature_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(S.score_features(admitted(spark, folder)).select("drone_id", "feature_key", "flight_index", "n", F.round("z",
-        5).alias("z"), "weight", "score", "status", "mode", "confidence"))
+    return scores_of(admitted(spark, folder))
+
+
+def scores_of(rows: DataFrame) -> DataFrame:
+    return rounded(S.score_features(rows).select("drone_id", "feature_key", "flight_index", "n", F.round("z", 5).alias("z"), "weight", "score", "status",
+        "mode", "confidence"))
 
 
 @PLANS.add(f"""WITH RECURSIVE {SCORE_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY drone_id, flight_index, subsystem ORDER BY
@@ -248,8 +253,8 @@ FINDING_SQL = f"""{SCORE_SQL}, k AS (SELECT *, CASE WHEN NOT (status = 'scored'
         BY r), '') AS related FROM rk GROUP BY ALL)"""
 
 
-def _findings(spark: SparkSession, folder: str) -> DataFrame:
-    scores = S.score_features(admitted(spark, folder)).withColumns({"definitional": S.definitional(F.col("feature_key"), F.col("value"),
+def _findings(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    scores = S.score_features(admitted(spark, folder, events)).withColumns({"definitional": S.definitional(F.col("feature_key"), F.col("value"),
         F.lit(0)), "pattern": F.when(F.col("feature_key") == "act.spread", "mixed")})
     return S.findings(scores)
 

@@ -26,6 +26,16 @@ EVENTS_SQL = f"""{health.OBS_SQL}, {health.PARAM_SQL},
         source, own, change_type) AS INTEGER) AS seq FROM al)"""
 
 
+_DECLARED = "fe AS (SELECT drone_id, feature_key, flight_index, seq, epoch FROM ev JOIN resets USING (change_type))"
+
+
+def _on_merged(sql: str) -> str:
+    """SQL of a health query with the merged events in place of the declared ones."""
+    merged = EVENTS_SQL.removeprefix(f"{health.OBS_SQL}, ")
+    assert _DECLARED in sql
+    return sql.replace(_DECLARED, f"{merged}, {_DECLARED.replace('FROM ev', 'FROM me')}")
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Declared changes of the vehicles and those that their parameters show."""
     detected = E.events_from_parameters(E.parameter_changes(health._parameters(spark, folder)))
@@ -143,3 +153,34 @@ def consistent_lines(spark: SparkSession, folder: str) -> DataFrame:
     confidence = F.when(F.col("flight_index") < 3, "low").when(F.col("flight_index") < 10, "medium").otherwise("high")
     return rows.select("drone_id", "feature_key", "flight_index", phrases.hedged(phrases.consistent_line(F.col("value"), F.lit(False)),
         confidence).alias("text"))
+
+
+@PLANS.add(_on_merged(health.PLANS.sql["admission_gate"]))
+def report_admissions(spark: SparkSession, folder: str) -> DataFrame:
+    """The admission gate of a report: detected changes begin new baselines as declared ones do."""
+    out = health.admitted(spark, folder, events(spark, folder))
+    return rounded(out.select("drone_id", "baseline_group", "feature_key", "flight_index", "admitted", "quarantine_reason", "n_before", "base_n", "base_median", "base_mad",
+        "base_spread", "ref_median"))
+
+
+@PLANS.add(_on_merged(health.PLANS.sql["feature_scores"]))
+def report_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return health.scores_of(health.admitted(spark, folder, events(spark, folder)))
+
+
+@PLANS.add(_on_merged(health.PLANS.sql["flight_rollup"]))
+def report_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each flight's overall score in its report."""
+    return rounded(S.rollup(S.score_features(health.admitted(spark, folder, events(spark, folder)))), 1)
+
+
+@PLANS.add(_on_merged(health.PLANS.sql["worst_findings"]))
+def report_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """What a report names first."""
+    return S.worst_findings(health._findings(spark, folder, events(spark, folder))).select("drone_id", "flight_index", "cause", "rank_score", "place")
+
+
+@PLANS.add(_on_merged(health.PLANS.sql["trend_callouts"]))
+def report_trends(spark: SparkSession, folder: str) -> DataFrame:
+    out = T.callouts(health.admitted(spark, folder, events(spark, folder)))
+    return rounded(out.withColumns({"band_low": F.round("band_low", 5), "band_high": F.round("band_high", 5)}))
