@@ -9,7 +9,6 @@ from collections import Counter
 from itertools import permutations, product
 from math import floor, inf, isfinite, log, nan
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -263,12 +262,3 @@ def test_texts_with_one_fingerprint_stay_apart(spark):
         return Counter(map(tuple, found.collect()))
 
     assert counts(fingerprint=lambda data: len(data) % 2) == counts()
-
-
-def test_their_sql_says_the_same(spark, sf_dir):
-    con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    for name in ("op11_sort_means", "op13_filter_audit"):
-        out = queries.QUERIES[name](spark, sf_dir)
-        assert Counter(map(tuple, out.collect())) == Counter(con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
