@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import series as S
+from .scans import stored
 from .windows import RATE_HZ
 
 # Band in Hz, window and search in seconds, gate, least overlap, low rates and share of a short overlap.
@@ -36,17 +37,31 @@ def butterworth_sections(rate: float) -> np.ndarray:
     return sections
 
 
+#: Samples that the recursion of a filter takes at once.
+BLOCK = 256
+
+
 def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sections one after another, each in blocks: within one, outputs and the state behind it are linear in its samples and the state before."""
     for b0, b1, b2, a1, a2 in sections:
+        step, into, out = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
+        powers = [np.eye(2)]
+        for _ in range(BLOCK):
+            powers.append(step @ powers[-1])
+        of_state = np.array([out @ p for p in powers[:BLOCK]])  # outputs that a state makes
+        echo = np.r_[b0, of_state[:-1] @ into]  # outputs that a sample makes
+        at = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+        within = np.where(at >= 0, echo[np.maximum(at, 0)], 0.0)
+        behind = np.array([powers[BLOCK - 1 - i] @ into for i in range(BLOCK)])
         # The recursion's start is the steady state for the first value.
         s2 = (b2 - a2 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0]
-        s1 = (b1 - a1 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0] + s2
-        out = np.empty_like(x)
-        for i, v in enumerate(x.tolist()):
-            y = b0 * v + s1
-            s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
-            out[i] = y
-        x = out
+        state = np.array([(b1 - a1 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0] + s2, s2])
+        blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
+        made, carried = blocks @ within.T, blocks @ behind
+        for i in range(len(blocks)):
+            made[i] += of_state @ state
+            state = powers[BLOCK] @ state + carried[i]
+        x = made.ravel()[: len(x)]
     return x
 
 
@@ -78,7 +93,9 @@ def best_shift(real: np.ndarray, sim: np.ndarray, rate: float = RATE_HZ, window_
         return 0, 0.0
     most = min(int(search_s * rate), len(a) - 1)
     lags = np.arange(-most, most + 1)
-    scores = np.array([a[k:] @ b[: len(b) - k] if k >= 0 else a[:k] @ b[-k:] for k in lags]) / norm
+    size = 1 << (2 * len(a) - 1).bit_length()
+    scores = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)[lags] / norm  # lag k at place k, negative ones from the end
+    scores = np.round(scores, 12)  # the transform's noise decides nothing
     best = int(scores.argmax())
     return int(lags[best]), float(scores[best])
 
@@ -160,7 +177,7 @@ def resample(aligned: DataFrame, signals: DataFrame, step_us: int = 1_000_000 //
     States are held, other signals interpolated; outside a signal's span there is null. Pairs with a reason are left out.
     """
     rates = S.native_rate(signals.select(F.struct("log", "key").alias("key"), "us", "value")).select("key.log", "key.key", "rate_hz")
-    fine = aligned.filter("reason IS NULL")
+    fine = stored(aligned.filter("reason IS NULL"))  # a row for each pair, read for every signal
     names = signals.select("log", "key").distinct()
     shared = fine.join(names.withColumnRenamed("log", "real_log"), "real_log").join(names.withColumnRenamed("log", "sim_log"), ["sim_log", "key"])
     points = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.round(F.col("overlap_s") * 1e6 / step_us).cast("int") + 1) - 1))

@@ -29,7 +29,7 @@ def feature_epoch(observations: DataFrame, events: DataFrame, resets: DataFrame,
     events has key, flight_index, seq (order among events), epoch (its name) and change_type. Of events at one flight the
     later in seq counts. Events and observations are merged in flight order per feature.
     """
-    marks = events.join(F.broadcast(resets), "change_type").select(key, "feature_key", "flight_index", F.struct("seq", "epoch").alias("event"), "seq")
+    marks = events.join(resets, "change_type").select(key, "feature_key", "flight_index", F.struct("seq", "epoch").alias("event"), "seq")
     both = observations.withColumn("side", F.lit(1)).unionByName(marks.withColumn("side", F.lit(0)), allowMissingColumns=True)
     upto = Window.partitionBy(key, "feature_key").orderBy("flight_index", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("epoch", F.last("event", ignorenulls=True).over(upto)["epoch"]).filter("side = 1")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import features as X
+from .scans import stored
 from .series import at_times, clipped
 from .spectral import averaged_density
 
@@ -319,7 +320,7 @@ def extracted(signals: DataFrame, flights: DataFrame, steady: DataFrame, geometr
     """
     fine = flights.filter("qualified")
     own = signals.join(fine.select("flight"), "flight", "left_semi")
-    present = counts(own).persist()
+    present = stored(counts(own))
     tracked = tracking(own, present, fine)
     lag = F.format_string("lag %.1f ms, ratio %.3f", "best_lag_ms", "ratio_at_best_lag")
     return union(

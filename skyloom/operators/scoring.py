@@ -37,10 +37,10 @@ def graded(value: Column, healthy: Column, bad: Column) -> Column:
 def with_absolute(rows: DataFrame, norms: DataFrame) -> DataFrame:
     """Adds absolute_score, absolute_status and absolute_bad from the norm of each feature and autopilot.
 
-    Norms are a table of a few rows, joined by broadcast. Without a norm there is no score.
+    Norms are a table that callers may replace; Spark broadcasts it if it is small. Without a norm there is no score.
     """
     value = F.col("value")
-    rows = rows.join(F.broadcast(norms), ["feature_key", "autopilot"], "left")
+    rows = rows.join(norms, ["feature_key", "autopilot"], "left")
     worse = lambda edge: F.when(F.col("norm_lower"), value < F.col(edge)).otherwise(value > F.col(edge))
     kind = lambda name: F.col("norm_kind") == name
     hit = worse("bad_edge") | (value == F.col("bad_edge"))

@@ -91,7 +91,7 @@ def points(scored: DataFrame) -> DataFrame:
 def boundaries(drawn: DataFrame, events: DataFrame, resets: DataFrame) -> DataFrame:
     """(drone_id, pack, feature_key, flight_index, source, change_type): changes that reset a feature inside its drawn range."""
     range_ = drawn.groupBy(*KEYS).agg(F.min("flight_index").alias("first"), F.max("flight_index").alias("last"))
-    marks = events.join(F.broadcast(resets), "change_type")
+    marks = events.join(resets, "change_type")
     rows = range_.join(marks, ["drone_id", "feature_key"])
     return rows.filter((F.col("flight_index") > F.col("first")) & (F.col("flight_index") <= F.col("last"))).select(*KEYS, "flight_index",
         "source", "change_type")
@@ -104,7 +104,7 @@ def guide_crossed(admitted: DataFrame, norms: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("norm_kind") == "graded", F.col("healthy_edge")), F.col("bad_edge")).alias("guide"))
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("flight_index")))
     rows = admitted.filter(F.col("qualified") & F.col("value").isNotNull()).withColumn("back",
-        back).filter(F.col("back") <= GUIDE).drop("guide").join(F.broadcast(edges), ["feature_key", "autopilot"])
+        back).filter(F.col("back") <= GUIDE).drop("guide").join(edges, ["feature_key", "autopilot"])
     past = F.when(F.col("lower_is_worse"), F.col("value") < F.col("guide")).otherwise(F.col("value") > F.col("guide"))
     return rows.groupBy(*keys, "guide").agg(F.count_if(past).alias("n")).filter(F.col("n") == GUIDE).drop("n")
 

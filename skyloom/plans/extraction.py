@@ -1,8 +1,11 @@
-"""All features of synthesised flights, one for each nation: long signals of fixed form, their windows and segments."""
+"""All features of flights over lineitem: a thousand order keys are a flight, each of their lines, in order, a fiftieth of a second.
+
+The columns of a line give the values of all signals that are sampled then, so signals grow with the table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import extraction as E
@@ -37,7 +40,8 @@ SIGNALS = (
     *((f"accel.{a}", 20_000, 0, -1.0, 4.0, 0.0, None) for a in "xyz"),
     *((f"accel_fifo.{a}", 20_000, 0, -2.0, 6.0, 0.0, None) for a in "xyz"),
 )
-DURATION_US = 80_000_000
+#: Order keys in a flight, and microseconds between its lines.
+FLIGHT_ORDERS, TICK_US = 1_000, 20_000
 #: Motors as in the other plans: place and spin of each.
 GEOMETRY = ((0, 0.2, 0.2, 0.05), (1, -0.2, -0.2, 0.05), (2, 0.2, -0.2, -0.05), (3, -0.2, 0.2, -0.05))
 ABSENT = """(key LIKE 'accel_fifo.%' AND flight % 2 = 1) OR (key = 'gps.jamming' AND flight % 5 = 1) OR (key = 'thrust.sp' AND flight % 9 = 4)
@@ -49,9 +53,18 @@ def _parameters() -> list[tuple]:
     return [(key, step, offset, base, amp, growth, place[of or key]) for key, step, offset, base, amp, growth, of in SIGNALS]
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(flight, tick, cents, part) of every line."""
+    flight = F.expr(f"l_orderkey div {FLIGHT_ORDERS}")
+    rows = table(spark, folder, "lineitem").select(flight.alias("flight"), "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+        F.col("l_partkey").alias("part"))
+    order = Window.partitionBy("flight").orderBy("l_orderkey", "l_linenumber", "part", "cents")
+    return rows.select("flight", (F.row_number().over(order) - 1).cast("long").alias("tick"), "cents", "part")
+
+
 def flights(spark: SparkSession, folder: str) -> DataFrame:
-    f = F.col("n_nationkey")
-    return table(spark, folder, "nation").select(
+    f = F.col("flight")
+    return table(spark, folder, "lineitem").select(F.expr(f"l_orderkey div {FLIGHT_ORDERS}").alias("flight")).distinct().select(
         f.alias("flight"),
         (f % 10 != 3).alias("qualified"),
         F.lit("airborne_too_short").alias("window_reason"),
@@ -61,27 +74,27 @@ def flights(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("steady_reason"),
         F.when(f % 8 != 5, 6).alias("cells"),
         F.lit(4).alias("motor_count"),
-        F.element_at(F.array(F.lit(30.0), F.lit(15.0), F.lit(0.0)), f % 3 + 1).alias("accel_cutoff"),
+        F.element_at(F.array(F.lit(30.0), F.lit(15.0), F.lit(0.0)), (f % 3 + 1).cast("int")).alias("accel_cutoff"),
     )
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     kinds = "key string, step long, offset long, base double, amp double, growth double, noise int"
-    rows = table(spark, folder, "nation").select(F.col("n_nationkey").alias("flight")).crossJoin(F.broadcast(spark.createDataFrame(_parameters(), kinds)))
-    i = F.col("i")
-    noise = (i * i * 7 + i * 13 + F.col("flight") * 31 + F.col("noise") * 17) % 101 / F.lit(101.0)
+    every = F.col("step") / TICK_US
+    rows = lines(spark, folder).crossJoin(F.broadcast(spark.createDataFrame(_parameters(), kinds))).filter(F.col("tick") % every == 0)
+    rows = rows.filter(f"NOT ({ABSENT})").withColumn("i", F.floor(F.col("tick") / every))
+    noise = (F.col("cents") * 7 + F.col("part") * 13 + F.col("noise") * 17 * (F.col("cents") % 10 + 1)) % 101 / F.lit(101.0)
     growth = F.when((F.col("key") == "imu.clip1") & (F.col("flight") % 6 == 4), -F.col("growth")).otherwise(F.col("growth"))
     more = F.when(F.col("key").startswith("act.motor") & ((F.substring("key", 10, 1).cast("int") + F.col("flight")) % 3 == 0), 0.1).otherwise(0.0)
-    value = F.col("base") + F.col("amp") * noise + growth * i + more
-    rows = rows.filter(f"NOT ({ABSENT})").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(DURATION_US) / F.col("step")) - 1)))
+    value = F.col("base") + F.col("amp") * noise + growth * F.col("i") + more
     value = F.when((F.col("key") == "batt.cell_delta") & (F.col("flight") % 4 == 0), 0.0).otherwise(value)
-    return rows.select("flight", "key", (F.col("offset") + i * F.col("step")).alias("us"), value.alias("value"))
+    return rows.select("flight", "key", (F.col("offset") + F.col("tick") * TICK_US).alias("us"), value.alias("value"))
 
 
 def steady(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.array(*[F.struct(F.lit(n).alias("segment"), F.lit(a).cast("long").alias("start_us"), F.lit(b).cast("long").alias("end_us"))
         for n, a, b in ((1, 10_000_000, 30_000_000), (2, 40_000_000, 60_000_000))])
-    return table(spark, folder, "nation").select(F.col("n_nationkey").alias("flight"), F.explode(spans).alias("s")).select("flight", "s.*")
+    return flights(spark, folder).select("flight", F.explode(spans).alias("s")).select("flight", "s.*")
 
 
 def geometry(own: DataFrame) -> DataFrame:
@@ -92,14 +105,15 @@ def geometry(own: DataFrame) -> DataFrame:
 _SIGNAL_ROWS = ", ".join(f"('{k}', {step}, {off}, {base!r}::DOUBLE, {amp!r}::DOUBLE, {growth!r}::DOUBLE, {noise})" for k, step, off, base,
     amp, growth, noise in _parameters())
 SIGNALS_SQL = f"""p(key, step, off, base, amp, growth, noise) AS (VALUES {_SIGNAL_ROWS}),
-    fl AS (SELECT n_nationkey::BIGINT AS flight, n_nationkey % 10 <> 3 AS q, CASE WHEN n_nationkey % 10 = 3 THEN 45000000 ELSE 75000000 END
-        AS t1, n_nationkey % 7 <> 2 AS st, n_nationkey % 8 <> 5 AS known,
-        CASE n_nationkey % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 15.0 END AS cut FROM nation),
-    every AS (SELECT flight, key, off + i * step AS us, CASE WHEN key = 'batt.cell_delta' AND flight % 4 = 0 THEN 0 ELSE
-        base + amp * (((i * i * 7 + i * 13 + flight * 31 + noise * 17) % 101)::DOUBLE / 101) + CASE WHEN key = 'imu.clip1' AND flight % 6 =
-            4 THEN -growth ELSE growth END * i
+    ln AS (SELECT l_orderkey // 1000 AS flight, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_partkey,
+        round(l_extendedprice * 100)) - 1 AS tick, round(l_extendedprice * 100)::BIGINT AS cents, l_partkey AS part FROM lineitem),
+    fl AS (SELECT flight, flight % 10 <> 3 AS q, CASE WHEN flight % 10 = 3 THEN 45000000 ELSE 75000000 END AS t1, flight % 7 <> 2 AS st, flight % 8 <> 5 AS known,
+        CASE flight % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 15.0 END AS cut FROM (SELECT DISTINCT flight FROM ln)),
+    every AS (SELECT flight, key, off + tick * 20000 AS us, CASE WHEN key = 'batt.cell_delta' AND flight % 4 = 0 THEN 0 ELSE
+        base + amp * (((cents * 7 + part * 13 + noise * 17 * (cents % 10 + 1)) % 101)::DOUBLE / 101) + CASE WHEN key = 'imu.clip1' AND flight % 6 =
+            4 THEN -growth ELSE growth END * (tick // (step // 20000))
         + CASE WHEN key LIKE 'act.motor%' AND (TRY_CAST(substr(key, 10, 1) AS INTEGER) + flight) % 3 = 0 THEN 0.1 ELSE 0 END END AS value
-        FROM fl, p, LATERAL (SELECT unnest(range(0, 80000000 // step)) AS i) WHERE NOT ({ABSENT})),
+        FROM ln, p WHERE tick % (step // 20000) = 0 AND NOT ({ABSENT})),
     sig AS (SELECT every.*, q, t1, st, known, cut, us BETWEEN 5000000 AND t1 AS air, st AND (us BETWEEN 10000000 AND 30000000 OR us BETWEEN
         40000000 AND 60000000) AS calm FROM every JOIN fl USING (flight) WHERE q)"""
 

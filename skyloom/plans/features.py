@@ -186,6 +186,30 @@ def dedup_by_content(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source", "doc_id", "content_sha256")
 
 
+@PLANS.add("""SELECT doc_id, source, sha256(coalesce(text, '')) AS content_sha256 FROM documents u WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s
+    WHERE s.doc_id % 2 = 0 AND s.source = u.source AND sha256(coalesce(s.text, '')) = sha256(coalesce(u.text, '')))""")
+def new_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Odd documents are uploads, even ones are stored: the uploads that bring new content to their source."""
+    hashed = table(spark, folder, "documents").withColumn("content_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = K.new_content(hashed.filter("doc_id % 2 = 1"), hashed.filter("doc_id % 2 = 0"), ["source"])
+    return out.select("doc_id", "source", "content_sha256")
+
+
+@PLANS.add("""WITH r AS (SELECT l_suppkey AS log, CASE l_linenumber % 3 WHEN 0 THEN CAST(l_quantity AS INTEGER) % 7 END AS parameter, median(l_quantity) OVER
+    (PARTITION BY l_suppkey) AS m, l_orderkey, l_linenumber, l_discount * 20 AS v, min(l_discount * 20) OVER (PARTITION BY l_suppkey) AS lo, max(l_discount * 20)
+    OVER (PARTITION BY l_suppkey) AS hi FROM lineitem)
+    SELECT log, CAST(coalesce(nullif(parameter, 0), round(m)) AS INTEGER) AS cells, count(*) AS n, round(sum(CASE WHEN lo >= -0.01 AND hi <= 1.01 THEN v ELSE
+        (v - 0) / 2 END), 5) AS outputs FROM r GROUP BY log, 2""")
+def cells_and_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells by parameter or by the logged count, and actuator outputs as shares of their range, over the lines of each supplier."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("log"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity").cast("int")
+        % 7).alias("parameter"), "l_quantity", (F.col("l_discount") * 20).alias("v"))
+    own = rows.groupBy("log").agg(F.percentile("l_quantity", F.lit(0.5)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = rows.join(own, "log").select("log", X.cell_count(F.col("parameter"), F.col("m")).alias("cells"), X.normalised_actuator(F.col("v"), F.col("lo"),
+        F.col("hi"), F.lit(0.0), F.lit(2.0)).alias("share"))
+    return rounded(rows.groupBy("log", "cells").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("share"), 5).alias("outputs")), 5)
+
+
 @PLANS.add("""WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN
     (SELECT c_custkey FROM c)) SELECT 'customer' AS "table", count(*) AS deleted FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL
     SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")

@@ -98,6 +98,15 @@ def aligned_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(A.align(*_recordings(spark, folder)), 4)
 
 
+@PLANS.add()
+def resampled_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every signal that two recordings share on one grid over their overlap: its points, those with both sides, and how far these are apart."""
+    pairs, signals = _recordings(spark, folder)
+    out = A.resample(A.align(pairs, signals), signals).groupBy("pair", "key", "low_rate", "upsampled")
+    return rounded(out.agg(F.count(F.lit(1)).alias("points"), F.count(F.col("real") + F.col("sim")).alias("both"), F.avg(F.abs(F.col("real") - F.col("sim"))).alias(
+        "apart"), F.max("t_s").alias("seconds")))
+
+
 @PLANS.add(f"""WITH {OBS_SQL}, u(feature_key, name, unit, form, factor) AS (VALUES ('vib.metric_p50', 'Vibration', ' m/s²', '%.1f', 1),
     ('act.spread', 'Motor spread', '%', '%.0f', 100), ('pwr.r_cell', 'Resistance', ' mΩ/cell', '%.1f', 1), ('gps.nsats_p10', 'Satellites',
     '', '%.0f', 1), ('gps.eph_p50', 'GPS error', ' m', '%.2f', 1)),

@@ -13,6 +13,7 @@ from ..operators import baselines as B
 from ..operators import epochs as E
 from ..operators import rebuild as R
 from ..operators import scoring as S
+from ..operators import store as K
 from ..operators import trends as T
 from ..sources.tables import micros, table
 from .common import Plans, rounded
@@ -242,6 +243,24 @@ def first_flight_checks(spark: SparkSession, folder: str) -> DataFrame:
     return S.checklist(observations(spark, folder))
 
 
+@PLANS.add(f"""WITH {OBS_SQL} SELECT drone_id, feature_key, flight_index, CASE WHEN event_gap = 0 THEN 'raw high-rate accelerometer logging' ELSE
+    'sensing of every battery cell' END AS needs FROM (SELECT *, flight_index % 3 AS event_gap FROM obs WHERE NOT valid) WHERE event_gap < 2""")
+def missing_logging(spark: SparkSession, folder: str) -> DataFrame:
+    """What vehicles would have to log for the features that they lack."""
+    gaps = F.when(F.col("flight_index") % 3 == 0, "requires_fifo_accel").when(F.col("flight_index") % 3 == 1, "no_per_cell_sensing")
+    rows = observations(spark, folder).filter("NOT valid").withColumn("reason", gaps)
+    return S.logging_gaps(rows).select("drone_id", "feature_key", "flight_index", "needs")
+
+
+@PLANS.add(f"""WITH RECURSIVE {FOLD_SQL} SELECT o.drone_id, o.feature_key, o.flight_index, round(o.value, 6) AS value, a.admitted, a.quarantine_reason FROM obs o
+    LEFT JOIN adm a ON a.drone_id = o.drone_id AND a.feature_key = o.feature_key AND a.flight_index = o.flight_index AND a.n_before >= 2""")
+def features_with_admissions(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored features beside what the gate said of them, from the third admitted value on."""
+    said = admitted(spark, folder).filter("n_before >= 2")
+    rows = K.with_baselines(observations(spark, folder), said, ["drone_id", "feature_key", "flight_index"])
+    return rounded(rows.select("drone_id", "feature_key", "flight_index", "value", "admitted", "quarantine_reason"))
+
+
 FINDING_SQL = f"""{SCORE_SQL}, k AS (SELECT *, CASE WHEN NOT (status = 'scored' AND score < 85) THEN NULL WHEN (med IS NOT NULL AND
     coalesce(weight, 0) > 0.5) OR (absolute_score IS NULL AND med IS NOT NULL) THEN CASE WHEN feature_key = 'act.spread' THEN 'pattern' ELSE
     'personal' END ELSE 'absolute' END AS kind,
