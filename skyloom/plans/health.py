@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as C
+from ..functions import phrases
 from ..operators import baselines as B
 from ..operators import epochs as E
 from ..operators import rebuild as R
@@ -261,6 +262,18 @@ def features_with_admissions(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("drone_id", "feature_key", "flight_index", "value", "admitted", "quarantine_reason"))
 
 
+@PLANS.add(f"""WITH {OBS_SQL} SELECT drone_id, flight_index, 'Vibration ' || printf('%.1f', round(value, 1)) || ' m/s²: ' || CASE autopilot WHEN 'px4' THEN
+    'in 23 public PX4 logs, a small sample that leans high, 15 lay above 4.9 and 7 above 9.8.' ELSE
+    'by ArduPilot''s guide fine below 30, mostly a problem above 60.' END AS text, 0 AS claims FROM obs
+    WHERE feature_key = 'vib.metric_p50' AND flight_index < 2 AND valid AND value IS NOT NULL""")
+def guide_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the first two flights of a vehicle say of its vibration, and how many forbidden claims that makes."""
+    rows = S.with_absolute(observations(spark, folder), C.norms(spark))
+    rows = rows.filter("feature_key = 'vib.metric_p50' AND flight_index < 2 AND valid AND absolute_status = 'context'")
+    text = phrases.guide_context(F.col("value"), F.col("autopilot"), F.col("healthy_edge"), F.col("bad_edge"))
+    return rows.select("drone_id", "flight_index", text.alias("text")).withColumn("claims", F.size(C.forbidden_claims(F.col("text"))))
+
+
 FINDING_SQL = f"""{SCORE_SQL}, k AS (SELECT *, CASE WHEN NOT (status = 'scored' AND score < 85) THEN NULL WHEN (med IS NOT NULL AND
     coalesce(weight, 0) > 0.5) OR (absolute_score IS NULL AND med IS NOT NULL) THEN CASE WHEN feature_key = 'act.spread' THEN 'pattern' ELSE
     'personal' END ELSE 'absolute' END AS kind,
