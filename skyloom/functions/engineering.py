@@ -30,7 +30,7 @@ BANK_DEG, MOST_TILT_DEG = 25.0, 60.0
 WING_CL, WING_EFFICIENCY, WING_AREA, LIFT_TO_DRAG = 0.5, 0.7, 0.5, 10.0
 FALLBACK_ACCELERATION = 2.5
 # Control presets and step commands.
-OMEGA, DAMPING, STEPS_DEG, STEP_AT_S, DT_S = 8.0, {"stable": 0.7, "oscillating": 0.15}, {"roll": 15.0, "pitch": 10.0, "yaw": 30.0}, 0.5, 0.001
+OMEGA, STEPS_DEG, STEP_AT_S, DT_S = 8.0, {"roll": 15.0, "pitch": 10.0, "yaw": 30.0}, 0.5, 0.001
 
 
 def let(value: Column, use) -> Column:

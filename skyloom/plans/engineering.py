@@ -237,18 +237,19 @@ def step_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("spec", *(c.alias(n) for n, c in N.step_metrics(F.col("z"), F.col("w")).items())))
 
 
-@PLANS.add("""WITH RECURSIVE p(axis, preset, step, z) AS (SELECT axis, preset, step::DOUBLE, z::DOUBLE FROM (VALUES ('roll', 15), ('pitch', 10), ('yaw', 30)) a(axis, step), (VALUES ('stable', 0.7), ('oscillating', 0.15)) b(preset, z)),
-    r AS (SELECT axis, preset, step, z, 0 AS i, 0::DOUBLE AS x, 0::DOUBLE AS v FROM p UNION ALL
-        SELECT axis, preset, step, z, i + 1, x + 0.001::DOUBLE / 6 * (v + 2 * v2 + 2 * v3 + v4), v + 0.001::DOUBLE / 6 * (a1 + 2 * a2 + 2 * a3 + 64 * (d3 - (x + v3 * 0.001::DOUBLE)) - 16 * z * v4)
+@PLANS.add("""WITH RECURSIVE p AS (SELECT s_suppkey AS spec, axis, step::DOUBLE AS step, 0.1 + (s_nationkey % 10) / 10.0::DOUBLE AS z FROM supplier JOIN
+    (VALUES (0, 'roll', 15), (1, 'pitch', 10), (2, 'yaw', 30)) a(k, axis, step) ON k = s_suppkey % 3),
+    r AS (SELECT spec, axis, step, z, 0 AS i, 0::DOUBLE AS x, 0::DOUBLE AS v FROM p UNION ALL
+        SELECT spec, axis, step, z, i + 1, x + 0.001::DOUBLE / 6 * (v + 2 * v2 + 2 * v3 + v4), v + 0.001::DOUBLE / 6 * (a1 + 2 * a2 + 2 * a3 + 64 * (d3 - (x + v3 * 0.001::DOUBLE)) - 16 * z * v4)
         FROM (SELECT *, v + a3 * 0.001::DOUBLE AS v4 FROM (SELECT *, 64 * (d2 - (x + v2 * 0.0005::DOUBLE)) - 16 * z * v3 AS a3
         FROM (SELECT *, v + a2 * 0.0005::DOUBLE AS v3 FROM (SELECT *, 64 * (d2 - (x + v * 0.0005::DOUBLE)) - 16 * z * v2 AS a2
         FROM (SELECT *, v + a1 * 0.0005::DOUBLE AS v2 FROM (SELECT *, 64 * (d1 - x) - 16 * z * v AS a1
         FROM (SELECT *, CASE WHEN i >= 500 THEN step ELSE 0 END AS d1, CASE WHEN i >= 500 THEN step ELSE 0 END AS d2, CASE WHEN i >= 499 THEN step ELSE 0 END AS d3 FROM r WHERE i < 4000))))))))
-    SELECT axis, preset, round(i * 0.001, 4)::DOUBLE AS t, CASE WHEN i >= 500 THEN step ELSE 0 END AS desired, round(x, 4) AS actual FROM r WHERE i % 20 = 0""")
+    SELECT spec, axis, round(i * 0.001, 4)::DOUBLE AS t, CASE WHEN i >= 500 THEN step ELSE 0 END AS desired, round(x, 4) AS actual FROM r WHERE i % 20 = 0""")
 def step_response(spark: SparkSession, folder: str) -> DataFrame:
-    """Responses of both presets on three axes over 4 s at 50 Hz."""
-    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(p).alias("preset"), F.lit(d).alias("step"), F.lit(z).alias("z"))
-        for a, d in N.STEPS_DEG.items() for p, z in N.DAMPING.items()]))
-    rows = spark.range(1).select(axes.alias("a")).select("a.*").repartition(6, "axis", "preset")
+    """Responses over 4 s at 50 Hz: every supplier is a tuning, by its number of an axis and by its nation of a damping."""
+    steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(float(d)).alias("step")) for a, d in N.STEPS_DEG.items()])
+    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("spec"), F.get(steps, (F.col("s_suppkey") % 3).cast("int")).alias("a"),
+        (0.1 + F.col("s_nationkey") % 10 / 10.0).alias("z")).select("spec", "a.*", "z").repartition("spec")
     response = N.step_response(F.col("step"), F.col("z"), F.lit(N.OMEGA), 4.0, 50.0)
-    return rounded(rows.select("axis", "preset", F.explode(response).alias("r")).select("axis", "preset", "r.*"), 4)
+    return rounded(rows.select("spec", "axis", F.explode(response).alias("r")).select("spec", "axis", "r.*"), 4)
