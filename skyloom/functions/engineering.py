@@ -29,7 +29,7 @@ FRAMES = (("quad", 4, 8.0, True), ("hex", 6, 8.0, True), ("octo", 8, 8.0, True),
 BANK_DEG, MOST_TILT_DEG = 25.0, 60.0
 WING_CL, WING_EFFICIENCY, WING_AREA, LIFT_TO_DRAG = 0.5, 0.7, 0.5, 10.0
 FALLBACK_ACCELERATION = 2.5
-# Control presets and step commands.
+# Natural frequency, step commands and their start, and the step of integration.
 OMEGA, STEPS_DEG, STEP_AT_S, DT_S = 8.0, {"roll": 15.0, "pitch": 10.0, "yaw": 30.0}, 0.5, 0.001
 
 

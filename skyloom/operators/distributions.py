@@ -85,13 +85,13 @@ def distances(sides: DataFrame) -> DataFrame:
     def summary(piece: pd.DataFrame) -> tuple[int, int, float]:
         return int(piece["a"].sum()), int(piece["b"].sum()), float(piece["value"].iloc[0])
 
-    def walk(piece: pd.DataFrame, before: tuple | None, after: tuple | None) -> pd.DataFrame:
+    def walk(piece: pd.DataFrame, before: tuple | None, after: tuple | None) -> list[tuple]:
         a, b = (piece[c].to_numpy().cumsum() + (before[i] if before else 0) for i, c in enumerate("ab"))
         n, m = (int(x[-1]) + (after[i] if after else 0) for i, x in enumerate((a, b)))
         values = piece["value"].to_numpy(float)
         steps = np.diff(values, append=after[2] if after else values[-1])
         gap = np.abs(a / n - b / m) if n and m else np.full(len(a), np.nan)
-        return pd.DataFrame({"pair": piece["pair"].iloc[:1], "area": [float(gap @ steps)], "most": [float(gap.max())], "n": [n], "m": [m]})
+        return [(piece["pair"].iat[0], float(gap @ steps), float(gap.max()), n, m)]
 
     found = scanned(counted, ["pair"], ["value"], summary, lambda x, y: (x[0] + y[0], x[1] + y[1], x[2]), walk,
         f"pair {dict(sides.dtypes)['pair']}, area double, most double, n long, m long")

@@ -42,8 +42,8 @@ def _pieces(rows: pd.DataFrame, keys: list[str]) -> list[tuple[tuple, int, int]]
 
 
 def scanned(rows: DataFrame, keys: list[str], order: list[str], summarise: Callable[[pd.DataFrame], object], combine: Callable[[object, object], object],
-        run: Callable[[pd.DataFrame, object | None, object | None], pd.DataFrame], schema: str, parts: int | None = None) -> DataFrame:
-    """The rows that run(piece, before, after) makes of every piece.
+        run: Callable[[pd.DataFrame, object | None, object | None], pd.DataFrame | list[tuple]], schema: str, parts: int | None = None) -> DataFrame:
+    """The rows that run(piece, before, after) makes of every piece, as a frame or, where pieces are small, as a list of rows.
 
     A piece is the rows of one key in one range, in order; rows that are equal in keys and order stay in one range. before
     and after are the combined summaries of the key's pieces in earlier and later ranges, None without any. combine() is
@@ -66,19 +66,26 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], summarise: Calla
     before, after = _carried(order_of, told, combine), _carried(order_of[::-1], {p: x[::-1] for p, x in told.items()}, lambda a, b: combine(b, a))
     known = spark.sparkContext.broadcast((before, after))
 
+    names = [part.split()[0] for part in schema.split(", ")]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(batches) or [pd.DataFrame()])
         found, part = _pieces(own, keys), TaskContext.get().partitionId()
-        out = []
+        frames, rows, held = [], [], 0
         for i, (_, a, b) in enumerate(found):
             first, last = known.value[0].get(part) if i == 0 else None, known.value[1].get(part) if i == len(found) - 1 else None
-            if not (made := run(own.iloc[a:b], first, last)).empty:
-                out.append(made)
-            if sum(map(len, out)) > 50_000:
-                yield pd.concat(out)
-                out = []
-        if out:
-            yield pd.concat(out)
+            made = run(own.iloc[a:b], first, last)
+            held += len(made)
+            if isinstance(made, list):
+                rows += made
+            elif len(made):
+                frames.append(made)
+            if held > 50_000 or i == len(found) - 1:
+                if rows:
+                    frames.append(pd.DataFrame(rows, columns=names))
+                if frames:
+                    yield pd.concat(frames)
+                frames, rows, held = [], [], 0
 
     return dealt.mapInPandas(work, schema)
 
@@ -107,17 +114,17 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     kinds = dict(counted.dtypes)
 
-    def pick(piece: pd.DataFrame, before: int | None, after: int | None) -> pd.DataFrame:
-        ends = piece["_n"].to_numpy().cumsum() + (before or 0)
+    def pick(piece: pd.DataFrame, before: int | None, after: int | None) -> list[tuple]:
+        ends, values = piece["_n"].to_numpy().cumsum() + (before or 0), piece["_v"].to_numpy(float)
         total = int(ends[-1]) + (after or 0)
-        out = []
+        key, out = tuple(piece[k].iat[0] for k in keys), []
         for i, share in enumerate(shares):
             place = share * (total - 1)
             for rank in {int(np.floor(place)), int(np.ceil(place))}:
                 if (before or 0) <= rank < ends[-1]:
                     weight = 1.0 if place == int(place) else 1 - abs(place - rank)
-                    out.append((*(piece[k].iloc[0] for k in keys), total, i, float(piece["_v"].iloc[np.searchsorted(ends, rank, side="right")]) * weight))
-        return pd.DataFrame(out, columns=[*keys, "n", "i", "part"])
+                    out.append((*key, total, i, float(values[np.searchsorted(ends, rank, side="right")]) * weight))
+        return out
 
     found = scanned(counted, keys, ["_v"], lambda piece: int(piece["_n"].sum()), lambda a, b: a + b, pick,
         ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, i int, part double"]))
