@@ -35,6 +35,8 @@ EVIDENCE, TIMES = 8.0, 20.0
 #: Passes of the fit over its sequences, its step, the weight of its ridge, and the share of features that a pass leaves out, so that
 #: prefixes learn to stand for words that were never seen.
 EPOCHS, RATE, RIDGE, LEFT_OUT = 40, 0.5, 0.05, 0.6
+#: Sequences that the fit looks at in one go.
+FIT_BLOCK = 1_024
 #: Weights of documents are counted in such parts, so that sums are exact.
 PARTS = 1 << 20
 
@@ -188,25 +190,35 @@ def fit_chain(sequences: list[tuple[list[str], list[int]]]) -> ToxicityModel:
         at[i, : len(own)], y[i, : len(own)], real[i, : len(own)] = words.of(own), labels, True
     a, b = y[:, :-1].astype(int), y[:, 1:].astype(int)
     seen = np.bincount((2 * a + b)[real[:, 1:]], minlength=4).reshape(2, 2)
-    used, at = np.unique(np.append(at, BUCKETS), return_inverse=True)
-    all_features = at[:-1].reshape(-1, CHAIN, width).astype(np.int32)
+    counted = np.bincount(at.ravel(), minlength=BUCKETS + 1)
+    counted[BUCKETS] += 1
+    used = np.flatnonzero(counted)
+    place = np.zeros(BUCKETS + 1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    all_features = place[at]
+    del at
     rng = np.random.default_rng(0)
     weights, bias, turns = np.zeros((3, len(used))), np.full(1, -3.0), np.zeros((2, 2))
     known, squares = used < BUCKETS, [np.ones_like(weights), np.ones(1), np.ones((2, 2))]
     for _ in range(EPOCHS if len(sequences) else 0):
-        at = np.where(rng.random(all_features.shape, np.float32) < LEFT_OUT, np.int32(len(used) - 1), all_features)
-        own, before, after = (w[at].sum(axis=2) for w in weights)
-        e = own + bias
-        e[:, 1:] += before[:, :-1]
-        e[:, :-1] += after[:, 1:]
-        e *= real
-        forward, backward = messages(e, real, turns)
-        residual = (y - _sigmoid(forward + backward)) * real
-        slopes = np.zeros_like(weights)
-        none = np.zeros((len(y), 1))
-        for k, r in enumerate((residual, np.hstack([residual[:, 1:], none]), np.hstack([none, residual[:, :-1]]))):
-            slopes[k] = np.bincount(at.ravel(), np.repeat(r.ravel(), width), len(used)) * known
-        moves = [slopes - RIDGE * weights, residual.sum(keepdims=True).ravel(), seen - expected_turns(forward, backward, e, real, turns) - RIDGE * turns]
+        slopes, excess, expected = np.zeros_like(weights), 0.0, np.zeros((2, 2))
+        for lo in range(0, len(y), FIT_BLOCK):
+            part = slice(lo, lo + FIT_BLOCK)
+            at, own_real = all_features[part], real[part]
+            at = np.where(rng.random(at.shape, np.float32) < LEFT_OUT, np.int32(len(used) - 1), at)
+            own, before, after = (w[at].sum(axis=2) for w in weights)
+            e = own + bias
+            e[:, 1:] += before[:, :-1]
+            e[:, :-1] += after[:, 1:]
+            e *= own_real
+            forward, backward = messages(e, own_real, turns)
+            residual = (y[part] - _sigmoid(forward + backward)) * own_real
+            none = np.zeros((len(residual), 1))
+            for k, r in enumerate((residual, np.hstack([residual[:, 1:], none]), np.hstack([none, residual[:, :-1]]))):
+                slopes[k] += np.bincount(at.ravel(), np.repeat(r.ravel(), width), len(used)) * known
+            excess += residual.sum()
+            expected += expected_turns(forward, backward, e, own_real, turns)
+        moves = [slopes - RIDGE * weights, np.array([excess]), seen - expected - RIDGE * turns]
         for value, square, move in zip((weights, bias, turns), squares, moves, strict=True):
             square += move * move
             value += RATE * move / np.sqrt(square)
@@ -289,7 +301,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "others", "toxic"])
 
     table = sample.mapInArrow(counted, "bucket int, others long, toxic long").groupBy("bucket").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic"))
-    table = table.toPandas()
+    table = table.toPandas()  # BUCKETS rows at most
     documents = [sum(c == label for _, c in alike.value) for label in (0, 1)]
     marks = spark.sparkContext.broadcast(frozenset(_marking_buckets(table.bucket.to_numpy(), table.others.to_numpy() / PARTS, table.toxic.to_numpy() / PARTS,
         *documents).tolist()))
