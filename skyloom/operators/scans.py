@@ -14,10 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Column with the number of a range.
+PART = "_part"
+
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder of spark.checkpoint.dir, with its partitions; a local session without one gets a temporary folder."""
@@ -52,14 +54,15 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], summarise: Calla
     """
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order))
+    # The number of a range goes with its rows: a task's own number is another one where the result is part of a union.
+    dealt = stored(rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn(PART, F.spark_partition_id()))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(batches) or [pd.DataFrame()])
         found = _pieces(own, keys)
         told = [(key, summarise(own.iloc[a:b])) for key, a, b in ([found[0], found[-1]] if len(found) > 1 else found)]
         if told:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "told": [pickle.dumps(told)]})
+            yield pd.DataFrame({"part": [int(own[PART].iat[0])], "told": [pickle.dumps(told)]})
 
     told = {r.part: pickle.loads(r.told) for r in dealt.mapInPandas(ends, "part int, told binary").collect()}
     order_of = sorted(told)
@@ -70,7 +73,8 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], summarise: Calla
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(batches) or [pd.DataFrame()])
-        found, part = _pieces(own, keys), TaskContext.get().partitionId()
+        found, part = _pieces(own, keys), int(own[PART].iat[0]) if len(own) else None
+        own = own.drop(columns=PART) if len(own) else own
         frames, rows, held = [], [], 0
         for i, (_, a, b) in enumerate(found):
             first, last = known.value[0].get(part) if i == 0 else None, known.value[1].get(part) if i == len(found) - 1 else None

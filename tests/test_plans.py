@@ -46,7 +46,7 @@ def test_plan_without_sql_has_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
 
-PYTHON_PLANS = {"report_admissions", "report_scores", "report_rollup", "report_findings", "report_trends", "flight_deletion", "stored_baselines", "median_mad", "ks_wasserstein", "compare_series", "flight_features", "worst_test_ratio", "histogram_divergence", "histogram_bins", "trend_points", "trend_pills", "guide_callouts", "vehicle_risk", "finding_causes", "feature_extraction", "spread_details", "admission_gate", "inferred_changes", "feature_scores", "subsystem_scores", "flight_rollup", "findings", "worst_findings", "trend_callouts", "kalman_smooth", "sensor_fault_runs", "welch_density"}
+PYTHON_PLANS = {"features_with_admissions", "report_admissions", "report_scores", "report_rollup", "report_findings", "report_trends", "flight_deletion", "stored_baselines", "median_mad", "ks_wasserstein", "compare_series", "flight_features", "worst_test_ratio", "histogram_divergence", "histogram_bins", "trend_points", "trend_pills", "guide_callouts", "vehicle_risk", "finding_causes", "feature_extraction", "spread_details", "admission_gate", "inferred_changes", "feature_scores", "subsystem_scores", "flight_rollup", "findings", "worst_findings", "trend_callouts", "kalman_smooth", "sensor_fault_runs", "welch_density"}
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))

@@ -38,6 +38,15 @@ def test_pieces_get_what_lies_before_and_after(spark):
     assert scans.scanned(frame.limit(0).select("k", "i"), ["k"], ["i"], len, lambda a, b: a + b, run, "k int, i int, before long, after long, n long").count() == 0
 
 
+def test_scans_are_the_same_within_a_union(spark):
+    frame, _ = skewed(spark, 3000)
+    run = lambda piece, before, after: piece.assign(n=np.arange(len(piece)) + (before or 0))[["k", "i", "n"]]
+    out = scans.scanned(frame.select("k", "i"), ["k"], ["i"], len, lambda a, b: a + b, run, "k int, i int, n long", parts=8)
+    both = spark.range(5).selectExpr("-1 AS k", "0 AS i", "0 AS n").repartition(3).union(out).filter("k IS NULL OR k >= 0")
+    own = both.toPandas().fillna({"k": -1}).sort_values(["k", "i"])
+    assert len(own) == 3000 and (own.groupby("k").cumcount() == own["n"]).all()
+
+
 def test_quantiles_are_exact(spark):
     frame, rows = skewed(spark)
     shares = [0.0, 0.05, 0.5, 0.731, 1.0]
