@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -279,8 +280,14 @@ def _fitted(index: DataFrame, k: int, n_of: dict[int, int]) -> dict[int, BinaryC
     cut = index.sparkSession.createDataFrame([(dim, min(2**63 - 1, int(x * 2.0**63))) for dim, x in enough.items()], "fit_dim int, cut long")
     hashed = index.select("dim", "vec", F.xxhash64("vec").bitwiseAND(2**63 - 1).alias("h")).join(F.broadcast(cut), F.col("dim") == F.col("fit_dim"))
     place = F.row_number().over(Window.partitionBy("dim").orderBy("h", "vec"))
-    sample = hashed.filter("h <= cut").select("dim", "vec", place.alias("place")).filter(F.col("place") <= share).toPandas()
-    return {int(dim): BinaryCodes.fit(_matrix(own.vec, np.float64), k) for dim, own in sample.groupby("dim")}
+    sample = hashed.filter("h <= cut").select("dim", "vec", "h", place.alias("place")).filter(F.col("place") <= share)
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        return pd.DataFrame({"dim": own["dim"].iloc[:1], "codes": [pickle.dumps(BinaryCodes.fit(_matrix(own["vec"], np.float64), k))]})
+
+    # In a task, where linear algebra on small matrices has one thread, which is many times faster than several.
+    return {r.dim: pickle.loads(r.codes) for r in sample.groupBy("dim").applyInPandas(fit, "dim int, codes binary").collect()}
 
 
 def _worth_probing(codes: dict[int, BinaryCodes], n_of: dict[int, int], width: int) -> set[int]:
