@@ -165,7 +165,8 @@ def unwrapped(rows: DataFrame, turn: float = 360.0, key: str = "key", order: tup
     """Adds unwrapped: the angle without jumps, each step taken the short way round."""
     by = Window.partitionBy(key).orderBy(*order)
     step = F.col("value") - F.lag("value").over(by)
-    short = F.pmod(step + turn / 2, F.lit(turn)) - turn / 2
+    half = step + turn / 2
+    short = half - turn * F.floor(half / turn) - turn / 2  # pmod() would take a step a rounding error beyond half a turn back to the other side
     rows = rows.withColumn("short", F.coalesce(short, F.col("value")))
     return rows.withColumn("unwrapped", F.sum("short").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("short")
 
