@@ -224,35 +224,72 @@ def step_metrics(zeta: Column, omega: Column) -> dict[str, Column]:
 
 
 def step_response(step_deg: Column, zeta: Column, omega: Column, duration_s: float, rate_hz: float) -> Column:
-    """Array of structs (t, desired, actual): the response integrated by fourth-order Runge-Kutta steps of DT_S.
+    """Array of structs (t, desired, actual): the response by fourth-order Runge-Kutta steps of DT_S.
 
-    Computed in chunks between outputs, so the state is a struct of two numbers and only outputs are kept.
+    Such a step of a linear system under a constant command multiplies its distance from rest at the command by a fixed
+    matrix. So the few steps in which the command begins are taken one by one, and each output after them is one product
+    with that matrix to the power of the steps between outputs.
     """
     every = max(1, round(1 / (rate_hz * DT_S)))
     outputs = int(duration_s / DT_S) // every
-
-    def slope(t: Column, x: Column, v: Column) -> Column:
-        return omega * omega * (F.when(t >= STEP_AT_S, step_deg).otherwise(0.0) - x) - 2 * zeta * omega * v
-
-    def rk4(s: Column, i: Column) -> Column:
-        t, h = i * DT_S, DT_S
-        bind = lambda s: F.struct(s["x"].alias("x"), s["v"].alias("v"), slope(t, s["x"], s["v"]).alias("a1"))
-        two = lambda s: F.struct(s["x"].alias("x"), s["v"].alias("v"), s["a1"].alias("a1"), (s["v"] + s["a1"] * h / 2).alias("v2"), slope(t
-            + h / 2, s["x"] + s["v"] * h / 2, s["v"] + s["a1"] * h / 2).alias("a2"))
-        three = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2")], (s["v"] + s["a2"] * h / 2).alias("v3"), slope(t
-            + h / 2, s["x"] + s["v2"] * h / 2, s["v"] + s["a2"] * h / 2).alias("a3"))
-        four = lambda s: F.struct(*[s[c].alias(c) for c in ("x", "v", "a1", "v2", "a2", "v3", "a3")], (s["v"] + s["a3"] * h).alias("v4"),
-            slope(t + h, s["x"] + s["v3"] * h, s["v"] + s["a3"] * h).alias("a4"))
-        done = lambda s: F.struct((s["x"] + h / 6 * (s["v"] + 2 * s["v2"] + 2 * s["v3"] + s["v4"])).alias("x"), (s["v"] + h / 6 * (s["a1"]
-            + 2 * s["a2"] + 2 * s["a3"] + s["a4"])).alias("v"))
-        return let(let(let(let(let(s, bind), two), three), four), done)
-
-    rest = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("v"))
-
-    def chunk(acc: Column, k: Column) -> Column:
-        moved = F.aggregate(F.sequence((k - 1) * every, k * every - 1), F.element_at(acc, -1), rk4)
-        return F.concat(acc, F.array(moved))
-
-    states = F.aggregate(F.sequence(F.lit(1), F.lit(outputs)), F.array(rest), chunk)
-    return F.transform(states, lambda s, k: F.struct((k * every * DT_S).alias("t"), F.when(k * every * DT_S >= STEP_AT_S,
-        step_deg).otherwise(0.0).alias("desired"), s["x"].alias("actual")))
+    h = DT_S
+    begun = [[t >= STEP_AT_S for t in (i * h, i * h + h / 2, i * h + h)] for i in range(outputs * every)]
+    first = next((i for i, b in enumerate(begun) if any(b)), len(begun))  # at rest until then
+    settled = next((i for i, b in enumerate(begun) if all(b)), len(begun))
+    if first == len(begun):
+        return F.transform(F.sequence(F.lit(0), F.lit(outputs)), lambda k: F.struct((k * every * DT_S).alias("t"), F.lit(0.0).alias("desired"),
+            F.lit(0.0).alias("actual")))
+
+    def mixed(x: Column, v: Column, b: list[bool]) -> tuple[Column, Column]:
+        slope = lambda on, x, v: omega * omega * ((step_deg if on else F.lit(0.0)) - x) - 2 * zeta * omega * v
+        a1 = slope(b[0], x, v)
+        v2 = v + a1 * h / 2
+        a2 = slope(b[1], x + v * h / 2, v2)
+        v3 = v + a2 * h / 2
+        a3 = slope(b[1], x + v2 * h / 2, v3)
+        v4 = v + a3 * h
+        a4 = slope(b[2], x + v3 * h, v4)
+        return x + h / 6 * (v + 2 * v2 + 2 * v3 + v4), v + h / 6 * (a1 + 2 * a2 + 2 * a3 + a4)
+
+    x, v = F.lit(0.0), F.lit(0.0)
+    for b in begun[first:settled]:
+        x, v = mixed(x, v, b)
+
+    names = ("a", "b", "c", "d")
+    matrix = lambda *cells: F.struct(*[cell.alias(n) for n, cell in zip(names, cells, strict=True)])
+    times = lambda p, q: matrix(p["a"] * q["a"] + p["b"] * q["c"], p["a"] * q["b"] + p["b"] * q["d"], p["c"] * q["a"] + p["d"] * q["c"], p["c"]
+        * q["b"] + p["d"] * q["d"])
+    one = matrix(*map(F.lit, (1.0, 0.0, 0.0, 1.0)))
+
+    def power(base: Column, n: int) -> Column:
+        if n == 0:
+            return one
+        half = let(power(base, n // 2), lambda p: times(p, p)) if n > 1 else one
+        return let(half, lambda p: times(p, base)) if n % 2 else half
+
+    # I + hM + (hM)^2 / 2 + (hM)^3 / 6 + (hM)^4 / 24 with M = (0, 1; -omega^2, -2 zeta omega)
+    generator = matrix(F.lit(0.0), F.lit(1.0) * h, -omega * omega * h, -2 * zeta * omega * h)
+    series = lambda m: let(matrix(*[F.lit(1.0 if n in "ad" else 0.0) + m[n] / 4 for n in names]), lambda p: let(_plus_one(times(m, p), 3, names),
+        lambda p: let(_plus_one(times(m, p), 2, names), lambda p: _plus_one(times(m, p), 1, names))))
+    behind = -(-settled // every)  # the first output with the command settled
+    moved = lambda p, s: F.struct((p["a"] * s["x"] + p["b"] * s["v"]).alias("x"), (p["c"] * s["x"] + p["d"] * s["v"]).alias("v"))
+
+    def course(p: Column, s: Column) -> Column:
+        if behind == outputs:
+            return F.array(s)
+        return F.aggregate(F.sequence(F.lit(behind + 1), F.lit(outputs)), F.array(s), lambda acc, _: F.concat(acc, F.array(moved(p, F.element_at(acc, -1)))))
+
+    def solved(one_step: Column) -> Column:
+        start = F.struct((x - step_deg).alias("x"), v.alias("v"))
+        begin = let(power(one_step, behind * every - settled), lambda p: moved(p, start)) if behind * every > settled else start
+        rest = F.transform(F.sequence(F.lit(1), F.lit(behind)), lambda _: F.lit(0.0)) if behind else F.array().cast("array<double>")
+        return let(power(one_step, every), lambda p: let(begin, lambda s: F.concat(rest, F.transform(course(p, s), lambda s: s["x"] + step_deg))))
+
+    actual = let(let(generator, series), solved)
+    return F.transform(actual, lambda x, k: F.struct((k * every * DT_S).alias("t"), F.when(k * every * DT_S >= STEP_AT_S,
+        step_deg).otherwise(0.0).alias("desired"), x.alias("actual")))
+
+
+def _plus_one(product: Column, over: int, names: tuple[str, ...]) -> Column:
+    """Identity plus a matrix divided by a number."""
+    return F.struct(*[(F.lit(1.0 if n in "ad" else 0.0) + product[n] / over).alias(n) for n in names])

@@ -11,7 +11,7 @@ from ..functions import engineering as N
 from ..functions.draws import uniform_sql
 from ..operators import uncertainty as U
 from ..sources.tables import table
-from .common import Plans, rounded
+from .common import Plans, rounded, spread
 
 PLANS = Plans()
 
@@ -250,6 +250,7 @@ def step_response(spark: SparkSession, folder: str) -> DataFrame:
     """Responses over 4 s at 50 Hz: every supplier is a tuning, by its number of an axis and by its nation of a damping."""
     steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(float(d)).alias("step")) for a, d in N.STEPS_DEG.items()])
     rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("spec"), F.get(steps, (F.col("s_suppkey") % 3).cast("int")).alias("a"),
-        (0.1 + F.col("s_nationkey") % 10 / 10.0).alias("z")).select("spec", "a.*", "z").repartition("spec")
+        (0.1 + F.col("s_nationkey") % 10 / 10.0).alias("z")).select("spec", "a.*", "z")
+    rows = spread(rows, "spec")
     response = N.step_response(F.col("step"), F.col("z"), F.lit(N.OMEGA), 4.0, 50.0)
     return rounded(rows.select("spec", "axis", F.explode(response).alias("r")).select("spec", "axis", "r.*"), 4)

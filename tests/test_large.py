@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from skyloom import plans
+from skyloom.functions import engineering as N
 from skyloom.operators import series
 
 
@@ -13,3 +15,31 @@ def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
     rows = spark.createDataFrame([(1, 0, beyond), (1, 1, 0.0), (1, 2, 10.0)], "key long, us long, value double")
     out = [r.unwrapped for r in series.unwrapped(rows).orderBy("us").collect()]
     assert np.allclose(out, [180, 360, 370])
+
+
+def test_step_responses_are_those_of_single_steps_and_run_in_many_tasks(spark, sf_dir):
+    def stepped(d: float, zeta: float, omega: float) -> list[float]:
+        x, v, out, h = 0.0, 0.0, [0.0], N.DT_S
+        for i in range(4000):
+            slope = lambda t, x, v: omega * omega * ((d if t >= N.STEP_AT_S else 0.0) - x) - 2 * zeta * omega * v
+            t = i * h
+            a1 = slope(t, x, v)
+            v2 = v + a1 * h / 2
+            a2 = slope(t + h / 2, x + v * h / 2, v2)
+            v3 = v + a2 * h / 2
+            a3 = slope(t + h / 2, x + v2 * h / 2, v3)
+            v4 = v + a3 * h
+            a4 = slope(t + h, x + v3 * h, v4)
+            x, v = x + h / 6 * (v + 2 * v2 + 2 * v3 + v4), v + h / 6 * (a1 + 2 * a2 + 2 * a3 + a4)
+            if i % 20 == 19:
+                out.append(x)
+        return out
+
+    for tuning in ((15.0, 0.15, 8.0), (30.0, 1.0, 8.0), (10.0, 1.7, 12.0)):
+        found = spark.range(1).select(N.step_response(*map(F.lit, tuning), 4.0, 50.0).alias("r")).first().r
+        assert len(found) == 201 and np.allclose([x["actual"] for x in found], stepped(*tuning), rtol=0, atol=1e-9)
+        assert [x["desired"] for x in found[24:26]] == [0.0, tuning[0]]
+    for duration in (0.4, 0.5):  # over before the command, or as it begins
+        short = spark.range(1).select(N.step_response(F.lit(15.0), F.lit(0.5), F.lit(8.0), duration, 50.0).alias("r")).first().r
+        assert len(short) == round(duration * 50) + 1 and max(abs(x["actual"]) for x in short) < 1e-2
+    assert plans.QUERIES["step_response"](spark, sf_dir).rdd.getNumPartitions() >= 4
