@@ -6,8 +6,9 @@ Iterative solvers are folds over a short sequence inside the row, so a whole par
 from __future__ import annotations
 
 import math
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Standard atmosphere.
@@ -149,8 +150,15 @@ def blade_coefficients(lift_slope: Column, cd0: Column, chord: Column, root_deg:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ELEMENTS - 1)), zero, element)
 
 
+@cache
+def _standard_blade() -> tuple[float, float, float]:
+    blade = blade_coefficients(F.lit(LIFT_SLOPE), F.lit(CD0), F.lit(CHORD_RATIO), F.lit(ROOT_DEG), F.lit(TIP_DEG))
+    return tuple(SparkSession.active().sql("SELECT 1").select(blade.alias("b")).first().b)
+
+
 def standard_blade() -> Column:
-    return blade_coefficients(F.lit(LIFT_SLOPE), F.lit(CD0), F.lit(CHORD_RATIO), F.lit(ROOT_DEG), F.lit(TIP_DEG))
+    """Coefficients of the fixed blade as literals: solved once, not for every row."""
+    return F.struct(*[F.lit(v).alias(n) for n, v in zip(("ct", "cp_induced", "cp_profile"), _standard_blade(), strict=True)])
 
 
 def blade_rpm(thrust_n: Column, density: Column, diameter_m: Column, ct: Column) -> Column:
@@ -171,11 +179,11 @@ def glauert_inflow(ct: Column, advance: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(GLAUERT_ITERATIONS)), F.sqrt(F.greatest(ct, F.lit(0.0)) / 2), step)
 
 
-def wind_power_coefficient(blade: Column, advance: Column) -> Column:
-    """Power coefficient at an advance ratio: induced power by Glauert's inflow, profile power growing with its square."""
+def wind_power_coefficient(blade: Column, advance: Column, inflow: Column | None = None) -> Column:
+    """Power coefficient at an advance ratio: induced power by Glauert's inflow (given, or solved here), profile power growing with its square."""
     ct = blade["ct"]
     kappa = blade["cp_induced"] / (ct * F.sqrt(ct / 2))
-    return kappa * ct * glauert_inflow(ct, advance) + blade["cp_profile"] * (1 + PROFILE_K * advance * advance)
+    return kappa * ct * (glauert_inflow(ct, advance) if inflow is None else inflow) + blade["cp_profile"] * (1 + PROFILE_K * advance * advance)
 
 
 def max_thrust(motors: Column, diameter_in: Column, kv: Column, cells: Column, density: Column) -> Column:

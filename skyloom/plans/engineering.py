@@ -194,10 +194,9 @@ def blade_element_hover(spark: SparkSession, folder: str) -> DataFrame:
 def wind_power(spark: SparkSession, folder: str) -> DataFrame:
     rows = specs(spark, folder).withColumn("blade", N.standard_blade()).withColumn("d", F.col("inches") * N.INCH)
     tip = N.tip_speed(N.blade_rpm(_thrust(), F.lit(N.STANDARD_DENSITY), F.col("d"), F.col("blade.ct")), F.col("d"))
-    rows = rows.withColumn("mu", (1.0 + F.col("spec") % 12) / tip)
-    ratio = N.wind_power_coefficient(F.col("blade"), F.col("mu")) / (F.col("blade.cp_induced") + F.col("blade.cp_profile"))
-    return rounded(rows.select("spec", F.col("mu").alias("advance"), N.glauert_inflow(F.col("blade.ct"), F.col("mu")).alias("inflow"),
-        ratio.alias("power_ratio")), 9)
+    rows = rows.withColumn("mu", (1.0 + F.col("spec") % 12) / tip).withColumn("inflow", N.glauert_inflow(F.col("blade.ct"), F.col("mu")))
+    ratio = N.wind_power_coefficient(F.col("blade"), F.col("mu"), F.col("inflow")) / (F.col("blade.cp_induced") + F.col("blade.cp_profile"))
+    return rounded(rows.select("spec", F.col("mu").alias("advance"), "inflow", ratio.alias("power_ratio")), 9)
 
 
 def _triangular_sql(u: str, lo: float, mode: float, hi: float) -> str:

@@ -43,3 +43,11 @@ def test_step_responses_are_those_of_single_steps_and_run_in_many_tasks(spark, s
         short = spark.range(1).select(N.step_response(F.lit(15.0), F.lit(0.5), F.lit(8.0), duration, 50.0).alias("r")).first().r
         assert len(short) == round(duration * 50) + 1 and max(abs(x["actual"]) for x in short) < 1e-2
     assert plans.QUERIES["step_response"](spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_the_standard_blade_is_solved_once_and_the_inflow_once_for_each_row(spark, sf_dir):
+    solved = spark.range(1).select(N.blade_coefficients(*map(F.lit, (N.LIFT_SLOPE, N.CD0, N.CHORD_RATIO, N.ROOT_DEG, N.TIP_DEG))).alias("b")).first().b
+    assert spark.range(1).select(N.standard_blade().alias("b")).first().b == solved
+    for name, folds in (("blade_element_hover", 0), ("wind_power", 1)):
+        plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") == folds
