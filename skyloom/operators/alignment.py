@@ -1,18 +1,20 @@
 """Time alignment of two recordings of one mission, and both on one grid.
 
-Anchors, grids and the shared signals are DataFrame operators over all pairs; the band-pass and the search for the lag run
-in Arrow batches over arrays of one pair, whose length the search window bounds.
+Anchors, shared signals and their grids are DataFrame operators over all pairs; the search for the lag runs over the samples
+of one axis of one pair, which a flight bounds.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import series as S
-from .scans import stored
+from .scans import spread, stored
 from .windows import RATE_HZ
 
 # Band in Hz, window and search in seconds, gate, least overlap, low rates and share of a short overlap.
@@ -37,22 +39,28 @@ def butterworth_sections(rate: float) -> np.ndarray:
     return sections
 
 
-#: Samples that the recursion of a filter takes at once.
-BLOCK = 256
+#: Samples that the recursion of a filter takes at once: so few that the products of one pair stay on one thread.
+BLOCK = 64
+
+
+@cache
+def _blocks(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, ...]:
+    """What one section makes of a block: outputs of a state, outputs of the samples, the state behind, and what a block leaves of a state."""
+    step, into, out = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    of_state = np.array([out @ p for p in powers[:BLOCK]])
+    echo = np.r_[b0, of_state[:-1] @ into]
+    at = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    within = np.where(at >= 0, echo[np.maximum(at, 0)], 0.0)
+    return of_state, within, np.array([powers[BLOCK - 1 - i] @ into for i in range(BLOCK)]), powers[BLOCK]
 
 
 def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The sections one after another, each in blocks: within one, outputs and the state behind it are linear in its samples and the state before."""
-    for b0, b1, b2, a1, a2 in sections:
-        step, into, out = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
-        powers = [np.eye(2)]
-        for _ in range(BLOCK):
-            powers.append(step @ powers[-1])
-        of_state = np.array([out @ p for p in powers[:BLOCK]])  # outputs that a state makes
-        echo = np.r_[b0, of_state[:-1] @ into]  # outputs that a sample makes
-        at = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
-        within = np.where(at >= 0, echo[np.maximum(at, 0)], 0.0)
-        behind = np.array([powers[BLOCK - 1 - i] @ into for i in range(BLOCK)])
+    for b0, b1, b2, a1, a2 in sections.tolist():
+        of_state, within, behind, left = _blocks(b0, b1, b2, a1, a2)
         # The recursion's start is the steady state for the first value.
         s2 = (b2 - a2 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0]
         state = np.array([(b1 - a1 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0] + s2, s2])
@@ -60,7 +68,7 @@ def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
         made, carried = blocks @ within.T, blocks @ behind
         for i in range(len(blocks)):
             made[i] += of_state @ state
-            state = powers[BLOCK] @ state + carried[i]
+            state = left @ state + carried[i]
         x = made.ravel()[: len(x)]
     return x
 
@@ -100,22 +108,58 @@ def best_shift(real: np.ndarray, sim: np.ndarray, rate: float = RATE_HZ, window_
     return int(lags[best]), float(scores[best])
 
 
-def anchors(signals: DataFrame, key: str = "log") -> DataFrame:
-    """(log, us, source): where each log's flight begins: armed, else takeoff, else the first sample."""
+def anchors(signals: DataFrame, key: str = "log", first: DataFrame | None = None) -> DataFrame:
+    """(log, us, source): where each log's flight begins: armed, else takeoff, else the first sample (first, where known)."""
     of = lambda name: signals.filter(F.col("key") == name).select(key, "us", "value")
     armed = of("status.armed").filter("value > 0.5").groupBy(key).agg(F.min("us").alias("us"))
     pull = S.runs(of("accel.z"), F.abs(F.abs("value") - S.GRAVITY) > S.TAKEOFF_EXCESS, key).filter(F.col("next_us")
         - F.col("start_us") >= int(S.TAKEOFF_S * 1e6))
-    return S.anchor(armed, pull.groupBy(key).agg(F.min("start_us").alias("us")), signals.groupBy(key).agg(F.min("us").alias("us")), key)
+    first = signals.groupBy(key).agg(F.min("us").alias("us")) if first is None else first
+    return S.anchor(armed, pull.groupBy(key).agg(F.min("start_us").alias("us")), first, key)
+
+
+def _spans(signals: DataFrame) -> DataFrame:
+    """(log, key, first, last, v): times of every signal, and how much an axis varies; a row for each, from one pass over all samples."""
+    axis = F.when(F.col("key").isin("att.roll", "att.pitch"), F.col("value"))
+    return stored(signals.groupBy("log", "key").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.var_pop(axis).alias("v")))
 
 
 def reference_axis(pairs: DataFrame, signals: DataFrame) -> DataFrame:
     """(pair, axis): of roll and pitch, where both logs have them, the one that varies more in the real log; ties to roll."""
-    spread = signals.filter("key IN ('att.roll', 'att.pitch')").groupBy("log", "key").agg(F.var_pop("value").alias("v"))
+    return _axis(pairs, _spans(signals))
+
+
+def _axis(pairs: DataFrame, spans: DataFrame) -> DataFrame:
+    spread = spans.filter("key IN ('att.roll', 'att.pitch')").select("log", "key", "v")
     both = pairs.join(spread.withColumnRenamed("log", "real_log"), "real_log").join(spread.select(F.col("log").alias("sim_log"), "key"), ["sim_log", "key"])
     return both.groupBy("pair").agg(F.max_by("key", F.struct("v", "key")).alias("axis"))
 
 
+def on_grid(us: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The samples at the asked times, linear between two of them and missing outside, as S.at_times() has it."""
+    order = np.argsort(us, kind="stable")
+    us, value = us[order].astype(float), value[order]
+    left = np.searchsorted(us, at, side="right") - 1
+    right = np.minimum(left + 1, len(us) - 1)
+    out = np.full(len(at), np.nan)
+    inside, end = (left >= 0) & (left < len(us) - 1), (left == len(us) - 1) & (us[left] == at)
+    a, b = left[inside], right[inside]
+    out[inside] = value[a] + (at[inside] - us[a]) / (us[b] - us[a]) * (value[b] - value[a])
+    out[end] = value[left[end]]
+    return out
+
+
+def _sided(rows: DataFrame, signals: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """(keys, side, us, value, ...): the samples of a pair's two logs, real ones side 0 and others side 1, in time since the pair's start in each.
+
+    The pairs' side, a row for each log, is the one that is hashed; the samples aren't sorted.
+    """
+    sides = [rows.select(*keys, *carried, F.lit(i).alias("side"), F.col(f"{name}_log").alias("log"), F.col(f"{name}_us").alias("t0")) for i,
+        name in enumerate(("real", "sim"))]
+    shifted = {c: F.col(c) - F.col("t0") for c in ("us", "us2") if c in signals.columns}
+    return sides[0].unionByName(sides[1]).hint("shuffle_hash").join(signals, ["log", "key"]).withColumns(shifted).drop("log", "t0")
+
+
 def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE_HZ) -> DataFrame:
     """One row per pair (pair, real_log, sim_log) of logs in signals (log, key, us, value).
 
@@ -124,32 +168,27 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
     shift_s is the lag of the real series against the other, negative where the other one is late; resample() adds it to
     the other's times, as the rules have it.
     """
-    ends = signals.groupBy("log").agg(F.max("us").alias("last"))
-    start = anchors(signals).join(ends, "log")
+    spans = _spans(signals)
+    ends = spans.groupBy("log").agg(F.min("first").alias("us"), F.max("last").alias("last"))
+    start = anchors(signals, "log", ends.select("log", "us")).join(ends.select("log", "last"), "log")
     side = lambda name: start.select(F.col("log").alias(f"{name}_log"), F.col("us").alias(f"{name}_us"),
         F.col("source").alias(f"{name}_method"), ((F.col("last") - F.col("us")) / 1e6).alias(f"{name}_s"))
-    rows = pairs.join(side("real"), "real_log").join(side("sim"), "sim_log").join(reference_axis(pairs, signals), "pair", "left")
+    rows = pairs.join(side("real"), "real_log").join(side("sim"), "sim_log").join(_axis(pairs, spans), "pair", "left")
     n = (F.greatest(F.lit(1.0), F.least("real_s", "sim_s")) * 1e6 / step_us).cast("int")
     rows = rows.withColumn("n", n)
 
-    def on_grid(name: str) -> DataFrame:
-        asked = rows.filter("n >= 32 AND axis IS NOT NULL").select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key"),
-            F.col(f"{name}_us").alias("t0"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        targets = asked.select(F.struct("pair", "log").alias("series"), "i", (F.col("t0") + F.col("i").cast("long") * step_us).alias("us"))
-        own = rows.select("pair", F.col(f"{name}_log").alias("log"), F.col("axis").alias("key")).join(signals, ["log",
-            "key"]).select(F.struct("pair", "log").alias("series"), "us", "value")
-        return S.at_times(own, targets, "series").select(F.col("series.pair").alias("pair"), "i", F.col("value").alias(name))
-
     rate = 1e6 / step_us
 
-    def shift(both: pd.DataFrame) -> pd.DataFrame:
-        """One pair's two grids, the length of a flight each."""
-        own = both.sort_values("i")
-        lag, correlation = best_shift(own["real"].to_numpy(float), own["sim"].to_numpy(float), rate)
-        return pd.DataFrame({"pair": own["pair"].iloc[:1], "lag": [lag], "correlation": [correlation]})
+    def shift(own: pa.Table) -> pa.Table:
+        """The samples of one pair's axis, a flight's length each."""
+        side, us, value = (own.column(c).to_numpy() for c in ("side", "us", "value"))
+        at = np.arange(own.column("n")[0].as_py()) * float(step_us)
+        lag, correlation = best_shift(*(on_grid(us[side == i], value[side == i].astype(float), at) for i in (0, 1)), rate)
+        return pa.table({"pair": own.column("pair").slice(0, 1), "lag": [float(lag)], "correlation": [correlation]})
 
-    both = on_grid("real").join(on_grid("sim"), ["pair", "i"])
-    found = both.groupBy("pair").applyInPandas(shift, f"pair {dict(rows.dtypes)['pair']}, lag double, correlation double")
+    asked = rows.filter("n >= 32 AND axis IS NOT NULL").withColumnRenamed("axis", "key")
+    both = spread(_sided(asked, signals, ["pair", "key"], ["n"]).select("pair", "side", "us", "value", "n"), "pair")
+    found = both.groupBy("pair").applyInArrow(shift, f"pair {dict(rows.dtypes)['pair']}, lag double, correlation double")
     rows = rows.join(found.select("pair", F.struct("lag", "correlation").alias("found")), "pair", "left")
     fine = F.coalesce(F.col("found.correlation") >= GATE, F.lit(False))
     rows = rows.withColumn("shift_s", F.when(fine, F.col("found.lag") / rate).otherwise(0.0))
@@ -176,25 +215,33 @@ def resample(aligned: DataFrame, signals: DataFrame, step_us: int = 1_000_000 //
 
     States are held, other signals interpolated; outside a signal's span there is null. Pairs with a reason are left out.
     """
-    rates = S.native_rate(signals.select(F.struct("log", "key").alias("key"), "us", "value")).select("key.log", "key.key", "rate_hz")
+    by = Window.partitionBy("log", "key").orderBy("us")
+    following = signals.select("log", "key", "us", F.col("value").cast("double").alias("value"), F.lead("us").over(by).alias("us2"),
+        F.lead("value").over(by).cast("double").alias("v2"))
+    step = F.when(F.col("us2") > F.col("us"), F.col("us2") - F.col("us"))
+    rates = stored(following.groupBy("log", "key").agg((1e6 / F.percentile(step, F.lit(0.5))).alias("rate_hz")))  # a row for each signal
     fine = stored(aligned.filter("reason IS NULL"))  # a row for each pair, read for every signal
-    names = signals.select("log", "key").distinct()
-    shared = fine.join(names.withColumnRenamed("log", "real_log"), "real_log").join(names.withColumnRenamed("log", "sim_log"), ["sim_log", "key"])
+    rate = lambda name: rates.select(F.col("log").alias(f"{name}_log"), "key", F.col("rate_hz").alias(f"{name}_rate"))
+    shared = fine.join(rate("real"), "real_log").join(rate("sim"), ["sim_log", "key"])
+    least = F.least(F.coalesce("real_rate", F.lit(0.0)), F.coalesce("sim_rate", F.lit(0.0)))
+    shared = shared.select("pair", "key", "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s")
+        * 1e6).cast("long")).alias("sim_us"), "overlap_s", (least < LOW_RATE_HZ).alias("low_rate"), (least < 1e6 / step_us).alias("upsampled"))
+
+    # Both logs' samples and the grid are one stream in time since the pair's start; each point takes the last sample of either side.
+    samples = _sided(shared, following, ["pair", "key"], []).select("pair", "key", "side", "us", F.struct(F.col("us").cast("double").alias("us"),
+        F.col("value").alias("v"), F.col("us2").cast("double").alias("us2"), "v2").alias("s"))
     points = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.round(F.col("overlap_s") * 1e6 / step_us).cast("int") + 1) - 1))
-    grid = shared.select("pair", "key", "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s")
-        * 1e6).cast("long")).alias("sim_us"), points.alias("i"))
-
-    def side(name: str) -> DataFrame:
-        targets = grid.select(F.struct("pair", "key").alias("series"), "i", (F.col(f"{name}_us") + F.col("i").cast("long") * step_us).alias("us"))
-        own = shared.select("pair", F.col(f"{name}_log").alias("log"), "key").join(signals, ["log", "key"]).select(F.struct("pair",
-            "key").alias("series"), "us", "value")
-        held = F.col("series.key").isin(*HELD)
-        parts = [S.at_times(own.filter(test), targets.filter(test), "series", hold=hold) for test, hold in ((held, True), (~held, False))]
-        return parts[0].unionByName(parts[1]).select("series.pair", "series.key", "i", F.col("value").alias(name))
-
-    slow = shared.join(rates.select(F.col("log").alias("real_log"), "key", F.col("rate_hz").alias("r")), ["real_log",
-        "key"]).join(rates.select(F.col("log").alias("sim_log"), "key", F.col("rate_hz").alias("s")), ["sim_log", "key"])
-    least = F.least(F.coalesce("r", F.lit(0.0)), F.coalesce("s", F.lit(0.0)))
-    flags = slow.select("pair", "key", (least < LOW_RATE_HZ).alias("low_rate"), (least < 1e6 / step_us).alias("upsampled"))
-    out = side("real").join(side("sim"), ["pair", "key", "i"]).join(flags, ["pair", "key"])
-    return out.select("pair", "key", "i", (F.col("i") * step_us / 1e6).alias("t_s"), "real", "sim", "low_rate", "upsampled")
+    targets = shared.select("pair", "key", "low_rate", "upsampled", F.lit(2).alias("side"), points.alias("i")).withColumn("us",
+        F.col("i").cast("long") * step_us)
+    running = Window.partitionBy("pair", "key").orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda i: F.last(F.when(F.col("side") == i, F.col("s")), ignorenulls=True).over(running)
+    merged = samples.unionByName(targets, allowMissingColumns=True).withColumns({"r": last(0), "f": last(1)}).filter("side = 2")
+
+    def value(left: Column) -> Column:
+        t = F.col("us").cast("double")
+        inside = left["v"] + (t - left["us"]) / (left["us2"] - left["us"]) * (left["v2"] - left["v"])
+        end = F.when(left["us"] == t, left["v"])
+        return F.when(left["us2"].isNull(), end).otherwise(F.when(F.col("key").isin(*HELD), left["v"]).otherwise(inside))
+
+    return merged.select("pair", "key", "i", (F.col("i") * step_us / 1e6).alias("t_s"), value(F.col("r")).alias("real"),
+        value(F.col("f")).alias("sim"), "low_rate", "upsampled")

@@ -34,13 +34,3 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def shown(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys over as many tasks as the session shuffles to.
-
-    For small tables whose rows take long: a file that is one split would be one task, and of a shuffle without a number
-    adaptive execution makes few.
-    """
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import engineering as N
 from ..functions.draws import uniform_sql
 from ..operators import uncertainty as U
+from ..operators.scans import spread
 from ..sources.tables import table
-from .common import Plans, rounded, spread
+from .common import Plans, rounded
 
 PLANS = Plans()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom import plans
 from skyloom.functions import engineering as N
-from skyloom.operators import series
+from skyloom.operators import alignment, series
 
 
 def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
@@ -51,3 +51,23 @@ def test_the_standard_blade_is_solved_once_and_the_inflow_once_for_each_row(spar
     for name, folds in (("blade_element_hover", 0), ("wind_power", 1)):
         plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("aggregate(") == folds
+
+
+def test_pairs_are_aligned_from_two_passes_over_their_samples(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(len(batch))
+            yield batch
+
+    us = np.arange(3000) * 20_000
+    wave = np.sin(us / 2e6) + np.sin(us / 7e5)
+    rows = [(log, "att.roll", int(t), float(v)) for log, values in (("r", wave), ("s", np.roll(wave, 25))) for t, v in zip(us, values, strict=True)]
+    signals = spark.createDataFrame(rows, "log string, key string, us long, value double").mapInPandas(counted, "log string, key string, us long, value double")
+    pairs = spark.createDataFrame([(1, "r", "s")], "pair long, real_log string, sim_log string")
+    found = alignment.align(pairs, signals).first()
+    assert abs(found.shift_s + 0.5) <= 0.02 and found.quality == "fine"
+    assert passes.value <= 5 * len(rows)  # samples, and those that only name the flight's beginning
+    asked = np.array([-1, 0, 5, 10, 25, 40], float)
+    assert np.allclose(alignment.on_grid(np.array([20, 0, 10]), np.array([4.0, 0, 1]), asked), [np.nan, 0, 0.5, 1, np.nan, np.nan], equal_nan=True)
