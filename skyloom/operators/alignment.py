@@ -170,7 +170,7 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
     """
     spans = _spans(signals)
     ends = spans.groupBy("log").agg(F.min("first").alias("us"), F.max("last").alias("last"))
-    start = anchors(signals, "log", ends.select("log", "us")).join(ends.select("log", "last"), "log")
+    start = stored(anchors(signals, "log", ends.select("log", "us")).join(ends.select("log", "last"), "log"))  # a row for each log, read for both sides
     side = lambda name: start.select(F.col("log").alias(f"{name}_log"), F.col("us").alias(f"{name}_us"),
         F.col("source").alias(f"{name}_method"), ((F.col("last") - F.col("us")) / 1e6).alias(f"{name}_s"))
     rows = pairs.join(side("real"), "real_log").join(side("sim"), "sim_log").join(_axis(pairs, spans), "pair", "left")
