@@ -9,12 +9,14 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import spread as spread_out
 from .uncertainty import DRAWS
 
 # Cell size, clearance, margin, risk weight and block, peak factors and retries of a trajectory.
@@ -64,67 +66,98 @@ def collision_probability(samples: DataFrame, radius: float, keys: list[str]) ->
 def search(start: np.ndarray, goal: np.ndarray, obstacles: np.ndarray, radius: float, cell: float, margin: float, risk=None) -> list[np.ndarray]:
     """Cheapest way on a grid around start, goal and obstacles, diagonal steps allowed; empty if there is none.
 
-    A cell within the radius of an obstacle is blocked, except those of start and goal. With risk(point), cells cost
-    RISK_WEIGHT times their probability more, and are blocked only where it is above RISK_BLOCK.
+    A cell within the radius of an obstacle is blocked, except those of start and goal. With risk(points), cells cost
+    RISK_WEIGHT times their probability more, and are blocked only where it is above RISK_BLOCK. Cells are numbered in
+    order of their coordinates, with a closed rim around the grid.
     """
     every = np.vstack([start[None], goal[None], *([obstacles] if len(obstacles) else [])])
     low, high = every.min(axis=0) - margin, every.max(axis=0) + margin
     shape = np.ceil((high - low) / cell).astype(int) + 1
-    index = lambda p: tuple(np.round((p - low) / cell).astype(int))
-    first, last = index(start), index(goal)
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=len(start)) if any(s)]
-    costs: dict[tuple, float] = {}
-
-    def price(at: tuple) -> float:
-        if at not in costs:
-            point = low + np.array(at) * cell
-            if at in (first, last):
-                costs[at] = 0.0
-            elif risk is None:
-                costs[at] = math.inf if len(obstacles) and np.sqrt(((obstacles - point) ** 2).sum(axis=1)).min() <= radius else 0.0
-            else:
-                p = risk(point)
-                costs[at] = math.inf if p > RISK_BLOCK else RISK_WEIGHT * p
-        return costs[at]
-
-    ahead = lambda at: math.dist(at, last) * cell
-    waiting, best, back, done = [(ahead(first), first)], {first: 0.0}, {}, set()
+    strides = [math.prod(int(n) + 2 for n in shape[k + 1 :]) for k in range(len(shape))]
+    ends = [np.round((p - low) / cell).astype(int) for p in (start, goal)]
+    first, last = (sum((int(a) + 1) * s for a, s in zip(at, strides, strict=True)) for at in ends)
+    moves = [(sum(a * s for a, s in zip(step, strides, strict=True)), math.hypot(*step) * cell) for step in itertools.product((-1, 0, 1),
+        repeat=len(start)) if any(step)]
+    closed = np.ones(shape + 2, dtype=np.uint8)
+    closed[(slice(1, -1),) * len(shape)] = 0
+    if risk is None:
+        for o in obstacles:
+            box = [np.arange(max(0, math.floor((o[k] - radius - low[k]) / cell)), min(int(shape[k]), math.ceil((o[k] + radius - low[k])
+                / cell) + 1)) for k in range(len(shape))]
+            apart = sum((np.square(o[k] - (low[k] + at * cell)).reshape([-1 if i == k else 1 for i in range(len(shape))]) for k,
+                at in enumerate(box)), 0.0)
+            closed[tuple(slice(at[0] + 1, at[-1] + 2) for at in box)] |= np.sqrt(apart) <= radius
+    done = bytearray(closed.tobytes())
+    done[first] = done[last] = 0
+    rest = [np.square(np.arange(-1, n + 1) - at).reshape([-1 if i == k else 1 for i in range(len(shape))]) for k, (n, at) in enumerate(zip(shape,
+        ends[1], strict=True))]
+    ahead = (np.sqrt(sum(rest)) * cell).ravel().tolist()
+    place = lambda at: low + np.array([at // s % (int(n) + 2) - 1 for s, n in zip(strides, shape, strict=True)]) * cell
+    extra = None if risk is None else _prices(risk, place, first, last, [m for m, _ in moves], done)
+
+    waiting, best, back = [(ahead[first], first)], {first: 0.0}, {}
     while waiting:
         _, at = heapq.heappop(waiting)
         if at == last:
             way = [at]
             while way[-1] in back:
                 way.append(back[way[-1]])
-            return [start, *(low + np.array(p) * cell for p in way[-2:0:-1]), goal]
-        if at in done:
+            return [start, *(place(p) for p in way[-2:0:-1]), goal]
+        if done[at]:
             continue
-        done.add(at)
-        for step in steps:
-            to = tuple(a + s for a, s in zip(at, step, strict=True))
-            if to in done or any(t < 0 or t >= n for t, n in zip(to, shape, strict=True)):
+        done[at] = 1
+        here = best[at]
+        costs = None if extra is None else extra(at)
+        for move, length in moves:
+            to = at + move
+            if done[to]:
                 continue
-            extra = price(to)
-            cost = best[at] + math.hypot(*step) * cell + extra
-            if extra < math.inf and cost < best.get(to, math.inf):
+            cost = here + length if costs is None else here + length + costs[to]
+            if cost < best.get(to, math.inf):
                 best[to], back[to] = cost, at
-                heapq.heappush(waiting, (cost + ahead(to), to))
+                heapq.heappush(waiting, (cost + ahead[to], to))
     return []
 
 
+def _prices(risk, place, first: int, last: int, moves: list[int], done: bytearray):
+    """The function of a cell that gives what its neighbours cost for their risk, each asked for once."""
+    costs = {first: 0.0, last: 0.0}
+
+    def around(at: int) -> dict[int, float]:
+        new = [to for to in (at + m for m in moves) if not done[to] and to not in costs]
+        if new:
+            for to, p in zip(new, risk(np.array([place(to) for to in new])).tolist(), strict=True):
+                costs[to] = math.inf if p > RISK_BLOCK else RISK_WEIGHT * p
+        return costs
+
+    return around
+
+
 def risk_of(obstacles: np.ndarray, places: np.ndarray, radius: float):
-    """The function of a point that gives its probability of meeting an obstacle, from drawn places of each.
+    """The function of points that gives their probability of meeting an obstacle, from drawn places of each.
 
-    Obstacles none of whose places can lie within the radius are passed over; their probability is 0.
+    Obstacles none of whose places can lie within the radius of a point are passed over; their probability is 0.
     """
     reach = radius + np.sqrt(((places - obstacles[:, None, :]) ** 2).sum(axis=2)).max(axis=1) + 1e-9
+    axes = [np.ascontiguousarray(places[:, :, k]) for k in range(places.shape[2])]
 
-    def risk(point: np.ndarray) -> float:
-        near = places[np.sqrt(((obstacles - point) ** 2).sum(axis=1)) <= reach]
-        return 1 - np.prod(1 - (np.sqrt(((near - point) ** 2).sum(axis=2)) <= radius).mean(axis=1))
+    def risk(points: np.ndarray) -> np.ndarray:
+        points = np.atleast_2d(points)
+        at, which = np.nonzero(np.sqrt(((obstacles[None] - points[:, None]) ** 2).sum(axis=2)) <= reach)
+        out = np.ones(len(points))
+        if len(at):
+            apart = sum((np.square(axis[which] - points[at, k][:, None]) for k, axis in enumerate(axes)), 0.0)
+            np.multiply.at(out, at, 1 - np.count_nonzero(np.sqrt(apart) <= radius, axis=1) / axes[0].shape[1])
+        return 1 - out
 
     return risk
 
 
+@lru_cache(maxsize=4)
+def _shifts(seed: int, spread: float, shape: tuple[int, int, int]) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, spread, shape)
+
+
 def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x", "y"), radius: float = RADIUS, cell: float = CELL,
     margin: float = MARGIN, spread: float | None = None, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """(request, i, axes): way points of each request; a request without a way has none.
@@ -140,7 +173,7 @@ def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x"
             start, goal = (np.array([getattr(r, f"{end}_{a}") for a in axes], float) for end in ("start", "goal"))
             risk = None
             if spread is not None and len(fixed):
-                shifts = np.random.default_rng(seed).normal(0, spread, (len(fixed), draws, len(axes)))
+                shifts = _shifts(seed, spread, (len(fixed), draws, len(axes)))
                 risk = risk_of(fixed, fixed[:, None, :] + shifts, radius)
             way = search(start, goal, fixed, radius, cell, margin, risk)
             out += [(r.request, i, *map(float, p)) for i, p in enumerate(way)]
@@ -149,7 +182,7 @@ def plan(requests: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x"
     kind = dict(requests.dtypes)["request"]
     schema = f"request {kind}, i int, " + ", ".join(f"{a} double" for a in axes)
     obstacles = obstacles.select(F.col("request").alias("request"), *[F.col(a).alias(a) for a in axes])  # a side of its own, should both come from one table
-    return requests.groupBy("request").cogroup(obstacles.groupBy("request")).applyInPandas(run, schema)
+    return spread_out(requests, "request").groupBy("request").cogroup(spread_out(obstacles, "request").groupBy("request")).applyInPandas(run, schema)
 
 
 def segment_distance(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,7 +239,7 @@ def trajectory(points: np.ndarray, obstacles: np.ndarray, max_velocity: float, m
         begins = np.cumsum(times) - times
         t = np.arange(0, times.sum(), 1 / rate_hz)
         leg = np.clip(np.searchsorted(begins, t, side="right") - 1, 0, len(times) - 1)
-        where = np.array([power(np.array([x - begins[k]]), 0)[0] @ pieces[k] for x, k in zip(t, leg, strict=True)]).reshape(len(t), -1)
+        where = np.einsum("ij,ijk->ik", power(t - begins[leg], 0), np.array(pieces)[leg]).reshape(len(t), -1)
         if not len(obstacles) or np.sqrt(((where[:, None] - obstacles[None]) ** 2).sum(axis=2)).min() > clearance:
             return np.column_stack([t, where]), True
         tolerance /= 2
@@ -230,5 +263,5 @@ def smooth(ways: DataFrame, obstacles: DataFrame, axes: tuple[str, ...] = ("x",
 
     kind = dict(ways.dtypes)["request"]
     obstacles = obstacles.select(F.col("request").alias("request"), *[F.col(a).alias(a) for a in axes])
-    return ways.groupBy("request").cogroup(obstacles.groupBy("request")).applyInPandas(run, f"request {kind}, t double, "
+    return spread_out(ways, "request").groupBy("request").cogroup(spread_out(obstacles, "request").groupBy("request")).applyInPandas(run, f"request {kind}, t double, "
         + ", ".join(f"{a} double" for a in axes) + ", smooth boolean")

@@ -71,3 +71,19 @@ def test_pairs_are_aligned_from_two_passes_over_their_samples(spark):
     assert passes.value <= 5 * len(rows)  # samples, and those that only name the flight's beginning
     asked = np.array([-1, 0, 5, 10, 25, 40], float)
     assert np.allclose(alignment.on_grid(np.array([20, 0, 10]), np.array([4.0, 0, 1]), asked), [np.nan, 0, 0.5, 1, np.nan, np.nan], equal_nan=True)
+
+
+def test_searches_are_spread_and_ask_for_the_risk_of_cells_together(spark, sf_dir):
+    asked = []
+
+    def risk(points):
+        asked.append(len(points))
+        return np.zeros(len(points))
+
+    way = paths.search(np.zeros(2), np.array([4.0, 0.2]), np.empty((0, 2)), 0.6, 0.5, 3.0, risk)
+    assert len(way) == 9 and sum(asked) > 2 * len(asked)
+    assert paths.search(np.zeros(2), np.array([4.0, 0.0]), np.array([[0.0, 0.0], [4.0, 0.0]]), 0.6, 0.5, 3.0) != []  # ends are free
+    around = np.array([[x, y] for x in np.arange(-1, 1.1, 0.5) for y in np.arange(-1, 1.1, 0.5) if max(abs(x), abs(y)) == 1])
+    assert paths.search(np.zeros(2), np.array([4.0, 0.0]), around, 0.3, 0.5, 3.0) == []
+    for name in ("grid_path_2d", "risk_aware_path", "smooth_trajectory"):
+        assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4
