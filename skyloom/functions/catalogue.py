@@ -142,6 +142,11 @@ def change_type(name: Column) -> Column:
     return out
 
 
+def is_watched(name: Column) -> Column:
+    """Whether change_type() tells a change for the name, by one pattern."""
+    return name.rlike("|".join(f"(?:{pattern})" for pattern, _ in WATCHED))
+
+
 def forbidden_claims(text: Column) -> Column:
     """Array of the kinds of claim that a text makes and a report may not."""
     found = F.array(*[F.when(text.rlike(f"(?i){pattern}"), kind) for kind, pattern in FORBIDDEN])

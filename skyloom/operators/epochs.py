@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import change_type
+from ..functions.catalogue import change_type, is_watched
 
 # Tolerances of a parameter comparison.
 RELATIVE, ABSOLUTE = 1e-6, 1e-9
@@ -45,10 +45,10 @@ def latest_epoch(flights: DataFrame, events: DataFrame, key: str = "drone_id") -
 
 
 def watched(params: DataFrame) -> DataFrame:
-    """params (drone_id, flight_index, name, value) that matter, with their change_type; slots of absent rotors are left out."""
+    """params (drone_id, flight_index, name, value) that matter; slots of absent rotors are left out."""
     count = F.max(F.when(F.col("name") == "CA_ROTOR_COUNT", F.col("value").cast("double"))).over(Window.partitionBy("drone_id", "flight_index"))
-    slot = F.regexp_extract("name", r"^CA_ROTOR(\d+)_", 1)
-    rows = params.withColumn("change_type", change_type(F.col("name"))).filter("change_type IS NOT NULL").withColumn("count", count)
+    slot = F.when(F.col("name").startswith("CA_ROTOR"), F.regexp_extract("name", r"^CA_ROTOR(\d+)_", 1)).otherwise("")
+    rows = params.filter(is_watched(F.col("name"))).withColumn("count", count)
     unused = F.when(slot != "", slot.cast("int") >= F.col("count"))
     return rows.filter(~F.coalesce(unused, F.lit(False))).drop("count")
 
@@ -68,7 +68,7 @@ def parameter_changes(params: DataFrame) -> DataFrame:
     by = Window.partitionBy("drone_id", "name").orderBy("flight_index")
     rows = watched(params).withColumns({"old": F.lag("value").over(by), "at": F.lag("flight_index").over(by)})
     rows = rows.filter((F.col("at") == F.col("flight_index") - 1) & differs(F.col("old"), F.col("value")))
-    return rows.select("drone_id", "flight_index", "name", "old", F.col("value").alias("new"), "change_type")
+    return rows.select("drone_id", "flight_index", "name", "old", F.col("value").alias("new"), change_type(F.col("name")).alias("change_type"))
 
 
 def events_from_parameters(changes: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+#: Rows that a task sorts.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """rows by hash of keys, in as many parts as `total` of them fill: what one task sorts doesn't grow with the table."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS)), *keys)
+
+
 def _pieces(rows: pd.DataFrame, keys: list[str]) -> list[tuple[tuple, int, int]]:
     """(key, start, end) of each key's rows in a sorted frame; null keys are equal."""
     if rows.empty:

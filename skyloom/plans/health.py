@@ -16,6 +16,7 @@ from ..operators import rebuild as R
 from ..operators import scoring as S
 from ..operators import store as K
 from ..operators import trends as T
+from ..operators.scans import dealt
 from ..sources.tables import micros, table
 from .common import Plans, rounded
 
@@ -361,7 +362,8 @@ PARAM_SQL = """par AS (SELECT o_custkey AS drone_id, CAST(row_number() OVER (PAR
 def _parameters(spark: SparkSession, folder: str) -> DataFrame:
     """Every order of a customer is a log with five parameters."""
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    rows = table(spark, folder, "orders").withColumn("place", place)
+    orders = table(spark, folder, "orders")
+    rows = dealt(orders, orders.count(), "o_custkey").withColumn("place", place)
     key = F.col("o_orderkey")
     pairs = (
         ("MC_ROLLRATE_P", ((key % 3).cast("double") / 4).cast("string")),

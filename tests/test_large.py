@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom import plans
+from skyloom.functions import catalogue
 from skyloom.functions import engineering as N
-from skyloom.operators import alignment, paths, series
+from skyloom.operators import alignment, paths, scans, series
 
 
 def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
@@ -87,3 +88,18 @@ def test_searches_are_spread_and_ask_for_the_risk_of_cells_together(spark, sf_di
     assert paths.search(np.zeros(2), np.array([4.0, 0.0]), around, 0.3, 0.5, 3.0) == []
     for name in ("grid_path_2d", "risk_aware_path", "smooth_trajectory"):
         assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_parameters_are_sorted_in_parts_that_do_not_grow(spark, sf_dir, monkeypatch):
+    rows = spark.range(1000).withColumnRenamed("id", "key")
+    monkeypatch.setattr(scans, "TASK_ROWS", 100)
+    assert scans.dealt(rows, 1000, "key").rdd.getNumPartitions() == 10
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    for name in ("parameter_changes", "parameter_events"):
+        assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= orders // 100
+
+
+def test_a_name_is_watched_where_it_tells_a_change(spark):
+    names = ["MC_ROLLRATE_P", "firmware_version", "BAT1_CAPACITY", "CA_ROTOR5_PX", "CA_ROTOR_COUNT", "COM_OTHER", "XBAT1_CAPACITY", ""]
+    out = spark.createDataFrame([(n,) for n in names], "name string").select(catalogue.is_watched(F.col("name")).alias("w"), catalogue.change_type(F.col("name")).alias("c")).collect()
+    assert all(r.w == (r.c is not None) for r in out) and sum(r.w for r in out) >= 5
