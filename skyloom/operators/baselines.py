@@ -63,11 +63,19 @@ def gate(kept: list | None = None):
         mad = median([abs(v - middle) for v in values])
         return middle, mad, max(MAD_SCALE * mad, floor, relative * abs(middle))
 
+    known = {}  # both baselines, until a value is admitted or the floors are others
+
     def step(value, qualified, valid, bad, floor, relative, baselined):
         nonlocal count
         before = count
-        centre, mad, spread = baseline(rolling, floor, relative) if rolling else (None, None, None)
-        first, _, first_spread = baseline(reference, floor, relative) if len(reference) == REFERENCE else (None, None, None)
+        if known.get("floors") != (floor, relative):
+            known.clear()
+            known["floors"] = (floor, relative)
+        if "rolling" not in known:
+            known["rolling"] = baseline(rolling, floor, relative) if rolling else (None, None, None)
+        if "reference" not in known:
+            known["reference"] = baseline(reference, floor, relative) if len(reference) == REFERENCE else (None, None, None)
+        (centre, mad, spread), (first, _, first_spread) = known["rolling"], known["reference"]
         reason = None
         if not qualified:
             reason = "flight_not_qualified"
@@ -81,8 +89,10 @@ def gate(kept: list | None = None):
         if reason is None:
             count += 1
             rolling[:] = [*rolling, value][-ROLLING:]
+            known.pop("rolling")
             if len(reference) < REFERENCE:
                 reference.append(value)
+                known.pop("reference")
         return out
 
     step.state = lambda: [count, list(rolling), list(reference)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom import plans
 from skyloom.functions import catalogue
 from skyloom.functions import engineering as N
-from skyloom.operators import alignment, paths, scans, series
+from skyloom.operators import alignment, baselines, paths, scans, series
 
 
 def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
@@ -103,3 +103,15 @@ def test_a_name_is_watched_where_it_tells_a_change(spark):
     names = ["MC_ROLLRATE_P", "firmware_version", "BAT1_CAPACITY", "CA_ROTOR5_PX", "CA_ROTOR_COUNT", "COM_OTHER", "XBAT1_CAPACITY", ""]
     out = spark.createDataFrame([(n,) for n in names], "name string").select(catalogue.is_watched(F.col("name")).alias("w"), catalogue.change_type(F.col("name")).alias("c")).collect()
     assert all(r.w == (r.c is not None) for r in out) and sum(r.w for r in out) >= 5
+
+
+def test_a_gate_takes_medians_anew_only_after_an_admission(monkeypatch):
+    taken = []
+    monkeypatch.setattr(baselines, "median", lambda values: taken.append(1) or sorted(values)[len(values) // 2])
+    step = baselines.gate()
+    for i in range(6):
+        step(10.0 + i, True, True, False, 0.5, 0.0, True)
+    before = len(taken)
+    last = [step(1e6, True, True, False, 0.5, 0.0, True) for _ in range(5)]
+    assert len(taken) <= before + 4 and {r[1] for r in last} == {"outlier"}
+    assert step(10.0, True, True, False, 50.0, 0.0, True)[5] == 50.0  # other floors
