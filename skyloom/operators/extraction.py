@@ -43,41 +43,46 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def counts(signals: DataFrame) -> DataFrame:
-    """(flight, key, n, rate_hz): samples of every signal, and a million over its median positive interval."""
+#: Signals whose rate a feature needs.
+RATED = ("accel_fifo.x", "accel.x", *(f"rate_sp.{a}" for a, _ in AXES))
+
+
+def counts(signals: DataFrame, rated: tuple[str, ...] = RATED) -> DataFrame:
+    """(flight, key, n, rate_hz): samples of every signal, and of rated ones a million over the median positive interval."""
     step = F.col("us") - F.lag("us").over(Window.partitionBy("flight", "key").orderBy("us"))
-    rows = signals.select("flight", "key", step.alias("step"))
+    rows = signals.filter(F.col("key").isin(*rated)).select("flight", "key", step.alias("step"))
     median = F.percentile(F.when(F.col("step") > 0, F.col("step")), F.lit(0.5))
-    return rows.groupBy("flight", "key").agg(F.count(F.lit(1)).alias("n"), (1e6 / median).alias("rate_hz"))
+    rates = rows.groupBy("flight", "key").agg((1e6 / median).alias("rate_hz"))
+    return signals.groupBy("flight", "key").agg(F.count(F.lit(1)).alias("n")).join(rates, ["flight", "key"], "left")
 
 
 def airborne(signals: DataFrame, flights: DataFrame) -> DataFrame:
     return X.inside(signals, flights.select("flight", "start_us", "end_us"), "flight")
 
 
-def placed(signals: DataFrame) -> DataFrame:
-    """signals with i, the place of a sample in its signal: axes that are logged together align by it."""
-    return signals.withColumn("i", F.row_number().over(Window.partitionBy("flight", "key").orderBy("us")))
-
-
-def vector_length(signals: DataFrame, present: DataFrame, axes: list[str], alone: bool = False) -> DataFrame:
+def vector_length(signals: DataFrame, axes: list[str], alone: bool = False) -> DataFrame:
     """(flight, us, value): length of a vector logged by axis, of flights that have as many samples of each axis.
 
-    With `alone`, flights without that have the first axis as it is.
+    Axes that are logged together align by their samples' places. With `alone`, flights without that have the first axis
+    as it is. A flight's samples are sorted as arrays, one for each axis.
     """
-    sizes = present.filter(F.col("key").isin(axes)).groupBy("flight").agg(F.count_distinct("key").alias("axes"),
-        F.count_distinct("n").alias("sizes"), F.max((F.col("key") == axes[0]).cast("int")).alias("first"))
-    whole = (F.col("axes") == len(axes)) & (F.col("sizes") == 1)
-    use = sizes.select("flight", whole.alias("whole")).filter(F.col("whole") | F.lit(alone))
-    rows = placed(signals.filter(F.col("key").isin(axes))).join(use, "flight").filter(F.col("whole") | (F.col("key") == axes[0]))
-    lengths = rows.groupBy("flight", "i", "whole").agg(F.max(F.when(F.col("key") == axes[0], F.col("us"))).alias("us"), F.sum(F.col("value")
-        * F.col("value")).alias("square"), F.max("value").alias("own"))
-    return lengths.select("flight", "us", F.when(F.col("whole"), F.sqrt("square")).otherwise(F.col("own")).alias("value"))
+    names = [f"a{i}" for i in range(len(axes))]
+    own = signals.filter(F.col("key").isin(axes)).groupBy("flight").agg(*(F.sort_array(F.collect_list(F.when(F.col("key") == a,
+        F.struct("us", "value")))).alias(n) for n, a in zip(names, axes, strict=True)))
+    whole = reduce(lambda x, y: x & y, [F.size(n) == F.size(names[0]) for n in names[1:]])
+
+    def length(first: Column, i: Column) -> Column:
+        values = [F.get(n, i)["value"] for n in names]
+        square = reduce(lambda x, y: x + y, [F.coalesce(v * v, F.lit(0.0)) for v in values])
+        return F.struct(first["us"].alias("us"), F.when(F.coalesce(*values).isNotNull(), F.sqrt(square)).alias("value"))
+
+    rows = own.select("flight", F.inline(F.when(whole, F.transform(names[0], length)).otherwise(F.col(names[0]) if alone else None)))
+    return rows.select("flight", "us", "value")
 
 
 def percentiles(signals: DataFrame, present: DataFrame, flights: DataFrame) -> DataFrame:
     """Features that are a percentile of one signal over the airborne window, and the largest of the test ratios."""
-    vibration = vector_length(signals, present, ["vibe.x", "vibe.y", "vibe.z"], alone=True)
+    vibration = vector_length(signals, ["vibe.x", "vibe.y", "vibe.z"], alone=True)
     names = {key for _, key, _ in X.PERCENTILES}
     own = signals.filter(F.col("key").isin(*names - {"imu.vibration"}))
     both = own.select("flight", "key", "us", "value").unionByName(vibration.withColumn("key", F.lit("imu.vibration")).select("flight", "key", "us", "value"))
@@ -110,46 +115,42 @@ def vibration_bands(signals: DataFrame, present: DataFrame, flights: DataFrame,
     Unfiltered accelerations are taken where all their axes are there, else filtered ones, which have no highest band
     and none above their filter's cutoff; a band that holds the cutoff says so.
     """
-    parts = []
-    sets = {source: [f"{source}.{a}" for a in "xyz"] for source in ("accel_fifo", "accel")}
-    have = {s: present.filter(F.col("key").isin(keys)).groupBy("flight").agg(F.count_distinct("key").alias("axes"),
-        F.count_distinct("n").alias("sizes"), F.max(F.when(F.col("key") == keys[0], F.col("rate_hz"))).alias("rate")).filter("axes = 3")
-        for s, keys in sets.items()}
-    for source, keys in sets.items():
-        mine = have[source] if source == "accel_fifo" else have[source].join(have["accel_fifo"].select("flight"), "flight", "left_anti")
-        mine = mine.join(flights.select("flight", "steady_qualified", "steady_reason", "accel_cutoff"), "flight")
-        length = F.least(F.lit(MOST_SEGMENT), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(float(LEAST_SEGMENT)), F.col("rate")
-            * SEGMENT_S)) + 1e-12)).cast("int"))
-        mine = mine.withColumn("length", length)
-        lengths = vector_length(signals, present, keys).join(mine.filter("steady_qualified").select("flight", "rate", "length"), "flight")
-        inside = lengths.join(steady.select("flight", "segment", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")),
-            "flight").filter("us BETWEEN from_us AND to_us")
-        spectrum = averaged_density(inside, ["flight", "segment"], ["flight"])
-        bands = F.array(*[F.struct(F.lit(k).alias("feature_key"), F.lit(lo).alias("lo"), F.lit(hi).cast("double").alias("hi")) for k, lo, hi in BANDS])
-        asked = mine.select("*", F.explode(bands).alias("b")).select("flight", "sizes", "rate", "steady_qualified", "steady_reason",
-            F.when(F.col("accel_cutoff") > 0, F.col("accel_cutoff")).alias("cutoff"), "b.*")
-        asked = asked.withColumn("nyquist", F.col("rate") / 2).withColumn("hi", F.coalesce("hi", "nyquist"))
-        if source == "accel_fifo":
-            asked = asked.withColumn("cutoff", F.lit(None).cast("double"))
-        bins = spectrum.join(asked.select("flight", "feature_key", "lo", "hi"), "flight").filter("hz > lo AND hz < hi")
-        by = Window.partitionBy("flight", "feature_key").orderBy("hz")
-        area = (F.col("hz") - F.lag("hz").over(by)) * (F.col("power") + F.lag("power").over(by)) / 2
-        power = bins.select("flight", "feature_key", area.alias("area")).groupBy("flight", "feature_key").agg(F.sum("area").alias("power"),
-            F.count(F.lit(1)).alias("bins"))
-        out = asked.join(power, ["flight", "feature_key"], "left").join(spectrum.select("flight").distinct().withColumn("seen", F.lit(True)), "flight", "left")
-        reason = (
-            F.when(~F.col("steady_qualified"), F.coalesce("steady_reason", F.lit(UNSTEADY)))
-            .when(F.col("rate").isNull() | (F.col("sizes") > 1), "accel_axes_misaligned")
-            .when(F.col("seen").isNull(), "steady_segments_shorter_than_welch_window")
-            .when((F.col("feature_key") == "vib.band_hi") & F.lit(source == "accel"), "requires_fifo_accel")
-            .when(F.col("lo") >= F.col("nyquist"), "band_above_nyquist")
-            .when(F.col("lo") >= F.col("cutoff"), "band_above_filter_cutoff")
-            .when(F.coalesce("bins", F.lit(0)) < 2, "too_few_frequency_bins")
-            .when(F.col("power") <= 0, "no_power_in_band")
-        )
-        partial = F.when(reason.isNull() & (F.col("hi") > F.col("cutoff")), "band_partially_filtered")
-        parts.append(rows_of(out, F.col("feature_key"), F.when(reason.isNull(), 10 * F.log10("power")), reason, detail=partial))
-    return union(parts)
+    keys = [f"{source}.{a}" for source in ("accel_fifo", "accel") for a in "xyz"]
+    fifo = F.col("source") == "accel_fifo"
+    sources = present.filter(F.col("key").isin(keys)).groupBy("flight", F.substring_index("key", ".", 1).alias("source")).agg(F.count_distinct("key").alias("axes"),
+        F.count_distinct("n").alias("sizes"), F.max(F.when(F.col("key").endswith(".x"), F.col("rate_hz"))).alias("rate")).filter("axes = 3")
+    mine = sources.groupBy("flight").agg(F.max(F.struct("source", "sizes", "rate")).alias("m")).select("flight", "m.*")  # of both, accel_fifo
+    mine = mine.join(flights.select("flight", "steady_qualified", "steady_reason", "accel_cutoff"), "flight")
+    length = F.least(F.lit(MOST_SEGMENT), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(float(LEAST_SEGMENT)), F.col("rate")
+        * SEGMENT_S)) + 1e-12)).cast("int"))
+    measured = mine.filter("steady_qualified").select("flight", "source", "rate", length.alias("length"))
+    own = signals.filter(F.col("key").isin(keys)).join(measured.select("flight", "source"), "flight").filter(F.col("key").startswith("accel_fifo.") == fifo)
+    lengths = vector_length(own.select("flight", F.substring_index("key", ".", -1).alias("key"), "us", "value"), ["x", "y", "z"]).join(measured, "flight")
+    inside = lengths.join(steady.select("flight", "segment", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")),
+        "flight").filter("us BETWEEN from_us AND to_us")
+    spectrum = stored(averaged_density(inside, ["flight", "segment"], ["flight"]))  # the bins of one segment for each flight
+    bands = F.array(*[F.struct(F.lit(k).alias("feature_key"), F.lit(lo).alias("lo"), F.lit(hi).cast("double").alias("hi")) for k, lo, hi in BANDS])
+    asked = mine.select("*", F.explode(bands).alias("b")).select("flight", "source", "sizes", "rate", "steady_qualified", "steady_reason",
+        F.when(~fifo & (F.col("accel_cutoff") > 0), F.col("accel_cutoff")).alias("cutoff"), "b.*")
+    asked = asked.withColumn("nyquist", F.col("rate") / 2).withColumn("hi", F.coalesce("hi", "nyquist"))
+    bins = spectrum.join(asked.select("flight", "feature_key", "lo", "hi"), "flight").filter("hz > lo AND hz < hi")
+    by = Window.partitionBy("flight", "feature_key").orderBy("hz")
+    area = (F.col("hz") - F.lag("hz").over(by)) * (F.col("power") + F.lag("power").over(by)) / 2
+    power = bins.select("flight", "feature_key", area.alias("area")).groupBy("flight", "feature_key").agg(F.sum("area").alias("power"),
+        F.count(F.lit(1)).alias("bins"))
+    out = asked.join(power, ["flight", "feature_key"], "left").join(spectrum.select("flight").distinct().withColumn("seen", F.lit(True)), "flight", "left")
+    reason = (
+        F.when(~F.col("steady_qualified"), F.coalesce("steady_reason", F.lit(UNSTEADY)))
+        .when(F.col("rate").isNull() | (F.col("sizes") > 1), "accel_axes_misaligned")
+        .when(F.col("seen").isNull(), "steady_segments_shorter_than_welch_window")
+        .when((F.col("feature_key") == "vib.band_hi") & ~fifo, "requires_fifo_accel")
+        .when(F.col("lo") >= F.col("nyquist"), "band_above_nyquist")
+        .when(F.col("lo") >= F.col("cutoff"), "band_above_filter_cutoff")
+        .when(F.coalesce("bins", F.lit(0)) < 2, "too_few_frequency_bins")
+        .when(F.col("power") <= 0, "no_power_in_band")
+    )
+    partial = F.when(reason.isNull() & (F.col("hi") > F.col("cutoff")), "band_partially_filtered")
+    return rows_of(out, F.col("feature_key"), F.when(reason.isNull(), 10 * F.log10("power")), reason, detail=partial)
 
 
 def _steady_samples(signals: DataFrame, flights: DataFrame, steady: DataFrame) -> DataFrame:
@@ -181,10 +182,9 @@ def motor_signals(signals: DataFrame, present: DataFrame, flights: DataFrame) ->
         F.lit("999")).cast("int").alias("motor")).filter("motor IS NOT NULL")
     rows = rows.join(flights.select("flight", "motor_count"), "flight").filter("motor < motor_count")
     whole = rows.groupBy("flight", "kind",
-        "motor_count").agg(F.count(F.lit(1)).alias("n")).filter("n = motor_count").groupBy("flight").agg(F.min("kind").alias("kind"))
-    motors = signals.filter(F.col("key").rlike(r"^act\.(motor|out)\d+$")).withColumn("motor", number.cast("int")).withColumn("kind", kind)
-    return motors.join(whole, ["flight", "kind"]).join(flights.select("flight", "motor_count"),
-        "flight").filter("motor < motor_count").select("flight", "motor", "us", "value")
+        "motor_count").agg(F.count(F.lit(1)).alias("n")).filter("n = motor_count").groupBy("flight").agg(F.min("kind").alias("kind"), F.first("motor_count").alias("motor_count"))
+    motors = signals.filter(F.col("key").rlike(r"^act\.(motor|out)\d+$")).withColumn("motor", number.cast("int")).withColumn("own", kind)
+    return motors.join(whole, "flight").filter("own = kind AND motor < motor_count").select("flight", "motor", "us", "value")
 
 
 def motor_features(signals: DataFrame, present: DataFrame, flights: DataFrame, steady: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -267,28 +267,31 @@ def tracking(signals: DataFrame, present: DataFrame, flights: DataFrame) -> Data
     asked = flights.select("flight", "start_us", "end_us", axes).select("flight", "start_us", "end_us", "a.*")
     rate = present.select("flight", F.col("key").alias("sp_key"), "rate_hz")
     asked = asked.join(rate, ["flight", "sp_key"]).join(present.select("flight", F.col("key").alias("gyro_key")), ["flight", "gyro_key"])
-    track = F.struct("flight", "axis").alias("track")
-    sp = signals.withColumnRenamed("key", "sp_key").join(asked, ["flight", "sp_key"]).filter("us BETWEEN start_us AND end_us")
-    gyro = signals.withColumnRenamed("key", "gyro_key").join(asked.select("flight", "gyro_key", "axis"), ["flight", "gyro_key"])
-    rows = at_times(gyro.select(track, "us", "value"), sp.select(track, "us", F.col("value").alias("sp")), "track", clamp=True)
-    by = Window.partitionBy("track")
-    rows = rows.withColumn("i", F.row_number().over(by.orderBy("us")) - 1).withColumn("n", F.count(F.lit(1)).over(by)).withColumn("on",
-        F.abs("sp") > X.MANOEUVRE_RATE)
-    own = asked.select(track, "rate_hz", F.floor(F.col("rate_hz") * X.MANOEUVRE_S).alias("need"), F.greatest(F.lit(1),
+    axis_of = F.create_map(*[F.lit(x) for a, g in AXES for x in (f"rate_sp.{a}", a, g, a)])[F.col("key")]
+    track = ["flight", "axis"]
+    sp = airborne(signals.filter(F.col("key").isin([f"rate_sp.{a}" for a, _ in AXES])), flights).select("flight", axis_of.alias("axis"), "us",
+        F.col("value").alias("sp"))
+    gyro = signals.filter(F.col("key").isin([g for _, g in AXES])).select("flight", axis_of.alias("axis"), "us", "value")
+    on = F.abs("sp") > X.MANOEUVRE_RATE
+    own = asked.select(*track, "rate_hz", F.floor(F.col("rate_hz") * X.MANOEUVRE_S).alias("need"), F.greatest(F.lit(1),
         F.floor(F.col("rate_hz") * LAG_S)).cast("int").alias("lags"))
-    shifted = rows.join(own.select("track", "lags"), "track").select("track", "n", "i", "value", F.explode(F.sequence(F.lit(0), F.col("lags") - 1)).alias("k"))
-    shifted = shifted.select("track", "k", F.pmod(F.col("i") + F.col("k"), F.col("n")).alias("i"), F.col("value").alias("late"))
-    errors = rows.filter("on").join(shifted, ["track", "i"]).groupBy("track", "k").agg(F.sqrt(F.avg(F.pow(F.col("late") - F.col("sp"), 2))).alias("error"))
-    best = errors.groupBy("track").agg(F.min(F.struct(F.round("error", 12).alias("error"), "k")).alias("best"),
-        F.max(F.when(F.col("k") == 0, F.col("error"))).alias("plain"))
-    level = rows.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("active"), F.sqrt(F.avg(F.when(F.col("on"),
-        F.col("sp") * F.col("sp")))).alias("rms"))
-    out = own.join(level, "track", "left").join(best, "track", "left")
+    level = at_times(gyro, sp, track, clamp=True).groupBy(*track).agg(F.count(F.lit(1)).alias("n"), F.count_if(on).alias("active"),
+        F.sqrt(F.avg(F.when(on, F.col("sp") * F.col("sp")))).alias("rms"), F.sort_array(F.collect_list(F.struct("us", "sp", "value"))).alias("s"))
+    moving = F.filter(F.transform("s", lambda x, i: F.struct(x["sp"].alias("sp"), i.alias("i"))), lambda x: F.abs(x["sp"]) > X.MANOEUVRE_RATE)
+
+    def error(k: Column) -> Column:
+        apart = F.filter(F.transform("moving", lambda x: F.get("s", F.pmod(x["i"] - k, F.size("s")))["value"] - x["sp"]), lambda d: d.isNotNull())
+        return F.sqrt(F.try_divide(F.aggregate(apart, F.lit(0.0), lambda t, d: t + d * d), F.size(apart)))
+
+    found = own.join(level, track, "left").withColumn("moving", moving)
+    found = found.withColumn("errors", F.transform(F.sequence(F.lit(0), F.coalesce("lags", F.lit(1)) - 1), lambda k: F.struct(error(k).alias("error"), k.alias("k"))))
+    nearest = F.array_min(F.transform("errors", lambda e: F.struct(F.round(e["error"], 12).alias("error"), e["k"].alias("k"))))
+    out = found.select(*track, "rate_hz", "need", "n", "active", "rms", nearest.alias("best"), F.get("errors", F.lit(0))["error"].alias("plain"))
     reason = F.when((F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES) | F.col("rate_hz").isNull(), FEW).when(F.col("active") < F.col("need"),
         "insufficient_manoeuvring")
     fine = reason.isNull()
     return out.select(
-        "track.*", "n", "active", "need",
+        *track, "n", "active", "need",
         F.when(fine, F.col("plain") / F.col("rms")).alias("ratio"),
         F.when(fine, F.col("best.k") / F.col("rate_hz") * 1000).alias("best_lag_ms"),
         F.when(fine, F.col("best.error") / F.col("rms")).alias("ratio_at_best_lag"),
@@ -302,11 +305,11 @@ def attitude(signals: DataFrame, present: DataFrame, flights: DataFrame) -> Data
     have = present.filter(F.col("key").isin(parts)).groupBy("flight").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("flight")
     own = signals.filter(F.col("key").isin(parts)).join(have, "flight").select("flight", F.split("key", r"\.")[0].alias("kind"),
         F.split("key", r"\.")[1].alias("part"), "us", "value")
-    track = F.struct("flight", "part").alias("track")
+    track = ["flight", "part"]
     targets = airborne(own.filter("kind = 'att_sp'"), flights)
-    rows = at_times(own.filter("kind = 'att'").select(track, "us", "value"), targets.select(track, "us", F.col("value").alias("d")), "track", clamp=True)
-    pick = lambda c, v: F.max(F.when(F.col("track.part") == f"q{c}", F.col(v)))
-    wide = rows.groupBy(F.col("track.flight").alias("flight"), "us").agg(*(pick(c, "value").alias(f"q{c}") for c in "wxyz"), *(pick(c,
+    rows = at_times(own.filter("kind = 'att'").select(*track, "us", "value"), targets.select(*track, "us", F.col("value").alias("d")), track, clamp=True)
+    pick = lambda c, v: F.max(F.when(F.col("part") == f"q{c}", F.col(v)))
+    wide = rows.groupBy("flight", "us").agg(*(pick(c, "value").alias(f"q{c}") for c in "wxyz"), *(pick(c,
         "d").alias(f"d{c}") for c in "wxyz"))
     out = have.join(X.attitude_error(wide), "flight", "left")
     few = F.when(F.coalesce("n", F.lit(0)) < X.MIN_SAMPLES, FEW)

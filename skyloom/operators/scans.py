@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Column with the number of a range.
@@ -51,6 +51,20 @@ def dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
     return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS)), *keys)
 
 
+def split(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+    """(plain, large): rows of keys that a task can hold, dealt by key, and those of keys with more than TASK_ROWS rows, None without any.
+
+    The sizes are a job of their own, which runs now; of keys, only the large ones reach the driver, one for TASK_ROWS
+    rows at most.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    told = sizes.agg(F.sum("_rows").alias("total"), F.collect_list(F.when(F.col("_rows") > TASK_ROWS, F.struct(*keys))).alias("large")).first()
+    if not told.large:
+        return dealt(rows, told.total or 0, *keys), None
+    large = F.broadcast(rows.sparkSession.createDataFrame(told.large, rows.select(*keys).schema))
+    return dealt(rows.join(large, [*keys], "left_anti"), told.total, *keys), rows.join(large, [*keys], "left_semi")
+
+
 def _pieces(rows: pd.DataFrame, keys: list[str]) -> list[tuple[tuple, int, int]]:
     """(key, start, end) of each key's rows in a sorted frame; null keys are equal."""
     if rows.empty:
@@ -131,10 +145,26 @@ def _carried(parts: list[int], told: dict[int, list], combine: Callable) -> dict
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """(keys, n, q): exact quantiles q of each key, an array in the order of shares, linear between neighbouring values; nulls don't count.
 
-    Values are counted first, so one that repeats is one row; then ranks are looked for among the sorted values, range by
-    range. A key without values is absent.
+    Keys that a task can hold are ranked in a window. Of larger ones (split()), values are counted first, so one that
+    repeats is one row; then ranks are looked for among the sorted values, range by range. A key without values is absent.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    own = [F.col(k).alias(k) for k in keys]  # columns of their own, so that the result joins rows
+    plain, large = split(rows.filter(F.col(value).isNotNull()).select(*own, (F.col(value).cast("double") + 0.0).alias("_v")), *keys)
+    by = Window.partitionBy(*keys)
+    ranked = plain.select(*keys, "_v", (F.row_number().over(by.orderBy("_v")) - 1).alias("_rank"), F.count(F.lit(1)).over(by).alias("_n"))
+
+    def at(share: float) -> Column:
+        place = share * (F.col("_n") - 1)
+        return F.sum(F.when((F.col("_rank") == F.floor(place)) | (F.col("_rank") == F.ceil(place)), F.when(place == F.floor(place),
+            F.col("_v")).otherwise(F.col("_v") * (1 - F.abs(place - F.col("_rank"))))))
+
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), F.array(*map(at, shares)).alias("q"))
+    return found if large is None else found.unionByName(_scanned_quantiles(large, keys, shares).coalesce(1))  # few rows
+
+
+def _scanned_quantiles(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """quantiles() of the values _v of keys of any size."""
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     kinds = dict(counted.dtypes)
 
     def pick(piece: pd.DataFrame, before: int | None, after: int | None) -> list[tuple]:

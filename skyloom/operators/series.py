@@ -52,18 +52,19 @@ def native_rate(series: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(key).agg((1e6 / median).alias("rate_hz"), ((F.max("us") - F.min("us")) / 1e6).alias("duration_s"))
 
 
-def at_times(samples: DataFrame, targets: DataFrame, key: str = "key", hold: bool = False, clamp: bool = False, order: str = "us") -> DataFrame:
+def at_times(samples: DataFrame, targets: DataFrame, key: str | list[str] = "key", hold: bool = False, clamp: bool = False, order: str = "us") -> DataFrame:
     """targets (key, us, ...) with the value of the series at their times: linear between samples, or the last one held.
 
     Outside the samples' span the value is null, or with clamp that of the nearest end. Both sides are merged in time
     order, each sample carrying the one after it, so one running window answers all targets of a key.
     """
-    by = Window.partitionBy(key).orderBy("us")
-    ends = Window.partitionBy(key)
-    rows = samples.select(key, "us", F.struct(F.col("us").cast("double").alias("us"), F.col("value").cast("double").alias("v"),
+    keys = [key] if isinstance(key, str) else key
+    ends = Window.partitionBy(*keys)
+    by = ends.orderBy("us")
+    rows = samples.select(*keys, "us", F.struct(F.col("us").cast("double").alias("us"), F.col("value").cast("double").alias("v"),
         F.lead("us").over(by).cast("double").alias("us2"), F.lead("value").over(by).cast("double").alias("v2")).alias("s"))
     merged = rows.withColumn("side", F.lit(0)).unionByName(targets.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    running = Window.partitionBy(key).orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
+    running = ends.orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
     merged = merged.withColumn("left", F.last("s", ignorenulls=True).over(running))
     if clamp:
         merged = merged.withColumn("start", F.min(F.when(F.col("s").isNotNull(), F.struct(F.col("s.us").alias("us"), F.col("s.v").alias("v")))).over(ends))

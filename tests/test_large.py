@@ -115,3 +115,26 @@ def test_a_gate_takes_medians_anew_only_after_an_admission(monkeypatch):
     last = [step(1e6, True, True, False, 0.5, 0.0, True) for _ in range(5)]
     assert len(taken) <= before + 4 and {r[1] for r in last} == {"outlier"}
     assert step(10.0, True, True, False, 50.0, 0.0, True)[5] == 50.0  # other floors
+
+
+def test_features_sort_the_lines_of_a_flight_a_few_times(spark, sf_dir):
+    plan = plans.QUERIES["feature_extraction"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(flight") > 0
+    assert sum("l_linenumber" in line and "Window" in line for line in plan.splitlines()) <= 2  # 25 before
+
+
+def test_quantiles_of_keys_that_a_task_holds_and_of_larger_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), None if i % 50 == 7 else float(x)) for k, n in ((1, 900), (2, 40), (3, 1), (4, 700)) for i, x in enumerate(rng.normal(0, 9, n).round(1))]
+    frame, shares = spark.createDataFrame([*rows, (5, None)], "k int, v double"), [0.0, 0.25, 0.5, 0.95, 1.0]
+    plain = scans.quantiles(frame, ["k"], "v", shares)
+    assert "MapInPandas" not in plain._jdf.queryExecution().toString()
+    monkeypatch.setattr(scans, "TASK_ROWS", 500)
+    split = scans.quantiles(frame, ["k"], "v", shares)
+    assert "MapInPandas" in split._jdf.queryExecution().toString()
+    for found in (plain, split):
+        out = {r.k: r for r in found.collect()}
+        assert set(out) == {1, 2, 3, 4}
+        for k in out:
+            own = [v for key, v in rows if key == k and v is not None]
+            assert out[k].n == len(own) and np.allclose(out[k].q, np.quantile(own, shares), rtol=0, atol=1e-9)
