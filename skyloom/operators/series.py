@@ -112,10 +112,15 @@ def longest_run(rows: DataFrame, flag: Column, key: str = "key", order: tuple[st
 
 def steady_segments(rows: DataFrame, flag: Column, least_us: int, key: str = "key", order: tuple[str, ...] = ("us",)) -> DataFrame:
     """Stretches of at least least_us in which flag holds, numbered, with the running total before each."""
-    found = runs(rows, flag, key, order).withColumn("length_us", F.col("end_us") - F.col("start_us")).filter(F.col("length_us") >= least_us)
+    return lasting(runs(rows, flag, key, order).drop("run", "next_us"), least_us, key)
+
+
+def lasting(stretches: DataFrame, least_us: int, key: str = "key") -> DataFrame:
+    """Those stretches (key, start_us, end_us, ...) that last at least least_us, numbered, with the running total before each."""
+    found = stretches.withColumn("length_us", F.col("end_us") - F.col("start_us")).filter(F.col("length_us") >= least_us)
     by = Window.partitionBy(key).orderBy("start_us")
     before = F.coalesce(F.sum("length_us").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("segment", F.row_number().over(by)).withColumn("before_us", before).drop("run", "next_us")
+    return found.withColumn("segment", F.row_number().over(by)).withColumn("before_us", before)
 
 
 def clipped(segments: DataFrame, most_us: int) -> DataFrame:

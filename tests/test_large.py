@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom import plans
 from skyloom.functions import catalogue
 from skyloom.functions import engineering as N
-from skyloom.operators import alignment, baselines, paths, scans, series
+from skyloom.operators import alignment, baselines, paths, scans, series, windows
 
 
 def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
@@ -138,3 +138,31 @@ def test_quantiles_of_keys_that_a_task_holds_and_of_larger_ones(spark, monkeypat
         for k in out:
             own = [v for key, v in rows if key == k and v is not None]
             assert out[k].n == len(own) and np.allclose(out[k].q, np.quantile(own, shares), rtol=0, atol=1e-9)
+
+
+def test_steady_stretches_are_those_of_every_grid_point_without_making_them(spark):
+    rng = np.random.default_rng(5)
+    rows, values = [], {}
+    for flight in range(6):
+        rows += [(flight, "land.landed", us, landed) for us, landed in ((0, 1.0), (1_000_000 + flight, 0.0), (90_000_000, 1.0), (99_000_000, 1.0))]
+        for key in windows.STEADY_SIGNALS[: 4 if flight else 3]:
+            us = np.unique(np.concatenate([rng.integers(0, 95_000_000, 60), [1_000_000 + flight + 40_000, 80_000_000]]))
+            v = rng.choice([0.05, 0.1, -0.2, 0.31, 0.3, 0.5, -0.9], len(us), p=[0.4, 0.3, 0.2, 0.025, 0.025, 0.025, 0.025])
+            rows += [(flight, key, int(a), float(b)) for a, b in zip(us, v, strict=True)]
+            values[flight, key] = us, v
+    frame, segments = windows.flight_windows(spark.createDataFrame(rows, "flight int, key string, us long, value double"), scale=0.2)
+    assert "Sequence(0" not in frame._jdf.queryExecution().toString() and "sequence(0" not in frame._jdf.queryExecution().toString()
+    found = {}
+    for r in segments.collect():
+        found.setdefault(r.flight, []).append((r.start_us, r.end_us, r.n))
+    for flight in range(6):
+        start, end = 1_000_000 + flight, 90_000_000
+        grid = start + 20_000 * np.arange(round((end - start) / 20_000) + 1)
+        small = np.full(len(grid), flight > 0)
+        for key in windows.STEADY_SIGNALS[: 4 if flight else 3]:
+            us, v = values[flight, key]
+            at = np.abs(np.interp(grid, us, v, left=np.nan, right=np.nan))
+            small &= at < (0.5 if key == "vel.z" else 0.3)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], small.astype(int), [0]])))
+        own = [(int(grid[a]), int(grid[b - 1]), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True) if grid[b - 1] - grid[a] >= 980_000]
+        assert sorted(found.get(flight, [])) == own and (own or not flight)
