@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import quantiles, scanned
+from .scans import quantiles, scanned, split
 
 # Smoothing, bin limits, degeneracy and range floors.
 EPSILON = 1e-6
@@ -76,11 +76,38 @@ def divergences(shares: DataFrame) -> DataFrame:
 def distances(sides: DataFrame) -> DataFrame:
     """(pair, wasserstein, ks, ks_pvalue): both from the two step functions along the values; ties move together.
 
-    Equal values are counted first; the counts are then scanned in order (scans.scanned), so a pair may have any number of
-    rows. Null values don't count. Distances are null if a side has no value. The p-value is the asymptotic one. At
-    these sizes it says nothing about significance.
+    Pairs that a task can hold are walked in a window. Of larger ones (scans.split), equal values are counted first; the
+    counts are then scanned in order (scans.scanned), so a pair may have any number of rows. Null values don't count.
+    Distances are null if a side has no value. The p-value is the asymptotic one. At these sizes it says nothing about
+    significance.
     """
-    counted = sides.filter("value IS NOT NULL").groupBy("pair", "value").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 0).alias("b"))
+    plain, large = split(sides.filter("value IS NOT NULL").select(F.col("pair").alias("pair"), "side", "value"), "pair")
+    out = _walked(plain)
+    if large is not None:
+        out = out.unionByName(_scanned_distances(large).coalesce(1))  # few rows
+    x2 = F.col("ks") * F.col("ks") * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x2))
+    return out.select("pair", "wasserstein", "ks", F.when(x2 < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))).alias("ks_pvalue"))
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """(pair, wasserstein, ks, n, m) of pairs (pair, side, value) that a task can hold; of equal values, the last one has the gap."""
+    by = Window.partitionBy("pair")
+    order = by.orderBy("value")
+    real = (F.col("side") == 1).cast("long")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("pair", F.sum(real).over(running).alias("a"), F.row_number().over(order).alias("i"), F.sum(real).over(by).alias("n"),
+        F.count(F.lit(1)).over(by).alias("rows"), F.col("value"), F.lead("value").over(order).alias("after"))
+    rows = rows.withColumn("m", F.col("rows") - F.col("n")).filter(F.col("after").isNull() | (F.col("after") != F.col("value")))
+    gap = F.abs(F.try_divide("a", "n") - F.try_divide(F.col("i") - F.col("a"), F.col("m")))
+    step = F.coalesce(F.col("after") - F.col("value"), F.lit(0.0))
+    return rows.select("pair", (gap * step).alias("area"), gap.alias("most"), "n", "m").groupBy("pair").agg(F.nanvl(F.sum("area"), F.lit(None)).alias("wasserstein"),
+        F.max("most").alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
+
+
+def _scanned_distances(sides: DataFrame) -> DataFrame:
+    """(pair, wasserstein, ks, n, m) of pairs of any size."""
+    counted = sides.groupBy("pair", "value").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 0).alias("b"))
 
     def summary(piece: pd.DataFrame) -> tuple[int, int, float]:
         return int(piece["a"].sum()), int(piece["b"].sum()), float(piece["value"].iloc[0])
@@ -95,11 +122,8 @@ def distances(sides: DataFrame) -> DataFrame:
 
     found = scanned(counted, ["pair"], ["value"], summary, lambda x, y: (x[0] + y[0], x[1] + y[1], x[2]), walk,
         f"pair {dict(sides.dtypes)['pair']}, area double, most double, n long, m long")
-    out = found.groupBy("pair").agg(F.sum(F.nanvl("area", F.lit(None))).alias("wasserstein"), F.max(F.nanvl("most", F.lit(None))).alias("ks"), F.max("n").alias("n"),
+    return found.groupBy("pair").agg(F.sum(F.nanvl("area", F.lit(None))).alias("wasserstein"), F.max(F.nanvl("most", F.lit(None))).alias("ks"), F.max("n").alias("n"),
         F.max("m").alias("m"))
-    x2 = F.col("ks") * F.col("ks") * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x2))
-    return out.select("pair", "wasserstein", "ks", F.when(x2 < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))).alias("ks_pvalue"))
 
 
 def or_reason(value: Column, *reasons: tuple[Column, str]) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom import plans
 from skyloom.functions import catalogue
 from skyloom.functions import engineering as N
-from skyloom.operators import alignment, baselines, paths, scans, series, windows
+from skyloom.operators import alignment, baselines, distributions, paths, scans, series, windows
 
 
 def test_a_step_a_rounding_error_beyond_half_a_turn_goes_the_short_way(spark):
@@ -166,3 +166,28 @@ def test_steady_stretches_are_those_of_every_grid_point_without_making_them(spar
         edges = np.flatnonzero(np.diff(np.concatenate([[0], small.astype(int), [0]])))
         own = [(int(grid[a]), int(grid[b - 1]), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True) if grid[b - 1] - grid[a] >= 980_000]
         assert sorted(found.get(flight, [])) == own and (own or not flight)
+
+
+def test_distances_of_pairs_that_a_task_holds_and_of_larger_ones(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(p, s, None if i % 40 == 3 else float(x)) for p, n, m in ((1, 500, 300), (2, 20, 31), (3, 4, 0)) for s, k in ((1, n), (0, m))
+        for i, x in enumerate(rng.normal(s, 2, k).round(1))]
+    sides = spark.createDataFrame(rows, "pair int, side int, value double")
+    plain = distributions.distances(sides)
+    assert "MapInPandas" not in plain._jdf.queryExecution().toString()
+    monkeypatch.setattr(scans, "TASK_ROWS", 200)
+    both = distributions.distances(sides)
+    assert "MapInPandas" in both._jdf.queryExecution().toString()
+    for found in (plain, both):
+        out = {r.pair: r for r in found.collect()}
+        assert set(out) == {1, 2, 3} and out[3].wasserstein is None and out[3].ks is None
+        for p in (1, 2):
+            a, b = (np.sort([v for q, s, v in rows if q == p and s == side and v is not None]) for side in (1, 0))
+            every = np.unique(np.concatenate([a, b]))
+            gap = np.abs(np.searchsorted(a, every, side="right") / len(a) - np.searchsorted(b, every, side="right") / len(b))
+            assert np.isclose(out[p].ks, gap.max()) and np.isclose(out[p].wasserstein, (gap[:-1] * np.diff(every)).sum())
+
+
+def test_bins_of_pairs_that_a_task_holds_need_no_second_pass(spark, sf_dir):
+    plan = plans.QUERIES["histogram_bins"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "ExistingRDD" not in plan
