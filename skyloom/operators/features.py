@@ -45,7 +45,7 @@ def percentile_features(signals: DataFrame, table: tuple = PERCENTILES, flight:
     """(flight, feature_key, value, reason) of every percentile feature whose signal the flight has; few samples give a reason.
 
     Only wanted signals take part, once for all percentiles; ranks are looked for among sorted values (scans.quantiles),
-    so no task holds a flight's signal.
+    so no task holds a signal of more than scans.TASK_ROWS samples.
     """
     shares = sorted({p for _, _, p in table})
     wanted = F.array(*[F.struct(F.lit(f).alias("feature_key"), F.lit(k).alias("key"), F.lit(shares.index(p)).alias("at")) for f, k, p in table])
