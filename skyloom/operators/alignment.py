@@ -1,16 +1,19 @@
 """Time alignment of two recordings of one mission, and both on one grid.
 
-Anchors, shared signals and their grids are DataFrame operators over all pairs; the search for the lag runs over the samples
-of one axis of one pair, which a flight bounds.
+Anchors, spans and axes are DataFrame operators over all samples. The search for the lag and the grids take one signal of one
+pair at a time, a row with the samples of both sides, which a flight bounds. gathered() shuffles and sorts samples for these
+rows; a caller whose pairs' samples lie together anyway gives a gather of its own, and then none move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import series as S
@@ -135,32 +138,88 @@ def _axis(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     return both.groupBy("pair").agg(F.max_by("key", F.struct("v", "key")).alias("axis"))
 
 
-def on_grid(us: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The samples at the asked times, linear between two of them and missing outside, as S.at_times() has it."""
+def reading(us: np.ndarray, value: np.ndarray, known: np.ndarray, at: np.ndarray, hold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The samples at the asked times and which of these are known: linear between two samples, or the last one held, and unknown outside, as S.at_times() has it."""
     order = np.argsort(us, kind="stable")
-    us, value = us[order].astype(float), value[order]
+    us, value, known = us[order].astype(float), value[order], known[order]
     left = np.searchsorted(us, at, side="right") - 1
-    right = np.minimum(left + 1, len(us) - 1)
-    out = np.full(len(at), np.nan)
-    inside, end = (left >= 0) & (left < len(us) - 1), (left == len(us) - 1) & (us[left] == at)
-    a, b = left[inside], right[inside]
-    out[inside] = value[a] + (at[inside] - us[a]) / (us[b] - us[a]) * (value[b] - value[a])
-    out[end] = value[left[end]]
-    return out
-
-
-def _sided(rows: DataFrame, signals: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """(keys, side, us, value, ...): the samples of a pair's two logs, real ones side 0 and others side 1, in time since the pair's start in each.
-
-    The pairs' side, a row for each log, is the one that is hashed; the samples aren't sorted.
-    """
-    sides = [rows.select(*keys, *carried, F.lit(i).alias("side"), F.col(f"{name}_log").alias("log"), F.col(f"{name}_us").alias("t0")) for i,
-        name in enumerate(("real", "sim"))]
-    shifted = {c: F.col(c) - F.col("t0") for c in ("us", "us2") if c in signals.columns}
-    return sides[0].unionByName(sides[1]).hint("shuffle_hash").join(signals, ["log", "key"]).withColumns(shifted).drop("log", "t0")
+    out, told = np.full(len(at), np.nan), np.zeros(len(at), bool)
+    inside, end = (left >= 0) & (left < len(us) - 1), at == us[-1] if len(us) else np.zeros(len(at), bool)
+    a = left[inside]
+    b = a if hold else a + 1
+    with np.errstate(invalid="ignore"):
+        out[inside] = value[a] if hold else value[a] + (at[inside] - us[a]) / (us[b] - us[a]) * (value[b] - value[a])
+    told[inside] = known[a] & known[b]
+    if end.any():
+        out[end], told[end] = value[-1], known[-1]
+    return out, told
 
 
-def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE_HZ) -> DataFrame:
+def on_grid(us: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The samples at the asked times, linear between two of them and missing outside."""
+    return reading(us, value, np.ones(len(us), bool), at)[0]
+
+
+#: From asked (pair, n, real_log, sim_log, real_us, sim_us, and key where not all are meant) to (pair, key, n, real_us, sim_us, real, sim): a row for each
+#: signal with the samples of both logs, as struct of arrays us and value in any order. A side that lacks the signal may be empty.
+Gather = Callable[[DataFrame], DataFrame]
+
+
+def gathered(asked: DataFrame, signals: DataFrame) -> DataFrame:
+    """What is asked for, as Gather has it, from signals (log, key, us, value): dealt by log, then by pair, where samples are sorted and packed."""
+    on = ["log"] + [c for c in asked.columns if c == "key"]
+    sides = F.inline(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"{name}_log").alias("log")) for i, name in enumerate(("real", "sim")))))
+    kept = ["pair", "n", "real_us", "sim_us"]
+    rows = asked.select(*kept, *on[1:], sides).hint("shuffle_hash").join(signals, on)  # a row for each log is the side that is hashed
+    rows = rows.select(*kept, "key", "side", F.col("us").cast("long").alias("us"), F.col("value").cast("double").alias("value"))
+    series = "struct<us: array<bigint>, value: array<double>>"
+    return spread(rows, "pair").sortWithinPartitions("pair", "key").mapInArrow(_packed, f"pair {dict(asked.dtypes)['pair']}, key string, n int, real_us long, "
+        f"sim_us long, real {series}, sim {series}")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each signal of a pair, which follow each other, as one."""
+    names = ["pair", "key", "n", "real_us", "sim_us"]
+    for piece in _pieces(batches):
+        packed = [piece.column(c).chunk(0).slice(0, 1) for c in names]
+        for i in (0, 1):
+            own = piece.filter(pc.equal(piece.column("side"), i))
+            ends = pa.array([0, len(own)], pa.int32())
+            packed.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, own.column(c).combine_chunks()) for c in ("us", "value")], ["us", "value"]))
+        yield pa.RecordBatch.from_arrays(packed, [*names, "real", "sim"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each signal of a pair, which follow each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (batch.column("pair"), batch.column("key"))]
+        starts = [0, *(np.flatnonzero(new[0] | new[1]) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = batch.column("pair")[a].as_py(), batch.column("key")[a].as_py()
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(batch: pa.RecordBatch) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of each gathered row: times since its log's beginning, values, and which are known, of both sides."""
+    columns = []
+    for name in ("real", "sim"):
+        us, value = (batch.column(name).field(c) for c in ("us", "value"))
+        columns.append((us.offsets.to_numpy(), us.values.to_numpy(), value.offsets.to_numpy(), value.values.to_numpy(zero_copy_only=False),
+            value.values.is_valid().to_numpy(zero_copy_only=False), batch.column(f"{name}_us").to_numpy()))
+    for k in range(batch.num_rows):
+        yield [(us[u[k] : u[k + 1]] - start[k], value[v[k] : v[k + 1]], known[v[k] : v[k + 1]]) for u, us, v, value, known, start in columns]
+
+
+def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE_HZ, gather: Gather | None = None) -> DataFrame:
     """One row per pair (pair, real_log, sim_log) of logs in signals (log, key, us, value).
 
     pair, real_us, sim_us, methods, axis, shift_s, correlation, quality, overlap_s, reason, short_overlap. quality is fine
@@ -179,16 +238,17 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
 
     rate = 1e6 / step_us
 
-    def shift(own: pa.Table) -> pa.Table:
-        """The samples of one pair's axis, a flight's length each."""
-        side, us, value = (own.column(c).to_numpy() for c in ("side", "us", "value"))
-        at = np.arange(own.column("n")[0].as_py()) * float(step_us)
-        lag, correlation = best_shift(*(on_grid(us[side == i], value[side == i].astype(float), at) for i in (0, 1)), rate)
-        return pa.table({"pair": own.column("pair").slice(0, 1), "lag": [float(lag)], "correlation": [correlation]})
+    def shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The samples of one pair's axis at a time, a flight's length each."""
+        for batch in batches:
+            grids = (np.arange(n) * float(step_us) for n in batch.column("n").to_pylist())
+            found = [best_shift(*(on_grid(us, value, at) for us, value, _ in sides), rate) for at, sides in zip(grids, _sides(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), *(pa.array([float(x[i]) for x in found], pa.float64()) for i in (0, 1))],
+                ["pair", "lag", "correlation"])
 
     asked = rows.filter("n >= 32 AND axis IS NOT NULL").withColumnRenamed("axis", "key")
-    both = spread(_sided(asked, signals, ["pair", "key"], ["n"]).select("pair", "side", "us", "value", "n"), "pair")
-    found = both.groupBy("pair").applyInArrow(shift, f"pair {dict(rows.dtypes)['pair']}, lag double, correlation double")
+    both = gather(asked) if gather else gathered(asked, signals)
+    found = both.mapInArrow(shifts, f"pair {dict(rows.dtypes)['pair']}, lag double, correlation double")
     rows = rows.join(found.select("pair", F.struct("lag", "correlation").alias("found")), "pair", "left")
     fine = F.coalesce(F.col("found.correlation") >= GATE, F.lit(False))
     rows = rows.withColumn("shift_s", F.when(fine, F.col("found.lag") / rate).otherwise(0.0))
@@ -210,38 +270,33 @@ def align(pairs: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE
     )
 
 
-def resample(aligned: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE_HZ) -> DataFrame:
+def resample(aligned: DataFrame, signals: DataFrame, step_us: int = 1_000_000 // RATE_HZ, gather: Gather | None = None) -> DataFrame:
     """(pair, key, i, t_s, real, sim, low_rate, upsampled): every signal that both logs have, on one grid over the overlap.
 
     States are held, other signals interpolated; outside a signal's span there is null. Pairs with a reason are left out.
     """
-    by = Window.partitionBy("log", "key").orderBy("us")
-    following = signals.select("log", "key", "us", F.col("value").cast("double").alias("value"), F.lead("us").over(by).alias("us2"),
-        F.lead("value").over(by).cast("double").alias("v2"))
-    step = F.when(F.col("us2") > F.col("us"), F.col("us2") - F.col("us"))
-    rates = stored(following.groupBy("log", "key").agg((1e6 / F.percentile(step, F.lit(0.5))).alias("rate_hz")))  # a row for each signal
-    fine = stored(aligned.filter("reason IS NULL"))  # a row for each pair, read for every signal
-    rate = lambda name: rates.select(F.col("log").alias(f"{name}_log"), "key", F.col("rate_hz").alias(f"{name}_rate"))
-    shared = fine.join(rate("real"), "real_log").join(rate("sim"), ["sim_log", "key"])
-    least = F.least(F.coalesce("real_rate", F.lit(0.0)), F.coalesce("sim_rate", F.lit(0.0)))
-    shared = shared.select("pair", "key", "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s")
-        * 1e6).cast("long")).alias("sim_us"), "overlap_s", (least < LOW_RATE_HZ).alias("low_rate"), (least < 1e6 / step_us).alias("upsampled"))
-
-    # Both logs' samples and the grid are one stream in time since the pair's start; each point takes the last sample of either side.
-    samples = _sided(shared, following, ["pair", "key"], []).select("pair", "key", "side", "us", F.struct(F.col("us").cast("double").alias("us"),
-        F.col("value").alias("v"), F.col("us2").cast("double").alias("us2"), "v2").alias("s"))
-    points = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.round(F.col("overlap_s") * 1e6 / step_us).cast("int") + 1) - 1))
-    targets = shared.select("pair", "key", "low_rate", "upsampled", F.lit(2).alias("side"), points.alias("i")).withColumn("us",
-        F.col("i").cast("long") * step_us)
-    running = Window.partitionBy("pair", "key").orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda i: F.last(F.when(F.col("side") == i, F.col("s")), ignorenulls=True).over(running)
-    merged = samples.unionByName(targets, allowMissingColumns=True).withColumns({"r": last(0), "f": last(1)}).filter("side = 2")
-
-    def value(left: Column) -> Column:
-        t = F.col("us").cast("double")
-        inside = left["v"] + (t - left["us"]) / (left["us2"] - left["us"]) * (left["v2"] - left["v"])
-        end = F.when(left["us"] == t, left["v"])
-        return F.when(left["us2"].isNull(), end).otherwise(F.when(F.col("key").isin(*HELD), left["v"]).otherwise(inside))
-
-    return merged.select("pair", "key", "i", (F.col("i") * step_us / 1e6).alias("t_s"), value(F.col("r")).alias("real"),
-        value(F.col("f")).alias("sim"), "low_rate", "upsampled")
+    n = F.greatest(F.lit(2), F.round(F.col("overlap_s") * 1e6 / step_us).cast("int") + 1)
+    asked = aligned.filter("reason IS NULL").select("pair", n.alias("n"), "real_log", "sim_log", "real_us", (F.col("sim_us") + (F.col("shift_s")
+        * 1e6).cast("long")).alias("sim_us"))
+
+    def rate_hz(us: np.ndarray) -> float:
+        """A million over the median positive interval, 0 without one."""
+        steps = np.diff(np.sort(us))
+        return 1e6 / float(np.median(steps[steps > 0])) if (steps > 0).any() else 0.0
+
+    def grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One signal of a pair at a time."""
+        for batch in batches:
+            for k, (key, n, sides) in enumerate(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), _sides(batch), strict=True)):
+                if not all(len(us) for us, _, _ in sides):
+                    continue
+                at, least = np.arange(n) * float(step_us), min(rate_hz(us) for us, _, _ in sides)
+                read = [pa.array(values, mask=~known) for values, known in (reading(*side, at, key in HELD) for side in sides)]
+                flags = [pa.array(np.full(n, flag)) for flag in (least < LOW_RATE_HZ, least < 1e6 / step_us)]
+                same = pa.array(np.full(n, k))
+                yield pa.RecordBatch.from_arrays([batch.column("pair").take(same), batch.column("key").take(same), pa.array(np.arange(n, dtype=np.int32)),
+                    *read, *flags], ["pair", "key", "i", "real", "sim", "low_rate", "upsampled"])
+
+    both = gather(asked) if gather else gathered(asked, signals)
+    out = both.mapInArrow(grids, f"pair {dict(aligned.dtypes)['pair']}, key string, i int, real double, sim double, low_rate boolean, upsampled boolean")
+    return out.select("pair", "key", "i", (F.col("i").cast("long") * step_us / 1e6).alias("t_s"), "real", "sim", "low_rate", "upsampled")

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom import plans
 from skyloom.operators import alignment, windows
+from skyloom.plans import flights
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,63 @@ def test_windows_of_a_flight_with_and_without_steady_stretches(spark):
     assert out[1].status == "full" and out[1].steady_s == pytest.approx(70, abs=0.2) and out[1].airborne_s == pytest.approx(110, abs=0.2)
     assert out[2].status == "partial" and out[2].steady_reason == "insufficient_steady_flight"
     assert segments.filter("flight = 1").select(F.sum("length_us")).first()[0] == pytest.approx(70e6, abs=2e5)
+
+
+def test_samples_of_recordings_are_not_shuffled(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert _shuffled(spark, "resampled", lambda: plans.QUERIES["resampled_recordings"](spark, sf_dir).collect()) < 6000 * pairs  # 5,000 samples each
+
+
+def _shuffled(spark, group, run):
+    """Bytes that the stages of a run write for others."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert len(stages) > 3
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_recordings_that_are_made_in_place_are_those_that_are_gathered(spark, sf_dir):
+    pairs, signals, gather = flights._recordings(spark, sf_dir)
+    asked = pairs.filter("pair < 3").select("pair", F.lit("att.roll").alias("key"), F.lit(9).alias("n"), "real_log", "sim_log", F.lit(5).cast("long").alias("real_us"),
+        F.lit(7).cast("long").alias("sim_us"))
+    order = lambda side: F.array_sort(F.arrays_zip(f"{side}.us", f"{side}.value")).alias(side)
+    made, told = (rows.select("pair", "key", "n", "real_us", "sim_us", order("real"), order("sim")).orderBy("pair").collect() for rows in (gather(asked),
+        alignment.gathered(asked, signals)))
+    assert made == told and len(made) == 3 and len(made[0].sim) == 2500 and made[0].sim[1].us == 31 * 20_000
+
+
+def test_gaps_held_states_and_long_flights_are_resampled_like_samples_read_one_by_one(spark):
+    rng, rows, by = np.random.default_rng(5), [], {}
+    for log, late in (("r", 0), ("s", 13_000)):
+        for key in ("gps.nsats", "alt.rel", f"only.{log}"):
+            us = np.sort(rng.choice(2_400_000, 300, replace=False)) * 1000 + late
+            us[0] = late
+            values = [None if x < 0.1 else float("nan") if x < 0.15 else float(x) for x in rng.random(300)]
+            by[log, key] = list(zip(us.tolist(), values, strict=True))
+            rows += [(log, key, t, v) for t, v in by[log, key]]
+    signals = spark.createDataFrame(rows, "log string, key string, us long, value double").repartition(7)
+    aligned = spark.createDataFrame([(1, "r", "s", 0, 13_000, 0.02, 2390.0, None), (2, "r", "s", 0, 0, 0.0, 1.0, "insufficient_overlap")],
+        "pair int, real_log string, sim_log string, real_us long, sim_us long, shift_s double, overlap_s double, reason string")
+    out = alignment.resample(aligned, signals).toPandas()
+    assert set(zip(out["pair"], out["key"], strict=True)) == {(1, "gps.nsats"), (1, "alt.rel")} and out["low_rate"].all() and out["upsampled"].all()
+
+    def one(samples, t, hold):
+        before, after = [s for s in samples if s[0] <= t], [s for s in samples if s[0] > t]
+        if not before or not after:
+            return samples[-1][1] if samples[-1][0] == t else None
+        (a, v), (b, w) = before[-1], after[0]
+        return v if hold else None if v is None or w is None else v + (t - a) / (b - a) * (w - v)
+
+    for key, own in out.groupby("key"):
+        own = own.sort_values("i")
+        assert own["i"].tolist() == list(range(119_501)) and own["t_s"].iloc[-1] == 2390.0
+    listed = alignment.resample(aligned, signals).filter("i % 997 = 0 OR i = 0").collect()
+    for r in listed:
+        for log, begin, found in (("r", 0, r.real), ("s", 33_000, r.sim)):
+            want = one([(t - begin, v) for t, v in by[log, r.key]], r.i * 20_000, r.key == "gps.nsats")
+            assert (found is None) == (want is None) and (want is None or found == pytest.approx(want, nan_ok=True)), (r, want)
+    assert len(listed) > 200 and any(r.real is None for r in listed) and any(r.real is not None and np.isnan(r.real) for r in listed)
