@@ -26,6 +26,7 @@ MIN_OVERLAP_S, SHORT_SHARE, LOW_RATE_HZ = 20.0, 0.40, 5.0
 HELD = ("gps.fix_type", "gps.nsats", "status.armed", "land.landed")
 
 
+@cache
 def butterworth_sections(rate: float) -> np.ndarray:
     """Second-order band-pass by bilinear transform: two sections (b0, b1, b2, a1, a2)."""
     low, high = BAND[0], min(BAND[1], 0.9 * rate / 2)
@@ -66,13 +67,14 @@ def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
         of_state, within, behind, left = _blocks(b0, b1, b2, a1, a2)
         # The recursion's start is the steady state for the first value.
         s2 = (b2 - a2 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0]
-        state = np.array([(b1 - a1 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0] + s2, s2])
-        blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
-        made, carried = blocks @ within.T, blocks @ behind
-        for i in range(len(blocks)):
-            made[i] += of_state @ state
-            state = left @ state + carried[i]
-        x = made.ravel()[: len(x)]
+        s1 = (b1 - a1 * (b0 + b1 + b2) / (1 + a1 + a2)) * x[0] + s2
+        blocks = np.concatenate([x, np.zeros(-len(x) % BLOCK)]).reshape(-1, BLOCK)
+        (l11, l12), (l21, l22) = left.tolist()
+        states = []
+        for c1, c2 in (blocks @ behind).tolist():
+            states.append((s1, s2))
+            s1, s2 = l11 * s1 + l12 * s2 + c1, l21 * s1 + l22 * s2 + c2
+        x = (blocks @ within.T + np.array(states) @ of_state.T).ravel()[: len(x)]
     return x
 
 
@@ -104,7 +106,7 @@ def best_shift(real: np.ndarray, sim: np.ndarray, rate: float = RATE_HZ, window_
         return 0, 0.0
     most = min(int(search_s * rate), len(a) - 1)
     lags = np.arange(-most, most + 1)
-    size = 1 << (2 * len(a) - 1).bit_length()
+    size = 1 << (len(a) + most).bit_length()
     scores = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)[lags] / norm  # lag k at place k, negative ones from the end
     scores = np.round(scores, 12)  # the transform's noise decides nothing
     best = int(scores.argmax())

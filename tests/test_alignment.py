@@ -63,7 +63,8 @@ def test_windows_of_a_flight_with_and_without_steady_stretches(spark):
 
 def test_samples_of_recordings_are_not_shuffled(spark, sf_dir):
     pairs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    assert _shuffled(spark, "resampled", lambda: plans.QUERIES["resampled_recordings"](spark, sf_dir).collect()) < 6000 * pairs  # 5,000 samples each
+    for name in ("aligned_recordings", "resampled_recordings"):
+        assert _shuffled(spark, name, lambda name=name: plans.QUERIES[name](spark, sf_dir).collect()) < 6000 * pairs  # 5,000 samples each
 
 
 def _shuffled(spark, group, run):
@@ -119,3 +120,36 @@ def test_gaps_held_states_and_long_flights_are_resampled_like_samples_read_one_b
             want = one([(t - begin, v) for t, v in by[log, r.key]], r.i * 20_000, r.key == "gps.nsats")
             assert (found is None) == (want is None) and (want is None or found == pytest.approx(want, nan_ok=True)), (r, want)
     assert len(listed) > 200 and any(r.real is None for r in listed) and any(r.real is not None and np.isnan(r.real) for r in listed)
+
+
+def test_filter_and_lags_are_those_of_sample_by_sample_sums():
+    rng = np.random.default_rng(6)
+    for n in (16, 63, 64, 65, 700):
+        x = rng.standard_normal(n).cumsum()
+        sections = alignment.butterworth_sections(50.0)
+        assert sections is alignment.butterworth_sections(50.0)  # designed once, not for every pair
+
+        def run(x, sections=sections):
+            for b0, b1, b2, a1, a2 in sections.tolist():
+                gain = (b0 + b1 + b2) / (1 + a1 + a2)
+                s2 = (b2 - a2 * gain) * x[0]
+                s1, out = (b1 - a1 * gain) * x[0] + s2, []
+                for v in x:
+                    y = b0 * v + s1
+                    s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
+                    out.append(y)
+                x = np.array(out)
+            return x
+
+        pad = min(15, n - 1)
+        whole = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        assert np.allclose(alignment.band_pass(x), run(run(whole)[::-1])[::-1][pad : pad + n], atol=1e-9)
+    for n, late in ((40, 3), (700, -120), (900, 480)):  # lags up to nine tenths and more of the series
+        a = rng.standard_normal(n)
+        b = np.roll(a, late) + rng.standard_normal(n) * 0.1
+        p, q = (alignment.band_pass(v) for v in (a, b))
+        p, q = p - p.mean(), q - q.mean()
+        most = min(500, n - 1)
+        scores = [sum(p[i] * q[i - k] for i in range(max(0, k), min(n, n + k))) / np.sqrt((p @ p) * (q @ q)) for k in range(-most, most + 1)]
+        lag, score = alignment.best_shift(a, b)
+        assert lag == int(np.argmax(np.round(scores, 12))) - most and score == pytest.approx(max(scores))
